@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, url_filter
+
+_NAMED = {"op2_url_filter": url_filter, "op9_exact_dedup": exact_dedup}
 
 
 def queries() -> dict:
-    return {"op9_exact_dedup": exact_dedup.query}
+    return {name: module.query for name, module in _NAMED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.ORACLE}
+    return {name: module.ORACLE for name, module in _NAMED.items() if hasattr(module, "ORACLE")}
