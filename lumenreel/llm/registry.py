@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, packing, simhash, url_filter
+from . import byte_bpe, exact_dedup, language_id, merkle, packing, simhash, url_filter
 
-_NAMED = {"op1_packing": packing, "op2_url_filter": url_filter, "op3_simhash": simhash, "op4_language_id": language_id, "op7_byte_bpe": byte_bpe, "op9_exact_dedup": exact_dedup}
+_NAMED = {"op1_packing": packing, "op2_url_filter": url_filter, "op3_simhash": simhash, "op4_language_id": language_id, "op7_byte_bpe": byte_bpe, "op9_exact_dedup": exact_dedup, "op10_merkle": merkle}
 
 
 def queries() -> dict:
