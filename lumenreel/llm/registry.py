@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, merkle, packing, simhash, toxicity, url_filter
+from . import byte_bpe, exact_dedup, html_text, language_id, merkle, packing, simhash, toxicity, url_filter
 
-_NAMED = {"op1_packing": packing, "op2_url_filter": url_filter, "op3_simhash": simhash, "op4_language_id": language_id, "op7_byte_bpe": byte_bpe, "op8_toxicity": toxicity, "op9_exact_dedup": exact_dedup, "op10_merkle": merkle}
+_NAMED = {"op1_packing": packing, "op2_url_filter": url_filter, "op3_simhash": simhash, "op4_language_id": language_id, "op6_html_text": html_text, "op7_byte_bpe": byte_bpe, "op8_toxicity": toxicity, "op9_exact_dedup": exact_dedup, "op10_merkle": merkle}
 
 
 def queries() -> dict:
