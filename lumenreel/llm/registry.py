@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, html_text, language_id, merkle, packing, simhash, toxicity, url_filter
+import corpus_pipeline
 
-_NAMED = {"op1_packing": packing, "op2_url_filter": url_filter, "op3_simhash": simhash, "op4_language_id": language_id, "op6_html_text": html_text, "op7_byte_bpe": byte_bpe, "op8_toxicity": toxicity, "op9_exact_dedup": exact_dedup, "op10_merkle": merkle}
+from . import byte_bpe, exact_dedup, html_text, language_id, merkle, packing, simhash, substring_dedup, toxicity, url_filter
+
+_NAMED = {
+    "op1_packing": packing,
+    "op2_url_filter": url_filter,
+    "op3_simhash": simhash,
+    "op4_language_id": language_id,
+    "op5_substring_dedup": substring_dedup,
+    "op6_html_text": html_text,
+    "op7_byte_bpe": byte_bpe,
+    "op8_toxicity": toxicity,
+    "op9_exact_dedup": exact_dedup,
+    "op10_merkle": merkle,
+}
 
 
 def queries() -> dict:
-    return {name: module.query for name, module in _NAMED.items()}
+    return {name: module.query for name, module in _NAMED.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: module.ORACLE for name, module in _NAMED.items() if hasattr(module, "ORACLE")}
+    found = {name: module.ORACLE for name, module in _NAMED.items() if hasattr(module, "ORACLE")}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
