@@ -9,6 +9,7 @@ touching what is there, and an edit re-computes from the first changed byte only
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -19,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunked import Chunked
+from .chunked import Chunked, Memo
 from .common import table
 
 
@@ -34,7 +35,7 @@ class Vocabulary:
             self.suffixes.add_word(token.decode("latin-1"), (rank, len(token)))
         self.suffixes.make_automaton()
         self.longest = max(map(len, ranks), default=1)
-        self._valid: dict[tuple[int, int], bool] = {}
+        self.valid: dict[tuple[int, int], bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
 
     @classmethod
@@ -65,16 +66,17 @@ class Vocabulary:
         return self.halves(token) is not None or len(self.tokens[token]) == 1
 
     def neighbours(self, left: int, right: int) -> bool:
-        """Whether merging the bytes of both gives just these two: undo their merges, latest first, and see that
-        at no moment a merge across the border would have come before the merge undone there."""
-        found = self._valid.get((left, right))
+        """Whether `right` may follow `left`, which is -1 at the start of a piece."""
+        found = self.valid.get((left, right))
         if found is None:
-            if len(self._valid) > 500_000:
-                self._valid.clear()
-            found = self._valid[left, right] = self._neighbours(left, right)
+            if len(self.valid) > 500_000:
+                self.valid.clear()
+            found = self.valid[left, right] = self.reachable(right) and (left < 0 or self._neighbours(left, right))
         return found
 
     def _neighbours(self, left: int, right: int) -> bool:
+        """Whether merging the bytes of both gives just these two: undo their merges, latest first, and see that
+        at no moment a merge across the border would have come before the merge undone there."""
         ranks, tokens, bar = self.ranks, self.tokens, 1 << 60
         while True:
             if ranks.get(tokens[left] + tokens[right], bar) < bar:
@@ -99,13 +101,15 @@ class PrefixTable:
         """Tokens that end in the new bytes, found by one automaton, longest first at each end."""
         v, last, old = self.vocabulary, self.last, len(self.data)
         self.data += more
-        neighbours, reachable = v.neighbours, v.reachable
-        start = max(0, old + 1 - v.longest)
-        for end, (token, size) in v.suffixes.iter(self.data.decode("latin-1"), start):
-            if end + 2 > len(last):
-                begin = end + 1 - size
-                if neighbours(last[begin], token) and reachable(token) if begin else reachable(token):
-                    last.append(token)
+        neighbours, valid = v.neighbours, v.valid
+        add, done = last.append, old
+        for end, (token, size) in v.suffixes.iter(self.data.decode("latin-1"), max(0, old + 1 - v.longest)):
+            if end >= done:
+                left = last[end + 1 - size]
+                found = valid.get((left, token))
+                if neighbours(left, token) if found is None else found:
+                    add(token)
+                    done = end + 1
 
     def replace(self, at: int, removed: int, added: bytes) -> None:
         """Re-encode near an edit: prefixes before `at` keep their tokens."""
@@ -129,13 +133,17 @@ class Encoder:
         self.vocabulary = Vocabulary.load(path)
         self.pieces = regex.compile(pattern).findall
         self.chunked = Chunked(self.chunk)
+        self.known = Memo(self.piece, "")
 
-    def piece(self, piece: bytes) -> list[int]:
-        whole = self.vocabulary.ranks.get(piece)
-        return [whole] if whole is not None else PrefixTable(self.vocabulary, piece).ids()
+    def piece(self, piece: str) -> bytes:
+        """A piece's ids as little-endian 32-bit bytes."""
+        data = piece.encode()
+        whole = self.vocabulary.ranks.get(data)
+        ids = [whole] if whole is not None else PrefixTable(self.vocabulary, data).ids()
+        return struct.pack(f"<{len(ids)}i", *ids)
 
     def chunk(self, chunk: str) -> bytes:
-        return np.array([i for p in self.pieces(chunk) for i in self.piece(p.encode())], "<i4").tobytes()
+        return b"".join(map(self.known.__getitem__, self.pieces(chunk)))
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.chunked.ids(text), "<i4")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import regex
 
 #: Entries of one memo; it is emptied when full, so a task's memory is bounded.
-MEMO = 400_000
+MEMO = 500_000
 #: Longest chunk that is remembered.
 LONGEST = 48
 
