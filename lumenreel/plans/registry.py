@@ -9,7 +9,7 @@ from .views import duck
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
-MODULES = ("metrics_queries", "text_queries")
+MODULES = ("metrics_queries", "text_queries", "transcript_queries")
 
 
 def query(name: str, oracle: str | None = None):
