@@ -11,6 +11,7 @@ each finds its place from its rank within its length.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -18,35 +19,52 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunked import Chunked
+from .chunked import Chunked, Memo
 from .common import cut, table
 
 TOKENS, DOCUMENTS, ATTENTION = 2048, 2048, 2048 * 2048
 PIECES = "id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable bytes stand for themselves, the others,
+    in order, for the characters from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 @cache
-def _encoder(path: str) -> Chunked:
+def _encoder(path: str, pattern: str) -> Chunked:
     from tokenizers import Tokenizer
 
-    coder = Tokenizer.from_file(path)
-    coder.encode_special_tokens = True
-    return Chunked(lambda chunk: np.array(coder.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes())
+    merge = Tokenizer.from_file(path).model.tokenize  # the steps before it are the pattern and the letters below
+    letters = _byte_letters()
+    pieces = regex.compile(pattern).findall
+
+    def encode(piece: str) -> bytes:
+        ids = [t.id for t in merge(piece.encode().decode("latin-1").translate(letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    known = Memo(encode, "")
+    return Chunked(lambda chunk: b"".join(map(known.__getitem__, pieces(chunk))))
 
 
-def cut_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokens: int = TOKENS, end_id: int = 0) -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", tokens: int = TOKENS, end_id: int = 0) -> DataFrame:
     """Documents as pieces of at most `tokens` ids; only the first piece of a cut document is shorter.
 
-    Null text counts as empty: one piece with the end id alone. part and nth number the pieces of one length
+    path names a byte-level tokenizer file and pattern the expression it splits texts by before merging. Null
+    text counts as empty: one piece with the end id alone. part and nth number the pieces of one length
     inside an input partition.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        coder, part, seen, rows = _encoder(path), TaskContext.get().partitionId(), {}, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, part, seen, rows = _encoder(path, pattern), TaskContext.get().partitionId(), {}, []
         end = np.uint32(end_id).tobytes()
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -173,16 +191,16 @@ def pack(
     return ranked.mapInPandas(place, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **capacities) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", **capacities) -> DataFrame:
     """All documents cut and packed: id_col, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null ids stay null; repeated rows are packed as often as they occur; other columns aren't read.
     """
-    pieces = cut(cut_pieces(docs, path, id_col, text_col, capacities.get("tokens", TOKENS)), "pieces")
+    pieces = cut(cut_pieces(docs, path, pattern, id_col, text_col, capacities.get("tokens", TOKENS)), "pieces")
     return pack(pieces, **capacities).withColumnRenamed("id", id_col)
 
 
 def query(spark, sf_dir):
     import public_tokenizers
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
