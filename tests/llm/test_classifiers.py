@@ -32,7 +32,7 @@ def test_languages_of_held_out_texts(spark):
     model = L.fit(df.filter(~held_out(F.col("doc_id"))))
     got = L.identify(df, model, keep=("doc_id", "lang")).collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got) and all(0 <= r.score <= 1 for r in got)
-    odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "12 !?", "x"), (None, "und die " * 100_000, "x"), (4, "zzzz", "x"), (4, "zzzz", "x")], "doc_id long, text string, score string")
+    odd = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "12 !? ² ½", "x"), (None, "und die " * 100_000, "x"), (4, "zzzz", "x"), (4, "zzzz", "x")], "doc_id long, text string, score string")
     said = {(r.doc_id, r.lang_pred) for r in L.identify(odd, model).collect()}
     assert {(1, "und"), (2, "und"), (3, "und"), (None, "bb")} <= said and len(said) == 5
     assert L.identify(odd.limit(0), model).count() == 0
