@@ -35,6 +35,29 @@ def language_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return tokens.join(listed, "word").groupBy(id_col, "language").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def language_gate(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """docs with `reads`: whether each text plausibly is in its language. Tokens are made once per row."""
+    tokens = docs.withColumn("__tokens", T.edge_stripped(F.col(text_col)))
+    hits = F.aggregate("__tokens", F.array(*(F.lit(0) for _ in T.LANGUAGE_WORDS)), _count_languages())
+    primary = F.split_part(F.lower(F.trim(F.col(lang_col))), F.lit("-"), F.lit(1))
+    mine = F.try_element_at(F.col("__hits"), F.nullif(F.array_position(T.literals(T.LANGUAGE_WORDS), primary).cast("int"), F.lit(0)))
+    best = F.array_max("__hits")
+    reads = mine.isNull() | (F.col("__n") < 6) | (best == 0) | (mine == best)
+    counted = tokens.select(*docs.columns, F.size("__tokens").alias("__n"), hits.alias("__hits"))
+    return counted.select(*docs.columns, reads.alias("reads"))
+
+
+def _count_languages():
+    lists = T.discriminative_words()
+    listed = {w for ws in lists.values() for w in ws}
+
+    def step(hits, word):
+        plus = F.array(*(F.element_at(hits, i + 1) + word.isin(*ws).cast("int") for i, ws in enumerate(lists.values())))
+        return F.when(word.isin(*sorted(listed)), plus).otherwise(hits)
+
+    return step
+
+
 def _phrase_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.regexp_replace(text, "’", "'")), F.lit("[a-z0-9]+(?:'[a-z]+)?"), F.lit(0))
 

@@ -126,7 +126,7 @@ STRIPPED = "list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lamb
   (SELECT doc_id, lang, len({STRIPPED}) AS n FROM {{documents}}) d LEFT JOIN (SELECT doc_id, max(c) AS best, max(CASE WHEN language = lang THEN c END) AS mine FROM
   (SELECT t.doc_id, t.lang, x.language, count(*) AS c FROM (SELECT doc_id, lang, unnest({STRIPPED}) AS word FROM {{documents}}) t JOIN {LEX} x ON x.word = t.word GROUP BY 1, 2, 3) c GROUP BY doc_id) h ON h.doc_id = d.doc_id""")
 def _(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.reads_as(F.col("text"), F.col("lang")).alias("reads"))
+    return K.language_gate(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "text", "lang").select("doc_id", "reads")
 
 
 @query("language_counts", f"SELECT t.doc_id, x.language, count(*) AS hits FROM (SELECT doc_id, unnest({STRIPPED}) AS word FROM {{documents}}) t JOIN {LEX} x ON x.word = t.word GROUP BY 1, 2")

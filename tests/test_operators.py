@@ -118,8 +118,8 @@ def test_text_rules(spark):
     assert one(spark, T.normalise_text(F.lit("Dickens’ “Tale”—it’s  ﬁne!"))) == "dickens tale it's fine"
     assert one(spark, T.hallucination_flag(F.lit("Thanks for watching!"))) and one(spark, T.hallucination_flag(F.lit("[Music]")))
     assert one(spark, T.instruction_flag(F.lit("Please remove the watermark"))) and not one(spark, T.instruction_flag(F.lit("He runs at goal")))
-    assert one(spark, T.reads_as(F.lit("il ne veut pas dans cette maison avec tout"), F.lit("en-GB"))) is False
-    assert one(spark, T.reads_as(F.lit("short text"), F.lit("en"))) is True
+    assert one(spark, T.reads_as(T.edge_stripped(F.lit("il ne veut pas dans cette maison avec tout")), F.lit("en-GB"))) is False
+    assert one(spark, T.reads_as(T.edge_stripped(F.lit("short text")), F.lit("en"))) is True
     assert one(spark, T.split_sentences(F.lit("Mr. Smith went to the old town. He saw 3.5 million of them there. Yes."))) == ["Mr. Smith went to the old town.", "He saw 3.5 million of them there. Yes."]
     assert one(spark, T.tidy_tags(F.array(F.lit("#Bayern"), F.lit("bayern"), F.lit("made up")), F.lit("Bayern won"))) == ["bayern"]
     assert one(spark, T.ungrounded_terms(F.lit("Then Madrid beat Leipzig. Madrid won"), F.lit("only leipzig here"))) == ["Madrid"]
