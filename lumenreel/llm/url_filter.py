@@ -84,11 +84,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         .mapInPandas(_sweep, "host string, path string, rule string, verdict string, host_length int")
     )
     best = swept.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "host_length", "verdict", "rule")).alias("best"))
-    salted = best.select("host", "path", "best.rule", "best.verdict", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    rows = pages.select(*kept, *(c.alias(k) for k, c in added.items()), (F.xxhash64(F.monotonically_increasing_id()) % SALTS).alias("s"))
-    rows = rows.withColumn("salt", F.pmod("s", F.lit(SALTS)).cast("int")).drop("s")
-    return rows.join(salted, ["host", "path", "salt"], "left").select(
+    salted = best.select("host", "path", "best.rule", "best.verdict", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    rows = pages.select(*kept, *(c.alias(k) for k, c in added.items()), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int").alias("__salt"))
+    return rows.join(salted, ["host", "path", "__salt"], "left").select(
         *kept, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
     )
 

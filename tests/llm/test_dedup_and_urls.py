@@ -56,7 +56,7 @@ def test_urls_against_brute_force(spark):
     urls += [f"{rng.choice(['http', 'https', 'ftp'])}://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(300)]
     rules = [*U.RULES, ("example.org", "", "block"), ("www.example.org", "/en", "allow"), ("b.com", "/", "block"), ("b.com", "/en/12", "allow"), ("com", "/é", "block"), ("com", "/é", "allow"), ("", "/x", "block")]
     used = [(h, p, v) for h, p, v in rules if h]
-    df = spark.createDataFrame([(i, u, "host?") for i, u in enumerate(urls)] + [(0, None, "again")], "page_id long, url string, host string")
+    df = spark.createDataFrame([(i, u, "host?", "s") for i, u in enumerate(urls)] + [(0, None, "again", "s")], "page_id long, url string, host string, salt string")
     for n in (1, 7):
         got = U.judge_urls(df, spark.createDataFrame(rules, "host string, path string, verdict string"), partitions=n).collect()
         assert len(got) == len(urls) + 1
