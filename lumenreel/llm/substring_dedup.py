@@ -28,7 +28,7 @@ WINDOW, ANCHOR = 35, 8
 #: Fragments of one anchor beyond which they are counted window by window.
 CROWD = 1000
 #: Words of one index; a larger shard is indexed anchor group by anchor group.
-INDEX_WORDS = 1 << 20
+INDEX_WORDS = 1 << 18
 _FRAGMENTS = pa.schema([("uid", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64())])
 
 
