@@ -191,7 +191,7 @@ def _covered(source: DataFrame, window: int, crowd: int) -> tuple[DataFrame, Dat
     slices = cut(slices, "slices")
     few = slices.filter("NOT crowded").select("anchor", "content", "copies", "words")
     shards = few.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_search_shard(window), "anchor long, content long, hits array<int>")
-    many = slices.filter("crowded").select("anchor", "content", "copies", "words")
+    many = slices.filter("crowded").select("anchor", "content", "copies", "words").repartition(n, "content")
     windows = many.mapInArrow(_single_windows(window), "anchor long, content long, copies long, at int, h1 long, h2 long")
     counts = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("times")).filter("times > 1").select("h1", "h2")
     pairs = F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + 1)))
