@@ -7,11 +7,13 @@ null ids, empty tables and repeated rows pass through as the operators' docstrin
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenreel.llm import exact_dedup, language_id, packing, simhash, substring_dedup
-from lumenreel.llm.common import cut, held_out, table
+from lumenreel.llm.common import cut, held_out, importable, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +49,21 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def _stage(function):
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        importable(spark)
+        return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("exact_dedup", drop_exact_copies),
-    ("simhash_near_dedup", drop_near_copies),
-    ("substring_dedup", remove_repeated_passages),
-    ("best_fit_packing", pack_sequences),
+    ("language_id", _stage(identify_language)),
+    ("exact_dedup", _stage(drop_exact_copies)),
+    ("simhash_near_dedup", _stage(drop_near_copies)),
+    ("substring_dedup", _stage(remove_repeated_passages)),
+    ("best_fit_packing", _stage(pack_sequences)),
 ]
 
 #: SQL expresses neither the fingerprints nor the tokenizer; tests hold the pipeline against brute force.
