@@ -138,7 +138,9 @@ def _(spark, sf_dir):
     return N.default_channel(read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("uid"), F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 9 == 0).alias("is_default"), F.col("s_suppkey").alias("position"))).select("uid", "id")
 
 
-@query("split_plan")
+@query("split_plan", """SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY start_sec, end_sec) AS part, n AS parts, start_sec, end_sec, min(bad) OVER (PARTITION BY clip_id) AS reason, least(0.0, min(start_sec) OVER (PARTITION BY clip_id)) AS start_delta,
+  greatest(0.0, max(end_sec) OVER (PARTITION BY clip_id) - 600) AS end_delta FROM (SELECT *, CASE WHEN n > 20 THEN 'too many parts' WHEN end_sec - start_sec < 1 THEN 'too short' WHEN start_sec < -30 THEN 'starts too early' WHEN end_sec > 630 THEN 'ends too late' END AS bad
+  FROM (SELECT order_id AS clip_id, start_sec - 20 AS start_sec, end_sec - 22 AS end_sec, count(*) OVER (PARTITION BY order_id) AS n FROM {candidates}) a) b""")
 def _(spark, sf_dir):
     r = read(spark, sf_dir, "candidates").select(F.col("order_id").alias("clip_id"), F.lit(600.0).alias("clip_sec"), (F.col("start_sec") - 20).alias("start_sec"), (F.col("end_sec") - 22).alias("end_sec"))
     return N.split_plan(r)
@@ -225,14 +227,18 @@ def tried(spark, sf_dir):
     return s.filter("id % 2 = 0").select("id", F.col("next_due_at").alias("due_at"), F.timestamp_seconds(F.lit(1711843200) + F.col("id") * 400).alias("retry_at"))
 
 
-@query("schedule_may_fire")
+SCHEDULES = "(SELECT s_suppkey AS id, s_suppkey % 5 <> 0 AS enabled, CASE WHEN s_suppkey % 7 <> 0 THEN 1711843200 + s_suppkey * 600 END AS due, CASE WHEN s_suppkey % 2 = 0 THEN 1711843200 + s_suppkey * 400 END AS retry, 1711879200 AS t FROM {supplier})"
+WAKE = "CASE WHEN enabled THEN CASE WHEN retry IS NOT NULL THEN greatest(coalesce(due, t), retry) ELSE coalesce(due, t) END END"
+
+
+@query("schedule_may_fire", f"SELECT id, enabled AND (due IS NULL OR due <= t) AND (retry IS NULL OR t >= retry) AS may_fire, CAST(make_timestamp(CAST({WAKE} AS BIGINT) * 1000000) AS TIMESTAMP) AS wake FROM {SCHEDULES} s")
 def _(spark, sf_dir):
-    return J.schedule_may_fire(schedules(spark, sf_dir), tried(spark, sf_dir), at("2024-03-31 10:00:00"))
+    return J.schedule_may_fire(schedules(spark, sf_dir), tried(spark, sf_dir), at("2024-03-31 10:00:00")).withColumn("wake", F.col("wake").cast("timestamp_ntz"))
 
 
-@query("next_wake")
+@query("next_wake", f"SELECT CAST(make_timestamp(CAST(min({WAKE}) AS BIGINT) * 1000000) AS TIMESTAMP) AS next_wake FROM {SCHEDULES} s")
 def _(spark, sf_dir):
-    return J.next_wake(schedules(spark, sf_dir), tried(spark, sf_dir), at("2024-03-31 10:00:00"))
+    return J.next_wake(schedules(spark, sf_dir), tried(spark, sf_dir), at("2024-03-31 10:00:00")).withColumn("next_wake", F.col("next_wake").cast("timestamp_ntz"))
 
 
 def staged(spark, sf_dir):
@@ -312,7 +318,11 @@ def _(spark, sf_dir):
     return J.preference_defaults(preferences(spark, sf_dir).filter("status = 'ACCEPTED'"), ("voice", "framing"))
 
 
-@query("known_region_anti")
+BOXES = "(SELECT p_partkey AS id, p_partkey % 50 AS source_id, p_partkey % 83 AS x, p_partkey % 47 AS y, p_partkey % 29 + 5 AS w, p_partkey % 23 + 5 AS h FROM {part})"
+MEET = "least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) AND least(a.y + a.h, b.y + b.h) > greatest(a.y, b.y) AND (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) / least(a.w * a.h, b.w * b.h) >= 0.3"
+
+
+@query("known_region_anti", f"SELECT a.source_id, count(*) AS new FROM {BOXES} a WHERE a.id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM {BOXES} b WHERE b.id % 2 = 1 AND b.source_id = a.source_id AND {MEET}) GROUP BY 1")
 def _(spark, sf_dir):
     from ..operators.regions import known_region_anti, regions_of_parts
 
@@ -471,7 +481,8 @@ def _(spark, sf_dir):
     return W.speaking_at(c, times)
 
 
-@query("scene_times")
+@query("scene_times", """SELECT script_id, scene, first_line_sec, 200.0::DOUBLE AS total_sec, start_sec, coalesce(lead(start_sec) OVER (PARTITION BY script_id ORDER BY scene), 200.0) AS end_sec FROM (SELECT *, max(s) OVER (PARTITION BY script_id ORDER BY scene) AS start_sec FROM
+  (SELECT conv_id AS script_id, turn AS scene, CASE WHEN turn % 3 <> 1 THEN turn * 4.0::DOUBLE END AS first_line_sec, coalesce(min(CASE WHEN turn % 3 <> 1 THEN turn * 4.0::DOUBLE END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 200.0) AS s FROM {conversations}) a) b""")
 def _(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
     s = c.select(F.col("conv_id").alias("script_id"), F.col("turn").alias("scene"), F.when(F.col("turn") % 3 != 1, F.col("turn") * 4.0).alias("first_line_sec"), F.lit(200.0).alias("total_sec"))

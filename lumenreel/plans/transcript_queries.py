@@ -62,7 +62,8 @@ def _(spark, sf_dir):
     return R.sliding_windows(segments(spark, sf_dir)).drop("segments")
 
 
-@query("render_window")
+@query("render_window", f"""SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY k) - 1 AS window_no, text FROM (SELECT w.source_id, w.k, string_agg('[' || printf('%.1f', s.start_sec) || '-' || printf('%.1f', s.end_sec) || '] ' || s.text, chr(10) ORDER BY s.start_sec) AS text
+  FROM {WINDOWS} w JOIN {SEGMENTS} s ON s.source_id = w.source_id AND s.end_sec > w.w0 AND s.start_sec < w.w1 GROUP BY 1, 2) g""")
 def _(spark, sf_dir):
     return R.render_window(R.sliding_windows(segments(spark, sf_dir)))
 
