@@ -31,7 +31,7 @@ def clamp(value: Column, low, high) -> Column:
 def hook_type(hook: Column) -> Column:
     """NONE, QUESTION, QUOTE, SUPERLATIVE, NUMBER, NEGATION or STATEMENT; the first that holds."""
     text = F.trim(hook)
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w']+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\p{L}\p{N}_']+"), F.lit(0))
     edges = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
     return (
         F.when(F.coalesce(text, F.lit("")) == "", "NONE")

@@ -91,7 +91,7 @@ def _or_empty(array: Column) -> Column:
 
 def blocked_names(docs: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Which listed one-word names occur as whole words, by an equi-join on distinct tokens."""
-    token = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(r"(?U)\w+"), F.lit(0)))).alias("token")
+    token = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(r"(?U)[\p{L}\p{N}_]+"), F.lit(0)))).alias("token")
     wanted = names.select(F.lower("name").alias("token"), "name").distinct()
     return docs.select(id_col, token).join(wanted, "token").groupBy(id_col).agg(F.sort_array(F.collect_set("name")).alias("names"))
 

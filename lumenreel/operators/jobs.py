@@ -137,7 +137,7 @@ def preference_scope(preferences: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def lesson_key(lesson: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(lesson), r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(lesson), r"(?U)[^\p{L}\p{N}_\s]", " "), r"(?U)\s+", " "))
 
 
 def preference_dedupe(proposed: DataFrame, known: DataFrame) -> DataFrame:

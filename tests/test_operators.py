@@ -151,3 +151,8 @@ def test_dominant_period(spark):
     rows = [("p", i, float(i % 6 == 0)) for i in range(120)] + [("flat", i, 1.0) for i in range(50)]
     df = spark.createDataFrame(rows, "series_id string, t long, value double")
     assert [(r.series_id, r.period) for r in W.dominant_period(df, 3, 20).collect()] == [("p", 6)]
+
+
+def test_combining_marks_are_not_word_characters(spark):
+    assert one(spark, T.plain(F.lit("Été!"))) == "e te"
+    assert one(spark, T.hallucination_flag(F.lit("un deux trois quatre cinq six sept huit"))) is False
