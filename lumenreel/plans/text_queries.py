@@ -94,7 +94,7 @@ def _(spark, sf_dir):
 
 
 def text_pairs(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.array_join(F.slice(T.words(F.col("text")), 1, 60), " ").alias("reference"))
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("reference"))
     following = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("reference").alias("other"))
     pairs = d.join(following, "doc_id", "left")
     return pairs.withColumn("hypothesis", F.when((F.col("doc_id") % 3 == 0) | F.col("other").isNull(), F.col("reference")).otherwise(F.col("other")))

@@ -1,5 +1,6 @@
 """Literal cases, and small plain-Python models on seeded random input for operators that SQL can't express."""
 
+import difflib
 import random
 
 import numpy as np
@@ -13,6 +14,7 @@ from lumenreel.operators import selection as S
 from lumenreel.operators import series as W
 from lumenreel.operators import transcript as R
 from lumenreel.operators import trends as D
+from lumenreel.plans import registry
 
 
 def one(spark, column):
@@ -114,6 +116,50 @@ def test_word_errors(spark):
     assert got == {i: c[2] for i, c in enumerate(cases)}
 
 
+def table_edits(ref, hyp):
+    row = [(j, 0, 0, j) for j in range(len(hyp) + 1)]
+    for i, word in enumerate(ref, 1):
+        corner, row[0] = row[0], (i, 0, i, 0)
+        for j, other in enumerate(hyp, 1):
+            above = row[j]
+            if word == other:
+                row[j] = corner
+            else:
+                cost, s, d, n, kind = min((*corner, 0), (*above, 1), (*row[j - 1], 2), key=lambda x: (x[0], x[4]))
+                row[j] = (cost + 1, s + (kind == 0), d + (kind == 1), n + (kind == 2))
+            corner = above
+    return row[-1][1:]
+
+
+def test_edit_counts_equal_the_whole_table():
+    rng = random.Random(4)
+    for trial in range(600):
+        letters = "abcdefghijklmnopqrst"[: rng.choice([2, 3, 5, 20])]
+        ref = [rng.choice(letters) for _ in range(rng.randint(0, 90))]
+        hyp = [w for w in ref if rng.random() < 0.9] if trial % 2 else [rng.choice(letters) for _ in range(rng.randint(0, 90))]
+        assert T.edit_counts(ref, hyp) == T.edit_counts(ref, hyp, held=1) == table_edits(ref, hyp)
+
+
+def test_alike_below_equals_difflib():
+    rng = random.Random(5)
+    for _ in range(300):
+        a = "".join(rng.choice("abcd ") for _ in range(rng.randint(0, 400)))
+        b = a[: rng.randint(0, len(a))] + "".join(rng.choice("abcdz ") for _ in range(rng.randint(0, 300)))
+        ratio = difflib.SequenceMatcher(None, a, b).ratio()
+        assert all(T.alike_below(a, b, c) == (ratio < c) for c in (0.3, 0.75, 0.9, ratio))
+
+
+def test_edits_and_likeness_are_of_whole_texts(spark, tmp_path):
+    head = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, head + " a b" * 100, "s"), (2, head + " c d" * 100 + " e", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["word_error_rate"](spark, str(tmp_path)).first()
+    assert (got.substitutions, got.deletions, got.insertions, got.reference_words) == (200, 0, 1, 601)
+    landed = registry.queries()["translation_landed"](spark, str(tmp_path)).collect()
+    want = difflib.SequenceMatcher(None, rows[0][1], rows[1][1]).ratio() < 0.75
+    assert {r.doc_id: r.landed for r in landed} == {1: want, 2: False} and want
+
+
 def test_text_rules(spark):
     assert one(spark, T.normalise_text(F.lit("Dickens’ “Tale”—it’s  ﬁne!"))) == "dickens tale it's fine"
     assert one(spark, T.hallucination_flag(F.lit("Thanks for watching!"))) and one(spark, T.hallucination_flag(F.lit("[Music]")))
