@@ -39,12 +39,20 @@ CLOSES = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, {"html"}),
 }
+#: What can stand in a head; anything else ends it.
+HEADED = frozenset("head base basefont bgsound link meta title noscript noframes style script template".split())
+#: Where only rows, cells and their groups can stand; what else is there is shown before the table.
+ROWED = frozenset("table thead tbody tfoot tr colgroup".split())
+PARTS = frozenset("thead tbody tfoot tr td th caption colgroup".split())
+CELLS = frozenset("td th caption".split())
 _PARTS = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*+>|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>"
     r"|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(?P<text>[^<]++|<)",
     re.S,
 )
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)|type\s*=\s*[\"']?hidden", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_MAY_HIDE = re.compile(r"hidden|none|&#", re.I)
+_QUOTED_STYLE = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*\"|'[^']*'|\([^)]*\)", re.S)
 _START = re.compile(r"\sstart\s*=\s*[\"']?(-?\d{1,9})", re.I)
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 
@@ -63,14 +71,14 @@ def build_tree(source: str) -> Element:
     while at < end:
         part = _PARTS.match(source, at)
         if part is None:  # a tag that never ends
-            stack[-1].kids.append(html.unescape(source[at:]))
+            _text(stack, html.unescape(source[at:]))
             break
         at = part.end()
         kind = part.lastgroup
         if kind == "text":
-            stack[-1].kids.append(html.unescape(part["text"]))
+            _text(stack, html.unescape(part["text"]))
         elif kind == "cdata":
-            stack[-1].kids.append(part["cdata"])
+            _text(stack, part["cdata"])
         elif kind == "end":
             tag = part["end"].lower()
             if tag == "br":
@@ -79,17 +87,24 @@ def build_tree(source: str) -> Element:
                 if stack[depth].tag == tag:
                     del stack[depth:]
                     break
-                if stack[depth].tag in ("table", "td", "th") and tag not in BLOCKS:
+                if stack[depth].tag in ("table", "td", "th") and (tag not in BLOCKS or tag == "form"):
                     break
         elif kind in ("start", "attrs"):
             tag, attrs = part["start"].lower(), part["attrs"]
             if tag == "html":
                 continue
+            if stack[-1].tag == "head" and tag not in HEADED:
+                stack.pop()
             _close_implied(stack, tag)
+            if tag in PARTS or tag == "table":
+                _clear_to_rows(stack, tag)
+            elif tag == "form" and stack[-1].tag in ROWED and _table_at(stack):
+                continue
             if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
                 _open(stack, Element("tr"))
             made = Element(tag, attrs)
-            stack[-1].kids.append(made)
+            if tag in PARTS or tag == "col" or not _before_table(stack, made):
+                stack[-1].kids.append(made)
             if tag in RAW:
                 close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
                 inner = source[at : close.start()] if close else source[at:]
@@ -102,6 +117,49 @@ def build_tree(source: str) -> Element:
     return root
 
 
+def _text(stack: list[Element], text: str) -> None:
+    if text and not text.isspace():
+        if stack[-1].tag == "head":
+            stack.pop()
+        if _before_table(stack, text):
+            return
+    stack[-1].kids.append(text)
+
+
+def _table_at(stack: list[Element]) -> int:
+    """The place of the table whose rows are open, no cell among them; 0 if there is none."""
+    for depth in range(len(stack) - 1, 0, -1):
+        if stack[depth].tag in CELLS:
+            return 0
+        if stack[depth].tag == "table":
+            return depth
+    return 0
+
+
+def _before_table(stack: list[Element], made: Element | str) -> bool:
+    """Puts what stands loosely among a table's rows before the table, as browsers do."""
+    at = _table_at(stack) if stack[-1].tag in ROWED else 0
+    if not at:
+        return False
+    if stack[-1].tag == "colgroup":
+        stack.pop()
+    beside = stack[at - 1].kids
+    beside.insert(len(beside) - 1, made)
+    return True
+
+
+def _clear_to_rows(stack: list[Element], tag: str) -> None:
+    """Ends loose elements among a table's rows before its next part, and a table before one that isn't in a cell."""
+    at = _table_at(stack)
+    if not at:
+        return
+    if tag == "table":
+        del stack[at:]
+        return
+    while len(stack) > at + 1 and (stack[-1].tag not in ROWED or stack[-1].tag == "colgroup" or tag in ("caption", "colgroup")):
+        stack.pop()
+
+
 def _open(stack: list[Element], made: Element) -> None:
     stack[-1].kids.append(made)
     if len(stack) < DEPTH:
@@ -159,8 +217,32 @@ class Page:
         self.gap = self.gap or spaced
 
 
+def attributes(source: str) -> dict[str, str]:
+    """Names and values of a start tag's attributes; of equal names the first counts."""
+    found: dict[str, str] = {}
+    for name, double, single, bare in _ATTRIBUTE.findall(source):
+        found.setdefault(name.lower(), html.unescape(double or single or bare))
+    return found
+
+
+def _styled_away(style: str) -> bool:
+    """Whether display or visibility, as their last declarations say, hide an element; important ones come first."""
+    said: dict[str, tuple[bool, str]] = {}
+    for declaration in _QUOTED_STYLE.sub(" ", style).lower().split(";"):
+        name, _, value = declaration.partition(":")
+        name, (value, mark, _) = name.strip(), value.partition("!")
+        if value.strip() and (mark or not said.get(name, (False,))[0]):
+            said[name] = bool(mark), value.strip()
+    return said.get("display", ("", ""))[1] == "none" or said.get("visibility", ("", ""))[1] == "hidden"
+
+
 def _seen(node: Element) -> bool:
-    return node.tag not in UNSEEN and not (node.attrs and _HIDDEN.search(node.attrs))
+    if node.tag in UNSEEN:
+        return False
+    if not node.attrs or not _MAY_HIDE.search(node.attrs):
+        return True
+    found = attributes(node.attrs)
+    return not ("hidden" in found or _styled_away(found.get("style", "")) or (node.tag == "input" and found.get("type", "").strip().lower() == "hidden"))
 
 
 def _render(node: Element, page: Page, marker: list | None = None, pre: bool = False) -> None:
@@ -257,7 +339,7 @@ def _render_table(node: Element, page: Page) -> None:
             line = "  ".join((cell[k] if k < len(cell) else "").ljust(w) for cell, w in zip(row, widths, strict=False)).rstrip()
             page.line.append(line)
             page.end_line()
-    # text that stands in a table outside its cells is shown before it by browsers; here it follows
+    # elements too deep to be opened as rows
     loose = Element("div")
     loose.kids = [k for k in node.kids if (isinstance(k, str) and k.strip()) or (isinstance(k, Element) and k.tag not in ("tr", "caption", "thead", "tbody", "tfoot", "colgroup", "col"))]
     _render(loose, page)

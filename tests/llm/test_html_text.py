@@ -23,6 +23,29 @@ def test_broken_and_odd_pages():
     assert html_text("&eacute;&#233;&nope;") == "éé&nope;"
 
 
+def test_loose_content_among_rows_is_kept():
+    assert html_text("<table><tr><form><td>a</td><td>b</td></form></tr><tr><td>c<td>d</table>") == "a  b\nc  d"
+    assert html_text("<form>x<table><tr><form><td>a</td></form><td>b</td></tr><tr><td>c</td></tr></table>y</form>") == "x\n\na  b\nc\n\ny"
+    assert html_text("x<table>one<tr>two<td>a</td>three</tr><tbody>four<b>five<tr><td>b</b></table>y") == "xonetwothreefourfive\n\na\nb\n\ny"
+    assert html_text("<table><tr><div>loose<td>a</div><caption>cap</caption></table>") == "loose\n\na\ncap"
+    assert html_text("<table><colgroup><col>text<tr><td>a</table>") == "text\n\na"
+    assert html_text("<table><tr><td>a<table><tr>in<td>b</table>c</table>") == "ain\n\nb\n\nc"
+    assert html_text("<table><tr><table><tr><td>b</table>c") == "b\n\nc"
+
+
+def test_head_ends_where_content_begins():
+    assert html_text("<head><title>T</title><p>Hello") == "Hello"
+    assert html_text("<html><head><meta charset=x>\n<style>p{}</style> text <b>more</b>") == "text more"
+    assert html_text("<head><noscript><p>no</noscript><link href=x></head><body>yes") == "yes"
+
+
+def test_only_parsed_attributes_hide():
+    for attrs in ('title="a hidden gem"', "alt='x hidden'", 'class="a hidden b"', 'data-style="display:none"', 'style="--display:none"', 'title="style=\'display:none\'"', 'type="hidden"', 'style="display:none;display:block"', "x=hidden", "class=hidden"):
+        assert html_text(f"<div {attrs}>shown</div>") == "shown", attrs
+    for attrs in ("hidden", "HIDDEN=''", "a=b hidden", "a='b'hidden", 'style="color:red; Display : NONE !important;display:block"', "style=display:none", "style='visibility:hidden'"):
+        assert html_text(f"<div {attrs}>gone</div>") == "", attrs
+
+
 def test_rows_are_kept(spark):
     rows = [(1, None, "t"), (1, None, "t"), (2, "", "t"), (3, "<p>x", None), (None, "<p>" + "word " * 200000, "t")]
     got = extract(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
