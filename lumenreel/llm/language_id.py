@@ -21,6 +21,8 @@ from .common import held_out, table
 
 #: Most labelled rows that are read per language, and most words and n-grams of each length kept per language.
 ROWS, WORDS, GRAMS, LONGEST = 8000, 20_000, 5_000, 4
+#: Most languages that are learned, the most frequent first; others are never predicted.
+LANGUAGES = 1000
 #: Tokens of letters; everything else separates.
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -44,9 +46,10 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64())], ["lang", "size", "item", "n"])
 
 
-def _grams(word: str) -> list[str]:
-    marked = f" {word[:64]} "
-    return [marked[i : i + k] for k in range(1, LONGEST + 1) for i in range(len(marked) - k + 1)]
+def _grams(word: str) -> Iterator[str]:
+    """The n-grams of all of a word; a run of letters without separators may be as long as its text."""
+    marked = f" {word} "
+    return (marked[i : i + k] for k in range(1, LONGEST + 1) for i in range(len(marked) - k + 1))
 
 
 class Model:
@@ -64,6 +67,7 @@ class Model:
                 at[item] = np.array(floors[size])
             at[item][i] = math.log(n + 1) + floors[size][i]
         self.memo: dict[str, np.ndarray] = {}
+        self.windows: dict[str, np.ndarray | None] = {}
 
     def word(self, word: str) -> np.ndarray:
         """Log scores of a word in each language."""
@@ -72,20 +76,26 @@ class Model:
             found = self.memo.get(word)
         if found is None:
             found = self._backoff(word)
-            if len(self.memo) >= 100_000:
-                self.memo.clear()
-            self.memo[word] = found
+            if len(word) <= 64:  # longer ones hardly come again, and would fill memory
+                if len(self.memo) >= 100_000:
+                    self.memo.clear()
+                self.memo[word] = found
         return found
 
     def _backoff(self, word: str) -> np.ndarray:
         """Mean over the places of a word of the longest known n-gram there, scaled to about a word's weight."""
-        marked, score, places = f" {word[:64]} ", np.zeros(len(self.langs)), 0
-        for i in range(len(marked) - 1):
-            for size in range(min(LONGEST, len(marked) - i), 0, -1):
-                found = self.tables[size].get(marked[i : i + size])
-                if found is not None:
-                    score, places = score + found, places + 1
-                    break
+        marked, score, places = f" {word} ", np.zeros(len(self.langs)), 0
+        windows = (marked[i : i + LONGEST] for i in range(len(marked) - 1))
+        for window, n in Counter(windows).items() if len(word) > 64 else ((w, 1) for w in windows):
+            found = self.windows.get(window, self)
+            if found is self:
+                found = next((t for size in range(len(window), 0, -1) if (t := self.tables[size].get(window[:size])) is not None), None)
+                if len(self.windows) >= 100_000:
+                    self.windows.clear()
+                self.windows[window] = found
+            if found is not None:
+                score += found if n == 1 else n * found
+                places += n
         return score / max(places, 1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -103,14 +113,15 @@ class Model:
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", order: Column | None = None, most: int = ROWS) -> Model:
     """A model of the labelled rows; rows whose lang is null are left out.
 
-    The 1,000 most frequent languages are learned. Of each about `most` rows are read, chosen by a hash, so that training stays of one size. What comes
-    to the driver is at most WORDS words and GRAMS n-grams of each length per language.
+    The LANGUAGES most frequent languages are learned. Of each about `most` rows are read, chosen by a hash of order, or else of
+    doc_id and text, so that training stays of one size and copies of a text aren't all in or all out. What comes to the driver
+    is at most WORDS words and GRAMS n-grams of each length per language.
     """
-    order = F.xxhash64(text_col) if order is None else F.xxhash64(order)
+    order = F.xxhash64(*(c for c in ("doc_id", text_col) if c in rows.columns)) if order is None else F.xxhash64(order)
     known = rows.filter(F.col(lang_col).isNotNull())
     per_lang = known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("rows_of"))
     share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("rows_of"))
-    sampled = known.join(F.broadcast(per_lang.orderBy(F.desc("rows_of"), lang_col).limit(1000)), lang_col).filter(
+    sampled = known.join(F.broadcast(per_lang.orderBy(F.desc("rows_of"), lang_col).limit(LANGUAGES)), lang_col).filter(
         F.pmod(order, F.lit(1 << 20)) < share * F.lit(1 << 20)
     )
     counted = sampled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_counts, "lang string, size int, item string, n long")

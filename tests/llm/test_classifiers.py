@@ -45,6 +45,31 @@ def test_unseen_words_fall_back_to_grams(spark):
     assert model.predict("überschönung")[0] == "bb" and model.predict("greatother")[0] == "aa"
 
 
+def test_long_runs_of_letters_are_judged_whole(spark):
+    model = L.fit(spark.createDataFrame(corpus(), "doc_id long, text string, lang string"))
+    run = "other" * 13 + "überschön" * 200
+    assert model.predict(run)[0] == model.predict("überschön" * 200)[0] == "bb"
+    marked, score, places = f" {run} ", 0, 0
+    for i in range(len(marked) - 1):
+        found = next((t for k in range(4, 0, -1) if i + k <= len(marked) and (t := model.tables[k].get(marked[i : i + k])) is not None), None)
+        if found is not None:
+            score, places = score + found, places + 1
+    assert np.allclose(model._backoff(run), score / places)
+    tails = [(1, "x" * 70 + "qqqq", "aa"), (2, "y" * 70 + "jjjj", "bb")]
+    learned = L.fit(spark.createDataFrame(tails, "doc_id long, text string, lang string"))
+    assert learned.predict("qqqq")[0] == "aa" and learned.predict("jjjj")[0] == "bb" and "qqqq" in learned.tables[4]
+
+
+def test_copies_are_sampled_as_other_rows(spark):
+    import math
+
+    rows = [(i, "copied" if i % 2 else "own" + "".join(chr(97 + int(c)) for c in str(i)), "aa") for i in range(4000)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=400)
+    others, v = len(model.tables[0]) - 1, math.exp(model.tables[0]["copied"][0])
+    copies = (v * (2 * others + 2) - 1) / (1 - v)  # solved from the table's smoothing; every other word was counted once
+    assert 120 < others < 280 and 120 < copies < 280
+
+
 def toxic_corpus(n=900, seed=2):
     rng = random.Random(seed)
     plain = [f"word{i}" for i in range(200)]
