@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunked import Chunked, Memo
+from .chunked import Chunked, blocks
 from .common import table
 
 
@@ -131,22 +131,20 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary = Vocabulary.load(path)
-        self.pieces = regex.compile(pattern).findall
-        self.chunked = Chunked(self.chunk)
-        self.known = Memo(self.piece, "")
+        self.chunked = Chunked(self.piece, pattern)
 
     def piece(self, piece: str) -> bytes:
         """A piece's ids as little-endian 32-bit bytes."""
         data = piece.encode()
         whole = self.vocabulary.ranks.get(data)
         ids = [whole] if whole is not None else PrefixTable(self.vocabulary, data).ids()
-        return struct.pack(f"<{len(ids)}i", *ids)
-
-    def chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, self.pieces(chunk)))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.chunked.ids(text), "<i4")
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        return [ids.view("<i4") for ids in self.chunked.ids(texts)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids.tolist()))
@@ -161,22 +159,15 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     """One row per document: id_col, ids (array of int), decoded (binary: the ids' bytes).
 
     Null text counts as empty and gives an empty array and empty bytes. The pattern is one of those in which a
-    space goes with the word after it, as chunks() relies on that. Text that isn't valid UTF-8 can't occur in a
+    space goes with the word after it, as encoding by chunks relies on that. Text that isn't valid UTF-8 can't occur in a
     Spark string column read from Parquet. Long texts are encoded whole. Rows keep their order and number.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pattern)
         for batch in batches:
-            keys, ids, load = [], [], 0
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                keys.append(key.as_py())
-                ids.append(encoder.encode(text.as_py() or ""))
-                load += len(ids[-1])
-                if load > 1 << 20:
-                    yield _coded(encoder, keys, ids)
-                    keys, ids, load = [], [], 0
-            if keys:
-                yield _coded(encoder, keys, ids)
+            keys = iter(batch.column(0).to_pylist())
+            for block in blocks(t.as_py() or "" for t in batch.column(1)):
+                yield _coded(encoder, [next(keys) for _ in block], encoder.encode_all(block))
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(
         run, "id long, ids array<int>, decoded binary"

@@ -11,20 +11,20 @@ each finds its place from its rank within its length.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunked import Chunked, Memo
+from .chunked import Chunked, blocks
 from .common import cut, table
 
 TOKENS, DOCUMENTS, ATTENTION = 2048, 2048, 2048 * 2048
@@ -43,42 +43,56 @@ def _byte_letters() -> dict[int, str]:
 def _encoder(path: str, pattern: str) -> Chunked:
     from tokenizers import Tokenizer
 
-    merge = Tokenizer.from_file(path).model.tokenize  # the steps before it are the pattern and the letters below
+    tokenizer = Tokenizer.from_file(path)
+    merge = tokenizer.model.tokenize  # the steps before it are the added tokens, the pattern and the letters below
     letters = _byte_letters()
-    pieces = regex.compile(pattern).findall
 
     def encode(piece: str) -> bytes:
         ids = [t.id for t in merge(piece.encode().decode("latin-1").translate(letters))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    known = Memo(encode, "")
-    return Chunked(lambda chunk: b"".join(map(known.__getitem__, pieces(chunk))))
+    return Chunked(encode, pattern, _added_tokens(tokenizer.get_added_tokens_decoder()))
+
+
+def _added_tokens(added: dict) -> tuple[re.Pattern, Callable[[re.Match], int]] | None:
+    """The expression for a tokenizer's added tokens, the longest first, and the id of each of its matches."""
+    if any(token.single_word or token.normalized for token in added.values()):
+        raise ValueError("added tokens that stand for whole words or are normalized aren't supported")
+    order = sorted(added.items(), key=lambda item: -len(item[1].content))
+    if not order:
+        return None
+    forms = [r"\s*" * t.lstrip + f"({re.escape(t.content)})" + r"\s*" * t.rstrip for _, t in order]
+    return re.compile("|".join(forms)), lambda found: order[found.lastindex - 1][0]
 
 
 def cut_pieces(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", tokens: int = TOKENS, end_id: int = 0) -> DataFrame:
     """Documents as pieces of at most `tokens` ids; only the first piece of a cut document is shorter.
 
-    path names a byte-level tokenizer file and pattern the expression it splits texts by before merging. Null
+    path names a byte-level tokenizer file and pattern the expression it splits texts by before merging. A string
+    that the file lists as an added token is that token's id wherever a text holds it, as the library has it. Null
     text counts as empty: one piece with the end id alone. part and nth number the pieces of one length
     inside an input partition.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seen, rows = _encoder(path, pattern), TaskContext.get().partitionId(), {}, []
-        end = np.uint32(end_id).tobytes()
+        end = np.array([end_id], "<u4")
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = coder.ids(text.as_py() or "") + end
-                n = len(ids) // 4
-                start, stop = 0, n % tokens or tokens
-                for piece in range(-(-n // tokens)):
-                    size = stop - start
-                    nth = seen[size] = seen.get(size, -1) + 1
-                    rows.append((key.as_py(), piece, start, size, zlib.crc32(ids[4 * start : 4 * stop]), part, nth))
-                    start, stop = stop, stop + tokens
-                if len(rows) > 10_000:
-                    yield _arrow(rows)
-                    rows = []
+            keys, texts = batch.column(0).to_pylist(), (t.as_py() or "" for t in batch.column(1))
+            keys = iter(keys)
+            for block in blocks(texts):
+                for key, ids in zip(keys, coder.ids(block), strict=False):
+                    ids = np.append(ids, end)
+                    n = len(ids)
+                    start, stop = 0, n % tokens or tokens
+                    for piece in range(-(-n // tokens)):
+                        size = stop - start
+                        nth = seen[size] = seen.get(size, -1) + 1
+                        rows.append((key, piece, start, size, zlib.crc32(ids[start:stop]), part, nth))
+                        start, stop = stop, stop + tokens
+            if len(rows) > 10_000:
+                yield _arrow(rows)
+                rows = []
         if rows:
             yield _arrow(rows)
 

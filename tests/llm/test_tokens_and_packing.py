@@ -13,7 +13,7 @@ from lumenreel.llm import byte_bpe as B
 from lumenreel.llm import packing as K
 
 RANKS, JSON = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
-ODD = [None, "", " ", "\n\n", "a", " a  b\n\nc \n d", "it's we'll", "日本語 🙂 été", "x" * 3000, "ab" * 20_000, " " * 500 + "z", "a\x1cb\x85c\xa0d", "<|endoftext|> x"]
+ODD = [None, "", " ", "\n\n", "a", " a  b\n\nc \n d", "it's we'll", "日本語 🙂 été", "x" * 3000, "ab" * 20_000, " " * 500 + "z", "a\x1cb\x85c\xa0d", "<|endoftext|> x", "a <|endoftext|><|endoftext|>\n b  <|endoftext", " lead", "trail ", "\nlead\n", "one\ntwo three\n four", "x\n", "\n", "a\tb c"]
 
 
 @pytest.fixture(scope="module")
@@ -79,7 +79,6 @@ def test_plans_keep_every_capacity():
 
 def test_documents_are_packed_whole(spark):
     coder = Tokenizer.from_file(JSON)
-    coder.encode_special_tokens = True
     rows = [(i, t, 1) for i, t in enumerate(ODD)] + [(99, " word" * 5000, 1), (99, "again", 1), (None, "no id", 1)]
     got = K.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, length int").repartition(3), JSON, P.PATTERN).collect()
     want = Counter()
