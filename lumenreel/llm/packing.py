@@ -28,6 +28,8 @@ from .chunked import Chunked, blocks
 from .common import cut, table
 
 TOKENS, DOCUMENTS, ATTENTION = 2048, 2048, 2048 * 2048
+#: What residual tokens, documents and attention count for, each as a share of its capacity.
+WEIGHTS = (1.0, 1.0, 1.0)
 PIECES = "id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -108,61 +110,43 @@ def _arrow(rows: list[tuple]) -> pa.RecordBatch:
 
 def plan_packing(
     counts: dict[int, int], tokens: int = TOKENS, documents: int = DOCUMENTS, attention: int = ATTENTION,
-    select: str = "norm", weights: tuple[float, float, float] = (1.0, 1.0, 1.0),
+    select: str = "norm", weights: tuple[float, float, float] = WEIGHTS,
 ) -> list[tuple[int, int, int, int, int]]:
     """Rows (length, first rank, last rank + 1, first sequence, offset): where the pieces of a length go.
 
-    A capacity that can't bind (as many documents as tokens, or the square of the tokens as attention cost) is
-    left out of the state, so sequences that differ only there count as equal. Ties between states go to the
-    older one. Every length must fit an empty sequence.
+    The state is one row per range of sequences with equal residuals: tokens, documents and attention that are left,
+    the first sequence and the one after the last. A step places pieces in one range or a part of it, so a length adds
+    a few ranges at most, however many pieces there are. Ties go to the older range. Every length must fit an empty
+    sequence.
     """
-    held = [documents < tokens, attention < tokens * tokens]
-    caps = np.array([tokens, documents, attention], float)
-    w = np.array(weights, float) / caps**2
-    state_of: dict[tuple[int, int, int], int] = {}
-    states = np.zeros((1024, 3), np.int64)  # residuals
-    open_in = np.zeros(1024, np.int64)  # sequences in the state
-    ranges: list[list[tuple[int, int]]] = []  # their numbers, as [first, last + 1)
+    empty = np.array([tokens, documents, attention], np.int64)
+    w = np.array(weights, float) / empty.astype(float) ** 2
+    rest, first, last, n = np.zeros((1024, 3), np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
     plan, made = [], 0
-
-    def put(key: tuple[int, int, int], first: int, last: int) -> None:
-        nonlocal states, open_in
-        at = state_of.setdefault(key, len(ranges))
-        if at == len(ranges):
-            ranges.append([])
-            if at == len(states):
-                states, open_in = np.vstack([states, np.zeros_like(states)]), np.hstack([open_in, np.zeros_like(open_in)])
-            states[at] = key
-        ranges[at].append((first, last))
-        open_in[at] += last - first
-
     for size in sorted(counts, reverse=True):
         left, rank = counts[size], 0
-        item = np.array([size, held[0], size * size * held[1]], np.int64)
-        if size > tokens or documents < 1 or size * size > attention:
+        item = np.array([size, 1, size * size], np.int64)
+        if (item > empty).any():
             raise ValueError(f"a piece of {size} tokens fits no sequence")
         while left:
-            n = len(ranges)
-            fits = np.flatnonzero((open_in[:n] > 0) & (states[:n] >= item).all(axis=1))
+            fits = np.flatnonzero((last[:n] > first[:n]) & (rest[:n] >= item).all(axis=1))
             if len(fits):
-                rest = (states[fits] - item * (select == "norm")).astype(float)
-                score = -(w * rest * rest).sum(axis=1) if select == "norm" else (w * rest * item).sum(axis=1)
+                residual = rest[fits] - item * (select == "norm")
+                score = -(residual * residual) @ w if select == "norm" else (residual * item) @ w
                 at = int(fits[np.argmax(score)])
-                first, last = ranges[at].pop()
-                take = min(left, last - first)
-                if take < last - first:
-                    ranges[at].append((first + take, last))
-                open_in[at] -= take
-                residual = states[at] - item
+                start, take, residual = int(first[at]), min(left, int(last[at] - first[at])), rest[at] - item
+                first[at] += take
             else:
-                first, residual = made, np.array([tokens, documents * held[0], attention * held[1]]) - item
-                each = left
                 # as many of one length as an empty sequence takes go on in the next turns of the loop
-                take = each if size * 2 > tokens else -(-left // max(1, _alike(size, tokens, documents, attention)))
+                start, take, residual = made, -(-left // _alike(size, tokens, documents, attention)), empty - item
                 made += take
-            plan.append((size, rank, rank + take, first, tokens - int(residual[0]) - size))
-            if residual[0] > 0:
-                put(tuple(int(x) for x in residual), first, first + take)
+            plan.append((size, rank, rank + take, start, tokens - int(residual[0]) - size))
+            if (residual > 0).all():
+                if n == len(rest):
+                    alive = np.flatnonzero(last > first)
+                    n, more = len(alive), np.zeros((max(1024, len(alive)), 3), np.int64)
+                    rest, first, last = np.vstack([rest[alive], more]), np.append(first[alive], more[:, 0]), np.append(last[alive], more[:, 0])
+                rest[n], first[n], last[n], n = residual, start, start + take, n + 1
             rank, left = rank + take, left - take
     return plan
 
@@ -174,7 +158,7 @@ def _alike(size: int, tokens: int, documents: int, attention: int) -> int:
 
 def pack(
     pieces: DataFrame, tokens: int = TOKENS, documents: int = DOCUMENTS, attention: int = ATTENTION,
-    select: str = "norm", weights: tuple[float, float, float] = (1.0, 1.0, 1.0),
+    select: str = "norm", weights: tuple[float, float, float] = WEIGHTS,
 ) -> DataFrame:
     """Pieces (as cut_pieces gives them) with sequence_id and offset.
 
