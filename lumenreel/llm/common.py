@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,9 +32,12 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of its own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a session of one machine gets
+    a folder of its own, and any other session an error, since its executors don't see each other's folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -46,6 +50,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], weight: str, by: list[str]) -> DataFrame:
+    """Inner join of many with few, which has each key once and in `weight` how many rows of many have it.
+
+    A key with more than its share of rows is split: its row of few is repeated, and by the columns `by` its rows
+    in many are dealt to the repetitions. A share is a quarter of a partition's rows, so what is broadcast is at most
+    four rows for each shuffle partition. few is read several times and should be a table.
+    """
+    n = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = few.agg(F.sum(weight)).first()[0] or 0
+    share = max(1, total // (4 * n))
+    parts = F.ceil(F.col(weight) / share).cast("int")
+    hot = few.filter(F.col(weight) > share).select(*keys, parts.alias("__parts"))
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("__part", F.coalesce(F.pmod(F.hash(*by), "__parts"), F.lit(0))).drop("__parts")
+    copies = F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))
+    return dealt.join(few.withColumn("__part", copies), [*keys, "__part"]).drop("__part")
+
+
+def apart(keep: tuple[str, ...], *results: str) -> tuple[str, ...]:
+    """The columns of keep that don't have a result's name, upper or lower case; those give way to the results."""
+    taken = {name.lower() for name in results}
+    return tuple(name for name in keep if name.lower() not in taken)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     text = F.coalesce(text, F.lit(""))

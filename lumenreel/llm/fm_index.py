@@ -36,18 +36,17 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Index of integer sequences (symbols from 1) with suffixes ordered by their first 64 symbols.
+    """Index of integer sequences (symbols from 1) with suffixes ordered by more than their first `longest` symbols.
 
-    Patterns of up to 63 symbols have exact intervals. Sequences are kept apart by the symbol 0.
+    Patterns of up to `longest` symbols have exact intervals. Sequences are kept apart by the symbol 0.
     """
 
     def __init__(self, sequences: list[np.ndarray], longest: int):
-        self.longest = longest
         text = np.concatenate([np.concatenate([s, [0]]) for s in sequences]).astype(np.int64)
         n = self.n = len(text)
         ranks = [np.unique(text, return_inverse=True)[1].astype(np.int64)]
         step = 1
-        while step < 64:
+        while step <= longest:
             last = ranks[-1]
             key = last * (n + 1)
             key[: max(0, n - step)] += last[step:] + 1
@@ -65,7 +64,7 @@ class FMIndex:
             same[ok] = ranks[power][left[ok]] == ranks[power][right[ok]]
             jump = same * (1 << power)
             left, right, shared = left + jump, right + jump, shared + jump
-        self.lcp = np.concatenate([[0], shared, [0]]).astype(np.int8)
+        self.lcp = np.concatenate([[0], shared, [0]]).astype(np.int8 if step <= 64 else np.int32)
         self.mins = [self.lcp]
         while 2 << (len(self.mins) - 1) <= n + 1:
             half, width = self.mins[-1], 1 << (len(self.mins) - 1)

@@ -72,10 +72,13 @@ def test_index_finds_repeated_windows():
 
     rng = random.Random(3)
     for trial in range(40):
-        window, letters = rng.choice([2, 3, 5, 9]), rng.choice([2, 3, 10, 50])
+        window, letters = rng.choice([2, 3, 5, 9, 63, 64, 80, 130]), rng.choice([2, 3, 10, 50])
         seqs = [np.array([rng.randint(1, letters) for _ in range(rng.randint(1, 30))]) for _ in range(rng.randint(1, 15))]
         if trial % 3 == 0:
             seqs += [s.copy() for s in seqs[:2]] + [np.ones(40, int)]
+        if window > 60:  # long common beginnings that part late
+            stem = [rng.randint(1, letters) for _ in range(rng.randint(window - 20, window + 20))]
+            seqs += [np.array(stem + [rng.randint(1, letters) for _ in range(rng.randint(0, 40))]) for _ in range(6)]
         count = Counter(tuple(s[i : i + window]) for s in seqs for i in range(len(s) - window + 1))
         want = [[i for i in range(len(s) - window + 1) if count[tuple(s[i : i + window])] > 1] for s in seqs]
         assert [x.tolist() for x in I.FMIndex(seqs, window).repeated_windows(seqs, window)] == want
@@ -94,7 +97,23 @@ def brute_removal(texts, window):
     return out
 
 
-@pytest.mark.parametrize("crowd", [2, 1000])
+def test_kept_words_of_the_query(spark, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = ["a b \u2028", " a\u0085 b \u0085", "\t" + passage + " end \u2029", passage + "  \x0b", None, "", " ", "x\r\ny \n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in S.query(spark, str(tmp_path)).collect()}
+    for i, (n, kept) in enumerate(brute_removal(texts, 35)):
+        assert got[i] == (n, n - len(kept.encode().split()), hashlib.sha256(kept.encode()).hexdigest()), texts[i]
+
+
+def test_columns_named_like_results(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "x"), (2, None, 8, "y")], "doc_id long, text string, N_words int, uid string")
+    assert S.remove_repeats(df, keep=("doc_id", "N_words", "uid")).columns == ["doc_id", "uid", "text", "n_words", "n_removed"]
+    kept = S.remove_repeats(df, keep=("doc_id", "N_words", "uid"), counts=("w", "r"))
+    assert sorted(map(tuple, kept.collect())) == [(1, 7, "x", "a b", 2, 0), (2, 8, "y", None, 0, 0)]
+
+
+@pytest.mark.parametrize("crowd", [1, 2, 1000])
 def test_repeats_against_brute_force(spark, crowd):
     rng = random.Random(crowd)
     text = lambda n, v=400: [f"w{rng.randrange(v)}" for _ in range(n)]
