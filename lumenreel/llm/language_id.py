@@ -11,18 +11,23 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import apart, cut, held_out, table
 
 #: Most labelled rows that are read per language, and most words and n-grams of each length kept per language.
 ROWS, WORDS, GRAMS, LONGEST = 8000, 20_000, 5_000, 4
-#: Most languages that are learned, the most frequent first; others are never predicted.
-LANGUAGES = 1000
+#: Most words and n-grams of all languages together; with many languages each one keeps its share of them, evenly.
+ITEMS = 1_000_000
+#: Languages up to which their counts are broadcast.
+FEW = 10_000
+#: Unknown words and letter windows that a task remembers; they are forgotten when there are more.
+MEMO = 200_000
 #: Tokens of letters; everything else separates.
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -53,81 +58,107 @@ def _grams(word: str) -> Iterator[str]:
 
 
 class Model:
-    """Log frequencies of words and n-grams by language, and the scoring of one text."""
+    """Log frequencies of words and n-grams by language, and the scoring of one text.
+
+    Item i is known in the languages lang[ptr[i] : ptr[i + 1]], where its log frequency is gain above the floor that
+    its size (0 for words, else letters of the n-gram) has in that language; elsewhere it is at the floor.
+    """
 
     def __init__(self, rows: list[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]):
         self.langs = sorted({lang for lang, *_ in rows})
         column = {lang: i for i, lang in enumerate(self.langs)}
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
         kinds = Counter(size for _, size, _, _ in rows)
-        floors = [[-math.log(totals.get((lang, size), 0) + kinds[size] + 1) for lang in self.langs] for size in range(LONGEST + 1)]
-        for lang, size, item, n in rows:
-            at, i = self.tables[size], column[lang]
-            if item not in at:
-                at[item] = np.array(floors[size])
-            at[item][i] = math.log(n + 1) + floors[size][i]
-        self.memo: dict[str, np.ndarray] = {}
-        self.windows: dict[str, np.ndarray | None] = {}
-
-    def word(self, word: str) -> np.ndarray:
-        """Log scores of a word in each language."""
-        found = self.tables[0].get(word)
-        if found is None:
-            found = self.memo.get(word)
-        if found is None:
-            found = self._backoff(word)
-            if len(word) <= 64:  # longer ones hardly come again, and would fill memory
-                if len(self.memo) >= 100_000:
-                    self.memo.clear()
-                self.memo[word] = found
-        return found
-
-    def _backoff(self, word: str) -> np.ndarray:
-        """Mean over the places of a word of the longest known n-gram there, scaled to about a word's weight."""
-        marked, score, places = f" {word} ", np.zeros(len(self.langs)), 0
-        windows = (marked[i : i + LONGEST] for i in range(len(marked) - 1))
-        for window, n in Counter(windows).items() if len(word) > 64 else ((w, 1) for w in windows):
-            found = self.windows.get(window, self)
-            if found is self:
-                found = next((t for size in range(len(window), 0, -1) if (t := self.tables[size].get(window[:size])) is not None), None)
-                if len(self.windows) >= 100_000:
-                    self.windows.clear()
-                self.windows[window] = found
-            if found is not None:
-                score += found if n == 1 else n * found
-                places += n
-        return score / max(places, 1)
+        self.floors = np.array([[-math.log(totals.get((lang, size), 0) + kinds[size] + 1) for lang in self.langs] for size in range(LONGEST + 1)]).reshape(LONGEST + 1, -1)
+        rows = sorted(rows, key=lambda r: (r[1], r[2]))
+        self.tables: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        ptr, sizes = [], []
+        for at, (_, size, item, _) in enumerate(rows):
+            if item not in self.tables[size]:
+                self.tables[size][item] = len(ptr)
+                ptr.append(at)
+                sizes.append(size)
+        self.ptr, self.size = np.array([*ptr, len(rows)], np.int64), np.array(sizes, np.int64)
+        self.lang = np.array([column[lang] for lang, *_ in rows], np.int64)
+        self.gain = np.log(np.array([n for *_, n in rows], float) + 1)
+        self.backoff, self.window = _Memo(self._grams_of), _Memo(self._longest)
+
+    def _longest(self, window: str) -> int:
+        """The longest known n-gram that a window starts with; -1 for none."""
+        return next((found for size in range(len(window), 0, -1) if (found := self.tables[size].get(window[:size])) is not None), -1)
+
+    def _grams_of(self, word: str) -> list[int]:
+        """The longest known n-gram at each place of a whole word."""
+        marked, window = f" {word} ", self.window
+        return [found for i in range(len(marked) - 1) if (found := window[marked[i : i + LONGEST]]) >= 0]
+
+    def scores(self, words: dict[str, int]) -> np.ndarray:
+        """Log scores of counted words in each language. A known word counts as itself, an unknown one as the mean of its
+        n-grams, which is about a word's weight."""
+        names, times = list(words), np.fromiter(words.values(), float, len(words))
+        items = np.fromiter(map(self.tables[0].get, names, repeat(-1)), np.int64, len(names))
+        grams: list[int] = []
+        sizes, unknown = [], np.flatnonzero(items < 0)
+        for i in unknown.tolist():
+            found = self.backoff[names[i]]
+            grams += found
+            sizes.append(len(found))
+        known = items >= 0
+        at = np.concatenate([items[known], np.array(grams, np.int64)])
+        sizes = np.array(sizes, np.int64)
+        weight = np.concatenate([times[known], np.repeat(times[unknown] / np.maximum(sizes, 1), sizes)])
+        first, many = self.ptr[at], self.ptr[at + 1] - self.ptr[at]
+        ends = np.cumsum(many)
+        where = np.repeat(first - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
+        gained = np.bincount(self.lang[where], self.gain[where] * np.repeat(weight, many), len(self.langs))
+        return np.bincount(self.size[at], weight, LONGEST + 1) @ self.floors + gained
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall((text or "").lower())
         if not words or not self.langs or not any(map(str.isalpha, text)):
             return "und", 0.0
-        score = np.zeros(len(self.langs))
-        for word, n in Counter(words).items():
-            score += n * self.word(word)
+        score = self.scores(Counter(words))
         weights = np.exp(score - score.max())
         best = int(weights.argmax())
         return self.langs[best], float(weights[best] / weights.sum())
 
 
+class _Memo(dict):
+    """Remembers what `find` gives for strings of up to 64 letters; longer ones hardly come again and would fill memory."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, key: str):
+        found = self.find(key)
+        if len(key) <= 64:
+            if len(self) >= MEMO:
+                self.clear()
+            self[key] = found
+        return found
+
+    def __reduce__(self):
+        return _Memo, (self.find,)
+
+
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", order: Column | None = None, most: int = ROWS) -> Model:
     """A model of the labelled rows; rows whose lang is null are left out.
 
-    The LANGUAGES most frequent languages are learned. Of each about `most` rows are read, chosen by a hash of order, or else of
-    doc_id and text, so that training stays of one size and copies of a text aren't all in or all out. What comes to the driver
-    is at most WORDS words and GRAMS n-grams of each length per language.
+    Every language is learned. Of each about `most` rows are read, chosen by a hash of order, or else of doc_id and text,
+    so that training stays of one size and copies of a text aren't all in or all out. What comes to the driver and
+    goes to the tasks is at most WORDS words and GRAMS n-grams of each length per language, and ITEMS in all (or one word and
+    one n-gram of each length for each language, if that is more).
     """
     order = F.xxhash64(*(c for c in ("doc_id", text_col) if c in rows.columns)) if order is None else F.xxhash64(order)
     known = rows.filter(F.col(lang_col).isNotNull())
-    per_lang = known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("rows_of"))
+    per_lang = cut(known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("rows_of")), "languages")
+    langs = per_lang.count()
+    words, grams = (max(1, min(most, ITEMS // 2 // max(langs, 1) // lengths)) for most, lengths in ((WORDS, 1), (GRAMS, LONGEST)))
     share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("rows_of"))
-    sampled = known.join(F.broadcast(per_lang.orderBy(F.desc("rows_of"), lang_col).limit(LANGUAGES)), lang_col).filter(
-        F.pmod(order, F.lit(1 << 20)) < share * F.lit(1 << 20)
-    )
+    sampled = known.join(F.broadcast(per_lang) if langs <= FEW else per_lang, lang_col).filter(F.pmod(order, F.lit(1 << 20)) < share * F.lit(1 << 20))
     counted = sampled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_counts, "lang string, size int, item string, n long")
     counted = counted.groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "item")
-    top = counted.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= F.when(F.col("size") == 0, WORDS).otherwise(GRAMS))
+    top = counted.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= F.when(F.col("size") == 0, words).otherwise(grams))
     kept = [(r.lang, r.size, r["item"], r.n) for r in top.collect()]
     totals: Counter = Counter()
     for lang, size, _, n in kept:
@@ -135,21 +166,25 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", order:
     return Model(kept, totals)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of keep, lang_pred and score (the posterior of the prediction, 0 to 1) for every whole text.
+def identify(
+    docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """The columns of keep, lang_pred and score (the posterior of the prediction, 0 to 1), named by names, for every
+    whole text.
 
     lang_pred is `und` and score 0 for null, empty or letterless text; ties go to the language first by name.
-    Clashing columns of docs that aren't in keep are not returned.
+    A column of keep that is named like a result gives way to it.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    keep = apart(keep, *names)
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sent.value
         for batch in batches:
             said = [found.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             langs, scores = (list(x) for x in zip(*said, strict=True)) if said else ([], [])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])
 
     return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 

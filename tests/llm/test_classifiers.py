@@ -1,6 +1,10 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lumenreel.llm import language_id as L
@@ -49,24 +53,75 @@ def test_long_runs_of_letters_are_judged_whole(spark):
     model = L.fit(spark.createDataFrame(corpus(), "doc_id long, text string, lang string"))
     run = "other" * 13 + "überschön" * 200
     assert model.predict(run)[0] == model.predict("überschön" * 200)[0] == "bb"
-    marked, score, places = f" {run} ", 0, 0
-    for i in range(len(marked) - 1):
-        found = next((t for k in range(4, 0, -1) if i + k <= len(marked) and (t := model.tables[k].get(marked[i : i + k])) is not None), None)
-        if found is not None:
-            score, places = score + found, places + 1
-    assert np.allclose(model._backoff(run), score / places)
     tails = [(1, "x" * 70 + "qqqq", "aa"), (2, "y" * 70 + "jjjj", "bb")]
     learned = L.fit(spark.createDataFrame(tails, "doc_id long, text string, lang string"))
     assert learned.predict("qqqq")[0] == "aa" and learned.predict("jjjj")[0] == "bb" and "qqqq" in learned.tables[4]
 
 
-def test_copies_are_sampled_as_other_rows(spark):
-    import math
+def plain_language_model(rows, keep_words=10**9, keep_grams=10**9):
+    """A model of its own: counts, the most frequent items of each language, log frequencies, longest n-grams first."""
+    counts = {}
+    for _, text, lang in rows:
+        for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            counts.setdefault((lang, 0), Counter())[word] += 1
+            for k in (1, 2, 3, 4):
+                for i in range(len(word) + 3 - k):
+                    counts.setdefault((lang, k), Counter())[f" {word} "[i : i + k]] += 1
+    kept = {key: dict(sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[: keep_words if key[1] == 0 else keep_grams]) for key, c in counts.items()}
+    langs = sorted({lang for lang, _ in kept})
+    kinds = {k: sum(len(kept.get((lang, k), {})) for lang in langs) for k in range(5)}
+    log = lambda lang, k, item: math.log((kept.get((lang, k), {}).get(item, 0) + 1) / (sum(kept.get((lang, k), {}).values()) + kinds[k] + 1))
+    known = lambda k, item: any(item in kept.get((lang, k), {}) for lang in langs)
+
+    def predict(text):
+        total = dict.fromkeys(langs, 0.0)
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            if known(0, word):
+                found = [(0, word)]
+            else:
+                marked = f" {word} "
+                places = [[(k, marked[i : i + k]) for k in (4, 3, 2, 1) if i + k <= len(marked) and known(k, marked[i : i + k])] for i in range(len(marked) - 1)]
+                found = [p[0] for p in places if p]
+            for lang in langs:
+                total[lang] += sum(log(lang, *f) for f in found) / max(len(found), 1)
+        top = max(total.values())
+        best = min(lang for lang in langs if total[lang] == top)
+        return best, 1 / sum(math.exp(v - top) for v in total.values())
+
+    return predict
+
+
+@pytest.mark.parametrize("items", [10**6, 240])
+def test_predictions_equal_a_plain_model(spark, monkeypatch, items):
+    monkeypatch.setattr(L, "ITEMS", items)
+    rows = [*corpus(150, seed=5), (900, "xyz " * 3 + "zzé", "cc"), (901, None, "cc"), (902, "12 ½", "bb")]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    plain = plain_language_model(rows) if items > 1000 else plain_language_model(rows, 240 // 2 // 3, 240 // 2 // 3 // 4)
+    texts = [t for _, t, _ in corpus(60, seed=6)] + ["überall thingless zzz", "q", "thethe undund" * 30, "xyzzy Größe", "other" * 50]
+    for text in texts:
+        lang, score = model.predict(text)
+        want, posterior = plain(text)
+        assert lang == want and score == pytest.approx(posterior, abs=1e-6), text[:60]
+
+
+def test_ties_go_to_the_first_name_and_many_languages_are_learned(spark):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} same", f"l{i:03d}") for i in range(300)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 300 and model.predict("same")[0] == "l000"
+    assert [model.predict(t.split()[0])[0] for _, t, _ in rows[::50]] == [lang for *_, lang in rows[::50]]
+
+
+def test_columns_named_like_predictions(spark):
+    df = spark.createDataFrame([(1, "and the", 5)], "doc_id long, text string, Score int")
+    model = L.fit(spark.createDataFrame(corpus(), "doc_id long, text string, lang string"))
+    assert L.identify(df, model, keep=("doc_id", "Score")).columns == ["doc_id", "lang_pred", "score"]
+    assert L.identify(df, model, keep=("doc_id", "Score"), names=("a", "b")).first()["Score"] == 5
 
+
+def test_copies_are_sampled_as_other_rows(spark):
     rows = [(i, "copied" if i % 2 else "own" + "".join(chr(97 + int(c)) for c in str(i)), "aa") for i in range(4000)]
     model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=400)
-    others, v = len(model.tables[0]) - 1, math.exp(model.tables[0]["copied"][0])
-    copies = (v * (2 * others + 2) - 1) / (1 - v)  # solved from the table's smoothing; every other word was counted once
+    others, copies = len(model.tables[0]) - 1, math.exp(model.gain[model.ptr[model.tables[0]["copied"]]]) - 1
     assert 120 < others < 280 and 120 < copies < 280
 
 
