@@ -1,9 +1,10 @@
-"""Document fingerprints: a Merkle tree over a text's sections, paragraphs and sentences.
+"""Document fingerprints: a Merkle tree over a text's sections, paragraphs and pieces of sentences.
 
 Sections part at blank lines and, inside long runs of lines, where a paragraph's own hash says so, which keeps
-borders in place when text before them changes; paragraphs are lines; leaves are sentences of a paragraph. A node's hash
+borders in place when text before them changes; paragraphs are lines; leaves are sentences of a paragraph, and those
+that are long are cut where their own code points say so, in any script and without any punctuation. A node's hash
 covers its children's hashes in order, so equal roots mean equal texts, and where roots differ, only branches
-whose hashes differ need to be followed to locate the edits. The fingerprint string lists the tree:
+whose hashes differ need to be followed to locate the edits. All hashes have 128 bits. The fingerprint string lists the tree:
 root:section[paragraph(leaf,...)...]... with a leaf's size behind its hash.
 """
 
@@ -11,19 +12,24 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, table
+from .common import apart, batches_of, table
 
 #: A paragraph whose hash is a multiple of this ends a section.
 SECTION = 8
-_LEAF = re.compile(r"[^.!?]*(?:[.!?]+\s*|\Z)")
+#: Code points of a sentence that is one leaf, and of a cut sentence's leaves: least, on average, most.
+WHOLE, LEAST, MEAN, MOST = 16, 6, 16, 64
+_LEAF = re.compile(r"[^.!?\u3002\uff01\uff1f\u061f\u0964]*(?:[.!?\u3002\uff01\uff1f\u061f\u0964]+\s*|\Z)")
 
 
 class Node(NamedTuple):
@@ -33,16 +39,47 @@ class Node(NamedTuple):
 
 
 def _digest(kind: bytes, parts) -> bytes:
-    return hashlib.blake2b(kind + b"".join(parts), digest_size=8).digest()
+    return hashlib.blake2b(kind + b"".join(parts), digest_size=16).digest()
+
+
+def _cuts(text: str) -> list[int]:
+    """Places that the two code points before them choose, one in MEAN."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    mixed = (codes[1:] * np.uint64(0x9E3779B97F4A7C15) + codes[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)
+    return (np.flatnonzero(mixed % np.uint64(MEAN) == 0) + 2).tolist()
+
+
+def _spans(line: str, at: int, cuts: list[int], near: int) -> Iterator[tuple[int, int]]:
+    """The leaves of a line that stands at `at`; cuts from number `near` on are those inside or after it."""
+    for found in _LEAF.finditer(line):
+        start, end = found.start() + at, found.end() + at
+        if end - start > WHOLE:
+            while near < len(cuts) and cuts[near] <= end - LEAST:
+                if cuts[near] - start >= LEAST:
+                    while cuts[near] - start > MOST:
+                        yield start, start + MOST
+                        start += MOST
+                    yield start, cuts[near]
+                    start = cuts[near]
+                near += 1
+            while end - start > MOST:
+                yield start, start + MOST
+                start += MOST
+        if end > start:
+            yield start, end
 
 
 def merkle_tree(text: str | None) -> Node:
     """The tree of a whole text; null counts as empty, and the empty text has a root without children."""
+    text = text or ""
     sections: list[list[Node]] = [[]]
+    cuts, at = _cuts(text) if len(text) > WHOLE else [], 0
     blake = hashlib.blake2b
-    for line in (text or "").splitlines(keepends=True):
-        leaves = tuple(Node(blake(s.encode(), digest_size=8).digest(), len(s), ()) for s in _LEAF.findall(line) if s)
+    for line in text.splitlines(keepends=True):
+        spans = _spans(line, at, cuts, bisect_left(cuts, at)) if len(line) > WHOLE else ((at + m.start(), at + m.end()) for m in _LEAF.finditer(line) if m[0])
+        leaves = tuple(Node(blake(text[a:b].encode(), digest_size=16).digest(), b - a, ()) for a, b in spans)
         paragraph = Node(_digest(b"p", (k.digest for k in leaves)), len(line), leaves)
+        at += len(line)
         if not line.strip() and sections[-1]:
             sections[-1].append(paragraph)
             sections.append([])
@@ -69,10 +106,10 @@ def parse_fingerprint(text: str) -> Node:
     """The tree that a fingerprint string lists."""
     root, _, rest = text.partition(":")
     sections = []
-    for section, inner in re.findall(r"([0-9a-f]{16})\[([^\]]*)\]", rest):
+    for section, inner in re.findall(r"([0-9a-f]{32})\[([^\]]*)\]", rest):
         paragraphs = []
-        for paragraph, leaves in re.findall(r"([0-9a-f]{16})\(([^)]*)\)", inner):
-            kids = tuple(Node(bytes.fromhex(x[:16]), int(x[16:], 16), ()) for x in leaves.split(",") if x)
+        for paragraph, leaves in re.findall(r"([0-9a-f]{32})\(([^)]*)\)", inner):
+            kids = tuple(Node(bytes.fromhex(x[:32]), int(x[32:], 16), ()) for x in leaves.split(",") if x)
             paragraphs.append(Node(bytes.fromhex(paragraph), sum(k.size for k in kids), kids))
         sections.append(Node(bytes.fromhex(section), sum(p.size for p in paragraphs), tuple(paragraphs)))
     return Node(bytes.fromhex(root), sum(s.size for s in sections), tuple(sections))
@@ -81,7 +118,7 @@ def parse_fingerprint(text: str) -> Node:
 def likeness(a: Node, b: Node) -> float:
     """Share of the larger text's code points in branches that both trees have, 1 for equal roots.
 
-    Sections are matched first, then paragraphs of what is left, then sentences; each occurrence counts once.
+    Sections are matched first, then paragraphs of what is left, then leaves; each occurrence counts once.
     """
     if a.digest == b.digest:
         return 1.0
@@ -120,7 +157,9 @@ def edits(a: Node, b: Node, at: int = 0) -> list[tuple[int, int]]:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of keep, n_chars, and fingerprint of every whole text; null counts as empty."""
+    """The columns of keep, n_chars, and fingerprint of every whole text; null counts as empty. A column of keep that is
+    named like a result gives way to it."""
+    keep = apart(keep, "n_chars", "fingerprint")
     schema = docs.select(*keep).schema.add("n_chars", "long").add("fingerprint", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +235,13 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def _bucket(key: Column, splits: list[int]) -> Column:
     """How many split points a key has reached; null keys are in the first bucket."""
-    if not splits:
-        return F.lit(0)
-    reached = F.size(F.filter(F.array(*(F.lit(x).cast("long") for x in splits)), lambda split: split <= key))
-    return F.when(key.isNull(), 0).otherwise(reached)
+    reached = np.array(splits, np.int64)
+
+    @F.pandas_udf("int")
+    def bucket(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(reached, keys.to_numpy(np.int64), side="right"))
+
+    return bucket(F.coalesce(key, F.lit(-(1 << 63)).cast("long")))
 
 
 def query(spark, sf_dir):
