@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import apart, table
 
 #: Elements deeper than this hang from the last one within, as browsers do it too.
 DEPTH = 200
@@ -45,15 +46,13 @@ HEADED = frozenset("head base basefont bgsound link meta title noscript noframes
 ROWED = frozenset("table thead tbody tfoot tr colgroup".split())
 PARTS = frozenset("thead tbody tfoot tr td th caption colgroup".split())
 CELLS = frozenset("td th caption".split())
-_PARTS = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*+>|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>"
-    r"|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(?P<text>[^<]++|<)",
-    re.S,
-)
+#: Widest column that cells are padded to; wider cells stand as they are and push the rest of their line.
+WIDE = 80
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_SPECIAL = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
-_MAY_HIDE = re.compile(r"hidden|none|&#", re.I)
+_MAY_HIDE = re.compile(r"hidden|none|visib|&#", re.I)
 _QUOTED_STYLE = re.compile(r"/\*.*?(?:\*/|\Z)|\"[^\"]*\"|'[^']*'|\([^)]*\)", re.S)
-_START = re.compile(r"\sstart\s*=\s*[\"']?(-?\d{1,9})", re.I)
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 
 
@@ -63,24 +62,84 @@ class Element:
     def __init__(self, tag: str, attrs: str = ""):
         self.tag, self.attrs, self.kids = tag, attrs, []
 
+    def attribute(self, name: str) -> str:
+        return attributes(self.attrs).get(name, "").strip() if name in self.attrs.lower() else ""
+
+    def number(self, name: str, default: int, most: int) -> int:
+        found = re.match(r"[-+]?\d{1,9}", self.attribute(name))
+        return min(int(found[0]), most) if found else default
+
+
+def _tag_ends(source: str) -> tuple[list[int], list[int]]:
+    """Places of >, " and ' and, for each, where a tag ends that is open there outside of quotes; -1 if it never does."""
+    places = [m.start() for m in _SPECIAL.finditer(source)]
+    ends, same = [-1] * (len(places) + 1), {}
+    for i in range(len(places) - 1, -1, -1):
+        mark = source[places[i]]
+        if mark == ">":
+            ends[i] = places[i]
+        else:
+            if mark in same:
+                ends[i] = ends[same[mark] + 1]
+            same[mark] = i
+    return places, ends
+
+
+def _parts(source: str) -> Iterator[tuple[str, str, str, int]]:
+    """Texts, CDATA sections, start and end tags as (kind, text or name, attributes, place after it). What the caller
+    sends is where to go on. Each place of the source is looked at a few times at most, however broken the page is."""
+    places, ends = _tag_ends(source)
+    at, size, near, last, no_cdata = 0, len(source), 0, source.rfind(">"), False
+    while at < size:
+        if source[at] != "<":
+            end = source.find("<", at)
+            end = size if end < 0 else end
+            part = ("text", source[at:end], "", end)
+        elif source.startswith("<!--", at):
+            end = source.find("-->", at + 2)
+            at = size if end < 0 else end + 3
+            continue
+        elif not no_cdata and source.startswith("<![CDATA[", at):
+            end = source.find("]]>", at)
+            if end < 0:
+                no_cdata = True
+                continue
+            part = ("cdata", source[at + 9 : end], "", end + 3)
+        elif last > at and source.startswith(("<!", "<?"), at):
+            at = source.find(">", at) + 1
+            continue
+        else:
+            found = _NAME.match(source, at)
+            if found and not found[1]:
+                near = bisect_left(places, found.end(), near)
+                end = ends[near]
+            else:
+                end = source.find(">", found.end()) if found and last >= found.end() else -1
+            if not found or end < 0:
+                part = ("text", "<", "", at + 1)
+            else:
+                part = ("end" if found[1] else "start", found[2].lower(), source[found.end() : end], end + 1)
+        moved = yield part
+        at = moved or part[3]
+
 
 def build_tree(source: str) -> Element:
     """The document's elements; texts are strings among the children."""
     root = Element("html")
-    stack, at, end = [root], 0, len(source)
-    while at < end:
-        part = _PARTS.match(source, at)
-        if part is None:  # a tag that never ends
-            _text(stack, html.unescape(source[at:]))
+    stack, end = [root], len(source)
+    parts, moved = _parts(source), None
+    while True:
+        try:
+            kind, value, attrs, at = parts.send(moved)
+        except StopIteration:
             break
-        at = part.end()
-        kind = part.lastgroup
+        moved = None
         if kind == "text":
-            _text(stack, html.unescape(part["text"]))
+            _text(stack, html.unescape(value))
         elif kind == "cdata":
-            _text(stack, part["cdata"])
+            _text(stack, value)
         elif kind == "end":
-            tag = part["end"].lower()
+            tag = value
             if tag == "br":
                 stack[-1].kids.append(Element("br"))
             for depth in range(len(stack) - 1, 0, -1):
@@ -89,8 +148,8 @@ def build_tree(source: str) -> Element:
                     break
                 if stack[depth].tag in ("table", "td", "th") and (tag not in BLOCKS or tag == "form"):
                     break
-        elif kind in ("start", "attrs"):
-            tag, attrs = part["start"].lower(), part["attrs"]
+        else:
+            tag = value
             if tag == "html":
                 continue
             if stack[-1].tag == "head" and tag not in HEADED:
@@ -106,11 +165,12 @@ def build_tree(source: str) -> Element:
             if tag in PARTS or tag == "col" or not _before_table(stack, made):
                 stack[-1].kids.append(made)
             if tag in RAW:
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-                inner = source[at : close.start()] if close else source[at:]
+                close = re.compile(rf"</{tag}\b", re.I).search(source, at)
+                after = source.find(">", close.end()) + 1 if close else 0
+                inner = source[at : close.start()] if after else source[at:]
                 if tag == "textarea":
                     made.kids.append(html.unescape(inner))
-                at = close.end() if close else end
+                moved = after or end
             elif tag not in VOID and not (attrs.endswith("/") and tag not in BLOCKS and tag in ("path", "use", "circle", "rect")):
                 if len(stack) < DEPTH:
                     stack.append(made)
@@ -225,29 +285,36 @@ def attributes(source: str) -> dict[str, str]:
     return found
 
 
-def _styled_away(style: str) -> bool:
-    """Whether display or visibility, as their last declarations say, hide an element; important ones come first."""
+def _style(style: str) -> dict[str, str]:
+    """The last declaration of each property; important ones come first."""
     said: dict[str, tuple[bool, str]] = {}
     for declaration in _QUOTED_STYLE.sub(" ", style).lower().split(";"):
         name, _, value = declaration.partition(":")
         name, (value, mark, _) = name.strip(), value.partition("!")
         if value.strip() and (mark or not said.get(name, (False,))[0]):
             said[name] = bool(mark), value.strip()
-    return said.get("display", ("", ""))[1] == "none" or said.get("visibility", ("", ""))[1] == "hidden"
+    return {name: value for name, (_, value) in said.items()}
 
 
-def _seen(node: Element) -> bool:
+def _seen(node: Element, visible: bool = True) -> bool | None:
+    """Whether an element's own texts are visible, given whether its parent's are; None if nothing in it is displayed."""
     if node.tag in UNSEEN:
-        return False
+        return None
     if not node.attrs or not _MAY_HIDE.search(node.attrs):
-        return True
+        return visible
     found = attributes(node.attrs)
-    return not ("hidden" in found or _styled_away(found.get("style", "")) or (node.tag == "input" and found.get("type", "").strip().lower() == "hidden"))
+    style = _style(found.get("style", ""))
+    if "hidden" in found or style.get("display") == "none" or (node.tag == "input" and found.get("type", "").strip().lower() == "hidden"):
+        return None
+    said = style.get("visibility")
+    return said == "visible" if said in ("visible", "hidden", "collapse") else visible
 
 
-def _render(node: Element, page: Page, marker: list | None = None, pre: bool = False) -> None:
+def _render(node: Element, page: Page, marker: list | None = None, pre: bool = False, visible: bool = True) -> None:
     for kid in node.kids:
         if isinstance(kid, str):
+            if not visible:
+                continue
             if not pre:
                 page.text(kid)
                 continue
@@ -259,21 +326,22 @@ def _render(node: Element, page: Page, marker: list | None = None, pre: bool = F
                     page.line.append(line.rstrip("\r"))
             continue
         tag = kid.tag
-        if not _seen(kid):
+        seen = _seen(kid, visible)
+        if seen is None:
             continue
         if tag == "br":
-            page.line = page.line or [""]
-            page.end_line()
+            if visible:
+                page.line = page.line or [""]
+                page.end_line()
         elif tag == "wbr":
             pass
         elif tag == "table":
             page.block(True)
-            _render_table(kid, page)
+            _render_table(kid, page, seen)
             page.block(True)
         elif tag in ("ul", "ol", "menu", "dir"):
             page.block(marker is None)
-            first = _START.search(kid.attrs) if tag == "ol" else None
-            _render(kid, page, [int(first[1]) if first else 1] if tag == "ol" else [None], pre)
+            _render(kid, page, [kid.number("start", 1, 10**9)] if tag == "ol" else [None], pre, seen)
             page.block(marker is None)
         elif tag == "li":
             page.block(False)
@@ -282,7 +350,7 @@ def _render(node: Element, page: Page, marker: list | None = None, pre: bool = F
             if marker and number is not None:
                 marker[0] += 1
             page.lead = outer + bullet
-            _render(kid, page, marker or [None], pre)
+            _render(kid, page, marker or [None], pre, seen)
             page.end_line()
             page.lead = outer
         elif tag in BLOCKS:
@@ -290,59 +358,79 @@ def _render(node: Element, page: Page, marker: list | None = None, pre: bool = F
             outer = page.lead
             if tag in ("blockquote", "dd"):
                 page.lead = " " * len(outer) + "  "
-            _render(kid, page, marker, pre or tag == "pre")
+            _render(kid, page, marker, pre or tag == "pre", seen)
             page.end_line()
             page.lead = " " * len(outer) if outer != page.lead and tag in ("blockquote", "dd") else page.lead
             page.block(tag in SPACED)
         else:
-            _render(kid, page, marker, pre)
+            _render(kid, page, marker, pre, seen)
             if tag == "option":
                 page.end_line()
 
 
-def _rows(node: Element) -> Iterator[Element]:
+def _rows(node: Element, visible: bool) -> Iterator[tuple[Element, bool]]:
     for kid in node.kids:
-        if isinstance(kid, Element) and _seen(kid):
+        if isinstance(kid, Element) and (seen := _seen(kid, visible)) is not None:
             if kid.tag in ("tr", "caption"):
-                yield kid
+                yield kid, seen
             elif kid.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(kid)
-
-
-def _render_table(node: Element, page: Page) -> None:
-    """Cells padded to their column's width, two spaces apart; a cell's own lines stay lines of its row."""
-    rows: list[list[list[str]]] = []
-    for row in _rows(node):
-        cells = [row] if row.tag == "caption" else [c for c in row.kids if isinstance(c, Element) and _seen(c) and c.tag in ("td", "th")]
-        found = []
-        for cell in cells:
-            inner = Page()
-            _render(cell, inner)
-            inner.end_line()
-            found.append(inner.lines)
+                yield from _rows(kid, seen)
+
+
+def _cell_lines(cell: Element, visible: bool) -> list[str]:
+    inner = Page()
+    _render(cell, inner, visible=visible)
+    inner.end_line()
+    return inner.lines
+
+
+def _render_table(node: Element, page: Page, visible: bool) -> None:
+    """Cells begin where their column does, columns two spaces apart; a cell's own lines stay lines of its row.
+
+    A cell that spans columns or rows takes their places. Columns are as wide as their cells of one column that aren't
+    wider than WIDE, and a column without text takes no room.
+    """
+    rows: list[list[tuple[int, list[str]]]] = []
+    widths: dict[int, int] = {}
+    taken: dict[int, int] = {}  # columns that cells of earlier rows reach into, and their last rows
+    for row, seen in _rows(node, visible):
         if row.tag == "caption":
-            for line in found[0]:
+            for line in _cell_lines(row, seen):
                 page.line.append(line)
                 page.end_line()
-        elif any(found):
+            continue
+        found, column = [], 0
+        for cell in row.kids:
+            if not isinstance(cell, Element) or cell.tag not in ("td", "th") or (shown := _seen(cell, seen)) is None:
+                continue
+            while taken.get(column, -1) >= len(rows):
+                column += 1
+            lines = _cell_lines(cell, shown)
+            across, down = max(1, cell.number("colspan", 1, 1000)), cell.number("rowspan", 1, 65534)
+            found.append((column, lines))
+            if across == 1:
+                widths[column] = max([widths.get(column, 0), *(len(line) for line in lines if len(line) <= WIDE)])
+            if down > 1 or down == 0:  # 0: down to the last row
+                taken.update(dict.fromkeys(range(column, column + across), len(rows) + down - 1 if down else 1 << 60))
+            column += across
+        if found:
             rows.append(found)
-    widths: list[int] = []
-    for row in rows:
-        for i, cell in enumerate(row):
-            width = max(map(len, cell), default=0)
-            if i < len(widths):
-                widths[i] = max(widths[i], width)
-            else:
-                widths.append(width)
+    begins, at = {}, 0
+    for column in sorted(widths.keys() | {c for row in rows for c, _ in row}):
+        begins[column] = at
+        at += widths[column] + 2 if widths.get(column) else 0
     for row in rows:
-        for k in range(max(map(len, row))):
-            line = "  ".join((cell[k] if k < len(cell) else "").ljust(w) for cell, w in zip(row, widths, strict=False)).rstrip()
-            page.line.append(line)
+        for k in range(max(len(lines) for _, lines in row)):
+            line = ""
+            for column, lines in row:
+                if k < len(lines) and lines[k]:
+                    line = (line.ljust(begins[column]) if not line or len(line) + 2 <= begins[column] else line + "  ") + lines[k]
+            page.line.append(line.rstrip())
             page.end_line()
     # elements too deep to be opened as rows
     loose = Element("div")
     loose.kids = [k for k in node.kids if (isinstance(k, str) and k.strip()) or (isinstance(k, Element) and k.tag not in ("tr", "caption", "thead", "tbody", "tfoot", "colgroup", "col"))]
-    _render(loose, page)
+    _render(loose, page, visible=visible)
 
 
 def html_text(source: str | None) -> str:
@@ -354,7 +442,9 @@ def html_text(source: str | None) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """The columns of keep and text: the visible text of every whole page, row for row. Null html gives ''."""
+    """The columns of keep and text: the visible text of every whole page, row for row. Null html gives ''. A column of
+    keep that is named like a result gives way to it."""
+    keep = apart(keep, "text")
     schema = pages.select(*keep).schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

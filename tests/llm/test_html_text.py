@@ -1,4 +1,7 @@
-from lumenreel.llm.html_text import extract, html_text
+import random
+import time
+
+from lumenreel.llm.html_text import WIDE, extract, html_text
 
 
 def test_blocks_lists_and_tables():
@@ -51,3 +54,75 @@ def test_rows_are_kept(spark):
     got = extract(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
     assert sorted(len(r.text) for r in got) == [0, 0, 0, 1, 999999]
     assert extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_visibility_is_inherited_and_display_is_final():
+    assert html_text('<div style="visibility:hidden">a<p style="visibility:visible">b<i>c</i></p>d</div>e') == "bc\n\ne"
+    assert html_text('<div style="display:none">a<p style="visibility:visible;display:block">b</p></div>e') == "e"
+    assert html_text('<table style="visibility:collapse"><tr><td>a<td style="visibility:visible">b</table>') == "b"
+
+
+def test_cells_over_columns_and_rows():
+    assert html_text("<table><tr><td colspan=2>both<td>c<tr><td>aa<td>bb<td>cc</table>") == "both    c\naa  bb  cc"
+    assert html_text("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>") == "a  b\n   c\nd  e"
+    assert html_text("<table><tr><td colspan=1000>x<td>y<tr><td>z</table>") == "x  y\nz"
+    wide = "w" * (WIDE + 1)
+    assert html_text(f"<table><tr><td>{wide}<td>b<tr><td>a<td>c</table>") == f"{wide}  b\na  c"
+
+
+def test_broken_pages_take_linear_time():
+    many = 40_000
+    for junk in ("<![CDATA[", '<a "', "<a '", "<a ", "</a ", "<!x ", "<!x \"", "<script>", "</script <script>", "<a \"\" ", "<", "<!--", "<textarea>", "<table><tr><td>", "<p>", "<ul><li>"):
+        for end in ("", '"', ">", "'>"):
+            start = time.time()
+            html_text("<p>seen</p>" + junk * many + end)
+            assert time.time() - start < 10, junk
+    page = "<table><tr><td>" + "x" * 20_000 + "<td>y" + "<tr><td>a<td>b" * 2000 + "</table>"
+    assert len(html_text(page)) < 2 * len(page)
+
+
+def plain_page(rng):
+    """A page and its text, made side by side."""
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6)))
+    text = lambda: " ".join(word() for _ in range(rng.randint(1, 5)))
+    junk = lambda: rng.choice(["", "", f"<!-- {word()} -->", f"<script>var {word()} = '<p>';</script>", f"<div hidden>{word()}</div>", f'<p style="display:none">{word()}</p>'])
+
+    def inline(t):
+        return " ".join(rng.choice(["{}", "<b>{}</b>", "<a href='x>y'>{}</a>", "<span class=hidden>{}</span>"]).format(w) for w in t.split())
+
+    parts = []  # source, lines, whether blank lines part it from its neighbours
+    for _ in range(rng.randint(0, 8)):
+        kind, t = rng.choice(["p", "h2", "div", "ul", "ol", "table", "pre"]), text()
+        if kind in ("p", "h2", "div"):
+            parts.append((f"<{kind} title='a>b'>\n{inline(t)}{rng.choice(['', '</' + kind + '>'])}" if kind == "p" else f"<{kind}>{inline(t)}</{kind}>", [t], kind != "div"))
+        elif kind == "pre":
+            parts.append((f"<pre>{t}\n  {t}</pre>", [t, "  " + t], True))
+        elif kind == "table":
+            rows = [[text() if rng.random() < 0.8 else "" for _ in range(3)] for _ in range(rng.randint(1, 4))]
+            wide = [max(len(r[i]) for r in rows) for i in range(3)]
+            source = "<table>" + "".join("<tr>" + "".join(f"<td>{inline(c)}" for c in r) for r in rows) + "</table>"
+            parts.append((source, ["  ".join(c.ljust(w) for c, w in zip(r, wide) if w).rstrip() for r in rows if any(r)], True))
+        else:
+            items = [text() for _ in range(rng.randint(1, 4))]
+            inner = [text() for _ in range(rng.randint(0, 2))]
+            marks = ["- "] * len(items) if kind == "ul" else [f"{i}. " for i in range(4, 4 + len(items))]
+            source = f"<{kind}{' start=4' if kind == 'ol' else ''}>" + "".join(f"<li>{inline(i)}" for i in items)
+            source += ("<ul>" + "".join(f"<li>{inline(i)}</li>" for i in inner) + "</ul>" if inner else "") + f"</{kind}>"
+            parts.append((source, [m + i for m, i in zip(marks, items)] + [" " * len(marks[-1]) + "- " + i for i in inner], True))
+    parts = [p for p in parts if any(p[1])]
+    lines = []
+    for i, (_, new, spaced) in enumerate(parts):
+        lines += ([""] if i and (spaced or parts[i - 1][2]) else []) + new
+    return "<!doctype html><head><title>no</title>" + junk() + "<body>" + "".join(junk() + p[0] for p in parts), "\n".join(lines)
+
+
+def test_pages_equal_the_text_made_beside_them():
+    rng = random.Random(9)
+    for _ in range(400):
+        source, want = plain_page(rng)
+        assert html_text(source) == want, source
+
+
+def test_columns_named_like_the_text(spark):
+    got = extract(spark.createDataFrame([(1, "<p>x", "t")], "page_id long, html string, Text string"), keep=("page_id", "Text"))
+    assert got.columns == ["page_id", "text"] and got.first().text == "x"
