@@ -6,7 +6,8 @@ every URL that a rule fits, taken at the rule's host level, has a key that start
 rule is an interval of keys, and intervals nest or are disjoint. A URL takes part once for each level of its
 host (www.example.org, example.org, org). Keys and rules are range-partitioned and sorted together and swept
 once; the sweep keeps a stack of the rules that are still open. Rules that open in an earlier partition and
-reach into a later one are found by looking up the prefixes of each partition's first key.
+reach into a later one are found by looking up those prefixes of each partition's first key that are as long as a
+rule of its host.
 """
 
 from __future__ import annotations
@@ -58,7 +59,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     ).groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     urls = pages.select(*(c.alias(k) for k, c in added.items())).filter("host <> ''").distinct()
     labels = F.split("host", r"\.")
-    level = F.explode(F.sequence(F.lit(1), F.size(labels)))
+    deepest = known.agg(F.max(F.size(labels))).first()[0] or 1  # no rule has more labels, so deeper levels meet none
+    level = F.explode(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest))))
     keyed = urls.select("host", "path", labels.alias("labels"), level.alias("level")).select(
         F.concat(_reversed(F.array_join(F.expr("slice(labels, size(labels) - level + 1, level)"), ".")), F.lit(MARK), "path").alias("key"),
         F.lit(1).alias("kind"), "host", "path", F.lit(None).cast("string").alias("verdict"),
@@ -69,10 +71,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         "url-keys",
     )
     firsts = dealt.groupBy("part").agg(F.min("key").alias("first"))
-    prefix = F.explode(F.sequence(F.instr("first", MARK), F.length("first"))).alias("upto")
+    at = F.substring_index("key", MARK, 1)  # what stands before the path: a host at one of its levels
+    lengths = opened.select(at.alias("at"), F.length("key").alias("upto")).distinct()
     carried = (
-        firsts.select("part", "first", prefix)
-        .select("part", F.expr("substring(first, 1, upto)").alias("key"), (F.col("upto") == F.length("first")).alias("whole"))
+        firsts.withColumn("at", F.substring_index("first", MARK, 1))
+        .join(lengths, "at")
+        .filter(F.col("upto") <= F.length("first"))
+        .select("part", F.expr("substring(first, 1, upto)").alias("key"))
         .join(opened.drop("kind"), "key")
         .select("part", "key", F.lit(0).alias("kind"), "host", "path", "verdict")
     )

@@ -62,6 +62,8 @@ def test_urls_against_brute_force(spark):
         assert len(got) == len(urls) + 1
         for r in got:
             assert (r.host, r.path, r.rule, r.verdict) == brute_verdict(r.url, used), r.url
+    long = spark.createDataFrame([(1, "http://example.org/" + "es/" * 300_000), (2, "http://" + "a." * 300_000 + "com/fr/")], "page_id long, url string")
+    assert [(r.rule, r.verdict) for r in U.judge_urls(long, spark.createDataFrame(U.RULES, "host string, path string, verdict string")).orderBy("page_id").collect()] == [("example.org/es/", "block"), ("com/fr/", "allow")]
     none = U.judge_urls(df, spark.createDataFrame([], "host string, path string, verdict string"))
     assert {r.verdict for r in none.collect()} == {"allow"}
     assert U.judge_urls(df.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
