@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import apart, cut, table
 
 SEED, SHINGLE, BITS, HALF = 42, 3, 3, 32
 #: A looked-up half with more pairs than this many for each row in it is linked through points.
@@ -49,7 +49,9 @@ def simhash_text(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def simhash(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns named in keep and fp (long): the fingerprint of every whole text; null counts as empty."""
+    """The columns named in keep and fp (long): the fingerprint of every whole text; null counts as empty. A column of
+    keep that is named like a result gives way to it."""
+    keep = apart(keep, "fp")
     schema = docs.select(*keep).schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import apart, cut, held_out, table
 
 #: Most labelled rows that the fit reads, features it keeps, and rows a word must be in to become one.
 ROWS, FEATURES, LEAST = 12_000, 6_000, 4
@@ -102,6 +102,12 @@ def fit_weights(
     return Model(words, w, bias)
 
 
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text, label) with the text's different words in its place."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([sorted(words_of(t.as_py())) for t in batch.column(0)], pa.list_(pa.string())), batch.column(1)], ["words", "y"])
+
+
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", order: Column | None = None, most: int = ROWS, features: int = FEATURES, **options) -> Model:
     """A model of labelled rows (text, 0/1); rows without a label are left out.
 
@@ -113,9 +119,9 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", o
         (F.xxhash64(text_col) if order is None else F.xxhash64(order)).alias("h"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")
     )
     total = known.count()
-    sample = known.filter(F.pmod("h", F.lit(1 << 20)) < int(min(1.0, most / max(total, 1)) * (1 << 20)))
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)))
-    exploded = sample.select("y", F.explode(terms).alias("word"))
+    drawn = known.filter(F.pmod("h", F.lit(1 << 20)) < int(min(1.0, most / max(total, 1)) * (1 << 20)))
+    sample = cut(drawn.select("text", "y").mapInArrow(_worded, "words array<string>, y int"), "toxicity-sample")
+    exploded = sample.select("y", F.explode("words").alias("word"))
     counted = exploded.groupBy("word").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q")).filter(F.col("p") + F.col("q") >= LEAST)
     sizes = sample.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q")).first()
     odds = F.log((F.col("p") + 0.5) / (sizes.p + 1.0)) - F.log((F.col("q") + 0.5) / (sizes.q + 1.0))
@@ -127,16 +133,17 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", o
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            have = [sorted(words_of(t.as_py()) & sent.value) for t in batch.column(0)]
+            have = [sorted(sent.value.intersection(w.as_py())) for w in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(have, pa.list_(pa.string())), batch.column(1)], ["words", "y"])
 
-    rows = [(r.words, r.y) for r in sample.select("text", "y").mapInArrow(present, "words array<string>, y int").collect()]
+    rows = [(r.words, r.y) for r in sample.mapInArrow(present, "words array<string>, y int").collect()]
     return fit_weights(rows, words, **options)
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep and score (0 to 1, higher: likelier toxic) for every whole text; null and empty texts
-    get the score of a text without known words."""
+    get the score of a text without known words. A column of keep that is named like a result gives way to it."""
+    keep = apart(keep, "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema.add("score", "double")
 
