@@ -53,17 +53,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def spread_join(many: DataFrame, few: DataFrame, keys: list[str], weight: str, by: list[str]) -> DataFrame:
     """Inner join of many with few, which has each key once and in `weight` how many rows of many have it.
 
-    A key with more than its share of rows is split: its row of few is repeated, and by the columns `by` its rows
-    in many are dealt to the repetitions. A share is a quarter of a partition's rows, so what is broadcast is at most
-    four rows for each shuffle partition. few is read several times and should be a table.
+    A key with more rows than a shuffle partition's even share is split: its row of few is repeated, and by the columns
+    `by` its rows in many are dealt to the repetitions, so that none gets more than a share. At most one key for each
+    partition can be so large; the driver gets those keys' hashes and puts them into both sides' plans. few is read
+    several times and should be a table.
     """
     n = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = few.agg(F.sum(weight)).first()[0] or 0
-    share = max(1, total // (4 * n))
-    parts = F.ceil(F.col(weight) / share).cast("int")
-    hot = few.filter(F.col(weight) > share).select(*keys, parts.alias("__parts"))
-    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("__part", F.coalesce(F.pmod(F.hash(*by), "__parts"), F.lit(0))).drop("__parts")
-    copies = F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))
+    share = max(1, total // n)
+    key = F.xxhash64(*keys)
+    hot = few.filter(F.col(weight) > share).select(key.alias("key"), F.col(weight).alias("rows")).collect()
+    sizes: dict[int, list[int]] = {}
+    for row in hot:
+        sizes.setdefault(1 << (-(-row["rows"] // share) - 1).bit_length(), []).append(row["key"])
+    parts = F.lit(1)
+    for size, hashes in sizes.items():
+        parts = F.when(key.isin(hashes), size).otherwise(parts)
+    dealt = many.withColumn("__part", F.pmod(F.hash(*by), parts))
+    copies = F.explode(F.sequence(F.lit(0), parts - 1))
     return dealt.join(few.withColumn("__part", copies), [*keys, "__part"]).drop("__part")
 
 

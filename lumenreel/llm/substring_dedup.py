@@ -26,7 +26,7 @@ from .fm_index import FMIndex
 
 WINDOW, ANCHOR = 35, 8
 #: Different fragments of one anchor beyond which they are cut finer by an anchor of ANCHOR words more.
-CROWD = 1000
+CROWD = 200
 #: Words of one index; a larger shard is indexed anchor group by anchor group.
 INDEX_WORDS = 1 << 18
 #: What tells fragments apart: their anchor and 128 bits over their words.
