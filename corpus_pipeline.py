@@ -3,6 +3,7 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 run() writes each stage's result as Parquet in the shared folder and reads it again for the next. Null texts,
 null ids, empty tables and repeated rows pass through as the operators' docstrings say; ids are taken to be unique.
+Further columns of documents, whatever their names, go through all stages but the last.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from lumenreel.llm.common import cut, held_out, importable, table
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those in which no learned language has half of the posterior."""
     model = language_id.fit(docs.filter(~held_out(F.col("doc_id"))))
-    found = language_id.identify(docs, model, keep=tuple(docs.columns))
-    return found.filter("lang_pred <> 'und' AND score >= 0.5").select(docs.columns)
+    found = language_id.identify(docs, model, keep=tuple(docs.columns), names=("__lang", "__score"))
+    return found.filter("__lang <> 'und' AND __score >= 0.5").select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +38,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of windows that occur elsewhere go; a document that loses words has its length counted anew."""
     rest = tuple(c for c in docs.columns if c != "text")
-    found = substring_dedup.remove_repeats(docs, keep=rest)
-    counted = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    found = substring_dedup.remove_repeats(docs, keep=rest, counts=("__words", "__removed"))
+    counted = F.when(F.col("__removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", counted).select(docs.columns)
 
 
@@ -66,7 +67,7 @@ STAGES = [
     ("best_fit_packing", _stage(pack_sequences)),
 ]
 
-#: SQL expresses neither the fingerprints nor the tokenizer; tests hold the pipeline against brute force.
+#: SQL expresses neither the fingerprints nor the tokenizer; tests hold each stage against a plain model of it.
 ORACLE_SQL = None
 
 
