@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from .selection import cut
 
 MIN_FIT, RIDGE, MIN_BUCKET = 40, 1.0, 3
 
@@ -14,22 +15,19 @@ MIN_FIT, RIDGE, MIN_BUCKET = 40, 1.0, 3
 def mid_rank(df: DataFrame, value: str, group: tuple[str, ...] = (), out: str = "rank") -> DataFrame:
     """1-based ranks with ties averaged, per group, nulls unranked.
 
-    Equal values are counted first; values are range-partitioned, and each partition's running count starts from the
-    counts of the partitions before it. So rows of one value never meet, and no task sorts all values.
+    Equal values are counted first; groups and their values are range-partitioned together and written, and each
+    partition's running count of a group starts from the group's counts in the partitions before it. So rows of one
+    value never meet, and no task sorts all values of a group.
     """
     keys = [*group, value]
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    if group:
-        before = F.sum("__n").over(Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-        ranked = counts.select(*keys, (F.coalesce(before, F.lit(0)) + (F.col("__n") + 1) / 2).alias(out))
-    else:
-        split = counts.repartitionByRange(F.col(value)).withColumn("__part", F.spark_partition_id())
-        inside = Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        parts = split.groupBy("__part").agg(F.sum("__n").alias("__all"))
-        earlier = parts.select("__part", F.coalesce(F.sum("__all").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-        ranked = split.join(F.broadcast(earlier), "__part").select(
-            value, (F.col("__before") + F.coalesce(F.sum("__n").over(inside), F.lit(0)) + (F.col("__n") + 1) / 2).alias(out)
-        )
+    split = cut(counts.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
+    so_far = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*group, "__part").orderBy(value).rowsBetween(*so_far)
+    parts = split.groupBy(*group, "__part").agg(F.sum("__n").alias("__all"))  # a row for each partition that a group reaches into
+    earlier = parts.select(*group, "__part", F.coalesce(F.sum("__all").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(*so_far)), F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.coalesce(F.sum("__n").over(inside), F.lit(0)) + (F.col("__n") + 1) / 2
+    ranked = split.join(earlier, [*group, "__part"]).select(*keys, place.alias(out))
     return df.join(ranked, keys, "left")
 
 

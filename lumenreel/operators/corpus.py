@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .selection import cut
 
 PHRASE, CONTENT, LINE = 5, 2, 3
 
@@ -36,57 +37,63 @@ def language_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def language_gate(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """docs with `reads`: whether each text plausibly is in its language. Tokens are made once per row."""
-    tokens = docs.withColumn("__tokens", T.edge_stripped(F.col(text_col)))
-    hits = F.aggregate("__tokens", F.array(*(F.lit(0) for _ in T.LANGUAGE_WORDS)), _count_languages())
+    """docs with `reads`: whether each text plausibly is in its language. Tokens are made once per row, and only those
+    that are a listed word are looked at for each language."""
+    lists = T.discriminative_words()
+    listed = sorted({w for ws in lists.values() for w in ws})
     primary = F.split_part(F.lower(F.trim(F.col(lang_col))), F.lit("-"), F.lit(1))
-    mine = F.try_element_at(F.col("__hits"), F.nullif(F.array_position(T.literals(T.LANGUAGE_WORDS), primary).cast("int"), F.lit(0)))
+    tokens = docs.withColumn("__tokens", T.edge_stripped(F.col(text_col)))
+    few = tokens.select(*docs.columns, F.size("__tokens").alias("__n"), F.filter("__tokens", lambda w: w.isin(*listed)).alias("__words"))
+    hits = F.array(*(F.size(F.filter("__words", _one_of(ws))) for ws in lists.values()))
+    counted = few.select(*docs.columns, "__n", hits.alias("__hits"))
+    mine = F.try_element_at("__hits", F.nullif(F.array_position(T.literals(lists), primary).cast("int"), F.lit(0)))
     best = F.array_max("__hits")
     reads = mine.isNull() | (F.col("__n") < 6) | (best == 0) | (mine == best)
-    counted = tokens.select(*docs.columns, F.size("__tokens").alias("__n"), hits.alias("__hits"))
     return counted.select(*docs.columns, reads.alias("reads"))
 
 
-def _count_languages():
-    lists = T.discriminative_words()
-    listed = {w for ws in lists.values() for w in ws}
-
-    def step(hits, word):
-        plus = F.array(*(F.element_at(hits, i + 1) + word.isin(*ws).cast("int") for i, ws in enumerate(lists.values())))
-        return F.when(word.isin(*sorted(listed)), plus).otherwise(hits)
-
-    return step
+def _one_of(listed: list[str]):
+    return lambda w: w.isin(*listed)
 
 
 def _phrase_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.regexp_replace(text, "’", "'")), F.lit("[a-z0-9]+(?:'[a-z]+)?"), F.lit(0))
 
 
-def _grams(words: Column) -> Column:
-    n = F.size(words)
-    runs = F.when(n >= PHRASE, F.transform(F.sequence(F.lit(1), n - PHRASE + 1), lambda i: F.slice(words, i, F.lit(PHRASE))))
-    said = F.filter(runs, lambda g: F.size(F.filter(g, lambda w: ~w.isin(*sorted(T.ENGLISH_COMMON)))) >= CONTENT)
-    return F.array_distinct(F.transform(said, lambda g: F.array_join(g, " ")))
+def _said(words: Column) -> Column:
+    """1 for each word that says something. It should be a column of its own, as every run of words looks at it."""
+    return F.transform(words, lambda w: (~w.isin(*sorted(T.HEADLINE_COMMON))).cast("int"))
+
+
+def _grams(words: Column, said: Column) -> Column:
+    """Runs of five words of which two at least say something."""
+    full = lambda i: sum(F.get(said, i + k) for k in range(PHRASE)) >= CONTENT
+    starts = F.when(F.size(words) >= PHRASE, F.filter(F.sequence(F.lit(0), F.size(words) - PHRASE), full)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.concat_ws(" ", *(F.get(words, i + k) for k in range(PHRASE))))
+
+
+#: Phrases of originals up to which they are broadcast: some 50 MB.
+BROADCAST = 500_000
 
 
 def shared_phrases(candidates: DataFrame, originals: DataFrame, id_col: str, text_col: str, original_col: str) -> DataFrame:
     """Distinct phrases of candidates that an original has: runs of five words that say something, or whole lines of
-    three words or more. Originals are reduced to distinct phrases before the join, candidates to distinct phrases
-    per document, so a phrase that everyone uses meets one row."""
+    three words or more. Originals are reduced to distinct phrases, counted, and broadcast if they are few; else both
+    sides move by phrase, candidates as distinct phrases per document."""
     line = F.explode(F.split(text_col, "\n")).alias("line")
     lines = candidates.select(id_col, line).filter("trim(line) <> '' AND NOT startswith(line, '[')").select(id_col, _phrase_words(F.col("line")).alias("w"))
+    lines = lines.select(id_col, "w", _said(F.col("w")).alias("said"))
     whole = F.when(F.size("w") >= LINE, F.array(F.array_join("w", " "))).otherwise(F.array().cast("array<string>"))
-    ours = lines.select(id_col, F.explode(F.array_union(
-        F.transform(_or_empty(_grams(F.col("w"))), lambda p: F.struct(F.lit("run").alias("kind"), p.alias("phrase"))),
+    ours = lines.select(id_col, F.explode(F.concat(
+        F.transform(_grams(F.col("w"), F.col("said")), lambda p: F.struct(F.lit("run").alias("kind"), p.alias("phrase"))),
         F.transform(whole, lambda p: F.struct(F.lit("line").alias("kind"), p.alias("phrase"))),
-    )).alias("p")).select(id_col, "p.kind", "p.phrase").distinct()
-    runs = originals.select(F.explode(_or_empty(_grams(_phrase_words(F.col(original_col))))).alias("phrase")).withColumn("kind", F.lit("run"))
+    )).alias("p")).select(id_col, "p.kind", "p.phrase")
+    split = originals.select(_phrase_words(F.col(original_col)).alias("w")).select("w", _said(F.col("w")).alias("said"))
+    runs = split.select(F.explode(_grams(F.col("w"), F.col("said"))).alias("phrase")).withColumn("kind", F.lit("run"))
     theirs = originals.select(F.explode(F.split(original_col, "\n")).alias("line")).select(F.array_join(_phrase_words(F.col("line")), " ").alias("phrase"), F.lit("line").alias("kind"))
-    return ours.join(runs.unionByName(theirs).distinct(), ["kind", "phrase"], "left_semi").select(id_col, "phrase").distinct()
-
-
-def _or_empty(array: Column) -> Column:
-    return F.coalesce(array, F.array().cast("array<string>"))
+    known = cut(runs.unionByName(theirs).distinct())
+    met = ours.join(F.broadcast(known), ["kind", "phrase"], "left_semi") if known.count() <= BROADCAST else ours.distinct().join(known, ["kind", "phrase"], "left_semi")
+    return met.select(id_col, "phrase").distinct()
 
 
 def blocked_names(docs: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime, timedelta
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 RETRY_SECONDS = 300
 
@@ -49,18 +54,34 @@ def next_due_time(jobs: DataFrame, now: Column) -> DataFrame:
     )
 
 
+DUE = StructType([StructField("micros", LongType()), StructField("known", BooleanType())])
+
+
+@F.pandas_udf(DUE)
+def _next_local(now: pd.Series, at: pd.Series, timezone: pd.Series) -> pd.DataFrame:
+    """The next time of day after now in any IANA zone, as wall time, so that clock changes don't move it."""
+    rows = []
+    for micros, clock, name in zip(now, at, timezone, strict=True):
+        try:
+            zone, known = ZoneInfo(name or "UTC"), True
+        except (ZoneInfoNotFoundError, ValueError, OSError):
+            zone, known = UTC, False
+        moment = datetime.fromtimestamp(0, UTC) + timedelta(microseconds=int(micros))
+        local = moment.astimezone(zone)
+        hours, minutes = (int(part) for part in (clock or "0:0").split(":")[:2])
+        due = local.replace(hour=hours, minute=minutes, second=0, microsecond=0)
+        due += timedelta(days=due <= local)
+        rows.append(((due.astimezone(UTC) - datetime.fromtimestamp(0, UTC)) // timedelta(microseconds=1), known))
+    return pd.DataFrame(rows, columns=["micros", "known"])
+
+
 def schedule_due(schedules: DataFrame, now: Column) -> DataFrame:
     """The next firing: the next local time of day in the schedule's zone, daylight saving kept, or now and an interval."""
-    zones = ("UTC", "Europe/London", "Europe/Paris", "America/New_York", "America/Los_Angeles", "Asia/Tokyo", "Asia/Kolkata", "Australia/Sydney")
-    known = F.col("timezone").isin(*zones)
-    zone = F.when(known, F.col("timezone")).otherwise("UTC")
-    local = F.from_utc_timestamp(now, zone)
-    today = F.to_timestamp(F.concat(F.date_format(local, "yyyy-MM-dd"), F.lit(" "), "at", F.lit(":00")))
-    wanted = F.when(today <= local, today + F.expr("INTERVAL 1 DAY")).otherwise(today)
-    daily = F.to_utc_timestamp(wanted, zone)
-    every = F.timestamp_seconds(F.unix_seconds(now) + F.coalesce("every_hours", F.lit(24)) * 3600)
-    is_daily = (F.col("cadence") == "DAILY") & F.col("at").isNotNull()
-    return schedules.select("id", F.when(is_daily, daily).otherwise(every).alias("due"), F.when(is_daily & ~known, "unknown zone read as UTC").alias("warning"))
+    daily = _next_local(F.unix_micros(now), F.col("at"), F.col("timezone"))
+    every = F.timestamp_seconds(F.unix_seconds(now) + F.coalesce(F.nullif("every_hours", F.lit(0)), F.lit(24)) * 3600)
+    is_daily = (F.col("cadence") == "DAILY") & (F.coalesce("at", F.lit("")) != "")
+    s = schedules.select("id", is_daily.alias("is_daily"), every.alias("every"), daily.alias("next"))
+    return s.select("id", F.when(F.col("is_daily"), F.timestamp_micros("next.micros")).otherwise(F.col("every")).alias("due"), F.when(F.col("is_daily") & ~F.col("next.known"), "unknown zone read as UTC").alias("warning"))
 
 
 def schedule_may_fire(schedules: DataFrame, attempts: DataFrame, now: Column) -> DataFrame:

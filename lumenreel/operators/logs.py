@@ -40,14 +40,15 @@ def keep_last_n(records: DataFrame, n: int = 25) -> DataFrame:
 
 def rate_limit(records: DataFrame, most: int = 30, seconds: float = 60.0) -> DataFrame:
     """Records that a rolling limit accepts, per app in time order. What is accepted depends on what was accepted, so
-    an app's records are taken in order; they arrive sorted and in batches, and only the last accepted times are held."""
+    records are taken in order, in batches, and only the last accepted times are held. A pause as long as the span
+    forgets all that was before, so an app's record stream is dealt in the parts between such pauses."""
     def run(frames):
-        app, held = None, []
+        part, held = None, []
         for frame in frames:
             keep = []
-            for name, at in zip(frame["app"], frame["second"], strict=True):
-                if name != app:
-                    app, held = name, []
+            for *now, at in zip(frame["app"], frame["part"], frame["second"], strict=True):
+                if now != part:
+                    part, held = now, []
                 held = [t for t in held if at - t < seconds]
                 if len(held) < most:
                     held.append(at)
@@ -57,7 +58,10 @@ def rate_limit(records: DataFrame, most: int = 30, seconds: float = 60.0) -> Dat
             yield pd.DataFrame({"event_id": frame.event_id, "app": frame.app, "accepted": keep})
 
     timed = records.select("event_id", "app", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us")).withColumn("second", F.col("us") / 1e6)
-    return timed.repartition("app").sortWithinPartitions("app", "second", "event_id").mapInPandas(run, "event_id long, app string, accepted boolean")
+    by_time = Window.partitionBy("app").orderBy("second", "event_id")
+    pause = F.coalesce((F.col("second") - F.lag("second").over(by_time) >= seconds).cast("int"), F.lit(0))
+    parts = timed.withColumn("pause", pause).withColumn("part", F.sum("pause").over(by_time))
+    return parts.repartition("app", "part").sortWithinPartitions("app", "part", "second", "event_id").mapInPandas(run, "event_id long, app string, accepted boolean")
 
 
 def export_json(groups: DataFrame) -> DataFrame:

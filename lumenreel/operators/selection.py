@@ -1,9 +1,15 @@
-"""Choosing windows: overlap suppression in rounds, ranking, and the selection pipeline."""
+"""Choosing windows: overlap suppression, ranking, and the selection pipeline."""
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import cycle, product
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,36 +26,89 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def _own_folder(spark) -> str:
-    import tempfile
-
+    """A folder for a session of one machine; others must name one that all executors share."""
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def greedy_suppress(windows: DataFrame, group: str, order: list[Column], threshold: float = 0.5, width: float = 30.0, rounds: int = 50) -> DataFrame:
-    """Windows kept best first: one goes if a better kept one of its group overlaps it by more than the threshold.
+def suppress(rows: DataFrame, group: str, order: list[Column], bounds: list[tuple[str, str]], conflict: Callable[[tuple, tuple], bool], width: float) -> DataFrame:
+    """Rows kept best first: one goes if a better kept one of its group conflicts with it.
 
-    windows: group, id, start_sec, end_sec. Conflicts are found once, by a join on group and time bin. Then in each
-    round every window without a better undecided neighbour is kept and its neighbours go; that ends at the same
-    set as going through all windows in order. Windows that nothing overlaps never enter the rounds.
+    bounds names the lower and upper bound of each dimension (one for windows, two for rectangles); only rows that overlap
+    can conflict. Of rows with equal bounds only the best can stay. The rest is cut into blocks `width` wide (four
+    times the longest extent at least), and each block goes through its rows in order: a row that conflicts with a
+    kept one goes, one that may depend on a row outside, or on an undecided better one, stays undecided, the others are
+    kept. The next round has blocks shifted by half, where those rows lie inside; it ends when all are decided, and as
+    the best undecided row of a group is decided in the next rounds at the latest, it does end. Rows with null or
+    empty extents conflict with none.
     """
-    ranked = cut(windows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))))
-    b = ranked.select(group, "id", "place", "start_sec", "end_sec", F.explode(F.sequence(F.floor(F.col("start_sec") / width), F.floor(F.col("end_sec") / width))).alias("bin"))
-    other = b.select(group, "bin", *(F.col(c).alias(f"o_{c}") for c in ("id", "place", "start_sec", "end_sec")))
-    pairs = b.join(other, [group, "bin"]).filter("place < o_place")
-    shared_bin = F.greatest(F.floor(F.col("start_sec") / width), F.floor(F.col("o_start_sec") / width))
-    iou = M.iou_1d(F.col("start_sec"), F.col("end_sec"), F.col("o_start_sec"), F.col("o_end_sec"))
-    edges = cut(pairs.filter((F.col("bin") == shared_bin) & (iou > threshold)).select(F.col("id").alias("better"), F.col("o_id").alias("worse")))
-    gone = None
-    for _ in range(rounds):
-        kept = edges.select("better").distinct().join(edges.select(F.col("worse").alias("better")), "better", "left_anti")
-        lost = cut(edges.join(kept, "better").select("worse").distinct())
-        gone = lost if gone is None else gone.unionByName(lost)
-        edges = cut(edges.join(lost, "worse", "left_anti").join(lost.select(F.col("worse").alias("better")), "better", "left_anti").join(kept, "better", "left_anti"))
-        if edges.isEmpty():
-            return ranked.join(gone.select(F.col("worse").alias("id")), "id", "left_anti").drop("place")
-    raise RuntimeError(f"suppression needs more than {rounds} rounds")
+    extents = [F.col(b) - F.col(a) for a, b in bounds]
+    solid = reduce(lambda x, y: x & y, (e > 0 for e in extents))
+    same = Window.partitionBy(group, *(c for pair in bounds for c in pair)).orderBy(*order)
+    best = rows.filter(solid).withColumn("__place", F.row_number().over(same)).filter("__place = 1").drop("__place").withColumn("__kept", F.lit(False))
+    state = cut(best)
+    longest = state.agg(*(F.max(e) for e in extents)).first()
+    flat = rows.filter(~F.coalesce(solid, F.lit(False)))
+    if longest[0] is None:
+        return flat
+    widths = [max(float(width), 4.0 * x) for x in longest]
+    blocks = [f"__block{i}" for i in range(len(bounds))]
+    for shifts in cycle(list(product((0.5, 0.0), repeat=len(bounds)))):
+        placed = state.withColumns({name: F.floor(F.col(a) / w + shift) for name, (a, _), w, shift in zip(blocks, bounds, widths, shifts, strict=True)})
+        dealt = placed.repartition(group, *blocks).sortWithinPartitions(group, *blocks, F.desc("__kept"), *order)
+        state = cut(dealt.mapInArrow(_decide(group, bounds, blocks, conflict, longest, widths, shifts), placed.schema).drop(*blocks))
+        if state.filter("NOT __kept").isEmpty():
+            return state.drop("__kept").unionByName(flat)
+
+
+def _decide(group: str, bounds: list[tuple[str, str]], blocks: list[str], conflict: Callable, longest: tuple, widths: list[float], shifts: tuple):
+    """Blocks of sorted rows without those that go, and with __kept for those that are decided to stay. Rows are looked for
+    in cells as long as the longest extent, so a row's conflicts lie in its own cells and their neighbours."""
+    dims = range(len(bounds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept, open_ = None, {}, {}
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (group, *blocks, "__kept", *(c for pair in bounds for c in pair))]
+            takes, verdicts = [], []
+            for i, (name, *rest) in enumerate(zip(*columns, strict=True)):
+                block, done, box = rest[: len(blocks)], rest[len(blocks)], tuple(rest[len(blocks) + 1 :])
+                if (name, block) != now:
+                    now, kept, open_ = (name, block), {}, {}
+                cell = tuple(int(box[2 * d] // longest[d]) for d in dims)
+                near = list(product(*((c - 1, c, c + 1) for c in cell)))
+                if not done:
+                    if any(conflict(other, box) for at in near for other in kept.get(at, ())):
+                        continue
+                    low = [(block[d] - shifts[d]) * widths[d] for d in dims]
+                    inside = all(box[2 * d] >= low[d] + longest[d] and box[2 * d + 1] <= low[d] + widths[d] for d in dims)
+                    done = inside and not any(conflict(other, box) for at in near for other in open_.get(at, ()))
+                (kept if done else open_).setdefault(cell, []).append(box)
+                takes.append(i)
+                verdicts.append(done)
+            out = batch.take(pa.array(takes, pa.int64()))
+            yield out.set_column(batch.schema.get_field_index("__kept"), "__kept", pa.array(verdicts, pa.bool_()))
+
+    return run
+
+
+def _alike(threshold: float) -> Callable[[tuple, tuple], bool]:
+    """Whether two windows' shared length is more than a threshold of what both cover."""
+
+    def conflict(a: tuple, b: tuple) -> bool:
+        shared = min(a[1], b[1]) - max(a[0], b[0])
+        return shared > 0 and shared / ((a[1] - a[0]) + (b[1] - b[0]) - shared) > threshold
+
+    return conflict
+
+
+def greedy_suppress(windows: DataFrame, group: str, order: list[Column], threshold: float = 0.5, width: float = 1800.0) -> DataFrame:
+    """Windows (group, start_sec, end_sec, ...) kept best first: one goes if a better kept one of its group overlaps it by
+    more than the threshold."""
+    return suppress(windows, group, order, [("start_sec", "end_sec")], _alike(threshold), width)
 
 
 def top_candidates(windows: DataFrame, total: Column, shortest: float = 15.0, longest: float = 75.0, floor: int = 0, limit: int = 5, group: str = "source_id", ties: tuple[str, ...] = ("id",)) -> DataFrame:

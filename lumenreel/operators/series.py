@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +48,8 @@ def shared_scale(curves: DataFrame, value: str) -> DataFrame:
 
 
 def smooth_path(path: DataFrame, window: int, max_step: float, by: str = "series_id") -> DataFrame:
-    """A moving average whose edges are held, then a limit on each step; the limit depends on the step before, so it
-    folds over a series' points."""
+    """A moving average whose edges are held, then a limit on each step (none if it isn't above 0). The limit depends on
+    the step before, so a series' points pass in order, and only the last one is held."""
     half = window // 2
     whole = Window.partitionBy(by)
     w = _w(by).rowsBetween(-half, window - 1 - half)
@@ -55,25 +58,57 @@ def smooth_path(path: DataFrame, window: int, max_step: float, by: str = "series
                        F.first("value").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("a"), F.last("value").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("z"))
     left = F.greatest(F.lit(half) - (F.col("i") - 1), F.lit(0))
     average = (F.col("s") + left * F.col("a") + (F.lit(window) - F.col("n") - left) * F.col("z")) / window
-    points = rows.select(by, "t", (F.col("value") if window <= 1 else average).alias("v")).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("p"))
-    step = lambda out, p: F.concat(out, F.array(F.struct(p.t.alias("t"), (F.element_at(out, -1).v + F.greatest(F.lit(-max_step), F.least(F.lit(max_step), p.v - F.element_at(out, -1).v))).alias("v"))))
-    limited = F.aggregate(F.slice("p", F.lit(2), F.size("p")), F.slice("p", 1, 1), step)
-    return points.select(by, F.explode(limited).alias("x")).select(by, "x.t", F.col("x.v").alias("value"))
-
-
-def simplify_path(path: DataFrame, tolerance: float, by: str = "series_id") -> DataFrame:
-    """First and last points, and those further than a tolerance from the line between the last kept and the next."""
-    points = path.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("t", F.col("value").alias("v")))).alias("p"))
-    pairs = F.zip_with(F.slice("p", F.lit(2), F.greatest(F.size("p") - 2, F.lit(0))), F.slice("p", F.lit(3), F.greatest(F.size("p") - 2, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-    def step(kept, pair):
-        last = F.element_at(kept, -1)
-        on_line = last.v + (pair.b.v - last.v) * (pair.a.t - last.t) / (pair.b.t - last.t)
-        return F.when(F.abs(pair.a.v - on_line) > tolerance, F.concat(kept, F.array(pair.a))).otherwise(kept)
-
-    kept = F.aggregate(pairs, F.slice("p", 1, 1), step)
-    full = F.when(F.size("p") > 1, F.concat(kept, F.slice("p", F.size("p"), F.lit(1)))).otherwise(kept)
-    return points.select(by, F.explode(full).alias("x")).select(by, "x.t", F.col("x.v").alias("value"))
+    smooth = rows.select(by, "t", (F.col("value") if window <= 1 else average).cast("double").alias("value"))
+    if max_step <= 0:
+        return smooth
+
+    def limit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series, last = None, 0.0
+        for frame in frames:
+            out = []
+            for key, value in zip(frame[by], frame["value"], strict=True):
+                last = value if key != series else last + max(-max_step, min(max_step, value - last))
+                series = key
+                out.append(last)
+            yield frame.assign(value=out)
+
+    return smooth.repartition(by).sortWithinPartitions(by, "t").mapInPandas(limit, smooth.schema)
+
+
+def simplify_path(path: DataFrame, tolerance: float, by: str = "series_id", durations: DataFrame | None = None) -> DataFrame:
+    """First and last points, and those further than a tolerance from the line between the last kept and the next.
+
+    With durations (by, duration) points are keyframes: times rounded to 3 places and held to the duration, values
+    rounded to 2 and held to 0 to 100, and a series without points is one in the middle at time 0.
+    """
+    points = path.select(by, F.col("t").cast("double").alias("t"), F.col("value").cast("double").alias("value"))
+
+    def thin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series, kept, waiting = None, None, None  # waiting: the point that the next one decides on
+        for frame in frames:
+            out = []
+            for point in zip(frame[by], frame["t"], frame["value"], strict=True):
+                key, t, value = point
+                if key != series:
+                    out += [waiting] if waiting else []
+                    out.append(point)
+                    series, kept, waiting = key, point, None
+                    continue
+                if waiting and t > kept[1]:
+                    on_line = kept[2] + (value - kept[2]) * (waiting[1] - kept[1]) / (t - kept[1])
+                    if abs(waiting[2] - on_line) > tolerance:
+                        kept = waiting
+                        out.append(waiting)
+                waiting = point
+            yield pd.DataFrame(out, columns=[by, "t", "value"])
+        if waiting:
+            yield pd.DataFrame([waiting], columns=[by, "t", "value"])
+
+    kept = points.repartition(by).sortWithinPartitions(by, "t").mapInPandas(thin, points.schema)
+    if durations is None:
+        return kept
+    t, value = F.round(F.least("t", "duration"), 3), F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("value"))), 2)
+    return durations.join(kept, by, "left").select(by, F.when(F.col("t").isNull(), 0.0).otherwise(t).alias("t"), F.when(F.col("t").isNull(), 50.0).otherwise(value).alias("value"))
 
 
 def lag_correlations(series: DataFrame, low: int, high: int, by: str = "series_id") -> DataFrame:
@@ -85,10 +120,12 @@ def lag_correlations(series: DataFrame, low: int, high: int, by: str = "series_i
     return sums.join(zero, by).filter("v0 > 0").select(by, "lag", (F.col("s") / F.col("v0")).alias("r"), "n")
 
 
-def dominant_period(series: DataFrame, low: int, high: int, by: str = "series_id") -> DataFrame:
-    """The lag of the largest autocorrelation, or null where that is weak: below 0.15 or within 1.5 times the mean."""
-    r = lag_correlations(series, low, high, by).groupBy(by).agg(F.max_by("lag", F.struct("r", -F.col("lag"))).alias("lag"), F.max("r").alias("strength"), F.avg("r").alias("mean"))
-    return r.select(by, F.when((F.col("strength") >= 0.15) & (F.col("strength") > 1.5 * F.col("mean")), F.col("lag")).alias("period"), "strength")
+def dominant_period(series: DataFrame, low: int, high: int, by: str = "series_id", least: int = 32) -> DataFrame:
+    """The lag of the largest autocorrelation, or null where that is weak: below 0.15 or within 1.5 times the mean, or
+    of fewer than 32 points."""
+    r = lag_correlations(series, low, high, by).groupBy(by).agg(F.max_by("lag", F.struct("r", -F.col("lag"))).alias("lag"), F.max("r").alias("strength"), F.avg("r").alias("mean"), F.max("n").alias("n"))
+    clear = (F.col("n") >= least) & (F.col("strength") >= 0.15) & (F.col("strength") > 1.5 * F.col("mean"))
+    return r.select(by, F.when(clear, F.col("lag")).alias("period"), "strength")
 
 
 def phase_grid(series: DataFrame, period: int, by: str = "series_id") -> DataFrame:

@@ -95,26 +95,37 @@ def silences(spans: DataFrame, durations: DataFrame, least: float = 0.20) -> Dat
     return free.filter(F.round(F.col("to_sec") - F.col("from_sec"), 6) >= least)
 
 
-def caption_cues(words: DataFrame, budget: int = 32, gap: float = 0.6) -> DataFrame:
-    """Words in cues: a cue ends at a pause or when the next word would pass the character budget."""
-    w = Window.partitionBy("source_id").orderBy("segment", "word_no")
+def caption_cues(words: DataFrame, budget: int = 32, gap: float = 0.6, clips: DataFrame | None = None) -> DataFrame:
+    """Words in cues: a cue ends at a pause or when the next word, each with a space, would pass the character budget.
+
+    With clips (source_id, clip_id, clip_start, clip_end) there are cues for each clip: of the words that it shows, in its
+    own time, and words over its edges for the part that is seen. Without, a source is one clip.
+    """
+    key = ["source_id"]
+    if clips is not None:
+        key = ["source_id", "clip_id"]
+        spans = clips.select(*key, F.col("clip_start").alias("span_start"), F.col("clip_end").alias("span_end")).withColumn("span_id", F.col("clip_id"))
+        start, end = F.greatest(F.lit(0.0), F.col("start_sec") - F.col("span_start")), F.least("span_end", "end_sec") - F.col("span_start")
+        words = words_in(words, spans).withColumn("end_sec", F.round(end, 6)).withColumn("start_sec", F.round(start, 6)).filter("end_sec > start_sec")
+    w = Window.partitionBy(*key).orderBy("segment", "word_no")
     new = F.coalesce((F.round(F.col("start_sec") - F.lag("end_sec").over(w), 6) > gap).cast("int"), F.lit(1))
-    islands = words.withColumn("island", F.sum(new).over(w)).groupBy("source_id", "island").agg(
-        F.sort_array(F.collect_list(F.struct("start_sec", "segment", "word_no", "end_sec", "text"))).alias("ws")
+    said = words.select(*key, "segment", "word_no", "start_sec", "end_sec", F.trim("text").alias("text"))
+    islands = said.withColumn("island", F.sum(new).over(w)).groupBy(*key, "island").agg(
+        F.sort_array(F.collect_list(F.struct("segment", "word_no", "start_sec", "end_sec", "text"))).alias("ws")
     )
     cue = "struct<start_sec:double,end_sec:double,text:string>"
     start = F.struct(F.array().cast(f"array<{cue}>").alias("done"), F.lit(None).cast(cue).alias("now"))
 
     def step(state, word):
         joined = F.concat(state.now.text, F.lit(" "), word.text)
-        over = state.now.isNull() | (F.length(joined) > budget)
+        over = state.now.isNull() | (F.length(joined) + 1 > budget)
         fresh = F.struct(word.start_sec.alias("start_sec"), word.end_sec.alias("end_sec"), word.text.alias("text"))
         longer = F.struct(state.now.start_sec.alias("start_sec"), word.end_sec.alias("end_sec"), joined.alias("text"))
         done = F.when(state.now.isNotNull() & over, F.concat(state.done, F.array(state.now))).otherwise(state.done)
         return F.struct(done.alias("done"), F.when(over, fresh).otherwise(longer).alias("now"))
 
     cues = F.aggregate("ws", start, step, lambda s: F.concat(s.done, F.array(s.now)))
-    return islands.select("source_id", "island", F.posexplode(cues).alias("cue", "c")).select("source_id", "island", "cue", "c.*")
+    return islands.select(*key, "island", F.posexplode(cues).alias("cue", "c")).select(*key, "island", "cue", "c.*")
 
 
 def snap_bounds(clips: DataFrame, words: DataFrame, quiet: DataFrame, back: float = 3.0, forward: float = 3.0) -> DataFrame:

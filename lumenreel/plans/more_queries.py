@@ -26,10 +26,9 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.when(F.col("p_partkey") % 3 == 0, "music"), F.lit("video")).alias("kind"))
 
 
-@query("compact_number", "SELECT o_orderkey, CASE WHEN o_orderkey * 7 >= 1000 THEN CAST(CAST(floor(o_orderkey * 7 / 1000.0 + 0.5) AS BIGINT) AS VARCHAR) || 'K' ELSE CAST(o_orderkey * 7 AS VARCHAR) END AS views FROM {orders} WHERE o_orderkey * 7 < 1000000")
+@query("compact_number", f"SELECT o_orderkey, {Y.COMPACT} AS views FROM {{orders}}")
 def _(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").filter("o_orderkey * 7 < 1000000")
-    return o.select("o_orderkey", J.readable_views(F.col("o_orderkey") * 7).alias("views"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", J.readable_views(F.col("o_orderkey") * 97).alias("views"))
 
 
 @query("silence_points", f"""SELECT source_id, round(CASE WHEN m BETWEEN lo AND hi THEN m WHEN a < lo AND lo < b THEN lo ELSE hi END, 3) AS point FROM (SELECT s.source_id, s.from_sec AS a, s.to_sec AS b, (s.from_sec + s.to_sec) / 2 AS m, 20.0 AS lo, 40.0 AS hi FROM
@@ -46,8 +45,7 @@ def _(spark, sf_dir):
 
 
 def snapped(spark, sf_dir):
-    inside = X.spans(spark, sf_dir).filter("span_end < duration")
-    return R.snap_bounds(inside, X.words(spark, sf_dir), X.quiet(spark, sf_dir))
+    return R.snap_bounds(X.spans(spark, sf_dir), X.words(spark, sf_dir), X.quiet(spark, sf_dir))
 
 
 @query("snap_start")
@@ -84,10 +82,10 @@ def _(spark, sf_dir):
 
 def _find(frames):
     for frame in frames:
-        yield frame.assign(url="https://example.org/find?q=" + frame["topic"].str.slice(0, 10))[["ord", "url"]]
+        yield frame.assign(url="https://example.org/find?q=" + frame["topic"])[["ord", "url"]]
 
 
-@query("video_finder_port", "SELECT ord, 'https://example.org/find?q=' || substr(topic, 1, 10) AS url FROM {signals}")
+@query("video_finder_port", "SELECT ord, 'https://example.org/find?q=' || topic AS url FROM {signals}")
 def _(spark, sf_dir):
     return P.with_finder(read(spark, sf_dir, "signals").select("ord", "topic"), _find, "ord long, url string")
 

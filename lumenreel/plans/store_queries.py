@@ -45,10 +45,10 @@ def _(spark, sf_dir):
     return N.review_queue(clips(spark, sf_dir), "PENDING").select("id", "version")
 
 
-@query("lineage_peers", "SELECT id FROM {clips} WHERE coalesce(lineage_id, id) IN (SELECT coalesce(lineage_id, id) FROM {clips} WHERE id % 50 = 1)")
+@query("lineage_peers", "SELECT id FROM {clips} WHERE coalesce(lineage_id, id) IN (SELECT coalesce(lineage_id, id) FROM {clips} WHERE superseded_on IS NOT NULL)")
 def _(spark, sf_dir):
     c = clips(spark, sf_dir)
-    return N.lineage_peers(c, c.filter("id % 50 = 1")).select("id")
+    return N.lineage_peers(c, c.filter("superseded_on IS NOT NULL")).select("id")
 
 
 @query("settled_clips", "SELECT id FROM {clips} WHERE review = 'REJECTED' UNION SELECT id FROM {clips} WHERE superseded_on IS NOT NULL")
@@ -56,11 +56,11 @@ def _(spark, sf_dir):
     return N.settled_clips(clips(spark, sf_dir)).select("id")
 
 
-@query("lineage_settlement", f"""SELECT c.id, CASE WHEN d.decision = 'REJECTED' THEN 'REJECTED' ELSE c.review END AS review FROM {{clips}} c JOIN (SELECT coalesce(lineage_id, id) AS root, arg_max(id, id) AS id, arg_max(review, id) AS decision FROM {{clips}} WHERE id % 9 = 1 GROUP BY 1) d
+@query("lineage_settlement", f"""SELECT c.id, CASE WHEN d.decision = 'REJECTED' THEN 'REJECTED' ELSE c.review END AS review FROM {{clips}} c JOIN (SELECT coalesce(lineage_id, id) AS root, arg_max(id, id) AS id, arg_max(review, id) AS decision FROM {{clips}} WHERE superseded_on IS NOT NULL GROUP BY 1) d
   ON coalesce(c.lineage_id, c.id) = d.root WHERE c.id <> d.id AND d.decision IN ('REJECTED', 'APPROVED')""")
 def _(spark, sf_dir):
     c = clips(spark, sf_dir)
-    d = c.filter("id % 9 = 1").select(N.root().alias("root"), "id", F.col("review").alias("decision"), day().alias("decided_on"))
+    d = c.filter("superseded_on IS NOT NULL").select(N.root().alias("root"), "id", F.col("review").alias("decision"), day().alias("decided_on"))
     return N.lineage_settlement(c, d).select("id", "review")
 
 
@@ -88,11 +88,11 @@ def _(spark, sf_dir):
 def attempts(spark, sf_dir):
     """Orders as publish attempts: a customer is a clip."""
     o = read(spark, sf_dir, "orders")
-    s = F.when(F.col("o_orderkey") % 5 == 0, "PUBLISHED").when(F.col("o_orderkey") % 5 == 1, "UPLOADING").otherwise("FAILED")
-    return o.select(F.col("o_orderkey").alias("publication_id"), F.col("o_custkey").alias("clip_id"), F.lit("youtube").alias("platform"), s.alias("state"), F.col("o_orderdate").alias("created_at")).filter("publication_id % 7 = 0")
+    s = F.when(F.col("o_orderpriority").startswith("1") & (F.col("o_orderstatus") == "F"), "PUBLISHED").when(F.col("o_orderstatus") == "P", "UPLOADING").otherwise("FAILED")
+    return o.select(F.col("o_orderkey").alias("publication_id"), F.col("o_custkey").alias("clip_id"), F.lit("youtube").alias("platform"), s.alias("state"), F.col("o_orderdate").alias("created_at"), "o_orderkey")
 
 
-ATTEMPTS = "(SELECT o_orderkey AS publication_id, o_custkey AS clip_id, CASE o_orderkey % 5 WHEN 0 THEN 'PUBLISHED' WHEN 1 THEN 'UPLOADING' ELSE 'FAILED' END AS state, o_orderdate AS created_at FROM {orders} WHERE o_orderkey % 7 = 0)"
+ATTEMPTS = "(SELECT o_orderkey AS publication_id, o_custkey AS clip_id, CASE WHEN o_orderpriority LIKE '1%' AND o_orderstatus = 'F' THEN 'PUBLISHED' WHEN o_orderstatus = 'P' THEN 'UPLOADING' ELSE 'FAILED' END AS state, o_orderdate AS created_at FROM {orders})"
 
 
 @query("live_attempt", f"SELECT clip_id, arg_min(publication_id, created_at) AS publication_id FROM {ATTEMPTS} a WHERE state IN ('PUBLISHED', 'UPLOADING') GROUP BY clip_id")
@@ -102,9 +102,9 @@ def _(spark, sf_dir):
 
 @query("publish_state", f"""SELECT c.c_custkey AS clip_id, CASE WHEN p.pub > 0 THEN 'PUBLISHED' WHEN p.up > 0 THEN 'UPLOADING' WHEN j.status = 'RUNNING' THEN 'UPLOADING' WHEN j.not_before > TIMESTAMP '1997-01-01' THEN 'SCHEDULED' WHEN j.status IS NOT NULL THEN 'QUEUED' WHEN p.bad > 0 THEN 'FAILED' ELSE 'READY' END AS state
   FROM {{customer}} c LEFT JOIN (SELECT clip_id, count(*) FILTER (WHERE state = 'PUBLISHED') AS pub, count(*) FILTER (WHERE state = 'UPLOADING') AS up, count(*) FILTER (WHERE state = 'FAILED') AS bad FROM {ATTEMPTS} a GROUP BY 1) p ON p.clip_id = c.c_custkey
-  LEFT JOIN (SELECT * FROM (SELECT trend_id, status, not_before, row_number() OVER (PARTITION BY trend_id ORDER BY created_at DESC, id DESC) AS rn FROM {{jobs}} WHERE status IN ('QUEUED', 'RUNNING') AND id % 3 = 0) q WHERE rn = 1) j ON j.trend_id = c.c_custkey""")
+  LEFT JOIN (SELECT * FROM (SELECT trend_id, status, not_before, row_number() OVER (PARTITION BY trend_id ORDER BY created_at DESC, id DESC) AS rn FROM {{jobs}} WHERE status IN ('QUEUED', 'RUNNING')) q WHERE rn = 1) j ON j.trend_id = c.c_custkey""")
 def _(spark, sf_dir):
-    jobs = read(spark, sf_dir, "jobs").filter("id % 3 = 0").withColumnRenamed("trend_id", "clip_id")
+    jobs = read(spark, sf_dir, "jobs").withColumnRenamed("trend_id", "clip_id")
     return N.publish_state(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("clip_id")), attempts(spark, sf_dir), jobs, F.lit("1997-01-01").cast("date"))
 
 
@@ -203,10 +203,13 @@ def _(spark, sf_dir):
     return J.next_due_time(read(spark, sf_dir, "jobs"), now())
 
 
+ZONES = ("Europe/London", "America/New_York", "Mars/Base", "Europe/Berlin", "Asia/Kathmandu", "Australia/Lord_Howe", "America/St_Johns")
+
+
 def schedules(spark, sf_dir):
     s = F.col("s_suppkey")
     return read(spark, sf_dir, "supplier").select(
-        s.alias("id"), F.when(s % 4 == 0, "INTERVAL").otherwise("DAILY").alias("cadence"), F.format_string("%02d:30", s % 24).alias("at"), F.when(s % 3 == 0, "Europe/London").when(s % 3 == 1, "America/New_York").otherwise("Mars/Base").alias("timezone"),
+        s.alias("id"), F.when(s % 4 == 0, "INTERVAL").otherwise("DAILY").alias("cadence"), F.format_string("%02d:30", s % 24).alias("at"), F.get(F.array(*map(F.lit, ZONES)), (s % len(ZONES)).cast("int")).alias("timezone"),
         (s % 12 + 1).cast("int").alias("every_hours"), (s % 5 != 0).alias("enabled"), F.when(s % 7 != 0, F.timestamp_seconds(F.lit(1711843200) + s * 600)).alias("next_due_at"),
     )
 
@@ -215,9 +218,9 @@ def at(text="2024-03-31 00:15:00"):
     return F.lit(text).cast("timestamp")
 
 
-@query("schedule_due", """SELECT id, CASE WHEN k = 'INTERVAL' THEN TIMESTAMP '2024-03-31 00:15:00' + to_hours(every) ELSE CAST(timezone('UTC', timezone(zone, w + CASE WHEN w <= l THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END)) AS TIMESTAMP) END AS due, CASE WHEN k = 'DAILY' AND id % 3 = 2 THEN 'unknown zone read as UTC' END AS warning FROM
+@query("schedule_due", """SELECT id, CASE WHEN k = 'INTERVAL' THEN TIMESTAMP '2024-03-31 00:15:00' + to_hours(every) ELSE CAST(timezone('UTC', timezone(zone, w + CASE WHEN w <= l THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END)) AS TIMESTAMP) END AS due, CASE WHEN k = 'DAILY' AND id % 7 = 2 THEN 'unknown zone read as UTC' END AS warning FROM
   (SELECT *, CAST(l AS DATE) + to_hours(id % 24) + INTERVAL 30 MINUTE AS w FROM (SELECT *, timezone(zone, timezone('UTC', TIMESTAMP '2024-03-31 00:15:00')) AS l FROM (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN 'INTERVAL' ELSE 'DAILY' END AS k, CAST(s_suppkey % 12 + 1 AS INT) AS every,
-  CASE s_suppkey % 3 WHEN 0 THEN 'Europe/London' WHEN 1 THEN 'America/New_York' ELSE 'UTC' END AS zone FROM {supplier}) a) b) c""")
+  CASE s_suppkey % 7 WHEN 0 THEN 'Europe/London' WHEN 1 THEN 'America/New_York' WHEN 3 THEN 'Europe/Berlin' WHEN 4 THEN 'Asia/Kathmandu' WHEN 5 THEN 'Australia/Lord_Howe' WHEN 6 THEN 'America/St_Johns' ELSE 'UTC' END AS zone FROM {supplier}) a) b) c""")
 def _(spark, sf_dir):
     return J.schedule_due(schedules(spark, sf_dir), at()).withColumn("due", F.col("due").cast("timestamp_ntz"))
 
@@ -294,7 +297,7 @@ def _(spark, sf_dir):
 
 def preferences(spark, sf_dir):
     p = F.col("p_partkey")
-    return read(spark, sf_dir, "part").select(p.alias("id"), F.when(p % 100 == 0, "EVERYTHING").otherwise("SOURCE").alias("scope"), (p % 40).alias("source_id"), F.initcap("p_type").alias("lesson"), F.when(p % 2 == 0, "ACCEPTED").otherwise("PROPOSED").alias("status"), F.when(p % 3 == 0, F.col("p_brand")).alias("voice"), F.when(p % 5 == 0, F.col("p_size")).alias("framing"), p.alias("created_at"))
+    return read(spark, sf_dir, "part").select(p.alias("id"), F.when(p % 100 == 0, "EVERYTHING").otherwise("SOURCE").alias("scope"), (p % 40).alias("source_id"), F.initcap("p_type").alias("lesson"), F.when(p % 2 == 0, "ACCEPTED").otherwise("PROPOSED").alias("status"), F.when(p % 3 == 0, F.col("p_brand")).alias("voice"), F.when(p % 5 == 0, F.col("p_size")).alias("framing"), p.alias("created_at"), F.col("p_size").alias("size"))
 
 
 @query("preference_scope", "SELECT s.source_id, p_partkey AS id FROM (SELECT unnest(generate_series(0, 39)) AS source_id) s JOIN {part} p ON p_partkey % 100 = 0 OR p_partkey % 40 = s.source_id")
@@ -307,10 +310,10 @@ def _(spark, sf_dir):
     return J.preference_scope(preferences(spark, sf_dir).filter("status = 'ACCEPTED'"), preferences(spark, sf_dir).select("source_id").distinct())
 
 
-@query("preference_dedupe", "SELECT min(p_partkey) AS id FROM {part} WHERE p_partkey % 2 = 1 AND lower(p_type) NOT IN (SELECT lower(p_type) FROM {part} WHERE p_partkey % 2 = 0 AND p_partkey < 40) GROUP BY lower(p_type)")
+@query("preference_dedupe", "SELECT min(p_partkey) AS id FROM {part} WHERE p_partkey % 2 = 1 AND lower(p_type) NOT IN (SELECT lower(p_type) FROM {part} WHERE p_partkey % 2 = 0 AND p_size = 1) GROUP BY lower(p_type)")
 def _(spark, sf_dir):
     p = preferences(spark, sf_dir)
-    return J.preference_dedupe(p.filter("status = 'PROPOSED'"), p.filter("status = 'ACCEPTED' AND id < 40")).select("id")
+    return J.preference_dedupe(p.filter("status = 'PROPOSED'"), p.filter("status = 'ACCEPTED' AND size = 1")).select("id")
 
 
 @query("preference_defaults", "SELECT p_partkey % 40 AS source_id, arg_max(CASE WHEN p_partkey % 3 = 0 THEN p_brand END, CASE WHEN p_partkey % 3 = 0 THEN p_partkey END) AS voice, arg_max(CASE WHEN p_partkey % 5 = 0 THEN p_size END, CASE WHEN p_partkey % 5 = 0 THEN p_partkey END) AS framing FROM {part} WHERE p_partkey % 2 = 0 GROUP BY 1")
@@ -382,10 +385,14 @@ def _(spark, sf_dir):
     return J.source_dedupe(x.filter("l_orderkey % 2 = 0"), x.filter("l_orderkey % 2 = 1"), ("provider", "external_id")).select("provider", "external_id")
 
 
-@query("readable", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(CAST(floor(o_orderkey * 7 / 1000.0 + 0.5) AS BIGINT) AS VARCHAR) || 'K' END AS views FROM {orders} WHERE o_orderkey * 7 BETWEEN 1000 AND 999999 AND o_orderkey % 3 = 0")
+#: 97 views for each order key: below a thousand, thousands and, from key 10310 on, tenths of millions.
+COMPACT = """CASE WHEN o_orderkey * 97 >= 1000000 THEN regexp_replace(printf('%d.%d', round(o_orderkey * 97 / 1e5)::BIGINT // 10, round(o_orderkey * 97 / 1e5)::BIGINT % 10), '\\.0$', '') || 'M'
+  WHEN o_orderkey * 97 >= 1000 THEN CAST(CAST(floor(o_orderkey * 97 / 1000.0 + 0.5) AS BIGINT) AS VARCHAR) || 'K' ELSE CAST(o_orderkey * 97 AS VARCHAR) END"""
+
+
+@query("readable", f"SELECT o_orderkey, {COMPACT} AS views FROM {{orders}}")
 def _(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").filter("o_orderkey * 7 BETWEEN 1000 AND 999999 AND o_orderkey % 3 = 0")
-    return o.select("o_orderkey", J.readable_views(F.col("o_orderkey") * 7).alias("views"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", J.readable_views(F.col("o_orderkey") * 97).alias("views"))
 
 
 @query("readable_duration", "SELECT o_orderkey, CASE WHEN o_orderkey >= 3600 THEN CAST(o_orderkey // 3600 AS VARCHAR) || ':' || lpad(CAST(o_orderkey % 3600 // 60 AS VARCHAR), 2, '0') ELSE CAST(o_orderkey // 60 AS VARCHAR) END || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') AS length FROM {orders}")
@@ -404,12 +411,13 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", J.song_seconds(verse, F.col("p_size") + 60).alias("seconds"))
 
 
-SERIES = "(SELECT event_type AS series_id, CAST(date_diff('hour', TIMESTAMP '2024-01-01', ts) AS BIGINT) AS t, round(sum(value), 4) AS value FROM {events} GROUP BY 1, 2)"
+SERIES = "(SELECT user_id AS series_id, CAST(date_diff('hour', TIMESTAMP '2024-01-01', ts) // 6 AS BIGINT) AS t, round(sum(value), 4) AS value FROM {events} GROUP BY 1, 2)"
 
 
 def series(spark, sf_dir):
-    hours = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200) / 3600).cast("long")
-    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("series_id"), hours.alias("t")).agg(F.round(F.sum("value"), 4).alias("value"))
+    """Quarter days of each user: as many series as there are users."""
+    quarters = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200) / 21600).cast("long")
+    return read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("series_id"), quarters.alias("t")).agg(F.round(F.sum("value"), 4).alias("value"))
 
 
 @query("loudest_window", f"SELECT series_id, arg_max(t, s * 100000 - t) AS start FROM (SELECT series_id, t, sum(value) OVER (PARTITION BY series_id ORDER BY t RANGE BETWEEN CURRENT ROW AND 5 FOLLOWING) AS s FROM {SERIES} x) y GROUP BY 1")
@@ -459,9 +467,9 @@ def _(spark, sf_dir):
     return W.phase_grid(series(spark, sf_dir), 24)
 
 
-@query("motion_profile", "SELECT label, d AS \"column\", round(sum(CASE WHEN c > 0.1 THEN c ELSE 0 END), 4) AS energy FROM (SELECT label, d, abs(v - lag(v) OVER (PARTITION BY label, d ORDER BY vec_id)) AS c FROM (SELECT label, vec_id, unnest(generate_series(1, 8)) AS d, embedding[unnest(generate_series(1, 8))]::DOUBLE AS v FROM {embeddings}) a) b GROUP BY 1, 2")
+@query("motion_profile", "SELECT label, d AS \"column\", round(sum(CASE WHEN c > 0.1 THEN c ELSE 0 END), 4) AS energy FROM (SELECT label, d, abs(v - lag(v) OVER (PARTITION BY label, d ORDER BY vec_id)) AS c FROM (SELECT label, vec_id, unnest(generate_series(1, len(embedding))) AS d, embedding[unnest(generate_series(1, len(embedding)))]::DOUBLE AS v FROM {embeddings}) a) b GROUP BY 1, 2")
 def _(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("frame"), F.posexplode(F.slice("embedding", 1, 8)).alias("p", "v"))
+    e = read(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("p", "v"))
     f = e.select(F.col("label").alias("series_id"), "frame", (F.col("p") + 1).cast("long").alias("column"), F.col("v").cast("double").alias("value"))
     return W.motion_profile(f, 0.1).select(F.col("series_id").alias("label"), "column", F.round("energy", 4).alias("energy"))
 
@@ -491,7 +499,7 @@ def _(spark, sf_dir):
 
 @query("retention_at")
 def _(spark, sf_dir):
-    s = series(spark, sf_dir).filter("t < 50").groupBy("series_id").agg(F.collect_list(F.struct((F.col("t") / 50).alias("x"), F.col("value").alias("y"))).alias("curve"))
+    s = series(spark, sf_dir).groupBy("series_id").agg(F.collect_list(F.struct((F.col("t") / 120).alias("x"), F.col("value").alias("y"))).alias("curve"))
     return s.select("series_id", F.bround(W.interpolate(F.col("curve"), 0.5), 4).alias("half"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -22,10 +23,10 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "signals").select("ord", F.array_join(F.sort_array(T.topic_tokens(F.col("topic"))), " ").alias("tokens"))
 
 
-@query("same_topic", "SELECT a.ord, s > 0 AND (s / u >= 0.5 OR (m >= 2 AND s / m >= 0.75)) AS same FROM (SELECT ord, len(list_intersect(x, y)) AS s, CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE) AS u, CAST(least(len(x), len(y)) AS DOUBLE) AS m FROM (SELECT ord, " + TOKENS.format("topic") + " AS x, " + TOKENS.format("left(topic, 30)") + " AS y FROM {signals}) t) a")
+@query("same_topic", "SELECT a.ord, s > 0 AND (s / u >= 0.5 OR (m >= 2 AND s / m >= 0.75)) AS same FROM (SELECT ord, len(list_intersect(x, y)) AS s, CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE) AS u, CAST(least(len(x), len(y)) AS DOUBLE) AS m FROM (SELECT ord, " + TOKENS.format("split_part(text, chr(10), 1)") + " AS x, " + TOKENS.format("split_part(text, chr(10), 2)") + " AS y FROM (SELECT doc_id AS ord, text FROM {documents}) d) t) a")
 def _(spark, sf_dir):
-    s = read(spark, sf_dir, "signals")
-    return s.select("ord", T.same_topic(T.topic_tokens(F.col("topic")), T.topic_tokens(F.left("topic", F.lit(30)))).alias("same"))
+    line = lambda n: T.topic_tokens(F.split_part("text", F.lit("\n"), F.lit(n)))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), T.same_topic(line(1), line(2)).alias("same"))
 
 
 @query("lookup_query", "SELECT ord, CASE WHEN len(list_filter(" + TOKENS.format("split_part(topic, ' ', 3) || ' f1'") + ", lambda h: NOT list_contains(" + TOKENS.format("topic") + ", h))) > 0 THEN topic || ' ' || split_part(topic, ' ', 3) || ' f1' ELSE topic END AS q FROM {signals}")
@@ -150,10 +151,32 @@ def _(spark, sf_dir):
     return c.select("conv_id", "turn", T.speakability(F.col("text"), F.col("role") == "user", (F.length("text") % 10) / 10).alias("s")).select("conv_id", "turn", "s.*")
 
 
-@query("echo_check")
+CONTENT = "list_distinct(list_filter(" + STRIPPED.replace("text", "{0}") + ", lambda w: length(w) > 2 AND w NOT IN (" + ", ".join(f"'{w}'" for w in sorted(T.ENGLISH_COMMON)) + ")))"
+
+
+@query("echo_check", "SELECT conv_id, turn, CASE " + " ".join(f"WHEN contains(said, '{p}') THEN 'footage: {p}'" for p in ("the camera", "the screen shows", "watch as", "notice the")) + r""" WHEN len(mine) >= 8 AND len(theirs) > 0 AND len(list_intersect(mine, theirs)) / len(mine) >= 0.7 THEN 'description' END AS reason
+  FROM (SELECT *, """ + CONTENT.format("said") + " AS mine, " + CONTENT.format("before") + r""" AS theirs FROM (SELECT conv_id, turn, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS said, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM {conversations}) a) b""")
 def _(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", T.echo_check(F.col("text"), F.substring("text", 1, 400)).alias("reason"))
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    c = read(spark, sf_dir, "conversations").withColumn("before", before)
+    return c.select("conv_id", "turn", T.echo_check(F.col("text"), F.col("before")).alias("reason"))
+
+
+def first_different(items: str, most: int, name: str, by: str = "w", sep: str = ",") -> str:
+    """SQL for the first `most` different items of a list for each document, joined in order; documents have columns
+    doc_id, text and hook, the text's first line."""
+    docs = "(SELECT doc_id, text, split_part(text, chr(10), 1) AS hook FROM {documents})"
+    return f"""SELECT d.doc_id, coalesce(x.v, '') AS {name} FROM {{documents}} d LEFT JOIN (SELECT doc_id, string_agg(w, '{sep}' ORDER BY pos) AS v FROM (SELECT doc_id, arg_min(w, pos) AS w, min(pos) AS pos, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS rn
+  FROM (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, {items} AS l FROM {docs} a) b) c GROUP BY doc_id, {by}) e WHERE rn <= {most} GROUP BY doc_id) x ON x.doc_id = d.doc_id"""
+
+
+def documents(spark, sf_dir):
+    """Documents with `hook`, the text's first line, which is what is known of a text here."""
+    return read(spark, sf_dir, "documents").withColumn("hook", F.split_part("text", F.lit("\n"), F.lit(1)))
+
+
+RUNS = r"[\p{L}\p{Nl}\p{No}]+"
+KNOWN = f"list_filter(regexp_extract_all(lower(hook), '{RUNS}'), lambda v: length(v) > 2)"
 
 
 @query("thin_check", "SELECT conv_id, turn, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) < greatest(6, CAST(floor(greatest(8, floor((turn * 10 + 5) * 2.4::DOUBLE)) * 0.6::DOUBLE) AS INT)) * 0.7::DOUBLE AS thin FROM {conversations}")
@@ -161,9 +184,12 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.thin_check(F.col("text"), T.word_floor(F.col("turn") * 10 + 5)).alias("thin"))
 
 
-@query("ungrounded_terms")
+NEW = f"list_filter(flatten(list_transform(regexp_split_to_array(text, '[.!?\\n]+'), lambda s: regexp_extract_all(s, '{RUNS}')[2:])), lambda w: length(w) >= 4 AND regexp_matches(w, '^\\p{{Lu}}') AND NOT list_contains({KNOWN}, lower(w)))"
+
+
+@query("ungrounded_terms", first_different(f"CASE WHEN len({KNOWN}) > 0 THEN {NEW} ELSE [] END", 8, "terms", "lower(w)"))
 def _(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.ungrounded_terms(F.col("text"), F.substring("text", 1, 300)), ",").alias("terms"))
+    return documents(spark, sf_dir).select("doc_id", F.coalesce(F.array_join(T.ungrounded_terms(F.col("text"), F.col("hook")), ","), F.lit("")).alias("terms"))
 
 
 @query("tidy_title")
@@ -171,15 +197,22 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "first_lines").select("doc_id", T.tidy_title(F.concat(F.lit("“Title: "), F.col("hook"), F.lit("”"))).alias("title"))
 
 
-@query("tidy_tags")
+TAGS = r"list_transform(string_split(text, ' '), lambda t: trim(regexp_replace(lower(regexp_replace(trim(t), '^#+', '')), '\s+', ' ', 'g')))"
+
+
+@query("tidy_tags", first_different(f"list_filter({TAGS}, lambda w: w <> '' AND length(w) <= 40 AND len(string_split(w, ' ')) <= 4 AND (len({KNOWN}) = 0 OR len(list_filter(regexp_extract_all(w, '{RUNS}'), lambda p: length(p) > 2 AND NOT list_contains({KNOWN}, p))) = 0))", 12, "tags"))
 def _(spark, sf_dir):
-    raw = F.transform(F.slice(F.split("text", " "), 1, 40), lambda w: F.concat(F.lit("#"), w))
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.tidy_tags(raw, F.substring("text", 1, 120)), ",").alias("tags"))
+    raw = F.transform(F.split("text", " "), lambda w: F.concat(F.lit("#"), w))
+    return documents(spark, sf_dir).select("doc_id", F.coalesce(F.array_join(T.tidy_tags(raw, F.col("hook")), ","), F.lit("")).alias("tags"))
+
+
+NAMES = "list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]+'), lambda w: regexp_replace(regexp_replace(w, '^[''-]+|[''-]+$', '', 'g'), '''s$', ''))"
+COMMON = ", ".join(f"'{w}'" for w in sorted(T.HEADLINE_COMMON))
 
 
-@query("names_in")
+@query("names_in", first_different(f"list_filter({NAMES}, lambda w: length(w) >= 3 AND regexp_matches(w, '^[A-Z]') AND lower(w) NOT IN ({COMMON}))", 40, "names"))
 def _(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.names_in(F.col("text")), ",").alias("names"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.array_join(T.names_in(F.col("text")), ","), F.lit("")).alias("names"))
 
 
 @query("blocked_names", "SELECT doc_id, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT d.doc_id, n.name FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN_]+')) AS token FROM {documents}) d JOIN (SELECT n_name AS name FROM {nation} UNION ALL SELECT 'Idiot' UNION ALL SELECT 'Thnd') n ON lower(n.name) = d.token) x GROUP BY doc_id")
@@ -231,11 +264,11 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "first_lines").select("doc_id", F.array_join(T.wrap_title(F.col("hook")), "|").alias("title"))
 
 
-@query("trim_words", "SELECT doc_id, CASE WHEN length(hook) <= 40 THEN hook ELSE rtrim(CASE WHEN length(regexp_replace(left(hook, 40), '\\s+\\S*$', '')) >= 24 THEN regexp_replace(left(hook, 40), '\\s+\\S*$', '') ELSE left(hook, 40) END) END AS text FROM {first_lines}")
+@query("trim_words", "SELECT doc_id, CASE WHEN length(hook) <= 40 THEN hook WHEN strpos(reverse(hard), ' ') > 0 AND length(hard) - strpos(reverse(hard), ' ') >= 25 THEN regexp_replace(left(hard, length(hard) - strpos(reverse(hard), ' ')), '\\s+$', '') ELSE hard END AS text FROM (SELECT *, regexp_replace(left(hook, 40), '\\s+$', '') AS hard FROM {first_lines}) f")
 def _(spark, sf_dir):
     return read(spark, sf_dir, "first_lines").select("doc_id", T.trim_words(F.col("hook"), 40).alias("text"))
 
 
-@query("parse_topics")
+@query("parse_topics", first_different("list_filter(list_transform(regexp_split_to_array(text, '[\\n,]'), lambda t: left(regexp_replace(t, '^\\s+|\\s+$', '', 'g'), 80)), lambda t: t <> '')", 12, "topics", "lower(w)", "|"))
 def _(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.parse_topics(F.col("text")), "|").alias("topics"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.array_join(T.parse_topics(F.col("text")), "|"), F.lit("")).alias("topics"))

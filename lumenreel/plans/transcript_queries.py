@@ -94,7 +94,7 @@ def _(spark, sf_dir):
 
 @query("snap_bounds")
 def _(spark, sf_dir):
-    return R.snap_bounds(spans(spark, sf_dir).filter("span_end < duration"), words(spark, sf_dir), quiet(spark, sf_dir))
+    return R.snap_bounds(spans(spark, sf_dir), words(spark, sf_dir), quiet(spark, sf_dir))
 
 
 @query("source_excerpt", f"""SELECT source_id, span_id, CASE WHEN length(t) > 600 THEN rtrim(left(t, 600)) || '…' ELSE t END AS text FROM (SELECT s.source_id, s.span_id, trim(regexp_replace(string_agg(g.text, ' ' ORDER BY g.start_sec), '\\s+', ' ', 'g')) AS t
@@ -130,10 +130,10 @@ def _(spark, sf_dir):
 
 
 @query("best_per_source", f"""SELECT s.s_suppkey AS source_id, coalesce(b.start_sec, 285.0) AS start_sec, coalesce(b.end_sec, 315.0) AS end_sec, CASE WHEN b.start_sec IS NOT NULL THEN 'best' ELSE 'middle' END AS how FROM {{supplier}} s LEFT JOIN
-  (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY {TOTAL_SQL} DESC, start_sec, {IDS}) AS rn FROM {{candidates}} WHERE source_id % 3 <> 0) x WHERE rn = 1) b ON b.source_id = s.s_suppkey""")
+  (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY {TOTAL_SQL} DESC, start_sec, {IDS}) AS rn FROM {{candidates}}) x WHERE rn = 1) b ON b.source_id = s.s_suppkey""")
 def _(spark, sf_dir):
     sources = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.lit(600.0).alias("duration"))
-    return S.best_per_source(scored(spark, sf_dir).filter("source_id % 3 <> 0"), sources)
+    return S.best_per_source(scored(spark, sf_dir), sources)
 
 
 @query("compile_select", """SELECT order_id AS compilation_id, concat_ws('-', order_id, line, part, source_id) AS segment_id, start_sec AS start, least(end_sec, start_sec + greatest(5.0, least(20.0, 60.0 / n))) AS "end",

@@ -110,7 +110,7 @@ def _(spark, sf_dir):
 
 @query("rate_limit")
 def _(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("app"), (F.col("user_id") % 3).cast("string")).alias("app"), "ts")
+    e = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("app"), F.col("user_id").cast("string")).alias("app"), "ts")
     return L.rate_limit(e, 5, 3600.0)
 
 

@@ -33,8 +33,8 @@ VIEWS = {
         o_orderdate AS created_at, CASE WHEN o_orderpriority LIKE '5%' THEN CAST(o_orderdate AS DATE) + 3 END AS not_before,
         CASE WHEN o_orderstatus = 'P' AND o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) + 1 END AS lease_expires,
         CAST(o_orderkey % 4 AS INT) AS attempts, 3 AS max_attempts, o_custkey AS trend_id FROM {orders}""",
-    "signals": """SELECT source AS run_id, doc_id AS ord, CASE doc_id % 3 WHEN 0 THEN 'GOOGLE_TRENDS' WHEN 1 THEN 'REDDIT' ELSE 'YOUTUBE' END AS source,
-        substr(text, 1, 60) AS topic, CAST(n_chars % 100 AS DOUBLE) / 100 AS strength, CAST(doc_id % 72 AS INT) AS age_hours FROM {documents}""",
+    "signals": """SELECT concat(coalesce(source, ''), '-', CAST(CAST(floor(doc_id / 1000.0) AS BIGINT) AS VARCHAR(20))) AS run_id, doc_id AS ord, CASE doc_id % 3 WHEN 0 THEN 'GOOGLE_TRENDS' WHEN 1 THEN 'REDDIT' ELSE 'YOUTUBE' END AS source,
+        split_part(text, chr(10), 1) AS topic, CAST(n_chars % 100 AS DOUBLE) / 100 AS strength, CAST(doc_id % 72 AS INT) AS age_hours FROM {documents}""",
     "video_hits": """SELECT CAST(p_partkey % 500 AS VARCHAR(20)) AS external_id, p_brand AS run_id, p_partkey AS ord, p_name AS title,
         CASE WHEN p_partkey % 3 = 0 THEN 'REDDIT' ELSE 'YOUTUBE' END AS via, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_type END AS channel,
         CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_size * 30 AS DOUBLE) END AS duration_sec,
@@ -53,7 +53,10 @@ def view_sql(name: str, reference) -> str:
 
 
 def expand(sql: str, reference) -> str:
-    return re.sub(r"\{(\w+)\}", lambda m: f"({expand(VIEWS[m[1]], reference)})" if m[1] in VIEWS else reference(m[1]), sql)
+    def named(m: re.Match) -> str:
+        return f"({expand(VIEWS[m[1]], reference)})" if m[1] in VIEWS else reference(m[1]) if m[1] in TABLES else m[0]
+
+    return re.sub(r"\{(\w+)\}", named, sql)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -41,7 +41,11 @@ def xml_child(item: Column, tag: str) -> Column:
 
 
 def rfc822(text: Column) -> Column:
-    return F.try_to_timestamp(F.regexp_replace(text, r"^\w{3},\s*", ""), F.lit("d MMM yyyy HH:mm:ss Z"))
+    """Feed dates with a numeric zone or one by name; a year of two digits is of this century."""
+    plain = F.regexp_replace(F.regexp_replace(F.trim(text), r"^\w{3},\s*", ""), r"^(\d+ \w{3}) (\d{2}) ", "$1 20$2 ")
+    for names, offset in (("GMT|UT|UTC|Z", "+0000"), ("EST", "-0500"), ("EDT", "-0400"), ("CST", "-0600"), ("CDT", "-0500"), ("MST", "-0700"), ("MDT", "-0600"), ("PST", "-0800"), ("PDT", "-0700")):
+        plain = F.regexp_replace(plain, rf"\s(?:{names})$", f" {offset}")
+    return F.coalesce(F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm Z")))
 
 
 def read_trends_rss(feeds: DataFrame, now: Column, lookback_hours: int) -> DataFrame:
@@ -79,7 +83,11 @@ def _report_rows(reports: DataFrame) -> DataFrame:
     """Rows of column-headed reports as maps by column name, never by position."""
     d = reports.select("publication_id", F.from_json("value", REPORT).alias("d")).filter("d.columnHeaders IS NOT NULL")
     row = d.select("publication_id", F.transform("d.columnHeaders", lambda h: h["name"]).alias("names"), F.explode("d.rows").alias("row"))
-    return row.filter(F.size("names") == F.size("row")).select("publication_id", F.map_from_arrays("names", "row").alias("m"))
+    # of columns with one name the last counts
+    last = lambda n, i: n.isNotNull() & ~F.array_contains(F.slice("names", i + 2, F.size("names")), n)
+    paired = row.filter(F.size("names") == F.size("row")).select("publication_id", "names", F.arrays_zip("names", "row").alias("pairs"))
+    kept = F.filter("pairs", lambda p, i: last(p["names"], i))
+    return paired.select("publication_id", F.map_from_entries(kept).alias("m"))
 
 
 def read_daily_report(reports: DataFrame) -> DataFrame:

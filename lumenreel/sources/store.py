@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.selection import cut
+
 # Columns that people own.
 DECIDED = ("status", "decided_at", "decided_by", "created_at")
 
@@ -74,11 +76,12 @@ def report_markdown(correlations: DataFrame, cohorts: DataFrame) -> DataFrame:
 
 def from_providers(spark: SparkSession, providers: dict, request: dict, schema: str) -> tuple[DataFrame, dict[str, str]]:
     """Signals of all providers and why any failed; all failing is an error. A provider is a function
-    (spark, request) -> DataFrame."""
+    (spark, request) -> DataFrame. Each one's result is written as it is asked, so one that fails while it runs
+    doesn't stop the rest either."""
     found, failed = [], {}
     for name, provider in providers.items():
         try:
-            found.append(provider(spark, request))
+            found.append(cut(provider(spark, request)))
         except Exception as error:  # a provider is the user's code; one failing doesn't stop the rest
             failed[name] = str(error)
     if not found:

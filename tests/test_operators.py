@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenreel.functions import metrics as M
 from lumenreel.functions import text as T
 from lumenreel.operators import calibration as C
+from lumenreel.operators import regions as G
 from lumenreel.operators import selection as S
 from lumenreel.operators import series as W
 from lumenreel.operators import transcript as R
@@ -57,20 +58,57 @@ def test_fit_weights_equals_numpy(spark):
     assert C.fit_weights(spark.createDataFrame(rows[:10], ", ".join(f"{d} int" for d in dims) + ", y double"), "y").count() == 0
 
 
-def test_suppression_equals_going_in_order(spark):
+def in_order(rows, conflict):
+    kept = []
+    for row in rows:
+        if not any(conflict(row, k) for k in kept):
+            kept.append(row)
+    return {r[1] for r in kept}
+
+
+@pytest.mark.parametrize("width", [120.0, 1800.0])
+def test_suppression_equals_going_in_order(spark, width):
     rng = random.Random(2)
-    rows = [(s, s * 1000 + i, float(rng.randint(0, 300)), rng.randint(0, 20)) for s in range(4) for i in range(60)]
+    rows = [(s, s * 1000 + i, float(rng.randint(-100, 600)), rng.randint(0, 20)) for s in range(4) for i in range(100)]
     rows = [(s, i, a, a + rng.randint(10, 60), t) for s, i, a, t in rows]
+    rows += [(0, 5000, 7.0, 7.0, 1), (0, 5001, 7.0, 7.0, 1), (0, 5002, None, 9.0, 1), (0, 5003, 9.0, 5.0, 1)]  # conflict with none
     df = spark.createDataFrame(rows, "source_id int, id long, start_sec double, end_sec double, total int")
-    got = {r.id for r in S.greedy_suppress(df, "source_id", [F.desc("total"), F.col("start_sec"), F.col("id")]).collect()}
+    got = [r.id for r in S.greedy_suppress(df, "source_id", [F.desc("total"), F.col("start_sec"), F.col("id")], width=width).collect()]
     want = set()
     for source in range(4):
-        kept = []
-        for row in sorted((r for r in rows if r[0] == source), key=lambda r: (-r[4], r[2], r[1])):
-            if all(_iou(row, k) <= 0.5 for k in kept):
-                kept.append(row)
-        want |= {k[1] for k in kept}
-    assert got == want
+        mine = [r for r in rows if r[0] == source and r[1] < 5000]
+        want |= in_order(sorted(mine, key=lambda r: (-r[4], r[2], r[1])), lambda a, b: _iou(a, b) > 0.5)
+    assert sorted(got) == sorted(want | {5000, 5001, 5002, 5003})
+    assert S.greedy_suppress(df.limit(0), "source_id", [F.desc("total")]).count() == 0
+
+
+def test_a_long_staircase_and_copies_of_a_window(spark):
+    steps = [(1, i, i * 5.0, i * 5.0 + 30.0, 1000 - i) for i in range(500)]
+    copies = [(2, 1000 + i, 3.0, 33.0, i) for i in range(2000)]
+    df = spark.createDataFrame(steps + copies, "source_id int, id long, start_sec double, end_sec double, total int")
+    got = {r.id for r in S.greedy_suppress(df, "source_id", [F.desc("total"), F.col("id")]).collect()}
+    assert got == in_order(steps, lambda a, b: _iou(a, b) > 0.5) | {2999}
+
+
+def test_regions_equal_going_in_order(spark):
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 2), i, float(rng.randint(0, 300)), float(rng.randint(0, 300)), float(rng.randint(0, 60)), float(rng.randint(5, 60)), rng.randint(0, 3)) for i in range(300)]
+
+    def meet(a, b):
+        w, h = min(a[2] + a[4], b[2] + b[4]) - max(a[2], b[2]), min(a[3] + a[5], b[3] + b[5]) - max(a[3], b[3])
+        return w > 0 and h > 0 and w * h / min(a[4] * a[5], b[4] * b[5]) >= 0.3
+
+    df = spark.createDataFrame(rows, "source_id int, id long, x double, y double, w double, h double, priority int")
+    want = set()
+    for source in range(3):
+        want |= in_order(sorted((r for r in rows if r[0] == source), key=lambda r: (r[6], r[1])), meet)
+    for width in (100.0, 1000.0):
+        assert {r.id for r in G.merge_regions(df, width=width).collect()} == want
+    seen = {a[0]: 0 for a in rows}
+    for a in rows[:150]:
+        seen[a[0]] += not any(a[0] == b[0] and meet(a, b) for b in rows[150:])
+    new = {r.source_id: r.new for r in G.known_region_anti(df.filter("id < 150"), df.filter("id >= 150")).collect()}
+    assert new == {k: v for k, v in seen.items() if v}
 
 
 def _iou(a, b):

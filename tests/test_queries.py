@@ -1,4 +1,4 @@
-"""Every query with SQL gives the rows that DuckDB gives; the others give rows."""
+"""Every query with SQL gives the rows that DuckDB gives; the others run to their end, twice with the same rows."""
 
 import os
 
@@ -43,3 +43,11 @@ def test_query_equals_its_sql(spark, duck, name):
     want = sorted((tuple(plain(row[i]) for i in order) for row in relation.fetchall()), key=repr)
     got = sorted((tuple(plain(row[c]) for c in columns) for row in df.collect()), key=repr)
     assert got == want
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
+def test_query_without_sql_gives_the_same_rows_again(spark, name):
+    def rows():
+        return sorted((tuple(plain(v) for v in row) for row in registry.queries()[name](spark, SF).collect()), key=repr)
+
+    assert rows() == rows()
