@@ -69,26 +69,32 @@ def _spans(line: str, at: int, cuts: list[int], near: int) -> Iterator[tuple[int
             yield start, end
 
 
-def merkle_tree(text: str | None) -> Node:
-    """The tree of a whole text; null counts as empty, and the empty text has a root without children."""
+def merkle_tree(text: str | None, known: dict[str, Node] | None = None) -> Node:
+    """The tree of a whole text; null counts as empty, and the empty text has a root without children.
+
+    known remembers the nodes of lines, whose leaves depend on nothing around them, for texts that share many.
+    """
     text = text or ""
+    known = {} if known is None else known
     sections: list[list[Node]] = [[]]
-    cuts, at = _cuts(text) if len(text) > WHOLE else [], 0
+    cuts, at = None, 0
     blake = hashlib.blake2b
     for line in text.splitlines(keepends=True):
-        spans = _spans(line, at, cuts, bisect_left(cuts, at)) if len(line) > WHOLE else ((at + m.start(), at + m.end()) for m in _LEAF.finditer(line) if m[0])
-        leaves = tuple(Node(blake(text[a:b].encode(), digest_size=16).digest(), b - a, ()) for a, b in spans)
-        paragraph = Node(_digest(b"p", (k.digest for k in leaves)), len(line), leaves)
+        paragraph = known.get(line)
+        if paragraph is None:
+            if len(line) > WHOLE:
+                cuts = _cuts(text) if cuts is None else cuts
+                spans = _spans(line, at, cuts, bisect_left(cuts, at))
+            else:
+                spans = ((at + m.start(), at + m.end()) for m in _LEAF.finditer(line) if m[0])
+            leaves = tuple([Node(blake(text[a:b].encode(), digest_size=16).digest(), b - a, ()) for a, b in spans])
+            paragraph = known[line] = Node(_digest(b"p", [k.digest for k in leaves]), len(line), leaves)
         at += len(line)
-        if not line.strip() and sections[-1]:
-            sections[-1].append(paragraph)
-            sections.append([])
-            continue
         sections[-1].append(paragraph)
-        if paragraph.digest[0] % SECTION == 0:
+        if not line.strip() and len(sections[-1]) > 1 or line.strip() and paragraph.digest[0] % SECTION == 0:
             sections.append([])
-    made = tuple(Node(_digest(b"s", (k.digest for k in s)), sum(k.size for k in s), tuple(s)) for s in sections if s)
-    return Node(hashlib.blake2b(b"r" + b"".join(k.digest for k in made), digest_size=16).digest(), sum(k.size for k in made), made)
+    made = tuple(Node(_digest(b"s", [k.digest for k in s]), sum(k.size for k in s), tuple(s)) for s in sections if s)
+    return Node(_digest(b"r", [k.digest for k in made]), sum(k.size for k in made), made)
 
 
 def fingerprint(tree: Node) -> str:
@@ -188,11 +194,12 @@ def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, key, guest, text in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3), strict=True):
                 now = (bucket.as_py(), key.as_py(), text.as_py() or "")
-                now = (*now, merkle_tree(now[2]))
+                lines: dict[str, Node] = {}
+                now = (*now, merkle_tree(now[2], lines), lines)
                 if held and held[0] == now[0]:
                     text, tree = held[2], held[3]
                     other = edited_text(text, now[2])
-                    changed = merkle_tree(other)
+                    changed = merkle_tree(other, held[4])
                     yield (held[1], len(text), hashlib.sha256(other.encode()).hexdigest(), fingerprint(tree), fingerprint(changed), likeness(tree, changed), likeness(tree, now[3]))
                 held = None if guest.as_py() else now
 
