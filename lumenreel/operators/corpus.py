@@ -9,6 +9,8 @@ from ..functions import text as T
 from .selection import cut
 
 PHRASE, CONTENT, LINE = 5, 2, 3
+#: Seconds of the bins in which spans and segments meet.
+BIN = 30.0
 
 
 def corpus_word_errors(pairs: DataFrame, reference: str, hypothesis: str, by: list[str]) -> DataFrame:
@@ -121,7 +123,9 @@ def parse_dialogue(scripts: DataFrame, id_col: str, text_col: str, longest: int
 
 def source_excerpt(segments: DataFrame, spans: DataFrame, limit: int = 600) -> DataFrame:
     """Per span the text of the source's segments that overlap it, cut with an ellipsis."""
-    met = spans.join(segments, "source_id").filter("seg_end > span_start AND seg_start < span_end")
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BIN), F.floor(F.col(b) / BIN))).alias("bin")
+    met = spans.select("*", cells("span_start", "span_end")).join(segments.select("*", cells("seg_start", "seg_end")), ["source_id", "bin"]).filter("seg_end > span_start AND seg_start < span_end")
+    met = met.filter(F.col("bin") == F.floor(F.greatest("seg_start", "span_start") / BIN)).drop("bin")  # the first they share
     said = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seg_start", "segment", "text"))), lambda x: x.text), " ")
     return met.groupBy("source_id", "span_id").agg(T.squeeze(said).alias("text")).withColumn(
         "text", F.when(F.length("text") > limit, F.concat(F.rtrim(F.substring("text", 1, limit)), F.lit("…"))).otherwise(F.col("text"))

@@ -140,19 +140,28 @@ def motion_profile(frames: DataFrame, floor: float, by: str = "series_id") -> Da
     return frames.withColumn("d", change).groupBy(by, "column").agg(F.sum(F.when(F.col("d") > floor, F.col("d")).otherwise(0.0)).alias("energy"))
 
 
-def slice_keyframes(keys: DataFrame, parts: DataFrame, by: str = "series_id") -> DataFrame:
-    """A path cut to parts: inside points re-based, both edges interpolated. keys: by, t, value; parts: by, part, p0, p1."""
-    w = _w(by)
-    spans = keys.select(by, "t", "value", F.lead("t").over(w).alias("t1"), F.lead("value").over(w).alias("v1"))
-    inside = keys.join(parts, by).filter("t > p0 AND t < p1").select(by, "part", (F.col("t") - F.col("p0")).alias("t"), "value")
-    edges = parts.select(by, "part", "p0", F.explode(F.array("p0", "p1")).alias("at")).join(spans, by).filter("(t <= at AND (t1 > at OR t1 IS NULL))")
-    at = F.when(F.col("t1").isNull(), F.col("value")).otherwise(F.col("value") + (F.col("v1") - F.col("value")) * (F.col("at") - F.col("t")) / (F.col("t1") - F.col("t")))
-    return inside.unionByName(edges.select(by, "part", (F.col("at") - F.col("p0")).alias("t"), at.alias("value"))).distinct()
-
+def slice_keyframes(keys: DataFrame, parts: DataFrame, by: str = "series_id", width: float = 30.0) -> DataFrame:
+    """A path cut to parts: inside points re-based, both edges interpolated. keys: by, t, value; parts: by, part, p0, p1.
 
-def speaking_at(scenes: DataFrame, times: DataFrame, by: str = "scene_id") -> DataFrame:
-    """Who speaks at each time, or null."""
-    hit = times.join(scenes, by).filter("at >= start_sec AND at < end_sec").groupBy(by, "at").agg(F.min_by("speaker", "start_sec").alias("speaker"))
+    Points meet parts in time bins; an edge takes the last point before it from the points in order.
+    """
+    cell = lambda c: F.floor(F.col(c) / width)
+    held = parts.select("*", F.explode(F.sequence(cell("p0"), cell("p1"))).alias("bin"))
+    inside = keys.withColumn("bin", cell("t")).join(held, [by, "bin"]).filter("t > p0 AND t < p1").select(by, "part", (F.col("t") - F.col("p0")).alias("t"), "value")
+    w = _w(by)
+    spans = keys.select(by, "t", F.struct("t", "value", F.lead("t").over(w).alias("t1"), F.lead("value").over(w).alias("v1")).alias("key"))
+    edges = parts.select(by, F.explode(F.array("p0", "p1")).alias("t"), F.struct("part", "p0").alias("edge"))
+    order = Window.partitionBy(by).orderBy("t", F.col("edge").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = spans.unionByName(edges, allowMissingColumns=True).withColumn("key", F.last("key", ignorenulls=True).over(order)).filter("edge IS NOT NULL AND key IS NOT NULL")
+    k = F.col("key")
+    value = F.when(k.t1.isNull() | (k.t1 <= k.t), k.value).otherwise(k.value + (k.v1 - k.value) * (F.col("t") - k.t) / (k.t1 - k.t))
+    return inside.unionByName(met.select(by, "edge.part", (F.col("t") - F.col("edge.p0")).alias("t"), value.alias("value"))).distinct()
+
+
+def speaking_at(scenes: DataFrame, times: DataFrame, by: str = "scene_id", width: float = 30.0) -> DataFrame:
+    """Who speaks at each time, or null. Times meet scenes in time bins."""
+    spans = scenes.select("*", F.explode(F.sequence(F.floor(F.col("start_sec") / width), F.floor(F.col("end_sec") / width))).alias("bin"))
+    hit = times.withColumn("bin", F.floor(F.col("at") / width)).join(spans, [by, "bin"]).filter("at >= start_sec AND at < end_sec").groupBy(by, "at").agg(F.min_by("speaker", "start_sec").alias("speaker"))
     return times.join(hit, [by, "at"], "left")
 
 

@@ -141,7 +141,9 @@ def snap_bounds(clips: DataFrame, words: DataFrame, quiet: DataFrame, back: floa
     s_high = F.coalesce("a0", "span_start")
     e_low = F.coalesce("a1", "span_end")
     base = base.withColumn("s_high", s_high).withColumn("s_low", F.greatest(F.lit(0.0), s_high - back)).withColumn("e_low", e_low).withColumn("e_high", F.least("duration", e_low + forward))
-    near = base.select(*key, "s_low", "s_high", "e_low", "e_high").join(quiet, "source_id").filter("(to_sec >= s_low AND from_sec <= s_high) OR (to_sec >= e_low AND from_sec <= e_high)")
+    reach = F.explode(bins(F.least("s_low", "e_low"), F.greatest("s_high", "e_high"))).alias("bin")  # in several bins alike, which max and min don't mind
+    still = quiet.select("*", F.explode(bins(F.col("from_sec"), F.col("to_sec"))).alias("bin"))
+    near = base.select(*key, "s_low", "s_high", "e_low", "e_high", reach).join(still, ["source_id", "bin"]).filter("(to_sec >= s_low AND from_sec <= s_high) OR (to_sec >= e_low AND from_sec <= e_high)")
     points = near.groupBy(*key).agg(
         F.max(silence_point(F.col("from_sec"), F.col("to_sec"), F.col("s_low"), F.col("s_high"))).alias("s_point"),
         F.min(silence_point(F.col("from_sec"), F.col("to_sec"), F.col("e_low"), F.col("e_high"))).alias("e_point"),

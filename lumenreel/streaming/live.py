@@ -19,27 +19,33 @@ def latest_state(changes: DataFrame, key: str, order: str) -> DataFrame:
     return changes.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1 AND NOT deleted").drop("__rn")
 
 
-def merge_into_folder(path: str, merge):
-    """A foreachBatch function: merge(stored or None, batch) is written as a new version beside the old one, and a
-    pointer row names the version. A batch that is tried again writes the same version again."""
+def append_batches(path: str, prepare):
+    """A foreachBatch function: prepare(batch) is written as a partition of its own, so what is stored is never written
+    again. A batch that is tried again writes the same partition again."""
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stored = spark.read.parquet(f"{path}/v{batch_id - 1}") if batch_id else None
-        merge(stored, batch).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        prepare(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return run
 
 
 def stream_snapshots(changes: DataFrame, path: str, checkpoint: str):
-    """Daily metric rows restate while they are partial; settled days stay (see upsert_unsettled)."""
-    from ..operators.history import upsert_unsettled
+    """Daily metric rows of each batch, the last of a day, beside those of earlier batches; read_snapshots folds them."""
 
-    def merge(stored, batch):
+    def last_of_day(batch):
         w = Window.partitionBy("publication_id", "day").orderBy(F.desc("seq"))
-        rows = batch.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "seq")
-        return rows if stored is None else upsert_unsettled(stored, rows).drop("written")
+        return batch.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "seq")
+
+    return changes.writeStream.foreachBatch(append_batches(path, last_of_day)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return changes.writeStream.foreachBatch(merge_into_folder(path, merge)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def read_snapshots(spark, path: str, keys: tuple[str, ...] = ("publication_id", "day")) -> DataFrame:
+    """What upsert_unsettled gives batch after batch: a day restates while it is partial, and its first settled row stays."""
+    stored = spark.read.parquet(path)
+    rest = [c for c in stored.columns if c not in (*keys, "batch")]
+    settled = ~F.coalesce("partial", F.lit(False))
+    order = F.struct(settled.alias("settled"), F.when(settled, -F.col("batch")).otherwise(F.col("batch")).alias("batch"))
+    return stored.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("row")).select(*keys, "row.*")
 
 
 class LogGroups(StatefulProcessor):

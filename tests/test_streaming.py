@@ -27,4 +27,7 @@ def test_restatement_stream(spark, tmp_path):
     V.stream_snapshots(V.file_stream(spark, path, schema), out, str(tmp_path / "c")).awaitTermination()
     spark.createDataFrame([(1, "d1", 9, True, 2), (1, "d2", 9, True, 2)], schema).coalesce(1).write.mode("append").parquet(path)
     V.stream_snapshots(V.file_stream(spark, path, schema), out, str(tmp_path / "c")).awaitTermination()
-    assert sorted((r.day, r.views) for r in spark.read.parquet(f"{out}/v1").collect()) == [("d1", 5), ("d2", 9)]
+    assert sorted((r.day, r.views, r.partial) for r in V.read_snapshots(spark, out).collect()) == [("d1", 5, False), ("d2", 9, True)]
+    spark.createDataFrame([(1, "d2", 7, False, 3), (1, "d2", 8, False, 2), (1, "d3", None, None, 3)], schema).coalesce(1).write.mode("append").parquet(path)
+    V.stream_snapshots(V.file_stream(spark, path, schema), out, str(tmp_path / "c")).awaitTermination()
+    assert sorted((r.day, r.views) for r in V.read_snapshots(spark, out).collect()) == [("d1", 5), ("d2", 7), ("d3", None)]
