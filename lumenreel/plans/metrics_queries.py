@@ -238,7 +238,11 @@ def _(spark, sf_dir):
     return C.correlate(clip_facts(spark, sf_dir), "predicted_score", ["views", "view_percentage"]).drop("interpretation")
 
 
-@query("interpretation")
+@query("interpretation", f"""SELECT outcome, n, CASE WHEN n < 2 THEN printf('n=%d: nothing to correlate.', n) WHEN r IS NULL OR isnan(r) THEN 'Undefined: a side has no variation.' WHEN n < {M.MIN_CONCLUSION} THEN printf('n=%d: too few for a conclusion.', n)
+  WHEN abs(r) >= 1 THEN printf('n=%d: no interval, no conclusion.', n) WHEN low <= 0 AND high >= 0 THEN printf('[%.2f, %.2f] contains zero: no relation shown.', low, high)
+  ELSE printf('A %s relation, %s, [%.2f, %.2f].', CASE WHEN abs(r) < 0.3 THEN 'weak' WHEN abs(r) < 0.6 THEN 'moderate' ELSE 'strong' END, CASE WHEN r > 0 THEN 'higher' ELSE 'lower' END, low, high) END AS interpretation
+  FROM (SELECT *, CASE WHEN n > 3 AND abs(r) < 1 THEN tanh(atanh(r) - 1.96 * 1.06 / sqrt(n - 3)) END AS low, CASE WHEN n > 3 AND abs(r) < 1 THEN tanh(atanh(r) + 1.96 * 1.06 / sqrt(n - 3)) END AS high
+  FROM ({_correlated('views')} UNION ALL {_correlated('view_percentage')}) c WHERE n > 0) i""")
 def _(spark, sf_dir):
     return C.correlate(clip_facts(spark, sf_dir), "predicted_score", ["views", "view_percentage"]).select("outcome", "n", "interpretation")
 

