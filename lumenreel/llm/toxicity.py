@@ -1,6 +1,6 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-Logistic regression on the words a text contains. Each labelled text that mentions an identity term is also seen
+Logistic regression on the words a text contains and their beginnings. Each labelled text that mentions an identity term is also seen
 with that term swapped for the others of its list, and the squared change of its score is a penalty, so a mention
 of a group alone can't move a score much whatever the labels suggest. The model is fitted on a bounded sample of
 labelled rows; Spark counts the words that become features and scores all texts.
@@ -20,8 +20,9 @@ from .common import apart, cut, held_out, table
 
 #: Most labelled rows that the fit reads, features it keeps, and rows a word must be in to become one.
 ROWS, FEATURES, LEAST = 12_000, 6_000, 4
-#: Least smoothed z-score of a feature: presence by chance alone passes it about once in 400 words.
-CLEAR = 3.0
+#: Least smoothed z-score of a word (presence by chance alone passes it about once in 400 words) and of a beginning, which
+#: many words share.
+CLEAR, CLEAR_START = 3.0, 5.0
 THRESHOLD = 0.3
 #: Terms that name groups; a term is swapped for the others of its list.
 IDENTITY = (
@@ -43,8 +44,15 @@ IDENTITY = (
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+_LISTED = frozenset(term for group in IDENTITY for term in group)
+
+
 def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+    """A text's different words and, with a star behind them, the beginnings of longer words, so that forms of a word
+    that the labels don't show count too. Identity terms have no beginnings, as swaps are of whole terms."""
+    words = set(_WORD.findall((text or "").lower()))
+    longer = words - _LISTED
+    return words | {w[:4] + "*" for w in longer if len(w) > 4} | {w[:6] + "*" for w in longer if len(w) > 6}
 
 
 class Model:
@@ -126,9 +134,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", o
     sizes = sample.agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("q")).first()
     odds = F.log((F.col("p") + 0.5) / (sizes.p + 1.0)) - F.log((F.col("q") + 0.5) / (sizes.q + 1.0))
     z = F.abs(odds) / F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("q") + 0.5))
-    chosen = [r.word for r in counted.filter(z >= CLEAR).orderBy(z.desc(), "word").limit(features).collect()]
-    listed = {w for group in IDENTITY for w in group}
-    words = sorted(set(chosen) | listed)
+    chosen = [r.word for r in counted.filter(z >= F.when(F.col("word").endswith("*"), CLEAR_START).otherwise(CLEAR)).orderBy(z.desc(), "word").limit(features).collect()]
+    words = sorted(set(chosen) | _LISTED)
     sent = labelled.sparkSession.sparkContext.broadcast(set(words))
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
