@@ -160,3 +160,45 @@ def test_odd_texts_have_scores(spark):
     got = X.score_texts(odd, model).collect()
     assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
     assert X.score_texts(odd.limit(0), model).count() == 0
+
+
+def test_weights_minimise_a_plain_objective():
+    rng = np.random.default_rng(3)
+    words = ["muslim", "christian", "jewish", "men", "women", "fool", "sun", "tree"]
+    groups = [["muslim", "christian", "jewish"], ["men", "women"]]
+    rows = []
+    for _ in range(400):
+        have = [w for w in words if rng.random() < 0.25]
+        odds = 2.5 * ("fool" in have) + 1.5 * ("muslim" in have) - 2
+        rows.append((have, int(rng.random() < 1 / (1 + np.exp(-odds)))))
+    x = np.array([[w in have for w in words] for have, _ in rows], float)
+    y = np.array([label for _, label in rows], float)
+    swaps = Counter((words.index(a), words.index(b)) for have, _ in rows for g in groups for a in g for b in g if a in have and b not in have)
+    pull = np.zeros((8, 8))
+    for (a, b), n in swaps.items():
+        e = np.eye(8)[b] - np.eye(8)[a]
+        pull += n / sum(swaps.values()) * np.outer(e, e)
+
+    def objective(w, bias):
+        z = x @ w + bias
+        return np.mean(np.log1p(np.exp(z)) - y * z) + 0.2 * w @ w / (2 * len(y)) + 10.0 * w @ pull @ w / 2
+
+    theta = np.zeros(9)
+    design, ridge = np.column_stack([x, np.ones(len(y))]), np.zeros((9, 9))
+    ridge[:8, :8] = 0.2 / len(y) * np.eye(8) + 10.0 * pull
+    for _ in range(40):  # Newton's method
+        p = 1 / (1 + np.exp(-design @ theta))
+        theta -= np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) / len(y) + ridge, design.T @ (p - y) / len(y) + ridge @ theta)
+    model = X.fit_weights(rows, words)
+    found = np.array([model.weights[w] for w in words])
+    assert objective(found, model.bias) < objective(theta[:8], theta[8]) * 1.01 and np.abs(found - theta[:8]).max() < 0.1
+    have = ["fool", "sun"]
+    assert model.score("Fool, SUN!") == pytest.approx(1 / (1 + np.exp(-(model.bias + sum(model.weights[w] for w in have)))))
+
+
+def test_forms_of_a_word_count_by_their_beginning(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["word" + chr(97 + rng.randrange(26)) for _ in range(8)] + (["scumba" + "".join(chr(97 + int(c)) for c in str(i))] if i % 8 == 0 else [])), int(i % 8 == 0)) for i in range(3000)]
+    model = X.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), order=F.col("doc_id"))
+    assert model.score("worda scumbazzz") > 0.5 > model.score("worda wordb") and not {"musl*", "christ*"} & X.words_of("muslim christian")
+    assert X.words_of("muslims walk") >= {"muslims", "walk"} and "muslin"[:4] + "*" in X.words_of("muslin")
