@@ -161,6 +161,7 @@ def select_candidates(proposals: DataFrame, words: DataFrame, quiet: DataFrame,
     """Drop inverted and escaping proposals, suppress overlaps, snap, filter by length, rank: in that order."""
     from .transcript import snap_bounds
 
+    words, quiet, durations = cut(words), cut(quiet), cut(durations)  # each is read several times
     good = proposals.join(durations, "source_id").filter("end_sec > start_sec AND start_sec >= 0 AND end_sec <= duration + 0.5").withColumn("total", total)
     kept = greedy_suppress(good.select("source_id", "id", "start_sec", "end_sec", "total"), "source_id", [F.desc("total"), F.col("start_sec"), F.col("id")])
     spans = kept.join(durations, "source_id").select("source_id", F.col("id").alias("span_id"), F.col("start_sec").alias("span_start"), F.col("end_sec").alias("span_end"), "duration")
