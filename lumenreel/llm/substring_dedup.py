@@ -25,8 +25,8 @@ from .common import apart, batches_of, cut, spread_join, table
 from .fm_index import FMIndex
 
 WINDOW, ANCHOR = 35, 8
-#: Different fragments of one anchor beyond which they are cut finer by an anchor of ANCHOR words more.
-CROWD = 200
+#: Different fragments of one anchor beyond which they are cut finer, by an anchor of so many words more.
+CROWD, FINER = 64, 16
 #: Words of one index; a larger shard is indexed anchor group by anchor group.
 INDEX_WORDS = 1 << 18
 #: What tells fragments apart: their anchor and 128 bits over their words.
@@ -207,7 +207,7 @@ def _judged(classes: DataFrame, window: int, run: int, crowd: int) -> DataFrame:
     found = few.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_search_shard(window), _ddl(_VERDICT))
     if many.isEmpty():
         return found
-    longer = min(run + ANCHOR, window)
+    longer = min(run + FINER, window)
     finer = cut(many.mapInArrow(_refined(window, longer), _ddl(_FINER)), "finer")
     inner = finer.groupBy(*KEY, "words").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("weight"))
     inner = cut(_grouped(cut(inner, "finer-contents"), window, longer, crowd).select(_CLASS.names), "finer-classes")
