@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import byte_bpe, exact_dedup, html_text, language_id, merkle, packing, simhash, substring_dedup, token_counts, toxicity, url_filter
+from . import byte_bpe, exact_dedup, html_text, language_id, merkle, packing, periodic_runs, simhash, substring_dedup, token_counts, toxicity, url_filter
 
 _NAMED = {
     "op1_packing": packing,
@@ -17,6 +17,7 @@ _NAMED = {
     "op8_toxicity": toxicity,
     "op9_exact_dedup": exact_dedup,
     "op10_merkle": merkle,
+    "op11_periodic_runs": periodic_runs,
     "op12_token_counts": token_counts,
 }
 
