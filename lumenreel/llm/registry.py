@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import byte_bpe, exact_dedup, html_text, language_id, merkle, packing, periodic_runs, simhash, substring_dedup, token_counts, toxicity, url_filter
+from . import byte_bpe, conversation_repair, exact_dedup, html_text, language_id, merkle, packing, periodic_runs, simhash, substring_dedup, token_counts, toxicity, url_filter
 
 _NAMED = {
     "op1_packing": packing,
@@ -19,6 +19,7 @@ _NAMED = {
     "op10_merkle": merkle,
     "op11_periodic_runs": periodic_runs,
     "op12_token_counts": token_counts,
+    "op13_conversation_repair": conversation_repair,
 }
 
 
