@@ -2,14 +2,16 @@
 
 A tree builder closes what HTML leaves open (paragraphs, list items, table rows and cells), visibility rules drop
 what a reader doesn't see, and a renderer emits all visible text: blocks on lines of their own, paragraphs with a
-blank line between them, list items with markers and indents, and table cells in aligned columns.
+blank line between them, list items with markers and indents, and table cells in aligned columns. Formulas and the texts
+of drawings are text, and so are the labels of buttons. Visibility is that of elements, attributes and style attributes; the
+rules of style sheets aren't looked at.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,7 +24,13 @@ from .common import apart, table
 DEPTH = 200
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas svg math".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes datalist object audio video canvas".split())
+#: In drawings and formulas: what isn't shown, where HTML stands again, and the HTML that ends them (the parsing standard's list).
+UNDRAWN = frozenset("defs symbol desc metadata clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml".split())
+WITHIN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
 BLOCKS = SPACED | frozenset("html body div section article header footer main nav aside address form fieldset legend li dt dd figcaption details summary caption center dir menu tr thead tbody tfoot td th".split())
 #: What a start tag closes, up to the elements that bound the search.
@@ -48,6 +56,8 @@ PARTS = frozenset("thead tbody tfoot tr td th caption colgroup".split())
 CELLS = frozenset("td th caption".split())
 #: Widest column that cells are padded to; wider cells stand as they are and push the rest of their line.
 WIDE = 80
+#: Columns beyond this place aren't aligned any more, so that lines don't grow with a table's columns.
+FAR = 400
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 _SPECIAL = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
@@ -127,6 +137,7 @@ def build_tree(source: str) -> Element:
     """The document's elements; texts are strings among the children."""
     root = Element("html")
     stack, end = [root], len(source)
+    islands: list[int] = []  # places of open drawings and formulas
     parts, moved = _parts(source), None
     while True:
         try:
@@ -152,6 +163,12 @@ def build_tree(source: str) -> Element:
             tag = value
             if tag == "html":
                 continue
+            while islands and islands[-1] >= len(stack):
+                islands.pop()
+            foreign = bool(islands) and not any(e.tag in WITHIN for e in stack[islands[-1] + 1 :])
+            if foreign and tag in BREAKOUT:
+                del stack[islands.pop() :]
+                foreign = False
             if stack[-1].tag == "head" and tag not in HEADED:
                 stack.pop()
             _close_implied(stack, tag)
@@ -171,8 +188,10 @@ def build_tree(source: str) -> Element:
                 if tag == "textarea":
                     made.kids.append(html.unescape(inner))
                 moved = after or end
-            elif tag not in VOID and not (attrs.endswith("/") and tag not in BLOCKS and tag in ("path", "use", "circle", "rect")):
+            elif tag not in VOID and not (attrs.endswith("/") and (foreign or tag in ("svg", "math", "path", "use", "circle", "rect"))):
                 if len(stack) < DEPTH:
+                    if tag in ("svg", "math"):
+                        islands.append(len(stack))
                     stack.append(made)
     return root
 
@@ -298,15 +317,15 @@ def _style(style: str) -> dict[str, str]:
 
 def _seen(node: Element, visible: bool = True) -> bool | None:
     """Whether an element's own texts are visible, given whether its parent's are; None if nothing in it is displayed."""
-    if node.tag in UNSEEN:
+    if node.tag in UNSEEN or node.tag in UNDRAWN:
         return None
     if not node.attrs or not _MAY_HIDE.search(node.attrs):
         return visible
     found = attributes(node.attrs)
     style = _style(found.get("style", ""))
-    if "hidden" in found or style.get("display") == "none" or (node.tag == "input" and found.get("type", "").strip().lower() == "hidden"):
+    if "hidden" in found or "none" in (style.get("display"), found.get("display")) or (node.tag == "input" and found.get("type", "").strip().lower() == "hidden"):
         return None
-    said = style.get("visibility")
+    said = style.get("visibility", found.get("visibility"))
     return said == "visible" if said in ("visible", "hidden", "collapse") else visible
 
 
@@ -335,6 +354,15 @@ def _render(node: Element, page: Page, marker: list | None = None, pre: bool = F
                 page.end_line()
         elif tag == "wbr":
             pass
+        elif tag == "svg":
+            _render_drawing(kid, page, seen)
+        elif tag == "input":
+            if seen and kid.attribute("type").lower() in ("submit", "reset", "button"):
+                page.text(f" {kid.attribute('value')} ")
+        elif tag == "textarea":
+            page.block(False)
+            _render(kid, page, marker, True, seen)
+            page.block(False)
         elif tag == "table":
             page.block(True)
             _render_table(kid, page, seen)
@@ -364,8 +392,75 @@ def _render(node: Element, page: Page, marker: list | None = None, pre: bool = F
             page.block(tag in SPACED)
         else:
             _render(kid, page, marker, pre, seen)
-            if tag == "option":
+            if tag in ("option", "mtr"):
                 page.end_line()
+            elif tag in ("mtd", "mfrac"):
+                page.space = True
+
+
+def _render_drawing(node: Element, page: Page, visible: bool) -> None:
+    """The texts of a drawing, each on a line, and the HTML that stands in it; other strings there aren't drawn."""
+    for kid in node.kids:
+        if isinstance(kid, str) or (seen := _seen(kid, visible)) is None:
+            continue
+        if kid.tag in ("text", "foreignobject"):
+            page.block(False)
+            _render(kid, page, visible=seen)
+            page.block(False)
+        else:
+            _render_drawing(kid, page, seen)
+
+
+class Spans:
+    """Columns that cells of earlier rows reach into: separate stretches, merged where they touch, each part with the row
+    in which it ends. Columns that cells overlap on are counted, and end when the last of them does."""
+
+    def __init__(self):
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+        self.until: dict[int, list[tuple[int, int]]] = {}
+        self.row, self.more = 0, {}
+
+    def free(self, column: int) -> int:
+        """The first free column from this one on."""
+        at = bisect_right(self.begins, column) - 1
+        return self.ends[at] if at >= 0 and self.ends[at] > column else column
+
+    def take(self, first: int, last: int, rows: int | None) -> None:
+        """Columns first to last - 1 are taken up to row number `rows`, for good if that is None."""
+        if rows is not None:
+            self.until.setdefault(rows, []).append((first, last))
+        low, high = bisect_left(self.ends, first), bisect_right(self.begins, last)
+        for a, b in zip(self.begins[low:high], self.ends[low:high], strict=True):
+            for column in range(max(a, first), min(b, last)):
+                self.more[column] = self.more.get(column, 0) + 1
+        a, b = min([first, *self.begins[low:high]]), max([last, *self.ends[low:high]])
+        self.begins[low:high], self.ends[low:high] = [a], [b]
+
+    def reach(self, row: int) -> None:
+        """Frees what ends before this row."""
+        for number in range(self.row, row):
+            for first, last in self.until.pop(number, ()):
+                if not self.more:
+                    self._free(first, last)
+                    continue
+                begin = first
+                for column in range(first, last):
+                    if column in self.more:
+                        self._free(begin, column)
+                        begin = column + 1
+                        self.more[column] -= 1
+                        if not self.more[column]:
+                            del self.more[column]
+                self._free(begin, last)
+        self.row = row
+
+    def _free(self, first: int, last: int) -> None:
+        if first < last:
+            at = bisect_right(self.begins, first) - 1
+            a, b = self.begins[at], self.ends[at]
+            parts = [(x, y) for x, y in ((a, first), (last, b)) if x < y]
+            self.begins[at : at + 1], self.ends[at : at + 1] = [x for x, _ in parts], [y for _, y in parts]
 
 
 def _rows(node: Element, visible: bool) -> Iterator[tuple[Element, bool]]:
@@ -388,11 +483,11 @@ def _render_table(node: Element, page: Page, visible: bool) -> None:
     """Cells begin where their column does, columns two spaces apart; a cell's own lines stay lines of its row.
 
     A cell that spans columns or rows takes their places. Columns are as wide as their cells of one column that aren't
-    wider than WIDE, and a column without text takes no room.
+    wider than WIDE, and a column without text takes no room. None begins beyond place FAR.
     """
     rows: list[list[tuple[int, list[str]]]] = []
     widths: dict[int, int] = {}
-    taken: dict[int, int] = {}  # columns that cells of earlier rows reach into, and their last rows
+    taken = Spans()
     for row, seen in _rows(node, visible):
         if row.tag == "caption":
             for line in _cell_lines(row, seen):
@@ -400,24 +495,24 @@ def _render_table(node: Element, page: Page, visible: bool) -> None:
                 page.end_line()
             continue
         found, column = [], 0
+        taken.reach(len(rows))
         for cell in row.kids:
             if not isinstance(cell, Element) or cell.tag not in ("td", "th") or (shown := _seen(cell, seen)) is None:
                 continue
-            while taken.get(column, -1) >= len(rows):
-                column += 1
+            column = taken.free(column)
             lines = _cell_lines(cell, shown)
             across, down = max(1, cell.number("colspan", 1, 1000)), cell.number("rowspan", 1, 65534)
             found.append((column, lines))
             if across == 1:
                 widths[column] = max([widths.get(column, 0), *(len(line) for line in lines if len(line) <= WIDE)])
             if down > 1 or down == 0:  # 0: down to the last row
-                taken.update(dict.fromkeys(range(column, column + across), len(rows) + down - 1 if down else 1 << 60))
+                taken.take(column, column + across, len(rows) + down - 1 if down else None)
             column += across
         if found:
             rows.append(found)
     begins, at = {}, 0
     for column in sorted(widths.keys() | {c for row in rows for c, _ in row}):
-        begins[column] = at
+        begins[column] = min(at, FAR)
         at += widths[column] + 2 if widths.get(column) else 0
     for row in rows:
         for k in range(max(len(lines) for _, lines in row)):

@@ -1,7 +1,7 @@
 import random
 import time
 
-from lumenreel.llm.html_text import WIDE, extract, html_text
+from lumenreel.llm.html_text import WIDE, Spans, extract, html_text
 
 
 def test_blocks_lists_and_tables():
@@ -70,6 +70,49 @@ def test_cells_over_columns_and_rows():
     assert html_text(f"<table><tr><td>{wide}<td>b<tr><td>a<td>c</table>") == f"{wide}  b\na  c"
 
 
+def plain_columns(rows):
+    """Each cell's column, from a grid of places."""
+    taken, out = {}, []
+    for r, row in enumerate(rows):
+        column = 0
+        for across, down in row:
+            while (r, column) in taken:
+                column += 1
+            out.append(column)
+            for y in range(r, r + (down or len(rows))):
+                for x in range(column, column + across):
+                    taken[y, x] = True
+            column += across
+    return out
+
+
+def test_spans_equal_a_grid():
+    rng = random.Random(4)
+    for _ in range(400):
+        rows = [[(rng.choice([1, 1, 2, 5]), rng.choice([1, 1, 2, 3, 0, 9])) for _ in range(rng.randint(1, 5))] for _ in range(rng.randint(1, 12))]
+        spans, found = Spans(), []
+        for r, row in enumerate(rows):
+            spans.reach(r)
+            column = 0
+            for across, down in row:
+                column = spans.free(column)
+                found.append(column)
+                if down != 1:
+                    spans.take(column, column + across, r + down - 1 if down else None)
+                column += across
+        assert found == plain_columns(rows)
+
+
+def test_drawings_formulas_and_fields():
+    assert html_text("a<svg width=9><title>t</title><style>x</style><defs><text>no</text></defs><g>bare<text x=1>SVG <tspan>visible</tspan></text><path d='M'/><text>two</text></g></svg>b") == "a\nSVG visible\ntwo\nb"
+    assert html_text("<svg><foreignObject><p>in</p></foreignObject><circle/><text display=none>no</text><text visibility=hidden>no</text></svg>") == "in"
+    assert html_text("<p>x <math><mi>y</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> z") == "x y=2 z"
+    assert html_text("<svg><g><div>broken out</div>more") == "broken out\nmore"
+    assert html_text("<math><mtext><b>inside</b></mtext></math><svg/>after") == "insideafter"
+    assert html_text("<textarea>one\n two\n\nthree &amp;</textarea>") == "one\n two\n\nthree &"
+    assert html_text("<form>Name <input type=text value=no><input type=Submit value='Send it'><input type=hidden value=no></form>") == "Name Send it"
+
+
 def test_broken_pages_take_linear_time():
     many = 40_000
     for junk in ("<![CDATA[", '<a "', "<a '", "<a ", "</a ", "<!x ", "<!x \"", "<script>", "</script <script>", "<a \"\" ", "<", "<!--", "<textarea>", "<table><tr><td>", "<p>", "<ul><li>"):
@@ -77,6 +120,10 @@ def test_broken_pages_take_linear_time():
             start = time.time()
             html_text("<p>seen</p>" + junk * many + end)
             assert time.time() - start < 10, junk
+    for cell in ("<tr><td rowspan=65534 colspan=1000>a", "<tr><td rowspan=65534>a", "<tr><td rowspan=5000 colspan=1000>a<td>b", "<tr><td><td rowspan=300>a", "<tr><td rowspan=9000 colspan=2>a<td>", "<td rowspan=7>a"):
+        start = time.time()
+        assert len(html_text("<table>" + cell * (1_000_000 // len(cell)))) < 200_000_000
+        assert time.time() - start < 10, cell
     page = "<table><tr><td>" + "x" * 20_000 + "<td>y" + "<tr><td>a<td>b" * 2000 + "</table>"
     assert len(html_text(page)) < 2 * len(page)
 
