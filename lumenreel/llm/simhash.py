@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, cut, table
+from .common import apart, cut, spread_join, table
 
 SEED, SHINGLE, BITS, HALF = 42, 3, 3, 32
 #: A looked-up half with more pairs than this many for each row in it is linked through points.
@@ -83,15 +83,16 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS, pairs: int = PAIRS) -> D
         probes.append(fps.select(F.lit(which).alias("half"), F.explode(_lower_neighbours(half)).alias("value"), "fp"))
     rows = tables[0].unionByName(tables[1]).withColumn("own", F.lit(True))
     rows = rows.unionByName(probes[0].unionByName(probes[1]).withColumn("own", F.lit(False)))
-    # A looked-up half matters only if a fingerprint owns it and another row meets it there.
+    # A looked-up half matters only if a fingerprint owns it and another row meets it there. Keys with very many rows are
+    # dealt to several tasks, crowded halves and those that are one bit from them alike.
     sizes = rows.groupBy("half", "value").agg(F.count_if("own").alias("own_n"), F.count(F.lit(1)).alias("n"))
-    sizes = sizes.filter("own_n > 0 AND n > 1").withColumn("dense", F.col("own_n") * F.col("n") > F.lit(pairs) * F.col("n"))
-    met = cut(rows.join(sizes.select("half", "value", "dense"), ["half", "value"]), "simhash-met")
-    sparse, dense = met.filter("NOT dense"), met.filter("dense")
-    owners = sparse.filter("own").select("half", "value", F.col("fp").alias("b"))
+    sizes = cut(sizes.filter("own_n > 0 AND n > 1").select("half", "value", "n", (F.col("own_n") > pairs).alias("dense")), "simhash-sizes")
+    met = cut(spread_join(rows, sizes, ["half", "value"], "n", ["fp"]), "simhash-met")
+    sparse, dense = met.filter("NOT dense"), met.filter("dense").drop("n")
+    owners = cut(sparse.filter("own").groupBy("half", "value").agg(F.collect_list("fp").alias("others"), F.first("n").alias("n")), "simhash-owners")
     direct = (
-        sparse.select("half", "value", "own", F.col("fp").alias("a"))
-        .join(owners, ["half", "value"])
+        spread_join(sparse.select("half", "value", "own", F.col("fp").alias("a")), owners, ["half", "value"], "n", ["a"])
+        .select("own", "a", F.explode("others").alias("b"))
         .filter("(NOT own OR a < b)")
         .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
         .select("a", "b")
@@ -112,21 +113,24 @@ def _through_points(dense: DataFrame, bits: int) -> DataFrame:
         .select("half", "value", F.col("other").bitwiseXOR(F.col("m.mask")).alias("point"), "own", "fp", F.col("m.away").alias("away"))
     )
     hub = points.groupBy("half", "value", "point").agg(F.min(F.when(F.col("own") & (F.col("away") <= 1), F.col("fp"))).alias("a"), F.count(F.lit(1)).alias("n"))
-    hub = hub.filter("a IS NOT NULL AND n > 1").drop("n")
-    return points.join(hub, ["half", "value", "point"]).filter("a <> fp").select("a", F.col("fp").alias("b"))
+    hub = cut(hub.filter("a IS NOT NULL AND n > 1"), "simhash-hubs")
+    met = spread_join(points.select("half", "value", "point", "fp"), hub, ["half", "value", "point"], "n", ["fp"])
+    return met.filter("a <> fp").select("a", F.col("fp").alias("b"))
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): node, component (its smallest node), by large-star and small-star
-    rounds; each round is written to the shared folder. Nodes without links aren't in the result."""
+    rounds until one changes nothing; each round is written to the shared folder. The links of a node that has very many are
+    dealt to several tasks. Nodes without links aren't in the result."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(lows, "u")
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        large = spread_join(both, least, ["u"], "n", ["v"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = cut(large, "large")
+        lows = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "lows")
+        joined = spread_join(large, lows, ["u"], "n", ["v"])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lows.select("u", F.col("m").alias("v")))
         edges = cut(small.filter("u <> v").distinct(), "edges")
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -135,7 +139,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         before = state
-    raise RuntimeError(f"components need more than {rounds} rounds")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:

@@ -75,3 +75,21 @@ def test_groups_with_odd_rows(spark):
     assert got == sorted([(5, 3), (3, 3), (3, 3), (9, 7), (7, 7), (None, None), (None, None)], key=repr)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_groups(empty).count() == 0
+
+
+def test_a_crowded_half_and_what_lies_beside_it(spark):
+    """3,000 fingerprints of one upper half in one component, and probes that all meet at a half with a single owner."""
+    crowd = [(5 << 40) | i for i in range(3000)]
+    beside = [(5 << 40) ^ (1 << 33) | (1 << 20), (5 << 40) ^ (1 << 33) | 77, (9 << 50) | (1 << 20), (5 << 40) ^ (15 << 33) | 3]
+    df = spark.createDataFrame([(f,) for f in crowd + beside], "fp long").repartition(4)
+    found = {r.node: r.component for r in S.components(S.fingerprint_links(df)).collect()}
+    want = {f: min(crowd) for f in crowd} | {beside[0]: min(crowd), beside[1]: min(crowd)}
+    assert {f: found.get(f, f) for f in crowd + beside[:2]} == {f: min([*crowd, *beside[:2]]) for f in want}
+    assert found.get(beside[2], beside[2]) == beside[2] and found.get(beside[3], beside[3]) == beside[3]
+
+
+def test_hubs_of_many_links(spark):
+    """Two nodes with all links, which are dealt to several tasks."""
+    links = spark.createDataFrame([(0, i) for i in range(1, 400)] + [(400, i) for i in range(401, 500)], "a long, b long")
+    found = {r.node: r.component for r in S.components(links).collect()}
+    assert found == {i: 0 if i < 400 else 400 for i in range(500)}
