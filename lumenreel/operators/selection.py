@@ -19,12 +19,16 @@ from ..functions import metrics as M
 def cut(df: DataFrame) -> DataFrame:
     """Write to the shared checkpoint folder and read again."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
-    path = f"{folder.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_folder(spark) -> str:
+    """The folder that spark.checkpoint.dir names, or one of its own for a session of one machine."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)).rstrip("/")
+
+
 def _own_folder(spark) -> str:
     """A folder for a session of one machine; others must name one that all executors share."""
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):

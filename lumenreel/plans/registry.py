@@ -9,7 +9,7 @@ from .views import duck
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
-MODULES = ("metrics_queries", "text_queries", "transcript_queries", "trend_queries", "store_queries", "source_queries", "more_queries")
+MODULES = ("metrics_queries", "text_queries", "transcript_queries", "trend_queries", "store_queries", "source_queries", "more_queries", "stream_queries")
 
 
 def query(name: str, oracle: str | None = None):

@@ -47,7 +47,8 @@ def stream_counts(uses: DataFrame, path: str, checkpoint: str, delay: str = "1 d
     newest row. Each batch's counts are a partition of their own that a batch that is tried again writes again; read_counts adds
     them up.
     """
-    rows = uses.select(F.col("counted").cast("long").alias("counted"), F.col("by").cast("long").alias("by"), "at", F.unix_millis("at").alias("ms")).withWatermark("at", delay)
+    at = F.col("at").cast("timestamp")
+    rows = uses.select(F.col("counted").cast("long").alias("counted"), F.col("by").cast("long").alias("by"), at.alias("at"), F.unix_millis(at).alias("ms")).withWatermark("at", delay)
     firsts = rows.groupBy("counted", "by").transformWithStateInPandas(FirstUse(keep_ms), "counted long, by long, first int, ms long", "Update", "EventTime")
 
     def keep(batch: DataFrame, batch_id: int) -> None:

@@ -1,4 +1,4 @@
-"""Structured Streaming forms: latest state, metric restatement, log groups, rate limits and waiting alerts."""
+"""Latest state, a rolling rate limit, and helpers to run streams; the other streams are in the modules beside this one."""
 
 from __future__ import annotations
 
@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from ..functions import text as T
-
 
 def latest_state(changes: DataFrame, key: str, order: str) -> DataFrame:
     """The last change of each key, deletions left out."""
@@ -19,62 +17,6 @@ def latest_state(changes: DataFrame, key: str, order: str) -> DataFrame:
     return changes.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1 AND NOT deleted").drop("__rn")
 
 
-def append_batches(path: str, prepare):
-    """A foreachBatch function: prepare(batch) is written as a partition of its own, so what is stored is never written
-    again. A batch that is tried again writes the same partition again."""
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        prepare(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return run
-
-
-def stream_snapshots(changes: DataFrame, path: str, checkpoint: str):
-    """Daily metric rows of each batch, the last of a day, beside those of earlier batches; read_snapshots folds them."""
-
-    def last_of_day(batch):
-        w = Window.partitionBy("publication_id", "day").orderBy(F.desc("seq"))
-        return batch.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn", "seq")
-
-    return changes.writeStream.foreachBatch(append_batches(path, last_of_day)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def read_snapshots(spark, path: str, keys: tuple[str, ...] = ("publication_id", "day")) -> DataFrame:
-    """What upsert_unsettled gives batch after batch: a day restates while it is partial, and its first settled row stays."""
-    stored = spark.read.parquet(path)
-    rest = [c for c in stored.columns if c not in (*keys, "batch")]
-    settled = ~F.coalesce("partial", F.lit(False))
-    order = F.struct(settled.alias("settled"), F.when(settled, -F.col("batch")).otherwise(F.col("batch")).alias("batch"))
-    return stored.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("row")).select(*keys, "row.*")
-
-
-class LogGroups(StatefulProcessor):
-    """Per fingerprint: count, first and last seen, last message, and whether it is open; emits the group per batch."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("group", "count long, first double, last double, message string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        count, first, last, message = self.state.get() or (0, float("inf"), float("-inf"), "")
-        for frame in rows:
-            count += len(frame)
-            first = min(first, float(frame["second"].min()))
-            newest = frame.loc[frame["second"].idxmax()]
-            if newest["second"] >= last:
-                last, message = float(newest["second"]), newest["message"]
-        self.state.update((count, first, last, message))
-        yield pd.DataFrame([(key[0], count, first, last, message)], columns=["fingerprint", "count", "first", "last", "message"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_log_groups(records: DataFrame) -> DataFrame:
-    """records: level, app, message, stack, second (epoch seconds)."""
-    keyed = records.withColumn("fingerprint", T.log_fingerprint(F.col("level"), F.col("app"), F.col("message"), F.col("stack")))
-    return keyed.groupBy("fingerprint").transformWithStateInPandas(LogGroups(), "fingerprint string, count long, first double, last double, message string", "Update", "None")
-
-
 class RateLimit(StatefulProcessor):
     """Accepts at most `most` records per key in any rolling span of seconds; holds accepted times only."""
 
@@ -104,12 +46,6 @@ def stream_rate_limit(records: DataFrame, most: int = 30, seconds: float = 60.0)
     return records.select("app", "event_id", "second").groupBy("app").transformWithStateInPandas(RateLimit(most, seconds), "event_id long, app string, accepted boolean", "Append", "None")
 
 
-def stream_waiting_alerts(jobs: DataFrame, minutes: int = 10) -> DataFrame:
-    """Jobs queued for minutes of event time, each once: watermarked, deduplicated by id."""
-    late = jobs.withWatermark("now", "1 hour").filter((F.col("status") == "QUEUED") & (F.unix_seconds("now") - F.unix_seconds("created_at") >= 60 * minutes))
-    return late.dropDuplicatesWithinWatermark(["id"])
-
-
 def file_stream(spark, path: str, schema: StructType | str, per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 

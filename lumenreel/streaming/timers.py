@@ -136,8 +136,9 @@ def stream_waiting_alerts(jobs: DataFrame, workers: DataFrame, minutes: float =
     dealt to `shards` keys, so that a busy one doesn't burden one task; its own few rows go to all of them. Rows later than `delay` after
     the newest are dropped.
     """
-    j = jobs.select("worker", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit("job").alias("kind"), F.col("id").cast("long").alias("id"), "status", "at")
-    w = workers.select("worker", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit("worker").alias("kind"), F.lit(-1).cast("long").alias("id"), "status", "at")
+    at = F.col("at").cast("timestamp").alias("at")
+    j = jobs.select("worker", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit("job").alias("kind"), F.col("id").cast("long").alias("id"), "status", at)
+    w = workers.select("worker", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit("worker").alias("kind"), F.lit(-1).cast("long").alias("id"), "status", at)
     rows = j.unionByName(w).withColumn("ms", F.unix_millis("at")).withWatermark("at", delay)
     processor = WaitingJobs(int(minutes * 60_000))
     found = rows.groupBy("worker", "shard").transformWithStateInPandas(processor, "worker long, id long, queued_ms long, told_ms long", "Append", "EventTime")
@@ -180,6 +181,7 @@ def stream_lapsed_leases(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     timer; one that comes after its lease has lapsed is of no use, and the job has no lease until it is claimed again. A job that
     is over is forgotten.
     """
-    rows = events.select(F.col("id").cast("long").alias("id"), "kind", F.coalesce(F.unix_millis("lease_until"), F.lit(-1)).alias("lease_ms"), "at", F.unix_millis("at").alias("ms")).withWatermark("at", delay)
+    at, until = (F.col(c).cast("timestamp") for c in ("at", "lease_until"))
+    rows = events.select(F.col("id").cast("long").alias("id"), "kind", F.coalesce(F.unix_millis(until), F.lit(-1)).alias("lease_ms"), at.alias("at"), F.unix_millis(at).alias("ms")).withWatermark("at", delay)
     found = rows.groupBy("id").transformWithStateInPandas(Leases(), "id long, lapsed_ms long, claims long", "Append", "EventTime")
     return found.select("id", F.timestamp_millis("lapsed_ms").alias("lapsed_at"), "claims")
