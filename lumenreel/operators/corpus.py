@@ -105,18 +105,24 @@ def blocked_names(docs: DataFrame, names: DataFrame, id_col: str, text_col: str)
     return docs.select(id_col, token).join(wanted, "token").groupBy(id_col).agg(F.sort_array(F.collect_set("name")).alias("names"))
 
 
+#: Ends of lines as a text editor has them, and a row that names its speaker: a letter first, no colon, 40 characters at most.
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+NAMED = r"(?U)^([A-Za-z][^:]{0,39}?)\s*:\s*(\S.*)$"
+
+
 def parse_dialogue(scripts: DataFrame, id_col: str, text_col: str, longest: int = 300, narrator: str = "Narrator") -> DataFrame:
-    """Rows (id, line, speaker, text): "Name: words" starts a speech, a nameless row continues it, and the first
-    nameless rows are the narrator's; long speeches split at sentences."""
-    rows = scripts.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("at", "raw")).withColumn("raw", F.trim("raw")).filter("raw <> ''")
-    name = F.regexp_extract("raw", r"(?U)^([\p{Lu}][\w .'\-]{0,39}):\s+(.+)$", 1)
-    rows = rows.select(id_col, "at", name.alias("name"), F.when(name != "", F.regexp_extract("raw", r"(?U)^([\p{Lu}][\w .'\-]{0,39}):\s+(.+)$", 2)).otherwise(F.col("raw")).alias("said"))
+    """Rows (id, speech, part, speaker, text): "Name: words" starts a speech, a nameless row continues it, and the first nameless
+    rows are the narrator's; long speeches split at sentences. A name begins with a letter a to z of either case and has anything but
+    a colon; no space is needed after that."""
+    rows = scripts.select(id_col, F.posexplode(F.split(text_col, LINE_ENDS)).alias("at", "raw")).withColumn("raw", T.strip(F.col("raw"))).filter("raw <> ''")
+    named = F.regexp_extract("raw", NAMED, 1)
+    rows = rows.select(id_col, "at", "raw", named.alias("name")).select(id_col, "at", "name", F.when(F.col("name") != "", F.regexp_extract("raw", NAMED, 2)).otherwise(F.col("raw")).alias("said"))
     w = Window.partitionBy(id_col).orderBy("at")
     rows = rows.withColumn("speech", F.sum(F.when(F.col("name") != "", 1).otherwise(0)).over(w))
     speech = rows.groupBy(id_col, "speech").agg(
-        F.max("name").alias("name"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "said"))), lambda x: x.said), " ").alias("text")
+        F.max("name").alias("name"), T.squeeze(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "said"))), lambda x: x.said), " ")).alias("text")
     )
-    pieces = F.when(F.length("text") <= longest, F.array(T.squeeze(F.col("text")))).otherwise(T.pack_sentences(F.col("text"), longest))
+    pieces = F.when(F.length("text") <= longest, F.array("text")).otherwise(T.pack_sentences(F.col("text"), longest))
     parts = speech.select(id_col, "speech", F.when(F.col("name") == "", narrator).otherwise(T.squeeze(F.col("name"))).alias("speaker"), F.posexplode(pieces).alias("part", "text"))
     return parts.select(id_col, "speech", "part", "speaker", "text")
 

@@ -70,23 +70,34 @@ def _(spark, sf_dir):
     return s.select("ord", F.bround(D.strength_position(F.col("p"), F.col("n")), 4).alias("strength"))
 
 
-@query("read_trends_rss", "SELECT doc_id % 7 AS run_id, count(*) AS n, CAST(sum(CASE WHEN doc_id % 2 = 0 THEN doc_id * 1000 ELSE 0 END) AS BIGINT) AS searches FROM {documents} WHERE doc_id % 3 <> 0 GROUP BY 1")
+@query(
+    "read_trends_rss",
+    """SELECT CAST(floor(doc_id / 100.0) AS BIGINT) AS run_id, concat('t', doc_id, '’s <b> & ', doc_id % 5) AS topic, CASE WHEN doc_id % 2 = 0 THEN doc_id * 1000 ELSE 0 END AS searches,
+    CASE WHEN doc_id % 2 = 0 THEN concat(doc_id, 'K+ searches') ELSE '? searches' END AS detail FROM {documents} WHERE doc_id % 3 <> 0""",
+)
 def _(spark, sf_dir):
     i = F.col("doc_id")
-    item = F.concat(F.lit("<item><title>t"), i.cast("string"), F.lit("</title>"), F.when(i % 2 == 0, F.concat(F.lit("<ht:approx_traffic>"), i.cast("string"), F.lit("K+</ht:approx_traffic>"))).otherwise(""), F.when(i % 3 == 0, "<pubDate>Sun, 1 Jan 2023 00:00:00 +0000</pubDate>").when(i % 3 == 1, "<pubDate>Mon, 29 Jan 2024 00:00:00 +0000</pubDate>").otherwise(""), F.lit("</item>"))
-    feeds = read(spark, sf_dir, "documents").groupBy((i % 7).alias("run_id")).agg(F.concat(F.lit("<rss>"), F.array_join(F.collect_list(item), ""), F.lit("</rss>")).alias("value"))
-    got = D.read_trends_rss(feeds, F.lit("2024-01-30 00:00:00").cast("timestamp"), 48)
-    return got.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum("searches").alias("searches"))
+    n = i.cast("string")
+    title = F.concat(F.lit("t<!-- not <title> this -->"), n, F.lit("&#8217;s &lt;b> <![CDATA[& "), (i % 5).cast("string"), F.lit("]]>"))
+    item = F.concat(F.lit("<item><title>"), title, F.lit("</title>"), F.when(i % 2 == 0, F.concat(F.lit("<ht:approx_traffic> "), n, F.lit("K+</ht:approx_traffic>"))).otherwise(""), F.when(i % 3 == 0, "<pubDate>Sun, 1 Jan 2023 00:00:00 +0000</pubDate>").when(i % 3 == 1, "<pubDate>Mon, 29 Jan 2024 00:00:00 +0000</pubDate>").otherwise(""), F.lit("<title>second</title></item>"))
+    feeds = read(spark, sf_dir, "documents").groupBy(F.floor(i / 100).alias("run_id")).agg(F.concat(F.lit('<?xml version="1.0"?><rss xmlns:ht="urn:x"><channel><title>feed</title>'), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("value"))
+    broken = feeds.withColumn("value", F.concat("value", F.lit("<rss>")))
+    got = D.read_trends_rss(feeds.unionByName(broken), F.lit("2024-01-30 00:00:00").cast("timestamp"), 48)
+    return got.select("run_id", "topic", "searches", "detail")
 
 
-@query("read_reddit_atom", "SELECT doc_id % 7 AS run_id, count(*) AS n, count(*) FILTER (WHERE doc_id % 2 = 0) AS videos FROM {documents} GROUP BY 1")
+@query(
+    "read_reddit_atom",
+    """SELECT CAST(floor(doc_id / 100.0) AS BIGINT) AS run_id, concat('t', doc_id, '—') AS topic, CASE WHEN doc_id % 2 = 0 THEN lpad(CAST(doc_id AS VARCHAR), 11, 'a') END AS video_id,
+    concat('https://example.org/', doc_id) AS url FROM {documents}""",
+)
 def _(spark, sf_dir):
     i = F.col("doc_id")
-    link = F.when(i % 2 == 0, F.concat(F.lit("&lt;a href=&quot;https://youtu.be/"), F.lpad(i.cast("string"), 11, "a"), F.lit("&quot;&gt;"))).otherwise("x")
-    entry = F.concat(F.lit("<entry><title>t"), i.cast("string"), F.lit('</title><content type="html">'), link, F.lit("</content></entry>"))
-    feeds = read(spark, sf_dir, "documents").groupBy((i % 7).alias("run_id")).agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list(entry), ""), F.lit("</feed>")).alias("value"))
-    got = D.read_reddit_atom(feeds, F.lit("2024-01-30 00:00:00").cast("timestamp"), 48)
-    return got.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.count("video_id").alias("videos"))
+    n = i.cast("string")
+    link = F.when(i % 2 == 0, F.concat(F.lit("&lt;a href=&quot;https://example.org/?a=1&amp;amp;b=2&quot;&gt; &lt;a href=&quot;https://youtu.be/"), F.lpad(n, 11, "a"), F.lit("&quot;&gt;"))).otherwise("x")
+    entry = F.concat(F.lit("<a:entry><a:title>t"), n, F.lit('&#8212;</a:title><a:link href="https://example.org/first"/><a:link href="https://example.org/'), n, F.lit('"/><a:content type="html">'), link, F.lit("</a:content></a:entry>"))
+    feeds = read(spark, sf_dir, "documents").groupBy(F.floor(i / 100).alias("run_id")).agg(F.concat(F.lit('<a:feed xmlns:a="http://www.w3.org/2005/Atom">'), F.array_join(F.collect_list(entry), ""), F.lit("</a:feed>")).alias("value"))
+    return D.read_reddit_atom(feeds, F.lit("2024-01-30 00:00:00").cast("timestamp"), 48).select("run_id", "topic", "video_id", "url")
 
 
 @query("read_search_entries", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS title, CAST(p_size AS DOUBLE) AS duration, 'b' AS thumbnail FROM {part} WHERE p_partkey % 5 <> 0")
@@ -119,7 +130,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     p = read(spark, sf_dir, "part")
     t = F.struct(F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 6 != 0, F.col("p_brand")).alias("file"), F.col("p_size").alias("bpm"))
-    manifests = p.groupBy("p_type").agg(F.to_json(F.struct(F.collect_list(t).alias("tracks"))).alias("value"))
+    manifests = p.groupBy(F.floor(F.col("p_partkey") / 100)).agg(F.to_json(F.struct(F.collect_list(t).alias("tracks"))).alias("value"))
     tracks, _ = D.import_manifest(manifests, spark.createDataFrame([], "id string"))
     return tracks.agg(F.count(F.lit(1)).alias("tracks"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import youtube_id
+from ..functions.text import strip, youtube_id
 
 # Multipliers of abbreviated counts, and the range of strengths by position.
 UNITS = {"": 1, "K": 1_000, "M": 1_000_000}
@@ -27,17 +27,44 @@ def strength_position(position: Column, total: Column) -> Column:
     return F.lit(high) - (high - low) * F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
 
 
-def xml_items(body: Column, tag: str) -> Column:
-    """The inner texts of an element, whatever its namespace prefix."""
-    return F.regexp_extract_all(body, F.lit(rf"(?s)<(?:[\w.-]+:)?{tag}(?:\s[^>]*)?>(.*?)</(?:[\w.-]+:)?{tag}>"), F.lit(1))
+#: Longest topic, and what is read of feeds: elements by local name, wherever their prefix comes from; of repeated ones all.
+TOPIC = 200
+_ITEM = "struct<title:array<string>,approx_traffic:array<string>,pubDate:array<string>,news_item:array<struct<news_item_url:array<string>>>>"
+RSS = f"item array<{_ITEM}>, channel array<struct<item:array<{_ITEM}>>>, _corrupt_record string"
+_ENTRY = "struct<title:array<string>,published:array<string>,updated:array<string>,link:array<struct<_href:string>>,thumbnail:array<struct<_url:string>>,content:array<string>>"
+ATOM = f"entry array<{_ENTRY}>, _corrupt_record string"
 
 
-def xml_child(item: Column, tag: str) -> Column:
-    """The first child's text by local name: entities and CDATA resolved, blank as null."""
-    raw = F.regexp_replace(F.try_element_at(xml_items(item, tag), F.lit(1)), r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        raw = F.replace(raw, F.lit(entity), F.lit(char))
-    return F.nullif(F.trim(raw), F.lit(""))
+def _parsed(feeds: DataFrame, schema: str) -> DataFrame:
+    read = F.from_xml("value", schema, {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "ignoreSurroundingSpaces": "false"})
+    return feeds.withColumn("feed", F.when(~_goes_on(F.col("value")), read))
+
+
+def _goes_on(body: Column) -> Column:
+    """Whether anything but comments and white space stands after the end of the first element, which the parser doesn't read."""
+    root = F.regexp_extract(body, r"(?s)^(?:\s|<\?.*?\?>|<!--.*?-->|<![^>]*>)*<([^\s/>]+)", 1)
+    close = F.concat(F.lit("</"), root, F.lit(">"))
+    at = F.instr(body, close)
+    rest = F.regexp_replace(F.substr(body, at + F.length(close)), r"(?s)<!--.*?-->|\s", "")
+    return F.coalesce((at > 0) & (rest != ""), F.lit(False))
+
+
+def feed_rejects(feeds: DataFrame, schema: str = RSS) -> DataFrame:
+    """Feeds that aren't XML, with the reason; the readers leave them out."""
+    bad = F.col("feed").isNull() | F.col("feed._corrupt_record").isNotNull()
+    return _parsed(feeds, schema).filter(bad).select("run_id", "value", F.when(F.col("value").isNull(), "no feed").otherwise("not XML").alias("reason"))
+
+
+def _first(texts: Column) -> Column:
+    """The first of an element's occurrences, blank as null."""
+    return F.nullif(strip(F.try_element_at(texts, F.lit(1))), F.lit(""))
+
+
+def _unescaped(text: Column) -> Column:
+    """HTML inside a text: the marks that links are written with."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
 
 
 def rfc822(text: Column) -> Column:
@@ -49,21 +76,33 @@ def rfc822(text: Column) -> Column:
 
 
 def read_trends_rss(feeds: DataFrame, now: Column, lookback_hours: int) -> DataFrame:
-    """RSS items as (run_id, at, topic, searches, observed_at, url); old items go, undated ones stay."""
-    items = feeds.select("run_id", F.posexplode(xml_items(F.col("value"), "item")).alias("at", "item"))
-    rows = items.select("run_id", "at", xml_child(F.col("item"), "title").alias("topic"), traffic_number(xml_child(F.col("item"), "approx_traffic")).alias("searches"), rfc822(xml_child(F.col("item"), "pubDate")).alias("observed_at"), xml_child(F.col("item"), "news_item_url").alias("url"))
+    """RSS items as (run_id, at, topic, searches, detail, observed_at, url); old items go, undated ones stay, and those without a
+    title too go. Items stand in a channel or in the feed itself."""
+    items = _parsed(feeds, RSS).select("run_id", F.concat(F.coalesce("feed.item", F.array()), F.flatten(F.filter(F.coalesce("feed.channel.item", F.array()), lambda x: x.isNotNull()))).alias("items"))
+    i = items.select("run_id", F.posexplode("items").alias("at", "i"))
+    traffic = _first(F.col("i.approx_traffic"))
+    rows = i.select(
+        "run_id", "at", F.substring(_first(F.col("i.title")), 1, TOPIC).alias("topic"), traffic_number(traffic).alias("searches"), F.concat(F.coalesce(traffic, F.lit("?")), F.lit(" searches")).alias("detail"),
+        rfc822(_first(F.col("i.pubDate"))).alias("observed_at"), _first(F.try_element_at("i.news_item", F.lit(1)).news_item_url).alias("url"),
+    )
     cutoff = now - F.make_dt_interval(hours=F.lit(lookback_hours))
     return rows.filter(F.col("topic").isNotNull() & (F.col("observed_at").isNull() | (F.col("observed_at") >= cutoff)))
 
 
 def read_reddit_atom(feeds: DataFrame, now: Column, lookback_hours: int) -> DataFrame:
-    """Atom entries as (run_id, at, topic, strength, observed_at, video_id): strength from the place in the feed, the
-    video from the first link of the content that names one."""
-    entries = feeds.select("run_id", xml_items(F.col("value"), "entry").alias("entries"))
-    rows = entries.select("run_id", F.size("entries").alias("n"), F.posexplode("entries").alias("at", "entry"))
-    links = F.regexp_extract_all(xml_child(F.col("entry"), "content"), F.lit(r'href="([^"]+)"'), F.lit(1))
+    """Atom entries as (run_id, at, topic, strength, detail, observed_at, url, thumbnail, video_id): strength from the place in the
+    feed, the video from the first link of the content that names one, the last link and thumbnail of the entry."""
+    entries = _parsed(feeds, ATOM).select("run_id", F.col("feed.entry").alias("entries"))
+    e = entries.select("run_id", F.size("entries").alias("n"), F.posexplode("entries").alias("at", "e"))
+    links = F.regexp_extract_all(_unescaped(_first(F.col("e.content"))), F.lit(r'href="([^"]+)"'), F.lit(1))
     video = F.try_element_at(F.filter(F.transform(links, lambda x: youtube_id(x)), lambda v: v.isNotNull()), F.lit(1))
-    rows = rows.select("run_id", "at", xml_child(F.col("entry"), "title").alias("topic"), strength_position(F.col("at"), F.col("n")).alias("strength"), F.try_to_timestamp(xml_child(F.col("entry"), "updated")).alias("observed_at"), video.alias("video_id"))
+    last = lambda c, name: F.try_element_at(F.filter(F.transform(c, lambda x: x[name]), lambda v: F.coalesce(v, F.lit("")) != ""), F.lit(-1))
+    rows = e.select(
+        "run_id", "at", F.substring(_first(F.col("e.title")), 1, TOPIC).alias("topic"), strength_position(F.col("at"), F.col("n")).alias("strength"),
+        F.concat(F.lit("r/"), F.col("run_id").cast("string"), F.lit(" · #"), (F.col("at") + 1).cast("string"), F.lit(" today")).alias("detail"),
+        F.try_to_timestamp(F.coalesce(_first(F.col("e.published")), _first(F.col("e.updated")))).alias("observed_at"),
+        last(F.col("e.link"), "_href").alias("url"), last(F.col("e.thumbnail"), "_url").alias("thumbnail"), video.alias("video_id"),
+    )
     cutoff = now - F.make_dt_interval(hours=F.lit(lookback_hours))
     return rows.filter(F.col("topic").isNotNull() & (F.col("observed_at").isNull() | (F.col("observed_at") >= cutoff)))
 

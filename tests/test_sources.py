@@ -17,7 +17,7 @@ def test_contract_keeps_declared_fields_and_rejects(spark):
 
 def test_feeds(spark):
     now = F.lit("2024-01-02 00:00:00").cast("timestamp")
-    rss = """<rss><channel><item><title>Big &amp; new</title><ht:approx_traffic>200K+</ht:approx_traffic><pubDate>Mon, 1 Jan 2024 10:00:00 +0000</pubDate></item>
+    rss = """<rss xmlns:ht="urn:x"><channel><item><title>Big &amp; new</title><ht:approx_traffic>200K+</ht:approx_traffic><pubDate>Mon, 1 Jan 2024 10:00:00 +0000</pubDate></item>
     <item><title>Old</title><pubDate>Mon, 1 Jan 2023 10:00:00 +0000</pubDate></item><item><title>Undated</title></item><item><title> </title></item></channel></rss>"""
     found = D.read_trends_rss(spark.createDataFrame([("r", rss)], "run_id string, value string"), now, 48).collect()
     assert [(r.topic, r.searches) for r in found] == [("Big & new", 200000), ("Undated", 0)]
@@ -29,6 +29,37 @@ def test_feeds(spark):
     assert [(r.id, r.thumbnail) for r in D.read_search_entries(search).collect()] == [("a", "2")]
 
 
+def test_feeds_read_as_a_parser_reads_them(spark):
+    """Titles, dates and links of odd feeds are those that ElementTree gives."""
+    import random
+    from xml.etree import ElementTree
+
+    rng = random.Random(2)
+    bits = ["plain", " &amp; ", "&#8217;", "&#x2014;", "<![CDATA[<b>&amp;</b>]]>", "<!-- <title>no</title> -->", "é", " ", "&lt;i>", "x" * 150]
+    text = lambda: "".join(rng.choice(bits) for _ in range(rng.randint(0, 4)))
+    feeds = []
+    for k in range(120):
+        items = "".join(f"<{p}item><{p}title>{text()}</{p}title><q:approx_traffic>{rng.choice(['', '5K+', '1,200'])}</q:approx_traffic><{p}title>{text()}</{p}title></{p}item>" for p in rng.choices(["", "q:"], k=rng.randint(0, 4)))
+        feeds.append((k, f'<?xml version="1.0"?><rss xmlns:q="urn:{k}"><channel><title>f</title>{items}</channel></rss>' if k % 7 else f"<rss><channel>{items}<"))
+    want, bad = [], []
+    for k, body in feeds:
+        try:
+            root = ElementTree.fromstring(body)
+        except ElementTree.ParseError:
+            bad.append(k)
+            continue
+        found = [e for e in root.iter() if e.tag.rsplit("}")[-1] == "item"]
+        for at, item in enumerate(found):
+            child = lambda name: next((c.text or "" for c in item if c.tag.rsplit("}")[-1] == name), "").strip() or None  # noqa: B023, E731
+            if child("title"):
+                want.append((k, at, child("title")[:200], f"{child('approx_traffic') or '?'} searches"))
+    frame = spark.createDataFrame(feeds, "run_id long, value string")
+    got = D.read_trends_rss(frame, F.lit("2024-01-02 00:00:00").cast("timestamp"), 48).select("run_id", "at", "topic", "detail").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 100
+    assert sorted(r.run_id for r in D.feed_rejects(frame).collect()) == bad and bad
+    assert D.feed_rejects(spark.createDataFrame([(1, None)], "run_id long, value string")).first().reason == "no feed"
+
+
 def test_reports_decode_by_name(spark):
     daily = '{"columnHeaders": [{"name": "views"}, {"name": "day"}], "rows": [["3", "2024-01-01"], [null, "bad"], [null, "2024-01-02"]]}'
     got = D.read_daily_report(spark.createDataFrame([("p", daily), ("q", "{}")], "publication_id string, value string")).orderBy("day").collect()

@@ -180,3 +180,57 @@ def test_a_provider_that_fails_while_it_runs(spark):
     late = lambda s, r: rows.select(F.raise_error(F.lit("down")).cast("int").alias("a"))
     found, failed = S.from_providers(spark, {"good": lambda s, r: rows, "late": late}, {}, "")
     assert found.count() == 1 and list(failed) == ["late"]
+
+
+def test_chunks_equal_a_walk_over_characters():
+    """Paragraphs taken one by one: the same pieces as from places in the text."""
+
+    def walk(text, size):
+        out, held = [], []
+        queue = text.split("\n\n")
+        while queue:
+            p = queue.pop(0)
+            if len(p) > size:
+                head = p[:size]
+                at = head.rfind("\n") if head.rfind("\n") > size // 2 else head.rfind(" ") if head.rfind(" ") > 0 else size
+                out += ["\n\n".join(held)] * bool(held) + [p[:at]]
+                held, queue = [], [p[at:].strip(), *queue]
+                continue
+            if held and sum(len(h) + 2 for h in held) + len(p) > size:
+                out.append("\n\n".join(held))
+                held = []
+            held += [p] * bool(p)
+        return out + ["\n\n".join(held)] * bool(held)
+
+    rng = random.Random(8)
+    for _ in range(600):
+        text = "".join(rng.choice(["ab", " ", "\n", "\n\n", "\n\n\n", "cde", "f" * 9]) for _ in range(rng.randint(0, 120)))
+        for size in (1, 7, 30):
+            assert T.chunked(text, size) == walk(text, size), (text, size)
+
+
+def test_scripts_as_people_type_them(spark):
+    name = re.compile(r"^([A-Za-z][^:]{0,39}?)\s*:\s*(\S.*)$")
+
+    def plain(text):
+        out = []
+        for row in (r.strip() for r in text.splitlines()):
+            found = name.match(row)
+            if found:
+                out.append([" ".join(found[1].split()), found[2]])
+            elif row:
+                if out:
+                    out[-1][1] += " " + row
+                else:
+                    out.append(["Narrator", row])
+        return [(who, " ".join(said.split())) for who, said in out]
+
+    rng = random.Random(3)
+    bits = ["bob: hi you", "Dr. Smith (tired): what", "Anna:no space", "É: not a name", "http://x.org", "a" * 40 + ": fits", "a" * 41 + ": too long", "Eve :  two  spaces", "no name here", "", "  ", "Zoë : ok", "9: no", "Tim:", "A: b: c"]
+    ends = ["\n", "\r\n", "\r", "\x0b", " ", "\x85"]
+    texts = ["".join(rng.choice(bits) + rng.choice(ends) for _ in range(rng.randint(0, 8))) for _ in range(150)]
+    rows = K.parse_dialogue(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text").collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.id, r.speech, r.part)):
+        got.setdefault(r.id, []).append((r.speaker, r.text))
+    assert got == {i: plain(t) for i, t in enumerate(texts) if plain(t)}
