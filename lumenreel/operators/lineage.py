@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import in_parts, running
+
 
 def root() -> Column:
     """A clip's lineage; an old clip without one is its own root."""
@@ -54,11 +56,11 @@ def lineage_settlement(clips: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def evict_to_target(files: DataFrame, need: Column, by: str = "workspace") -> DataFrame:
     """Files to free, least recently used first, until the bytes needed are reached; pinned and used ones stay."""
-    free = files.filter("NOT pinned AND NOT in_use")
-    w = Window.partitionBy(by).orderBy("last_access", "path")
-    before = F.coalesce(F.sum("size_bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("size_bytes").over(Window.partitionBy(by))
-    return free.withColumn("before", before).withColumn("target_met", total >= need).filter(F.col("before") < need).drop("before")
+    parts = in_parts(files.filter("NOT pinned AND NOT in_use"), [by], ["last_access", "path"])
+    totals = parts.groupBy(F.col(by).alias("__by")).agg(F.sum("size_bytes").alias("__total"))
+    rows = running(parts, [by], ["last_access", "path"], __before=("sum", F.col("size_bytes"))).filter(F.coalesce("__before", F.lit(0)) < need)
+    met = rows.join(totals, F.col(by).eqNullSafe(F.col("__by")))
+    return met.withColumn("target_met", F.col("__total") >= need).select(*files.columns, "target_met")
 
 
 def orphan_files(files: DataFrame, tracks: DataFrame, now: Column, suffixes: tuple[str, ...], min_age_s: int = 3600) -> DataFrame:

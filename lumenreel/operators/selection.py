@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
-from itertools import cycle, product
+from itertools import product
+from math import frexp
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -38,59 +39,119 @@ def _own_folder(spark) -> str:
     return folder
 
 
-def suppress(rows: DataFrame, group: str, order: list[Column], bounds: list[tuple[str, str]], conflict: Callable[[tuple, tuple], bool], width: float) -> DataFrame:
+def suppress(
+    rows: DataFrame, group: str, order: list[Column], bounds: list[tuple[str, str]], conflict: Callable[[tuple, tuple], bool], width: float, ratio: float | None = None
+) -> DataFrame:
     """Rows kept best first: one goes if a better kept one of its group conflicts with it.
 
     bounds names the lower and upper bound of each dimension (one for windows, two for rectangles); only rows that overlap
-    can conflict. Of rows with equal bounds only the best can stay. The rest is cut into blocks `width` wide (four
-    times the longest extent at least), and each block goes through its rows in order: a row that conflicts with a
-    kept one goes, one that may depend on a row outside, or on an undecided better one, stays undecided, the others are
-    kept. The next round has blocks shifted by half, where those rows lie inside; it ends when all are decided, and as
-    the best undecided row of a group is decided in the next rounds at the latest, it does end. Rows with null or
-    empty extents conflict with none.
+    can conflict, and with a ratio only those whose extents are within it. Of rows with equal bounds only the best can stay.
+    Rows with null or empty extents conflict with none.
+
+    The rest is cut into blocks `width` wide (four times the longest extent at least), and each block goes through its rows in
+    order: a row that conflicts with a kept one goes, one that may depend on a row outside, or on an undecided better one, stays
+    undecided, the others are kept. In the next round blocks are shifted by half, then twice as wide, so a chain of rows that each depend on
+    the one before takes a number of rounds that grows with the logarithm of its length. What is kept and can't meet an undecided
+    row any more isn't carried on. With a ratio, rows whose extents differ by more than it all along are families with
+    blocks of their own, so a few long rows don't widen the blocks of all.
     """
     extents = [F.col(b) - F.col(a) for a, b in bounds]
     solid = reduce(lambda x, y: x & y, (e > 0 for e in extents))
     same = Window.partitionBy(group, *(c for pair in bounds for c in pair)).orderBy(*order)
     best = rows.filter(solid).withColumn("__place", F.row_number().over(same)).filter("__place = 1").drop("__place").withColumn("__kept", F.lit(False))
-    state = cut(best)
-    longest = state.agg(*(F.max(e) for e in extents)).first()
+    band = F.floor(F.log(ratio, reduce(F.greatest, extents))) if ratio else F.lit(0).cast("long")
+    first = cut(best.withColumn("__band", band))
     flat = rows.filter(~F.coalesce(solid, F.lit(False)))
-    if longest[0] is None:
-        return flat
-    widths = [max(float(width), 4.0 * x) for x in longest]
+    longest = [f"__longest{i}" for i in range(len(bounds))]
+    found = first.groupBy(group, "__band").agg(*(F.max(e).cast("double").alias(name) for e, name in zip(extents, longest, strict=True)))
+    bands = Window.partitionBy(group).orderBy("__band")
+    # a band without rows parts two families: what lies on its sides differs by more than the ratio
+    begins = F.coalesce((F.col("__band") - F.lag("__band").over(bands) > 1).cast("int"), F.lit(0))
+    found = found.withColumn("__begins", begins).withColumn("__family", F.sum("__begins").over(bands))
+    whole = Window.partitionBy(group, "__family")
+    found = found.select(group, "__band", "__family", *(F.max(name).over(whole).alias(name) for name in longest))
+    state = first.join(found, [group, "__band"]).drop("__band")
     blocks = [f"__block{i}" for i in range(len(bounds))]
-    for shifts in cycle(list(product((0.5, 0.0), repeat=len(bounds)))):
-        placed = state.withColumns({name: F.floor(F.col(a) / w + shift) for name, (a, _), w, shift in zip(blocks, bounds, widths, shifts, strict=True)})
-        dealt = placed.repartition(group, *blocks).sortWithinPartitions(group, *blocks, F.desc("__kept"), *order)
-        state = cut(dealt.mapInArrow(_decide(group, bounds, blocks, conflict, longest, widths, shifts), placed.schema).drop(*blocks))
-        if state.filter("NOT __kept").isEmpty():
-            return state.drop("__kept").unionByName(flat)
-
-
-def _decide(group: str, bounds: list[tuple[str, str]], blocks: list[str], conflict: Callable, longest: tuple, widths: list[float], shifts: tuple):
-    """Blocks of sorted rows without those that go, and with __kept for those that are decided to stay. Rows are looked for
-    in cells as long as the longest extent, so a row's conflicts lie in its own cells and their neighbours."""
+    extra = ["__family", *longest, "__kept"]
+    shifts, done, turn = list(product((0.5, 0.0), repeat=len(bounds))), [flat], 0
+    while True:
+        shift, wider = shifts[turn % len(shifts)], 2.0 ** (turn // len(shifts))
+        widths = [F.greatest(F.lit(float(width)), F.col(name) * 4) * wider for name in longest]
+        placed = state.withColumns({name: F.floor(F.col(a) / w + s) for name, (a, _), w, s in zip(blocks, bounds, widths, shift, strict=True)})
+        dealt = placed.repartition(group, "__family", *blocks).sortWithinPartitions(group, "__family", *blocks, F.desc("__kept"), *order)
+        decided = cut(dealt.mapInArrow(_decide(group, bounds, blocks, longest, conflict, width, wider, shift, ratio), placed.schema).drop(*blocks))
+        open_ = decided.filter("NOT __kept")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, [decided.drop(*extra), *done])
+        cells = [F.floor(F.col(a) / F.col(name)) for (a, _), name in zip(bounds, longest, strict=True)]
+        places = [f"__cell{i}" for i in range(len(bounds))]
+        near = open_.select(group, "__family", *(c.alias(p) for c, p in zip(cells, places, strict=True)))
+        for p in places:
+            near = near.withColumn(p, F.explode(F.array(F.col(p) - 1, F.col(p), F.col(p) + 1)))
+        near, keys = near.distinct(), [group, "__family", *places]
+        kept = decided.filter("__kept").withColumns(dict(zip(places, cells, strict=True)))
+        done.append(kept.join(near, keys, "left_anti").select(rows.columns))
+        state = open_.unionByName(kept.join(near, keys, "left_semi").select(decided.columns))
+        turn += 1
+
+
+class _Near:
+    """Boxes by cells of their size: of a box's own level and the two beside it if extents are bounded by 2, else of all levels."""
+
+    def __init__(self, top: int, bounded: bool):
+        self.top, self.bounded = top, bounded
+        self.own: dict[tuple, list[tuple]] = {}
+        self.inner: dict[tuple, list[tuple]] = {}
+
+    def level(self, box: tuple) -> int:
+        """A level above the binary logarithm of a box's longest extent; very small boxes share one."""
+        return max(frexp(max(b - a for a, b in zip(box[::2], box[1::2], strict=True)))[1], self.top - 24)
+
+    def add(self, box: tuple) -> None:
+        level = self.level(box)
+        self.own.setdefault((level, *self._cell(box, level)), []).append(box)
+        if not self.bounded:
+            for higher in range(level + 1, self.top + 1):
+                self.inner.setdefault((higher, *self._cell(box, higher)), []).append(box)
+
+    def _cell(self, box: tuple, level: int) -> tuple:
+        return tuple(int(a // 2.0**level) for a in box[::2])
+
+    def around(self, box: tuple) -> Iterator[tuple]:
+        """Every box that can meet this one, and some others."""
+        level = self.level(box)
+        for other in range(level - 1, level + 2) if self.bounded else range(level, self.top + 1):
+            steps = (-1, 0, 1, 2) if other < level else (-1, 0, 1)
+            for cell in product(*(tuple(c + s for s in steps) for c in self._cell(box, other))):
+                yield from self.own.get((other, *cell), ())
+                if other == level and not self.bounded:
+                    yield from self.inner.get((other, *cell), ())
+
+
+def _decide(group: str, bounds: list[tuple[str, str]], blocks: list[str], longest: list[str], conflict: Callable, width: float, wider: float, shift: tuple, ratio: float | None):
+    """Blocks of sorted rows without those that go, and with __kept for those that are decided to stay."""
     dims = range(len(bounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, kept, open_ = None, {}, {}
+        now, kept, open_ = None, None, None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in (group, *blocks, "__kept", *(c for pair in bounds for c in pair))]
+            columns = [batch.column(c).to_pylist() for c in (group, "__family", *blocks, *longest, "__kept", *(c for pair in bounds for c in pair))]
             takes, verdicts = [], []
-            for i, (name, *rest) in enumerate(zip(*columns, strict=True)):
-                block, done, box = rest[: len(blocks)], rest[len(blocks)], tuple(rest[len(blocks) + 1 :])
-                if (name, block) != now:
-                    now, kept, open_ = (name, block), {}, {}
-                cell = tuple(int(box[2 * d] // longest[d]) for d in dims)
-                near = list(product(*((c - 1, c, c + 1) for c in cell)))
+            for i, row in enumerate(zip(*columns, strict=True)):
+                block, most = row[: 2 + len(dims)], row[2 + len(dims) : 2 + 2 * len(dims)]
+                done, box = row[2 + 2 * len(dims)], tuple(map(float, row[3 + 2 * len(dims) :]))
+                if block != now:
+                    now, top = block, frexp(max(most))[1]
+                    kept, open_ = _Near(top, bool(ratio) and ratio <= 2), _Near(top, bool(ratio) and ratio <= 2)
                 if not done:
-                    if any(conflict(other, box) for at in near for other in kept.get(at, ())):
+                    if any(conflict(other, box) for other in kept.around(box)):
                         continue
-                    low = [(block[d] - shifts[d]) * widths[d] for d in dims]
-                    inside = all(box[2 * d] >= low[d] + longest[d] and box[2 * d + 1] <= low[d] + widths[d] for d in dims)
-                    done = inside and not any(conflict(other, box) for at in near for other in open_.get(at, ()))
-                (kept if done else open_).setdefault(cell, []).append(box)
+                    sides = [max(width, 4.0 * m) * wider for m in most]
+                    low = [(block[2 + d] - shift[d]) * sides[d] for d in dims]
+                    reach = [min(most[d], ratio * (box[2 * d + 1] - box[2 * d])) if ratio else most[d] for d in dims]
+                    inside = all(box[2 * d] - reach[d] >= low[d] and box[2 * d + 1] <= low[d] + sides[d] for d in dims)
+                    done = inside and not any(conflict(other, box) for other in open_.around(box))
+                (kept if done else open_).add(box)
                 takes.append(i)
                 verdicts.append(done)
             out = batch.take(pa.array(takes, pa.int64()))
@@ -112,7 +173,7 @@ def _alike(threshold: float) -> Callable[[tuple, tuple], bool]:
 def greedy_suppress(windows: DataFrame, group: str, order: list[Column], threshold: float = 0.5, width: float = 1800.0) -> DataFrame:
     """Windows (group, start_sec, end_sec, ...) kept best first: one goes if a better kept one of its group overlaps it by
     more than the threshold."""
-    return suppress(windows, group, order, [("start_sec", "end_sec")], _alike(threshold), width)
+    return suppress(windows, group, order, [("start_sec", "end_sec")], _alike(threshold), width, max(2.0, 1.0 / threshold) if threshold > 0 else None)
 
 
 def top_candidates(windows: DataFrame, total: Column, shortest: float = 15.0, longest: float = 75.0, floor: int = 0, limit: int = 5, group: str = "source_id", ties: tuple[str, ...] = ("id",)) -> DataFrame:

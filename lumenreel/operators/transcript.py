@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import in_parts, running
+from .selection import cut
+
 BIN = 30.0
 
 
@@ -79,19 +82,22 @@ def render_window(windows: DataFrame) -> DataFrame:
 
 def speech_spans(segments: DataFrame, gap: float = 0.25) -> DataFrame:
     """Segments less than a gap from the one before run on as one span."""
-    w = Window.partitionBy("source_id").orderBy("start_sec", "segment")
-    new = F.coalesce((F.col("start_sec") - F.lag("end_sec").over(w) >= gap).cast("int"), F.lit(1))
-    return segments.withColumn("new", new).withColumn("span_no", F.sum("new").over(w)).groupBy("source_id", "span_no").agg(
+    key, order = ["source_id"], ["start_sec", "segment"]
+    parts = in_parts(segments.select("source_id", "start_sec", "segment", "end_sec"), key, order)
+    ended = running(parts, key, order, last_end=("last", F.col("end_sec")))
+    marked = cut(ended.withColumn("new", F.coalesce((F.col("start_sec") - F.col("last_end") >= gap).cast("int"), F.lit(1))).drop("last_end"))
+    numbered = running(marked, key, order, before=("sum", F.col("new")))
+    return numbered.withColumn("span_no", F.coalesce("before", F.lit(0)) + F.col("new")).groupBy("source_id", "span_no").agg(
         F.min("start_sec").alias("start_sec"), F.max_by("end_sec", F.struct("start_sec", "segment")).alias("end_sec")
     )
 
 
 def silences(spans: DataFrame, durations: DataFrame, least: float = 0.20) -> DataFrame:
     """What speech leaves free between 0 and the duration, of at least a length."""
-    end = durations.select("source_id", F.col("duration").alias("start_sec"), F.lit(None).cast("double").alias("end_sec"))
-    rows = spans.select("source_id", "start_sec", "end_sec").unionByName(end)
-    w = Window.partitionBy("source_id").orderBy(F.col("end_sec").isNull(), "start_sec", "end_sec").rowsBetween(Window.unboundedPreceding, -1)
-    free = rows.select("source_id", F.coalesce(F.max("end_sec").over(w), F.lit(0.0)).alias("from_sec"), F.col("start_sec").alias("to_sec"))
+    key, order = ["source_id"], ["last", "start_sec", "end_sec"]
+    end = durations.select("source_id", F.lit(1).alias("last"), F.col("duration").alias("start_sec"), F.lit(None).cast("double").alias("end_sec"))
+    rows = in_parts(spans.select("source_id", F.lit(0).alias("last"), "start_sec", "end_sec").unionByName(end), key, order)
+    free = running(rows, key, order, reached=("max", F.col("end_sec"))).select("source_id", F.coalesce("reached", F.lit(0.0)).alias("from_sec"), F.col("start_sec").alias("to_sec"))
     return free.filter(F.round(F.col("to_sec") - F.col("from_sec"), 6) >= least)
 
 
@@ -107,10 +113,12 @@ def caption_cues(words: DataFrame, budget: int = 32, gap: float = 0.6, clips: Da
         spans = clips.select(*key, F.col("clip_start").alias("span_start"), F.col("clip_end").alias("span_end")).withColumn("span_id", F.col("clip_id"))
         start, end = F.greatest(F.lit(0.0), F.col("start_sec") - F.col("span_start")), F.least("span_end", "end_sec") - F.col("span_start")
         words = words_in(words, spans).withColumn("end_sec", F.round(end, 6)).withColumn("start_sec", F.round(start, 6)).filter("end_sec > start_sec")
-    w = Window.partitionBy(*key).orderBy("segment", "word_no")
-    new = F.coalesce((F.round(F.col("start_sec") - F.lag("end_sec").over(w), 6) > gap).cast("int"), F.lit(1))
-    said = words.select(*key, "segment", "word_no", "start_sec", "end_sec", F.trim("text").alias("text"))
-    islands = said.withColumn("island", F.sum(new).over(w)).groupBy(*key, "island").agg(
+    order = ["segment", "word_no"]
+    said = in_parts(words.select(*key, "segment", "word_no", "start_sec", "end_sec", F.trim("text").alias("text")), key, order)
+    ended = running(said, key, order, last_end=("last", F.col("end_sec")))
+    marked = cut(ended.withColumn("new", F.coalesce((F.round(F.col("start_sec") - F.col("last_end"), 6) > gap).cast("int"), F.lit(1))).drop("last_end"))
+    numbered = running(marked, key, order, before=("sum", F.col("new")))
+    islands = numbered.withColumn("island", F.coalesce("before", F.lit(0)) + F.col("new")).groupBy(*key, "island").agg(
         F.sort_array(F.collect_list(F.struct("segment", "word_no", "start_sec", "end_sec", "text"))).alias("ws")
     )
     cue = "struct<start_sec:double,end_sec:double,text:string>"

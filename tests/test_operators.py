@@ -240,3 +240,49 @@ def test_dominant_period(spark):
 def test_combining_marks_are_not_word_characters(spark):
     assert one(spark, T.plain(F.lit("Été!"))) == "e te"
     assert one(spark, T.hallucination_flag(F.lit("un deux trois quatre cinq six sept huit"))) is False
+
+
+def test_running_values_equal_windows(spark):
+    from pyspark.sql import Window
+
+    from lumenreel.operators.scan import PART, in_parts, running
+
+    rng = random.Random(11)
+    rows = [(rng.choice([1, 1, 1, 1, 2, None]), i % 7, i, rng.choice([None, rng.randint(-9, 9)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, a int, b int, v int").repartition(3)
+    parts = in_parts(df, ["k"], ["a", "b"])
+    assert parts.filter("k = 1").select(PART).distinct().count() > 1
+    got = running(parts, ["k"], ["a", "b"], s=("sum", F.col("v")), m=("max", F.col("v")), z=("last", F.col("v")))
+    w = Window.partitionBy("k").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select("k", "a", "b", F.sum("v").over(w), F.max("v").over(w), F.last("v", ignorenulls=True).over(w))
+    assert sorted(map(repr, map(tuple, got.select("k", "a", "b", "s", "m", "z").collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    assert running(in_parts(df.limit(0), ["k"], ["a"]), ["k"], ["a"], s=("sum", F.col("v"))).count() == 0
+    with pytest.raises(ValueError):
+        running(parts, ["k"], ["a"], s=("mean", F.col("v")))
+
+
+def test_windows_of_any_mix_of_lengths(spark):
+    """Lengths from seconds to hours, one of them over everything: still what going in order keeps."""
+    rng = random.Random(12)
+    rows = [(s, s * 1000 + i, round(rng.uniform(-50, 3000), 1), round(2 ** rng.uniform(-1, 11), 1), rng.randint(0, 30)) for s in range(3) for i in range(150)]
+    rows = [(s, i, a, a + n, t) for s, i, a, n, t in rows] + [(0, 7777, -1000.0, 90_000.0, 99)]
+    df = spark.createDataFrame(rows, "source_id int, id long, start_sec double, end_sec double, total int")
+    order = lambda some: sorted(some, key=lambda r: (-r[4], r[1]))
+    for threshold in (0.5, 0.8, 0.2):
+        got = {r.id for r in S.greedy_suppress(df, "source_id", [F.desc("total"), F.col("id")], threshold, width=100.0).collect()}
+        want = set()
+        for source in range(3):
+            want |= in_order(order(r for r in rows if r[0] == source), lambda a, b: _iou(a, b) > threshold)
+        assert got == want, threshold
+
+
+def test_regions_beside_a_huge_one(spark):
+    rng = random.Random(13)
+    rows = [(0, i, float(rng.randint(0, 900)), float(rng.randint(0, 900)), 2 ** rng.uniform(0, 7), 2 ** rng.uniform(0, 7), rng.randint(0, 3)) for i in range(250)] + [(0, 999, 100.0, 100.0, 5000.0, 5000.0, 2)]
+
+    def meet(a, b):
+        w, h = min(a[2] + a[4], b[2] + b[4]) - max(a[2], b[2]), min(a[3] + a[5], b[3] + b[5]) - max(a[3], b[3])
+        return w > 0 and h > 0 and w * h / min(a[4] * a[5], b[4] * b[5]) >= 0.3
+
+    df = spark.createDataFrame(rows, "source_id int, id long, x double, y double, w double, h double, priority int")
+    assert {r.id for r in G.merge_regions(df, width=50.0).collect()} == in_order(sorted(rows, key=lambda r: (r[6], r[1])), meet)
