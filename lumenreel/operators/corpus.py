@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +15,7 @@ from ..functions import text as T
 from .selection import cut
 
 PHRASE, CONTENT, LINE = 5, 2, 3
+_COMMON = frozenset(T.HEADLINE_COMMON)
 #: Seconds of the bins in which spans and segments meet.
 BIN = 30.0
 
@@ -58,44 +65,171 @@ def _one_of(listed: list[str]):
     return lambda w: w.isin(*listed)
 
 
-def _phrase_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.regexp_replace(text, "’", "'")), F.lit("[a-z0-9]+(?:'[a-z]+)?"), F.lit(0))
+_WORD = re.compile("[a-z0-9]+(?:'[a-z]+)?")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the filters of phrases, 4 MB each. With very many phrases more pass that needn't; none is lost.
+FILTER_BITS = 25
+PHRASES = pa.schema([("kind", pa.string()), ("phrase", pa.string())])
+
+
+class _Phrases:
+    """Runs of five words of which two at least say something, and whole lines, as 64-bit hashes of a batch of texts at once.
+    Words of different parts (lines, or whole texts) are in no run together."""
 
+    def __init__(self):
+        self.known: dict[str, int] = {}
 
-def _said(words: Column) -> Column:
-    """1 for each word that says something. It should be a column of its own, as every run of words looks at it."""
-    return F.transform(words, lambda w: (~w.isin(*sorted(T.HEADLINE_COMMON))).cast("int"))
+    def _hash(self, word: str) -> int:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            # the lowest bit is whether the word says something
+            found = self.known[word] = xxhash.xxh64_intdigest(word) & ~1 | (word not in _COMMON)
+        return found
 
+    def words(self, parts: list[str]) -> list[list[str]]:
+        return [_WORD.findall(part.replace("’", "'").lower()) for part in parts]
+
+    def runs(self, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, part and first word of each run."""
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        h = np.fromiter((self._hash(w) for words in parts for w in words), np.uint64, int(sizes.sum()))
+        if len(h) < PHRASE:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        part = np.repeat(np.arange(len(parts)), sizes)
+        said = np.append(0, np.cumsum(h & np.uint64(1)).astype(np.int64))
+        good = np.flatnonzero((part[PHRASE - 1 :] == part[: len(part) - PHRASE + 1]) & (said[PHRASE:] - said[:-PHRASE] >= CONTENT))
+        with np.errstate(over="ignore"):
+            run = h[good]
+            for k in range(1, PHRASE):
+                run = (run ^ (run >> np.uint64(29))) * _STEP + h[good + k]
+            run = (run ^ (run >> np.uint64(32))) * _STEP
+        return run, part[good], good - (np.cumsum(sizes) - sizes)[part[good]]
+
+
+def _line_hash(line: str) -> int:
+    return xxhash.xxh64_intdigest(line, 1)
+
+
+def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a filter has a hash's two bits: 64-bit words, and the bits in them (both in one)."""
+    slot = (hashes >> np.uint64(70 - FILTER_BITS)).astype(np.int64)
+    bits = (np.uint64(1) << (hashes & np.uint64(63))) | (np.uint64(1) << ((hashes >> np.uint64(6)) & np.uint64(63)))
+    return slot, bits
+
+
+def _filter_rows(hashes: np.ndarray) -> pa.RecordBatch:
+    slot, bits = _slots(np.unique(hashes))
+    order = np.argsort(slot, kind="stable")
+    slot, bits = slot[order], bits[order]
+    first = np.flatnonzero(np.append(True, np.diff(slot) > 0)) if len(slot) else np.zeros(0, np.int64)
+    merged = np.bitwise_or.reduceat(bits, first) if len(slot) else bits
+    return pa.RecordBatch.from_arrays([pa.array(slot[first], pa.int64()), pa.array(merged.view(np.int64))], ["slot", "bits"])
+
+
+def _filter(rows: DataFrame) -> np.ndarray:
+    """The filter that rows (slot, bits) make together."""
+    found = rows.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[found["slot"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _passes(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot, bits = _slots(hashes)
+    return held[slot] & bits == bits
+
+
+def _texts(column: pa.Array) -> list[str]:
+    return [t or "" for t in column.to_pylist()]
+
+
+def _their_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Originals as filter rows: runs of the whole text, and lines."""
+    phrases = _Phrases()
+    for batch in batches:
+        texts = _texts(batch.column(0))
+        runs = phrases.runs(phrases.words(texts))[0]
+        lines = {" ".join(words) for words in phrases.words([line for t in texts for line in t.split("\n")]) if len(words) >= LINE}
+        yield _filter_rows(np.concatenate([runs, np.fromiter(map(_line_hash, lines), np.uint64, len(lines))]))
+
+
+def _their_phrases(held):
+    """The phrases of originals that pass a filter, as text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = _Phrases()
+        for batch in batches:
+            texts = _texts(batch.column(0))
+            words = phrases.words(texts)
+            found, part, first = phrases.runs(words)
+            at = np.flatnonzero(_passes(held.value, found))
+            rows = {("run", " ".join(words[p][i : i + PHRASE])) for p, i in zip(part[at].tolist(), first[at].tolist(), strict=True)}
+            lines = [" ".join(w) for w in phrases.words([line for t in texts for line in t.split("\n")]) if len(w) >= LINE]
+            passed = _passes(held.value, np.fromiter(map(_line_hash, lines), np.uint64, len(lines)))
+            rows |= {("line", line) for line, ok in zip(lines, passed.tolist(), strict=True) if ok}
+            yield _phrase_batch(list(rows), PHRASES)
+
+    return run
+
+
+def _phrase_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _our_phrases(held):
+    """Rows (id, text) as (id, kind, phrase) of phrases that pass a filter: runs within lines, and lines of three words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = _Phrases()
+        for batch in batches:
+            lines, owner = [], []
+            for i, text in enumerate(_texts(batch.column(1))):
+                some = [line for line in text.split("\n") if line.strip(" ") and not line.startswith("[")]
+                lines += some
+                owner += [i] * len(some)
+            words = phrases.words(lines)
+            found, part, first = phrases.runs(words)
+            at = np.flatnonzero(_passes(held.value, found))
+            rows = {(owner[p], "run", " ".join(words[p][i : i + PHRASE])) for p, i in zip(part[at].tolist(), first[at].tolist(), strict=True)}
+            long = [(o, " ".join(w)) for o, w in zip(owner, words, strict=True) if len(w) >= LINE]
+            passed = _passes(held.value, np.fromiter((_line_hash(line) for _, line in long), np.uint64, len(long)))
+            rows |= {(o, "line", line) for (o, line), ok in zip(long, passed.tolist(), strict=True) if ok}
+            columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+            keys = batch.column(0).take(pa.array(list(columns[0]), pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(list(columns[1]), pa.string()), pa.array(list(columns[2]), pa.string())], [batch.schema.names[0], "kind", "phrase"])
 
-def _grams(words: Column, said: Column) -> Column:
-    """Runs of five words of which two at least say something."""
-    full = lambda i: sum(F.get(said, i + k) for k in range(PHRASE)) >= CONTENT
-    starts = F.when(F.size(words) >= PHRASE, F.filter(F.sequence(F.lit(0), F.size(words) - PHRASE), full)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.concat_ws(" ", *(F.get(words, i + k) for k in range(PHRASE))))
+    return run
 
 
-#: Phrases of originals up to which they are broadcast: some 50 MB.
-BROADCAST = 500_000
+def _phrase_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Phrases (kind, phrase) as filter rows."""
+    phrases = _Phrases()
+    for batch in batches:
+        kinds, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        runs = phrases.runs([t.split(" ") for k, t in zip(kinds, texts, strict=True) if k == "run"])[0]
+        lines = [_line_hash(t) for k, t in zip(kinds, texts, strict=True) if k == "line"]
+        yield _filter_rows(np.concatenate([runs, np.array(lines, np.uint64)]))
 
 
 def shared_phrases(candidates: DataFrame, originals: DataFrame, id_col: str, text_col: str, original_col: str) -> DataFrame:
     """Distinct phrases of candidates that an original has: runs of five words that say something, or whole lines of
-    three words or more. Originals are reduced to distinct phrases, counted, and broadcast if they are few; else both
-    sides move by phrase, candidates as distinct phrases per document."""
-    line = F.explode(F.split(text_col, "\n")).alias("line")
-    lines = candidates.select(id_col, line).filter("trim(line) <> '' AND NOT startswith(line, '[')").select(id_col, _phrase_words(F.col("line")).alias("w"))
-    lines = lines.select(id_col, "w", _said(F.col("w")).alias("said"))
-    whole = F.when(F.size("w") >= LINE, F.array(F.array_join("w", " "))).otherwise(F.array().cast("array<string>"))
-    ours = lines.select(id_col, F.explode(F.concat(
-        F.transform(_grams(F.col("w"), F.col("said")), lambda p: F.struct(F.lit("run").alias("kind"), p.alias("phrase"))),
-        F.transform(whole, lambda p: F.struct(F.lit("line").alias("kind"), p.alias("phrase"))),
-    )).alias("p")).select(id_col, "p.kind", "p.phrase")
-    split = originals.select(_phrase_words(F.col(original_col)).alias("w")).select("w", _said(F.col("w")).alias("said"))
-    runs = split.select(F.explode(_grams(F.col("w"), F.col("said"))).alias("phrase")).withColumn("kind", F.lit("run"))
-    theirs = originals.select(F.explode(F.split(original_col, "\n")).alias("line")).select(F.array_join(_phrase_words(F.col("line")), " ").alias("phrase"), F.lit("line").alias("kind"))
-    known = cut(runs.unionByName(theirs).distinct())
-    met = ours.join(F.broadcast(known), ["kind", "phrase"], "left_semi") if known.count() <= BROADCAST else ours.distinct().join(known, ["kind", "phrase"], "left_semi")
-    return met.select(id_col, "phrase").distinct()
+    three words or more.
+
+    Runs are hashed from their words' hashes, a batch at a time. The originals' hashes make a filter of fixed size, which candidates
+    are held against before any phrase is put together; what passes makes a filter for the originals in turn, and only
+    phrases that pass both are compared as text, by a join that moves both sides.
+    """
+    spark, rows = candidates.sparkSession, "slot long, bits long"
+    theirs = originals.select(F.col(original_col).cast("string").alias("text"))
+    sent = spark.sparkContext.broadcast(_filter(theirs.mapInArrow(_their_hashes, rows)))
+    ours = candidates.select(id_col, F.col(text_col).cast("string").alias("__text"))
+    ours = cut(ours.mapInArrow(_our_phrases(sent), ours.select(id_col).schema.add("kind", "string").add("phrase", "string")))
+    back = spark.sparkContext.broadcast(_filter(ours.select("kind", "phrase").distinct().mapInArrow(_phrase_hashes, rows)))
+    known = theirs.mapInArrow(_their_phrases(back), "kind string, phrase string").distinct()
+    return ours.join(known, ["kind", "phrase"], "left_semi").select(id_col, "phrase").distinct()
 
 
 def blocked_names(docs: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
