@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,12 +112,63 @@ def simplify_path(path: DataFrame, tolerance: float, by: str = "series_id", dura
     return durations.join(kept, by, "left").select(by, F.when(F.col("t").isNull(), 0.0).otherwise(t).alias("t"), F.when(F.col("t").isNull(), 50.0).otherwise(value).alias("value"))
 
 
+#: Points of a block of a series at least; a longer series is transformed block by block.
+BLOCK = 1 << 16
+
+
+def _correlated(low: int, high: int, size: int, by: str):
+    """Sorted rows (by, block, t, v) as (by, lag, s, pairs): products of a block's own points with those a lag on, by transform."""
+
+    def of(key, block, t: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+        place, own = t - t[0], t < (block + 1) * size
+        n = int(place[-1]) + 1
+        width = 1 << int(2 * n - 1).bit_length()
+
+        def products(values: np.ndarray) -> np.ndarray:
+            first, all_ = np.zeros(n), np.zeros(n)
+            np.add.at(first, place[own], values[own])
+            np.add.at(all_, place, values)
+            return np.fft.irfft(np.fft.rfft(first, width).conj() * np.fft.rfft(all_, width), width)[low : min(high + 1, n)]
+
+        s, pairs = products(v), np.rint(products(np.ones(len(v)))).astype(np.int64)
+        met = np.flatnonzero(pairs > 0)
+        return pd.DataFrame({by: pd.Series([key] * len(met), dtype=object), "lag": (met + low).astype(np.int32), "s": s[met]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for frame in frames:
+            parts = [p for _, p in frame.groupby([by, "block"], sort=False, dropna=False)]
+            for part in parts:
+                if held and (held[0][by].iloc[0], held[0]["block"].iloc[0]) != (part[by].iloc[0], part["block"].iloc[0]):
+                    yield ended(held)
+                    held = []
+                held.append(part)
+        if held:
+            yield ended(held)
+
+    def ended(held: list[pd.DataFrame]) -> pd.DataFrame:
+        whole = pd.concat(held) if len(held) > 1 else held[0]
+        return of(whole[by].iloc[0], int(whole["block"].iloc[0]), whole["t"].to_numpy(np.int64), whole["v"].to_numpy(float))
+
+    return run
+
+
 def lag_correlations(series: DataFrame, low: int, high: int, by: str = "series_id") -> DataFrame:
-    """Autocorrelation per lag over a lag range: points meet the points that follow them by each lag, by an equi-join."""
-    centred = series.select(by, "t", (F.col("value") - F.avg("value").over(Window.partitionBy(by))).alias("v"))
+    """Autocorrelation per lag over a lag range, for lags at which points meet.
+
+    A series is cut into blocks of BLOCK points of time (four times the range at least), each with the points of the range after it, and
+    a block's sums for all lags come from one transform. So a point moves once, or twice at a border, whatever the range.
+    """
+    size = max(BLOCK, 4 * high)
+    means = series.groupBy(by).agg(F.avg("value").alias("__mean"))
+    centred = series.join(means, by).select(by, F.col("t").cast("long").alias("t"), (F.col("value") - F.col("__mean")).cast("double").alias("v"))
     zero = centred.groupBy(by).agg(F.sum(F.col("v") ** 2).alias("v0"), F.count(F.lit(1)).alias("n"))
-    shifted = centred.select(by, F.explode(F.sequence(F.lit(low), F.lit(high))).alias("lag"), "t", F.col("v").alias("earlier")).select(by, "lag", "earlier", (F.col("t") + F.col("lag")).alias("t"))
-    sums = shifted.join(centred, [by, "t"]).groupBy(by, "lag").agg(F.sum(F.col("earlier") * F.col("v")).alias("s"))
+    block = F.floor(F.col("t") / size)
+    blocks = F.when(F.col("t") - block * size < high, F.array(block, block - 1)).otherwise(F.array(block))
+    n = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = centred.filter("t IS NOT NULL AND v IS NOT NULL").select(by, F.explode(blocks).alias("block"), "t", "v").repartition(n, by, "block").sortWithinPartitions(by, "block", "t")
+    schema = series.select(by).schema.add("lag", "integer").add("s", "double")
+    sums = dealt.mapInPandas(_correlated(low, high, size, by), schema).groupBy(by, "lag").agg(F.sum("s").alias("s"))
     return sums.join(zero, by).filter("v0 > 0").select(by, "lag", (F.col("s") / F.col("v0")).alias("r"), "n")
 
 

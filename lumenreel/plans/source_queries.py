@@ -46,6 +46,27 @@ def _(spark, sf_dir):
     return ok.select("doc_id")
 
 
+def _mend(frames):
+    """A repair that makes answers of every second reject that says which document it is of."""
+    for frame in frames:
+        frame = frame[frame["id"] % 2 == 0]
+        values = [f'{{"doc_id": {i}, "hook": 7}}' if "range" in reason else "sorry again" for i, reason in zip(frame["id"], frame["reason"], strict=True)]
+        yield frame.assign(value=values)[["id", "value"]]
+
+
+@query(
+    "structured_response_repair",
+    """SELECT doc_id AS id, CASE WHEN doc_id % 5 <> 0 AND n_chars % 30 <= 25 THEN n_chars % 30 WHEN doc_id % 5 <> 0 AND doc_id % 2 = 0 THEN 7 END AS hook,
+    CASE WHEN doc_id % 5 <> 0 AND n_chars % 30 <= 25 THEN 'ok' WHEN doc_id % 5 <> 0 AND doc_id % 2 = 0 THEN 'repaired' ELSE 'failed' END AS outcome, CASE WHEN doc_id % 5 <> 0 AND n_chars % 30 <= 25 THEN 1 ELSE 2 END AS attempts,
+    CASE WHEN doc_id % 5 = 0 THEN concat('not of the declared types', CASE WHEN doc_id % 2 <> 0 THEN ', no repair' ELSE '' END) WHEN n_chars % 30 > 25 THEN concat('out of range: hook', CASE WHEN doc_id % 2 <> 0 THEN ', no repair' ELSE '' END) END AS reason FROM {documents}""",
+)
+def _(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    answers = d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, "sorry").otherwise(F.to_json(F.struct("doc_id", (F.col("n_chars") % 30).cast("int").alias("hook")))).alias("value"))
+    declared = StructType([StructField("doc_id", LongType()), StructField("hook", IntegerType())])
+    return K.repaired_responses(answers, declared, ("doc_id", "hook"), {"hook": (0, 25)}, _mend).drop("doc_id")
+
+
 @query("transcript_archive", "SELECT DISTINCT conv_id FROM {conversations} WHERE conv_id % 3 <> 0")
 def _(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.sort_array(F.collect_list("turn")).alias("segments"))).alias("body"))

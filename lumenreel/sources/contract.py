@@ -48,13 +48,51 @@ def drop_nested_paths(document: Column, paths: list[str]) -> Column:
     return document.dropFields(*paths) if paths else document
 
 
+def _judged(documents: DataFrame, declared: StructType, required: tuple[str, ...], ranges: dict[str, tuple[float, float]], column: str) -> DataFrame:
+    """documents with __d, what they say under the contract, and __reason, why they aren't accepted; null where they are."""
+    schema = StructType([*declared.fields, StructField(CORRUPT, StringType())])
+    parsed = documents.withColumn("__d", F.from_json(column, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    missing = F.array_compact(F.array(*(F.when(F.col(f"__d.{name}").isNull(), F.lit(name)) for name in required)))
+    out = F.array_compact(F.array(*(F.when(~F.col(f"__d.{k}").between(low, high), F.lit(k)) for k, (low, high) in ranges.items())))
+    reason = (
+        F.when(F.col("__d").isNull() | F.col(f"__d.{CORRUPT}").isNotNull(), "not of the declared types")
+        .when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", ")))
+        .when(F.size(out) > 0, F.concat(F.lit("out of range: "), F.array_join(out, ", ")))
+    )
+    return parsed.withColumn("__reason", reason)
+
+
 def structured_response(responses: DataFrame, declared: StructType, required: tuple[str, ...], ranges: dict[str, tuple[float, float]], column: str = "value") -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) model answers: a contract, and bounds on numbers."""
-    rows, rejects = read_contract(responses, declared, required, column)
-    out = F.array_compact(F.array(*(F.when(~F.col(k).between(low, high), F.lit(k)) for k, (low, high) in ranges.items())))
-    marked = rows.withColumn("__out", out)
-    bad = marked.filter(F.size("__out") > 0).select(F.to_json(F.struct(*(f.name for f in declared.fields))).alias(column), F.concat(F.lit("out of range: "), F.array_join("__out", ", ")).alias("reason"))
-    return marked.filter(F.size("__out") == 0).drop("__out"), rejects.unionByName(bad)
+    judged = _judged(responses.select(column), declared, required, ranges, column)
+    return judged.filter("__reason IS NULL").select(*(f"__d.{f.name}" for f in declared.fields)), judged.filter("__reason IS NOT NULL").select(column, F.col("__reason").alias("reason"))
+
+
+def repaired_responses(
+    responses: DataFrame, declared: StructType, required: tuple[str, ...], ranges: dict[str, tuple[float, float]], repair, key: str = "id", column: str = "value"
+) -> DataFrame:
+    """Every answer judged, and those that fail repaired once: key, the declared fields (null where it failed), outcome (ok,
+    repaired or failed), attempts (1 or 2) and reason (what was wrong with the first answer, or with the second if that failed).
+
+    repair is the user's: pandas frames (key, value, reason) to frames (key, value), run by tasks over the rejects alone; a key that it doesn't
+    answer has failed, and of several answers the least counts. What it gives is written before it is judged, so it isn't asked twice for
+    one answer; a repair that fails isn't tried again. Keys are unique.
+    """
+    from ..operators.selection import cut
+
+    fields = [f.name for f in declared.fields]
+    first = cut(_judged(responses.select(key, column), declared, required, ranges, column).withColumn("__d", F.struct(*(F.col(f"__d.{n}").alias(n) for n in fields))))
+    good = first.filter("__reason IS NULL").select(key, *(f"__d.{n}" for n in fields), F.lit("ok").alias("outcome"), F.lit(1).alias("attempts"), F.lit(None).cast("string").alias("reason"))
+    bad = first.filter("__reason IS NOT NULL").select(key, column, F.col("__reason").alias("reason"))
+    again = bad.mapInPandas(repair, responses.select(key, column).schema)
+    second = _judged(cut(again).groupBy(key).agg(F.min(column).alias(column)), declared, required, ranges, column)
+    fixed = F.col("__answered") & F.col("__reason").isNull()
+    joined = bad.select(key, "reason").join(second.select(key, "__d", "__reason", F.lit(True).alias("__answered")), key, "left").withColumn("__answered", F.coalesce("__answered", F.lit(False)))
+    rest = joined.select(
+        key, *(F.when(fixed, F.col(f"__d.{n}")).alias(n) for n in fields), F.when(fixed, "repaired").otherwise("failed").alias("outcome"), F.lit(2).alias("attempts"),
+        F.when(~fixed, F.coalesce("__reason", F.concat("reason", F.lit(", no repair")))).otherwise(F.col("reason")).alias("reason"),
+    )
+    return good.unionByName(rest)
 
 
 def read_json(spark: SparkSession, path: str, declared: StructType) -> DataFrame:

@@ -286,3 +286,23 @@ def test_regions_beside_a_huge_one(spark):
 
     df = spark.createDataFrame(rows, "source_id int, id long, x double, y double, w double, h double, priority int")
     assert {r.id for r in G.merge_regions(df, width=50.0).collect()} == in_order(sorted(rows, key=lambda r: (r[6], r[1])), meet)
+
+
+def test_correlations_by_transform_equal_sums_of_products(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(s, int(t), float(v)) for s in range(4) for t, v in zip(np.sort(rng.choice(900, 300 + 50 * s, replace=False)) - 200, rng.normal(size=600), strict=False)]
+    rows += [(9, 5, 1.0), (9, 5, 2.0), (9, 7, 4.0), (10, 0, 1.0), (11, 0, 3.0), (11, 1, 3.0)]
+    df = spark.createDataFrame(rows, "series_id int, t int, value double").repartition(3)
+    want = {}
+    for s in {r[0] for r in rows}:
+        mine = [(t, v) for k, t, v in rows if k == s]
+        mean = sum(v for _, v in mine) / len(mine)
+        zero = sum((v - mean) ** 2 for _, v in mine)
+        for lag in range(2, 31):
+            met = [(v - mean) * (w - mean) for t, v in mine for u, w in mine if u - t == lag]
+            if met and zero > 0:
+                want[s, lag] = sum(met) / zero
+    for block in (1 << 16, 120):
+        monkeypatch.setattr(W, "BLOCK", block)
+        got = {(r.series_id, r.lag): r.r for r in W.lag_correlations(df, 2, 30).collect()}
+        assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9

@@ -93,3 +93,27 @@ def test_archive_partition_and_providers(spark, tmp_path):
 
     found, failed = S.from_providers(spark, {"a": lambda s, r: rows, "b": broken}, {}, "")
     assert found.count() == 2 and failed == {"b": "down"}
+
+
+def test_answers_are_repaired_once(spark):
+    from lumenreel.operators.jobs import call_stats
+
+    declared = spark.createDataFrame([], "hook int, why string").schema
+    rows = [(1, '{"hook": 3, "why": "x"}'), (2, "nope"), (3, '{"hook": 99, "why": "y"}'), (4, '{"hook": 4}'), (5, None)]
+
+    def repair(frames):
+        for frame in frames:
+            said = {2: '{"hook": 5, "why": "now"}', 3: "still no", 4: '{"hook": -1, "why": "z"}'}
+            assert set(frame["id"]) <= {2, 3, 4, 5}
+            yield frame[frame["id"] < 5].assign(value=lambda f: f["id"].map(said))[["id", "value"]]
+
+    found = C.repaired_responses(spark.createDataFrame(rows, "id long, value string"), declared, ("hook", "why"), {"hook": (0, 10)}, repair)
+    got = {r.id: (r.hook, r.why, r.outcome, r.attempts, r.reason) for r in found.collect()}
+    assert got == {
+        1: (3, "x", "ok", 1, None), 2: (5, "now", "repaired", 2, "not of the declared types"), 3: (None, None, "failed", 2, "not of the declared types"),
+        4: (None, None, "failed", 2, "out of range: hook"), 5: (None, None, "failed", 2, "not of the declared types, no repair"),
+    }
+    totals = call_stats(found.withColumn("seconds", F.lit(1.0)).withColumn("all", F.lit(1)), ["all"]).first()
+    assert (totals.ok, totals.repaired, totals.failed, totals.calls) == (1, 1, 3, 5)
+    accepted, rejected = C.structured_response(spark.createDataFrame(rows, "id long, value string"), declared, ("hook", "why"), {"hook": (0, 10)})
+    assert [r.hook for r in accepted.collect()] == [3] and rejected.count() == 4
