@@ -12,23 +12,28 @@ from .selection import cut
 MIN_FIT, RIDGE, MIN_BUCKET = 40, 1.0, 3
 
 
-def mid_rank(df: DataFrame, value: str, group: tuple[str, ...] = (), out: str = "rank") -> DataFrame:
-    """1-based ranks with ties averaged, per group, nulls unranked.
+def value_ranks(counts: DataFrame, value: str, group: tuple[str, ...], out: str) -> DataFrame:
+    """Mid-ranks of counted values: counts has group, value and __n, each value once per group.
 
-    Equal values are counted first; groups and their values are range-partitioned together and written, and each
-    partition's running count of a group starts from the group's counts in the partitions before it. So rows of one
-    value never meet, and no task sorts all values of a group.
+    Groups and their values are range-partitioned together and written, and each partition's running count of a group starts from the
+    group's counts in the partitions before it, so no task sorts all values of a group.
     """
     keys = [*group, value]
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     split = cut(counts.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
     so_far = (Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*group, "__part").orderBy(value).rowsBetween(*so_far)
     parts = split.groupBy(*group, "__part").agg(F.sum("__n").alias("__all"))  # a row for each partition that a group reaches into
     earlier = parts.select(*group, "__part", F.coalesce(F.sum("__all").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(*so_far)), F.lit(0)).alias("__before"))
     place = F.col("__before") + F.coalesce(F.sum("__n").over(inside), F.lit(0)) + (F.col("__n") + 1) / 2
-    ranked = split.join(earlier, [*group, "__part"]).select(*keys, place.alias(out))
-    return df.join(ranked, keys, "left")
+    return split.join(earlier, [*group, "__part"]).select(*keys, place.alias(out))
+
+
+def mid_rank(df: DataFrame, value: str, group: tuple[str, ...] = (), out: str = "rank") -> DataFrame:
+    """1-based ranks with ties averaged, per group, nulls unranked. Equal values are counted first, so rows of one value never
+    meet."""
+    keys = [*group, value]
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return df.join(value_ranks(counts, value, group, out), keys, "left")
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -37,12 +42,24 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def correlate(facts: DataFrame, score: str, outcomes: list[str], spearman: bool = True) -> DataFrame:
-    """Per outcome over complete pairs: n, coefficient, 95% interval and what may be said of it."""
+    """Per outcome over complete pairs: n, coefficient, 95% interval and what may be said of it.
+
+    Equal pairs are counted first and written, so the facts are read once and rows of one value never meet in a join. Ranks are
+    measured from their mean, which is half of one more than their number.
+    """
     long = facts.select(score, F.explode(F.array(*(F.struct(F.lit(o).alias("outcome"), F.col(o).cast("double").alias("y")) for o in outcomes))).alias("o"))
     pairs = long.select("o.outcome", F.col(score).cast("double").alias("x"), "o.y").filter("x IS NOT NULL AND y IS NOT NULL")
+    counted = cut(pairs.groupBy("outcome", "x", "y").agg(F.count(F.lit(1)).alias("__n")))
+    total = counted.groupBy("outcome").agg(F.sum("__n").alias("n"), *(F.sum(F.col("__n") * F.col(c)).alias(f"s{c}") for c in "xy"))
+    x, y, n = F.col("x") - F.col("sx") / F.col("n"), F.col("y") - F.col("sy") / F.col("n"), F.col("__n")
     if spearman:
-        pairs = mid_rank(mid_rank(pairs, "x", ("outcome",), "rx"), "y", ("outcome",), "ry").select("outcome", F.col("rx").alias("x"), F.col("ry").alias("y"))
-    found = pairs.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), pearson(F.col("x"), F.col("y")).alias("r"))
+        of = {c: value_ranks(counted.groupBy("outcome", c).agg(F.sum("__n").alias("__n")), c, ("outcome",), f"r{c}") for c in "xy"}
+        counted = counted.join(of["x"], ["outcome", "x"]).join(of["y"], ["outcome", "y"])
+        x, y = (F.col(r) - (F.col("n") + 1) / 2 for r in ("rx", "ry"))
+    joined = counted.join(F.broadcast(total), "outcome")  # a row for each outcome that was asked for
+    sums = joined.groupBy("outcome").agg(F.first("n").alias("n"), F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"))
+    r = F.try_divide(F.col("xy"), F.sqrt(F.col("xx")) * F.sqrt(F.col("yy")))
+    found = sums.select("outcome", "n", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r")).withColumn("r", F.when(F.col("n") > 1, F.col("r")))
     low, high = M.fisher_interval(F.col("r"), F.col("n"), spearman)
     return found.withColumn("low", low).withColumn("high", high).select(
         "outcome", "n", F.bround("r", 4).alias("coefficient"), F.bround("low", 4).alias("ci_low"), F.bround("high", 4).alias("ci_high"),
