@@ -119,12 +119,49 @@ def fit_weights(facts: DataFrame, outcome: str, minimum: int = MIN_FIT) -> DataF
     return spark.createDataFrame([(d, round(float(w), 4)) for d, w in zip(dims, weights / weights.sum(), strict=True)], schema)
 
 
-def calibration_report(facts: DataFrame, outcomes: list[str], generated_at: Column) -> DataFrame:
-    """One nested row: correlations, cohorts, notes, and whether the sample is too small to conclude from."""
+def calibration_report(
+    facts: DataFrame, outcomes: list[str], generated_at: Column, baseline: dict[str, float] | None = None, window_days: int = 28, fit_against: str | None = None,
+    named: dict[str, str] | None = None, topics: int = 200,
+) -> DataFrame:
+    """One nested row: the facts' number, correlations, cohorts, the weights in use and those fitted (null where none were), whether
+    the sample is too small to conclude from, and notes that say how it came about and why nothing was fitted.
+
+    baseline are the weights in use, the rubric's own by default; fit_against is an outcome, the first by default; named says under
+    which columns facts have sub-scores that are called otherwise. Cohorts of a kind beyond the `topics` largest are left out of the
+    row, with a note of how many: topics are free text, and one row can't hold them all. cohort_summary has every one.
+    """
+    spark, target = facts.sparkSession, fit_against or outcomes[0]
+    scored = facts
+    for dimension, column in (named or {}).items():
+        scored = scored.drop(dimension).withColumnRenamed(column, dimension)
+    scored = cut(scored.select(*M.RUBRIC, F.col(target).cast("double").alias("outcome")))
+    usable = scored.dropna().count()
+    fitted = {r.dimension: r.weight for r in fit_weights(scored, "outcome").collect()}
+    weights = F.create_map(*(F.lit(x) for pair in (baseline or {d: w for d, (_, w) in M.RUBRIC.items()}).items() for x in pair))
+    proposed = F.create_map(*(F.lit(x) for pair in fitted.items() for x in pair)) if fitted else F.lit(None).cast("map<string,double>")
+    if fitted:
+        why = f"Weights fitted on '{target}' are a proposal: nothing was ranked anew and no setting has changed."
+    elif usable < MIN_FIT:
+        why = f"No fit: {usable} clips have all sub-scores and '{target}', and it takes {MIN_FIT}."
+    else:
+        why = f"No fit, though {usable} clips have all sub-scores and '{target}': no dimension goes with it positively. More data won't change that."
     pairs = correlate(facts, "predicted_score", outcomes)
-    cohorts = cohort_summary(bucket_for(facts))
-    a = pairs.agg(F.sort_array(F.collect_list(F.struct(*pairs.columns))).alias("correlations"), F.max("n").alias("n"))
-    b = cohorts.agg(F.sort_array(F.collect_list(F.struct(*cohorts.columns))).alias("cohorts"))
-    return a.crossJoin(b).select(
-        generated_at.alias("generated_at"), "n", (F.coalesce("n", F.lit(0)) < M.MIN_CONCLUSION).alias("underpowered"), "correlations", "cohorts"
+    cohorts = cut(cohort_summary(bucket_for(facts)))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "bucket"))
+    shown = cohorts.withColumn("__place", place)
+    a = pairs.agg(F.sort_array(F.collect_list(F.struct(*pairs.columns))).alias("correlations"))
+    b = shown.agg(
+        F.sort_array(F.collect_list(F.when(F.col("__place") <= topics, F.struct(*cohorts.columns)))).alias("cohorts"), F.count_if(F.col("__place") > topics).alias("left_out")
     )
+    n = facts.agg(F.count(F.lit(1)).alias("n"))
+    notes = F.array_compact(F.array(
+        F.format_string(f"%d publications with a settled snapshot, over {window_days} days.", F.col("n")),
+        F.lit(f"Correlations are of ranks; below {M.MIN_CONCLUSION} pairs none is a conclusion."),
+        F.lit(f"Cohorts of fewer than {MIN_BUCKET} show their count and no means."),
+        F.lit(why),
+        F.when(F.col("left_out") > 0, F.format_string("%d smaller cohorts aren't listed.", F.col("left_out"))),
+    ))
+    return n.crossJoin(a).crossJoin(b).select(
+        generated_at.alias("generated_at"), "n", F.lit(window_days).alias("window_days"), (F.col("n") < M.MIN_CONCLUSION).alias("underpowered"),
+        "correlations", "cohorts", weights.alias("baseline_weights"), proposed.alias("fitted_weights"), notes.alias("notes"),
+    )

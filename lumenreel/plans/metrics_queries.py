@@ -261,9 +261,14 @@ def _(spark, sf_dir):
     return C.fit_weights(scored, "y")
 
 
+def calibrated(spark, sf_dir):
+    outcomes, at = ["views", "view_percentage", "retention_at_half"], F.lit("2024-01-31 00:00:00").cast("timestamp")
+    return C.calibration_report(clip_facts(spark, sf_dir), outcomes, at, named={"hook": "hook_score"})
+
+
 @query("calibration_report")
 def _(spark, sf_dir):
-    return C.calibration_report(clip_facts(spark, sf_dir), ["views", "view_percentage", "retention_at_half"], F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    return calibrated(spark, sf_dir)
 
 
 @query("is_partial", "SELECT publication_id, day, date_diff('day', day, DATE '2024-01-30') <= 3 AS partial FROM {metric_daily}")

@@ -190,8 +190,9 @@ def _(spark, sf_dir):
 
 @query("report_markdown")
 def _(spark, sf_dir):
-    facts = clip_facts(spark, sf_dir)
-    return P.report_markdown(C.correlate(facts, "predicted_score", ["views", "view_percentage"]), C.cohort_summary(C.bucket_for(facts)))
+    from .metrics_queries import calibrated
+
+    return P.report_markdown(calibrated(spark, sf_dir))
 
 
 @query("brief_defaults", "SELECT p_partkey AS id, least(coalesce(CASE WHEN p_partkey % 3 > 0 THEN p_size::DOUBLE END, 15.0), 20.0) AS min_sec, greatest(coalesce(CASE WHEN p_partkey % 3 > 0 THEN p_size::DOUBLE END, 15.0), 20.0) AS max_sec, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS theme FROM {part}")

@@ -62,16 +62,37 @@ def run_scan(rows: DataFrame, job: str) -> DataFrame:
     return rows.filter(F.col("job_id") == job).orderBy("rank")
 
 
-def report_markdown(correlations: DataFrame, cohorts: DataFrame) -> DataFrame:
-    """A small report as one Markdown text: a table of correlations, then one of cohorts."""
-    def rows(df: DataFrame, key: Column, line: Column) -> DataFrame:
-        return df.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key.alias("k"), line.alias("line")))), lambda x: x.line), "\n").alias("text"))
-
-    number = lambda c: F.coalesce(F.format_number(c, 2), F.lit("–"))
-    a = rows(correlations, F.col("outcome"), F.concat_ws(" | ", F.lit("|"), "outcome", F.col("n").cast("string"), number(F.col("coefficient")), F.lit("|")))
-    b = rows(cohorts, F.concat_ws("|", "kind", "bucket"), F.concat_ws(" | ", F.lit("|"), "kind", "bucket", F.col("n").cast("string"), number(F.col("mean_views")), F.lit("|")))
-    head = F.lit("# Calibration\n\n| outcome | n | r |\n|-|-|-|\n")
-    return a.withColumnRenamed("text", "a").crossJoin(b.withColumnRenamed("text", "b")).select(F.concat(head, "a", F.lit("\n\n| kind | bucket | n | views |\n|-|-|-|-|\n"), "b").alias("markdown"))
+#: What to bear in mind about some kinds of cohorts.
+CAVEATS = {
+    "HOOK_TYPE": "Told by English words; a line in another language counts as a statement.",
+    "TOPIC": "Only the first tag of a clip; clips without tags are left out.",
+    "POSTING_HOUR": "In UTC; the audience's own time isn't known.",
+}
+
+
+def report_markdown(report: DataFrame) -> DataFrame:
+    """A calibration report (calibration_report's row) as Markdown: a warning where it can't support a conclusion, correlations with
+    their intervals, a table for each kind of cohort with its caveat, the weights in use and fitted, and the notes."""
+    number = lambda c, d=2: F.coalesce(F.format_number(c, d), F.lit("–"))
+    line = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    table = lambda rows, title: F.concat(F.lit(title), F.array_join(rows, "\n"))
+    warning = F.when(F.col("underpowered"), F.format_string("> **No conclusion can be drawn from %d clips.** The figures are shown for completeness.\n\n", F.col("n"))).otherwise("")
+    interval = lambda c: F.when(c.ci_low.isNull(), "–").otherwise(F.concat(F.lit("["), number(c.ci_low), F.lit(", "), number(c.ci_high), F.lit("]")))
+    pairs = F.transform("correlations", lambda c: line(c.outcome, c.n.cast("string"), number(c.coefficient), interval(c), F.coalesce(c.interpretation, F.lit("–"))))
+    kinds = F.array_sort(F.array_distinct(F.transform("cohorts", lambda c: c.kind)))
+    caveat = lambda kind: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in CAVEATS.items() for x in pair)), kind), F.lit(""))
+    rows = lambda kind: F.transform(F.filter("cohorts", lambda c: c.kind == kind), lambda c: line(c.bucket, c.n.cast("string"), number(c.mean_predicted_score, 1), number(c.mean_views, 1), number(c.mean_view_percentage, 1), number(c.mean_retention_at_half, 3)))
+    parts = F.transform(kinds, lambda k: F.concat(F.lit("### "), k, F.when(caveat(k) != "", F.concat(F.lit("\n\n*"), caveat(k), F.lit("*"))).otherwise(""), F.lit("\n\n| bucket | n | score | views | % viewed | at half |\n|-|-|-|-|-|-|\n"), F.array_join(rows(k), "\n")))
+    cohorts = F.when(F.size(kinds) > 0, F.array_join(parts, "\n\n")).otherwise("Nothing to break down.")
+    names = F.array_sort(F.map_keys("baseline_weights"))
+    weights = lambda label, m: F.when(m.isNotNull(), F.concat(F.lit(f"| {label} | "), F.array_join(F.transform(names, lambda k: number(F.element_at(m, k), 3)), " | "), F.lit(" |\n"))).otherwise("")
+    head = F.concat(F.lit("| | "), F.array_join(names, " | "), F.lit(" |\n|"), F.repeat(F.lit("-|"), F.size(names) + 1), F.lit("\n"))
+    notes = F.array_join(F.transform("notes", lambda x: F.concat(F.lit("- "), x)), "\n")
+    return report.select(F.concat(
+        F.date_format("generated_at", "'# Calibration, 'yyyy-MM-dd"), F.format_string("\n\n%d publications, %d days.\n\n", F.col("n"), F.col("window_days")), warning,
+        table(pairs, "## Score and outcome\n\n| outcome | n | r | 95% | reading |\n|-|-|-|-|-|\n"), F.lit("\n\n## Cohorts\n\n"), cohorts,
+        F.lit("\n\n## Weights\n\n"), head, weights("in use", F.col("baseline_weights")), weights("fitted", F.col("fitted_weights")), F.lit("\n## Notes\n\n"), notes, F.lit("\n"),
+    ).alias("markdown"))
 
 
 def from_providers(spark: SparkSession, providers: dict, request: dict, schema: str) -> tuple[DataFrame, dict[str, str]]:

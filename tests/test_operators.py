@@ -306,3 +306,38 @@ def test_correlations_by_transform_equal_sums_of_products(spark, monkeypatch):
         monkeypatch.setattr(W, "BLOCK", block)
         got = {(r.series_id, r.lag): r.r for r in W.lag_correlations(df, 2, 30).collect()}
         assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
+def test_reports_say_what_was_fitted_and_why_not(spark):
+    from lumenreel.sources.store import report_markdown
+
+    rng = np.random.default_rng(5)
+    dims = list(M.RUBRIC)
+
+    def facts(n, slope, known=True):
+        rows = []
+        for i in range(n):
+            subs = [int(rng.integers(0, M.RUBRIC[d][0] + 1)) for d in dims]
+            views = int(1000 + slope * sum(s / M.RUBRIC[d][0] for s, d in zip(subs, dims, strict=True)) * 100) + i
+            rows.append((f"line {i}?", *(subs if known else [None] * 6), float(20 + i % 9), int(sum(subs)), [f"t{i % 7}"], None, "a", "b", views, 50.0, None))
+        names = "hook string, " + ", ".join(f"s_{d} int" for d in dims) + ", duration_sec double, predicted_score int, tags array<string>, published_at timestamp, caption_style string, render_profile string, views int, view_percentage double, retention_at_half double"
+        return spark.createDataFrame(rows, names)
+
+    at = F.lit("2024-02-03 00:00:00").cast("timestamp")
+    build = lambda f, **k: C.calibration_report(f, ["views", "view_percentage"], at, named={d: f"s_{d}" for d in dims}, **k)
+    good = build(facts(60, 5.0)).first()
+    assert good.n == 60 and not good.underpowered and good.window_days == 28 and abs(sum(good.fitted_weights.values()) - 1) < 0.01
+    assert good.baseline_weights == {d: w for d, (_, w) in M.RUBRIC.items()} and "proposal" in good.notes[3]
+    assert {c.outcome: c.n for c in good.correlations} == {"views": 60, "view_percentage": 60} and {c.kind for c in good.cohorts} >= {"TOPIC", "HOOK_TYPE", "SCORE_BAND"}
+    few = build(facts(12, 5.0), baseline={"hook": 1.0}).first()
+    assert few.underpowered and few.fitted_weights is None and "12 clips" in few.notes[3] and few.baseline_weights == {"hook": 1.0}
+    against = build(facts(60, -5.0)).first()
+    assert against.fitted_weights is None and "60 clips" in against.notes[3] and "positively" in against.notes[3]
+    unknown = build(facts(60, 5.0, known=False), topics=2)
+    assert "0 clips" in unknown.first().notes[3] and int(unknown.first().notes[4].split()[0]) >= 5
+    text = report_markdown(build(facts(12, 5.0))).first().markdown
+    assert text.startswith("# Calibration, 2024-02-03\n\n12 publications, 28 days.\n\n> **No conclusion")
+    assert "### TOPIC\n\n*Only the first tag" in text and "| in use | 0.200 |" in text and "| fitted |" not in text and text.count("\n- ") == 4
+    assert "| fitted |" in report_markdown(build(facts(60, 5.0))).first().markdown
+    empty = build(facts(60, 5.0).limit(0)).first()
+    assert empty.n == 0 and empty.correlations == [] and empty.cohorts == []
