@@ -150,11 +150,13 @@ def admin_audience(users: DataFrame) -> DataFrame:
 
 
 def preference_scope(preferences: DataFrame, sources: DataFrame) -> DataFrame:
-    """Preferences that hold for each source: its own by an equi-join, and those for everything, which are counted first
-    and repeated per source. No OR join."""
+    """Preferences that hold for each source: its own by an equi-join, and those for everything, which are dealt to buckets by
+    their ids; every source asks each bucket. So neither side is gathered or broadcast whole."""
+    n = int(preferences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = preferences.filter("scope = 'SOURCE'").join(sources, "source_id").select("source_id", "id")
-    everywhere = preferences.filter("scope = 'EVERYTHING'").agg(F.collect_list("id").alias("ids"))
-    return own.unionByName(sources.join(F.broadcast(everywhere)).select("source_id", F.explode("ids").alias("id")))
+    everywhere = preferences.filter("scope = 'EVERYTHING'").select("id", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("bucket"))
+    asked = sources.select("source_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bucket"))
+    return own.unionByName(asked.join(everywhere, "bucket").select("source_id", "id"))
 
 
 def lesson_key(lesson: Column) -> Column:

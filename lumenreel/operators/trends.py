@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions import text as T
+from .selection import cut
 
 LABEL_ORDER = ("GOOGLE_TRENDS", "YOUTUBE", "REDDIT")
 
@@ -115,12 +116,13 @@ def dedupe_videos(hits: DataFrame, by: tuple[str, ...] = ("external_id",)) -> Da
 
 
 def trend_pipeline(signals: DataFrame, videos: DataFrame, interests: DataFrame, lookback: float, longest: float, limit: int) -> DataFrame:
-    """Signals, clusters, a first score, a shortlist of twice the limit, their videos, the score again, the best."""
-    clusters = cluster_measures(cluster_signals(signals))
+    """Signals, clusters, a first score, a shortlist of twice the limit, their videos, the score again, the best. Clusters and
+    shortlist are written, as several steps read them."""
+    clusters = cut(cluster_measures(cluster_signals(signals)))
     matched = interest_match(clusters, interests).groupBy("run_id", "cluster_no").agg(F.count(F.lit(1)).alias("matched"))
     base = clusters.join(matched, ["run_id", "cluster_no"], "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
     first = base.withColumn("n_videos", F.lit(0)).withColumn("best_video", F.lit(None).cast("int"))
-    short = rank_trends(first.withColumn("score", score_trend(first, lookback)), 2 * limit).drop("rank", "score", "n_videos", "best_video")
+    short = cut(rank_trends(first.withColumn("score", score_trend(first, lookback)), 2 * limit).drop("rank", "score", "n_videos", "best_video"))
     merged = dedupe_videos(videos, ("label_token", "external_id"))
     scored = merged.withColumn("s", M.score_video(F.col("view_count"), F.col("age_hours"), F.col("duration_sec"), longest))
     per_token = scored.groupBy("label_token").agg(F.count(F.lit(1)).alias("n"), F.max("s").alias("s"))
@@ -128,3 +130,11 @@ def trend_pipeline(signals: DataFrame, videos: DataFrame, interests: DataFrame,
     found = tokens.join(per_token, "label_token").groupBy("run_id", "cluster_no").agg(F.sum("n").alias("n_videos"), F.max("s").alias("best_video"))
     full = short.join(found, ["run_id", "cluster_no"], "left").withColumn("n_videos", F.coalesce("n_videos", F.lit(0)))
     return rank_trends(full.withColumn("score", score_trend(full, lookback)), limit).select("run_id", "rank", "label", "score", "strength", "sources", "matched", "n_videos", "best_video")
+
+
+def research(spark: SparkSession, providers: dict, request: dict, videos: DataFrame, interests: DataFrame, lookback: float, longest: float, limit: int) -> tuple[DataFrame, dict[str, str]]:
+    """trend_pipeline over what providers give, and why any of them failed; that all fail is an error."""
+    from ..sources.store import from_providers
+
+    signals, failed = from_providers(spark, providers, request, "")
+    return trend_pipeline(signals, videos, interests, lookback, longest, limit), failed

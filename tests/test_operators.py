@@ -341,3 +341,17 @@ def test_reports_say_what_was_fitted_and_why_not(spark):
     assert "| fitted |" in report_markdown(build(facts(60, 5.0))).first().markdown
     empty = build(facts(60, 5.0).limit(0)).first()
     assert empty.n == 0 and empty.correlations == [] and empty.cohorts == []
+
+
+def test_research_goes_on_without_a_provider(spark):
+    signals = spark.createDataFrame([("r", i, ["GOOGLE_TRENDS", "REDDIT"][i % 2], f"storm {['hits coast', 'season ends'][i % 2]}", 0.5, 3) for i in range(6)], "run_id string, ord long, source string, topic string, strength double, age_hours int")
+    videos = spark.createDataFrame([], "label_token string, external_id string, ord long, title string, via string, channel string, duration_sec double, view_count long, age_hours double")
+    interests = spark.createDataFrame([("storm",)], "interest string")
+
+    def down(spark, request):
+        raise RuntimeError("quota")
+
+    found, failed = D.research(spark, {"a": lambda s, r: signals, "b": down}, {}, videos, interests, 48, 1200.0, 5)
+    assert failed == {"b": "quota"} and found.count() >= 1
+    with pytest.raises(RuntimeError):
+        D.research(spark, {"b": down}, {}, videos, interests, 48, 1200.0, 5)
