@@ -2,10 +2,12 @@
 
 import random
 import re
+import unicodedata
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lumenreel.functions import text as T
@@ -15,6 +17,7 @@ from lumenreel.operators import jobs as J
 from lumenreel.operators import logs as L
 from lumenreel.operators import series as W
 from lumenreel.operators import transcript as R
+from lumenreel.operators import trends as N
 from lumenreel.sources import feeds as D
 from lumenreel.sources import store as S
 
@@ -234,3 +237,60 @@ def test_scripts_as_people_type_them(spark):
     for r in sorted(rows, key=lambda r: (r.id, r.speech, r.part)):
         got.setdefault(r.id, []).append((r.speaker, r.text))
     assert got == {i: plain(t) for i, t in enumerate(texts) if plain(t)}
+
+
+def flat(text):
+    bare = regex.sub(r"[^\p{L}\p{N}_\s]", " ", unicodedata.normalize("NFKD", text.lower()))
+    return " ".join(bare.split())
+
+
+def boilerplate(text):
+    f = flat(text)
+    w = f.split()
+    return not f or bool(re.search(r"[\[(][^\])]{0,60}[\])]|[♪♫]", text)) or any(m in f for m in T.HALLUCINATIONS) or (len(w) >= 8 and len(set(w)) <= len(w) // 3)
+
+
+def instruction(text):
+    f = flat(text)
+    return bool(f) and len(f.split()) <= 40 and f.startswith(T.INSTRUCTION_OPENERS) and any(n in f for n in T.INSTRUCTION_NOUNS)
+
+
+def odd_texts():
+    rng = random.Random(14)
+    bits = ["Please crop", "the logo", "thanks for watching", "Ünïcode", "word", "word", "word", "(laughs)", "[music", "♪", "add a", "caption", "cut", "video", "you you you", "…", "it's", "one", "two", "I want", "\t", "é́"]
+    return ["", " ", "Make the video", "make", "(a)", "[" + "x" * 61 + "]", *(" ".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(400)), "Please " + "so " * 39 + "logo", "Please " + "so " * 38 + "logo"]
+
+
+def test_flags_equal_plain_rules(spark):
+    texts = odd_texts()
+    assert each(spark, texts, T.hallucination_flag) == [boilerplate(t) for t in texts]
+    assert each(spark, texts, T.instruction_flag) == [instruction(t) for t in texts]
+    assert len({boilerplate(t) for t in texts}) == len({instruction(t) for t in texts}) == 2
+
+
+def test_speakability_in_order_of_its_refusals(spark):
+    rng = random.Random(15)
+    rows = [(i, t, rng.random() < 0.7, rng.choice([0.2, 0.59, 0.6, 0.9, None])) for i, t in enumerate([*odd_texts(), None])]
+    df = spark.createDataFrame(rows, "id int, t text_, h boolean, c double".replace("text_", "string"))
+    got = {r.id: tuple(r.s) for r in df.select("id", T.speakability(F.col("t"), F.col("h"), F.col("c")).alias("s")).collect()}
+    for i, text, heard, confidence in rows:
+        said = " ".join((text or "").split())
+        refusal = "empty" if not said else "instruction" if instruction(said) else "boilerplate" if heard and boilerplate(said) else "too short" if heard and len(said.split()) < 6 else None
+        warning = "low confidence" if refusal is None and heard and confidence is not None and confidence < 0.6 else None
+        assert got[i] == (refusal is None, refusal, warning), (text, heard, confidence)
+    assert {s[1] for s in got.values()} == {None, "empty", "instruction", "boilerplate", "too short"}
+
+
+def test_curated_places(spark):
+    """A curator's relevance and worth blended with the score; equal ones keep their order, and rows that stay aren't listed."""
+    rng = random.Random(16)
+    rows = [(f"run{k}", i + 1, rng.randint(0, 100), rng.choice([None, *range(11)]), rng.choice([True, True, False])) for k in range(6) for i in range(12)]
+    df = spark.createDataFrame(rows, "run_id string, rank int, score int, relevance int, worth boolean")
+    want = set()
+    for k in range(6):
+        mine = []
+        for _, rank, score, relevance, worth in (r for r in rows if r[0] == f"run{k}"):
+            blended = float(score) if relevance is None else 0.6 * score + 4.0 * relevance
+            mine.append((-max(0, min(100, round(blended if worth else blended * 0.6))), rank))
+        want |= {(f"run{k}", rank, place) for place, (_, rank) in enumerate(sorted(mine), 1) if place != rank}
+    assert {(r.run_id, r["rank"], r.place) for r in N.rerank_curated(df).collect()} == want
