@@ -135,17 +135,47 @@ def _(spark, sf_dir):
     return K.language_counts(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("hallucination_flag")
+PLEASE = "CASE WHEN turn = 0 THEN 'Please crop the logo. ' ELSE '' END || text"
+#: Letters that fall apart into one of a to z and a mark, which then counts as a space.
+ACCENTED = {"a": "àáâãäå", "c": "ç", "e": "èéêë", "i": "ìíîï", "n": "ñ", "o": "òóôõö", "u": "ùúûü", "y": "ýÿ"}
+
+
+def flat_sql(text: str) -> str:
+    found = f"lower({text})"
+    for letter, marked in ACCENTED.items():
+        found = f"regexp_replace({found}, '[{marked}]', '{letter} ', 'g')"
+    return f"trim(regexp_replace(regexp_replace({found}, '[^\\pL\\pN_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _any(flat: str, needles, test: str = "contains") -> str:
+    return "(" + " OR ".join(f"{test}({flat}, '{n.replace(chr(39), chr(39) * 2)}')" for n in needles) + ")"
+
+
+BOILERPLATE = (
+    r"(flat = '' OR regexp_matches(said, '[\[\(][^\]\)]{0,60}[\]\)]|[♪♫]+') OR " + _any("flat", T.HALLUCINATIONS)
+    + " OR (len(string_split(flat, ' ')) >= 8 AND len(list_distinct(string_split(flat, ' '))) <= len(string_split(flat, ' ')) // 3))"
+)
+INSTRUCTS = f"(flat <> '' AND len(string_split(flat, ' ')) <= 40 AND {_any('flat', T.INSTRUCTION_OPENERS, 'starts_with')} AND {_any('flat', T.INSTRUCTION_NOUNS)})"
+
+
+@query("hallucination_flag", f"SELECT doc_id, {BOILERPLATE} AS flag FROM (SELECT doc_id, text AS said, {flat_sql('text')} AS flat FROM {{documents}}) d")
 def _(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.hallucination_flag(F.col("text")).alias("flag"))
 
 
-@query("instruction_flag")
+@query("instruction_flag", f"SELECT conv_id, turn, {INSTRUCTS} AS flag FROM (SELECT conv_id, turn, {flat_sql(PLEASE)} AS flat FROM {{conversations}}) c")
 def _(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.instruction_flag(F.concat(F.when(F.col("turn") == 0, "Please crop the logo. ").otherwise(""), F.col("text"))).alias("flag"))
 
 
-@query("speakability")
+REFUSAL = f"CASE WHEN said = '' THEN 'empty' WHEN {INSTRUCTS} THEN 'instruction' WHEN heard AND {BOILERPLATE} THEN 'boilerplate' WHEN heard AND len(string_split(said, ' ')) < 6 THEN 'too short' END"
+
+
+@query(
+    "speakability",
+    f"""SELECT conv_id, turn, refusal IS NULL AS ok, refusal, CASE WHEN refusal IS NULL AND heard AND (n % 10) / 10.0 < 0.6 THEN 'low confidence' END AS warning FROM (SELECT *, {REFUSAL} AS refusal FROM
+    (SELECT *, {flat_sql('said')} AS flat FROM (SELECT conv_id, turn, role = 'user' AS heard, length(text) AS n, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS said FROM {{conversations}}) a) b) c""",
+)
 def _(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", T.speakability(F.col("text"), F.col("role") == "user", (F.length("text") % 10) / 10).alias("s")).select("conv_id", "turn", "s.*")
@@ -221,7 +251,18 @@ def _(spark, sf_dir):
     return K.blocked_names(read(spark, sf_dir, "documents"), names, "doc_id", "text").withColumn("names", F.array_join("names", ","))
 
 
-@query("shared_phrases")
+HEARD = "regexp_extract_all(lower(replace({0}, '’', '\'\'')), '[a-z0-9]+(?:''[a-z]+)?')"
+SAYS = "len(list_filter(w[i:i + 4], lambda x: x NOT IN (" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(T.HEADLINE_COMMON)) + "))) >= 2"
+
+
+@query(
+    "shared_phrases",
+    f"""WITH ours AS (SELECT doc_id, {HEARD.format('line')} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM {{documents}}) d WHERE trim(line) <> '' AND NOT starts_with(line, '[')),
+    theirs AS (SELECT {HEARD.format('text')} AS w FROM {{benchmark}}), lines AS (SELECT DISTINCT array_to_string({HEARD.format('line')}, ' ') AS phrase FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM {{benchmark}}) b),
+    known AS (SELECT DISTINCT array_to_string(w[i:i + 4], ' ') AS phrase FROM (SELECT w, unnest(generate_series(1, len(w) - 4)) AS i FROM theirs) t WHERE {SAYS})
+    SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS phrase FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM ours) o WHERE {SAYS} AND array_to_string(w[i:i + 4], ' ') IN (SELECT phrase FROM known)
+    UNION SELECT doc_id, array_to_string(w, ' ') FROM ours WHERE len(w) >= 3 AND array_to_string(w, ' ') IN (SELECT phrase FROM lines)""",
+)
 def _(spark, sf_dir):
     originals = read(spark, sf_dir, "benchmark").select(F.col("text").alias("original"))
     return K.shared_phrases(read(spark, sf_dir, "documents"), originals, "doc_id", "text", "original")
