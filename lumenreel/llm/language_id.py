@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import apart, cut, held_out, table
+from .common import apart, cut, held_out, releasing, table
 
 #: Most labelled rows that are read per language, and most words and n-grams of each length kept per language.
 ROWS, WORDS, GRAMS, LONGEST = 8000, 20_000, 5_000, 4
@@ -82,6 +82,11 @@ class Model:
         self.gain = np.log(np.array([n for *_, n in rows], float) + 1)
         self.backoff, self.window = _Memo(self._grams_of), _Memo(self._longest)
 
+    def forget(self) -> None:
+        """Drops what is remembered of words and places in them."""
+        self.backoff.clear()
+        self.window.clear()
+
     def _longest(self, window: str) -> int:
         """The longest known n-gram that a window starts with; -1 for none."""
         return next((found for size in range(len(window), 0, -1) if (found := self.tables[size].get(window[:size])) is not None), -1)
@@ -155,7 +160,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", order:
     words, grams = (max(1, min(most, ITEMS // 2 // max(langs, 1) // lengths)) for most, lengths in ((WORDS, 1), (GRAMS, LONGEST)))
     share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("rows_of"))
     sampled = known.join(F.broadcast(per_lang) if langs <= FEW else per_lang, lang_col).filter(F.pmod(order, F.lit(1 << 20)) < share * F.lit(1 << 20))
-    counted = sampled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_counts, "lang string, size int, item string, n long")
+    counted = sampled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(releasing(_counts), "lang string, size int, item string, n long")
     counted = counted.groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "item")
     top = counted.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= F.when(F.col("size") == 0, words).otherwise(grams))
@@ -186,7 +191,7 @@ def identify(
             langs, scores = (list(x) for x in zip(*said, strict=True)) if said else ([], [])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(releasing(run, lambda: sent.value.forget()), schema)
 
 
 def query(spark, sf_dir):

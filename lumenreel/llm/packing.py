@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunked import Chunked, blocks
-from .common import cut, table
+from .common import cut, releasing, table
 
 TOKENS, DOCUMENTS, ATTENTION = 2048, 2048, 2048 * 2048
 #: What residual tokens, documents and attention count for, each as a share of its capacity.
@@ -98,7 +98,7 @@ def cut_pieces(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         if rows:
             yield _arrow(rows)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(releasing(run, lambda: _encoder(path, pattern).clear()), PIECES)
 
 
 _ARROW = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])

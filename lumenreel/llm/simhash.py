@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, cut, spread_join, table
+from .common import apart, cut, releasing, spread_join, table
 
 SEED, SHINGLE, BITS, HALF = 42, 3, 3, 32
 #: A looked-up half with more pairs than this many for each row in it is linked through points.
@@ -59,7 +59,7 @@ def simhash(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, kee
             fps = [simhash_text(t.as_py(), shingle) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.int64())], [*keep, "fp"])
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(releasing(run), schema)
 
 
 def _half(fp: Column, which: int) -> Column:

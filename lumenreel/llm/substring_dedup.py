@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, batches_of, cut, spread_join, table
+from .common import apart, batches_of, cut, releasing, spread_join, table
 from .fm_index import FMIndex
 
 WINDOW, ANCHOR = 35, 8
@@ -29,6 +29,8 @@ WINDOW, ANCHOR = 35, 8
 CROWD, FINER = 64, 16
 #: Words of one index; a larger shard is indexed anchor group by anchor group.
 INDEX_WORDS = 1 << 18
+#: Fragments, and bytes of unpacked texts, of one Arrow batch; a longer text alone.
+ROWS, BYTES = 50_000, 4 << 20
 #: What tells fragments apart: their anchor and 128 bits over their words.
 KEY = ["anchor", "c1", "c2"]
 
@@ -68,9 +70,13 @@ _FRAGMENTS = pa.schema([("uid", pa.int64()), ("start", pa.int32()), ("n", pa.int
 def _fragments(window: int):
     """Rows (uid, packed text) as fragments."""
 
+    def made(columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(columns, _FRAGMENTS, strict=True)], schema=_FRAGMENTS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns: list[list] = [[], [], [], [], [], []]
+        load = 0
         for batch in batches:
-            columns: list[list] = [[], [], [], [], [], []]
             for uid, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = _words(packed)
                 if len(words) < window:
@@ -83,8 +89,12 @@ def _fragments(window: int):
                 contents = _contents(map(joined.__getitem__, map(slice, a, b)))
                 for column, values in zip(columns, (np.full(len(first), uid), first, n, anchor, *contents), strict=True):
                     column.append(values)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(columns, _FRAGMENTS, strict=True)], schema=_FRAGMENTS)
+                load += len(first)
+                if load > ROWS:
+                    yield made(columns)
+                    columns, load = [[], [], [], [], [], []], 0
+        if load:
+            yield made(columns)
 
     return run
 
@@ -204,11 +214,11 @@ def _judged(classes: DataFrame, window: int, run: int, crowd: int) -> DataFrame:
     and hits, flat pairs of a first repeated window and the one after the last."""
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few, many = classes.filter("NOT crowded"), classes.filter("crowded")
-    found = few.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_search_shard(window), _ddl(_VERDICT))
+    found = few.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(releasing(_search_shard(window)), _ddl(_VERDICT))
     if many.isEmpty():
         return found
     longer = min(run + FINER, window)
-    finer = cut(many.mapInArrow(_refined(window, longer), _ddl(_FINER)), "finer")
+    finer = cut(many.mapInArrow(releasing(_refined(window, longer)), _ddl(_FINER)), "finer")
     inner = finer.groupBy(*KEY, "words").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("weight"))
     inner = cut(_grouped(cut(inner, "finer-contents"), window, longer, crowd).select(_CLASS.names), "finer-classes")
     below = cut(_judged(inner, window, longer, crowd), "finer-verdicts")
@@ -223,9 +233,9 @@ def _covered(source: DataFrame, window: int, crowd: int) -> tuple[DataFrame, Dat
     """source has uid first and __text last. Returns a table of its rows with the text packed, and for each uid
     with repeated windows an array of (start, hits): windows start + hits[0] up to start + hits[1], and so on."""
     n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = cut(source.mapInArrow(_packed, source.withColumn("__text", F.col("__text").cast("binary")).schema), "texts")
+    texts = cut(source.mapInArrow(releasing(_packed), source.withColumn("__text", F.col("__text").cast("binary")).schema), "texts")
     bare = texts.select("uid", F.col("__text").alias("packed"))
-    fragments = cut(bare.mapInArrow(_fragments(window), _ddl(_FRAGMENTS)), "fragments")
+    fragments = cut(bare.mapInArrow(releasing(_fragments(window)), _ddl(_FRAGMENTS)), "fragments")
     repeated = cut(fragments.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "anchors")
     flagged = cut(spread_join(fragments, repeated, ["anchor"], "rows", ["uid", "start"]).drop("rows"), "flagged")
     # one number for (uid, start), so that the least of them needs no sort
@@ -236,7 +246,7 @@ def _covered(source: DataFrame, window: int, crowd: int) -> tuple[DataFrame, Dat
     )
     classes = _grouped(cut(classes, "classes"), window, min(ANCHOR, window), crowd)
     wanted = classes.groupBy("uid").agg(F.collect_list(F.struct(*KEY, "copies", "n", "start", "crowded")).alias("wanted"))
-    slices = bare.repartition(n, "uid").join(wanted, "uid").select("packed", "wanted").mapInArrow(_slices(window), _ddl(_CLASS))
+    slices = bare.repartition(n, "uid").join(wanted, "uid").select("packed", "wanted").mapInArrow(releasing(_slices(window)), _ddl(_CLASS))
     verdicts = cut(_judged(cut(slices, "slices"), window, min(ANCHOR, window), crowd), "verdicts")
     covers = spread_join(flagged, verdicts, KEY, "weight", ["uid", "start"])
     return texts.repartition(n, "uid"), covers.groupBy("uid").agg(F.collect_list(F.struct("start", "hits")).alias("covers"))
@@ -258,14 +268,22 @@ def _kept(window: int, names: tuple[str, str, str]):
         left = [w for w, k in zip(words, (np.cumsum(change[:-1]) == 0).tolist(), strict=True) if k]
         return b" ".join(left).decode(), len(words), len(words) - len(left)
 
+    def made(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        texts, words, removed = zip(*found, strict=True)
+        columns = [*batch.columns[:-2], pa.array(texts, pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-2], *names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                made = [kept(p, c) for p, c in zip(batch.columns[-2], batch.columns[-1], strict=True)]
-                texts, words, removed = zip(*made, strict=True)
-                columns = [*batch.columns[:-2], pa.array(texts, pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-2], *names])
+        for batch in batches:
+            begin, load, found = 0, 0, []
+            for i, (packed, covers) in enumerate(zip(batch.columns[-2], batch.columns[-1], strict=True)):
+                found.append(kept(packed, covers))
+                load += len(found[-1][0] or "")
+                if load > BYTES:
+                    yield made(batch.slice(begin, i + 1 - begin), found)
+                    begin, load, found = i + 1, 0, []
+            if found:
+                yield made(batch.slice(begin), found)
 
     return run
 
@@ -291,7 +309,7 @@ def remove_repeats(
     )
     texts, covers = _covered(source, window, crowd)
     out = texts.select(*names).schema.add("__text", "string").add("__words", "long").add("__removed", "long")
-    found = texts.join(covers, "uid", "left").select(*names, "__text", "covers").mapInArrow(_kept(window, results), out)
+    found = texts.join(covers, "uid", "left").select(*names, "__text", "covers").mapInArrow(releasing(_kept(window, results)), out)
     return found.select(*(F.col(x).alias(c) for x, c in zip((*names, *results), (*keep, text_col, *counts), strict=True)))
 
 
