@@ -42,16 +42,40 @@ def blocks(texts: Iterable[str], size: int = BLOCK) -> Iterator[list[str]]:
         yield held
 
 
+def unlike(splitter) -> str | None:
+    """An expression for the code points that a library's own splitter takes for another kind (letter, number, white space, rest)
+    than `regex` does: each goes by the Unicode version that it was built with."""
+    known = "".join(map(chr, [*range(0xD800), *range(0xF900, 0x40000)]))  # beyond lie no letters, numbers or white space
+    strange: list[str] = []
+    for kind, one in ((r"\p{L}", "a"), (r"\p{N}", "1"), (r"\s", "\t"), (r"[^\s\p{L}\p{N}]", "!")):
+        alike = "".join(regex.findall(kind + "+", known))
+        parts = [alike[a:b] for _, (a, b) in splitter.pre_tokenize_str(alike)]
+        strange += (c for p in parts if len(splitter.pre_tokenize_str(one + p)) > 1 for c in p)
+    codes = np.sort(np.array([ord(c) for c in strange], np.int64))
+    if not len(codes):
+        return None
+    first = np.append(True, np.diff(codes) > 1)
+    spans = zip(codes[first].tolist(), codes[np.append(first[1:], True)].tolist(), strict=True)
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in spans) + "]"
+
+
 class Chunked(dict):
     """A dictionary of pieces with their ids as little-endian 32-bit bytes; pieces are what `pattern` finds, and
     encode is asked for each piece that isn't there.
 
     added: an expression for strings that stand for one id wherever they occur, and the id of each of its matches; the
     text before and after one is encoded apart.
+    library: an expression for code points that the library takes for another kind than `pattern` (see `unlike`), and what gives a
+    text's ids as the library does; parts of texts that have such a code point are left to it.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], pattern: str, added: tuple[re.Pattern, Callable[[re.Match], int]] | None = None):
+    def __init__(
+        self, encode: Callable[[str], bytes], pattern: str, added: tuple[re.Pattern, Callable[[re.Match], int]] | None = None,
+        library: tuple[str | None, Callable[[str], np.ndarray]] = (None, bytes),
+    ):
         self.encode, self.pieces, self.added = encode, regex.compile(pattern).findall, added
+        self.strange, self.library = library[0] and re.compile(library[0]), library[1]
+        self.odd = _ODD + (f"|{library[0]}" if library[0] else "")
         self.newline, self.space = self._plain("\n"), self._plain(" ")
 
     def __missing__(self, piece: str) -> bytes:
@@ -78,18 +102,21 @@ class Chunked(dict):
         """Each whole text's ids."""
         return [ids for block in blocks(texts) for ids in self._block(block)]
 
+    def _segment(self, text: str) -> np.ndarray:
+        return self.library(text) if self.strange and self.strange.search(text) else self._plain(text)
+
     def _one(self, text: str) -> np.ndarray:
         out, at = [], 0
         for found in self.added[0].finditer(text) if self.added else ():
-            out += map(self._plain, _segments(text[at : found.start()]))
+            out += map(self._segment, _segments(text[at : found.start()]))
             out.append(np.array([self.added[1](found)], "<u4"))
             at = found.end()
-        out += map(self._plain, _segments(text[at:]))
+        out += map(self._segment, _segments(text[at:]))
         return np.concatenate(out).astype("<u4") if out else np.zeros(0, "<u4")
 
     def _block(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
-        odd = pc.match_substring_regex(pa.array(texts, pa.large_string()), _ODD).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(pa.array(texts, pa.large_string()), self.odd).to_numpy(zero_copy_only=False)
         if self.added:
             odd = [o or bool(self.added[0].search(text)) for o, text in zip(odd.tolist(), texts, strict=True)]
         plain = []

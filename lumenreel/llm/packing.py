@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunked import Chunked, blocks
+from .chunked import Chunked, blocks, unlike
 from .common import cut, releasing, table
 
 TOKENS, DOCUMENTS, ATTENTION = 2048, 2048, 2048 * 2048
@@ -53,7 +53,8 @@ def _encoder(path: str, pattern: str) -> Chunked:
         ids = [t.id for t in merge(piece.encode().decode("latin-1").translate(letters))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    return Chunked(encode, pattern, _added_tokens(tokenizer.get_added_tokens_decoder()))
+    whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    return Chunked(encode, pattern, _added_tokens(tokenizer.get_added_tokens_decoder()), (unlike(tokenizer.pre_tokenizer), whole))
 
 
 def _added_tokens(added: dict) -> tuple[re.Pattern, Callable[[re.Match], int]] | None:
@@ -80,10 +81,9 @@ def cut_pieces(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         coder, part, seen, rows = _encoder(path, pattern), TaskContext.get().partitionId(), {}, []
         end = np.array([end_id], "<u4")
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), (t.as_py() or "" for t in batch.column(1))
-            keys = iter(keys)
+            keys, texts = iter(batch.column(0).to_pylist()), (t.as_py() or "" for t in batch.column(1))
             for block in blocks(texts):
-                for key, ids in zip(keys, coder.ids(block), strict=False):
+                for key, ids in zip([next(keys) for _ in block], coder.ids(block), strict=True):
                     ids = np.append(ids, end)
                     n = len(ids)
                     start, stop = 0, n % tokens or tokens

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunked import LONGEST, MEMO, _ODD, _segments
+from .chunked import LONGEST, MEMO, _ODD, _segments, unlike
 from .common import table
 from .packing import _added_tokens, _byte_letters
 
@@ -118,10 +118,13 @@ class Merges:
 
 class Counter(dict):
     """Tokens of pieces, and of texts as sums over their pieces. Pieces are what `pattern` finds; the strings that `added`
-    matches stand for one token each, and the text before and after one is split apart."""
+    matches stand for one token each, and the text before and after one is split apart. Parts of texts with a code point that
+    the library takes for another kind than the pattern (`strange`, see `unlike`) are split by the library."""
 
-    def __init__(self, merges: Merges, pattern: str, added: re.Pattern | None):
+    def __init__(self, merges: Merges, pattern: str, added: re.Pattern | None, strange: str | None = None, split: Callable[[str], list[str]] = list):
         self.merges, self.pieces, self.added = merges, regex.compile(pattern).findall, added
+        self.strange, self.split = strange and re.compile(strange), split
+        self.other = _ODD + (f"|{strange}" if strange else "")
 
     def learn(self, pieces: list[str]) -> np.ndarray:
         """The tokens of each piece; those that aren't known are merged together."""
@@ -142,13 +145,13 @@ class Counter(dict):
                 parts.append(text[at : found.start()])
                 at, strings = found.end(), strings + 1
             parts.append(text[at:])
-        return strings + sum(int(self.learn(self.pieces(s)).sum()) for part in parts for s in _segments(part))
+        return strings + sum(int(self.learn((self.split if self.strange and self.strange.search(s) else self.pieces)(s)).sum()) for part in parts for s in _segments(part))
 
     def texts(self, texts: pa.Array) -> np.ndarray:
         """The tokens of each text. A space goes with the word after it, so texts are cut at spaces and line ends by Arrow
         and only their different chunks are split into pieces; texts with other white space are split whole."""
         out = np.zeros(len(texts), np.int64)
-        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.other).to_numpy(zero_copy_only=False)
         if self.added:
             odd |= pc.match_substring_regex(texts, self.added.pattern).to_numpy(zero_copy_only=False)
         for i in np.flatnonzero(odd).tolist():
@@ -183,8 +186,10 @@ def _counter(path: str, pattern: str) -> Counter:
     if not plain or model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
         raise ValueError(f"{path} isn't a plain byte-level vocabulary")
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-    added = _added_tokens(Tokenizer.from_file(path).get_added_tokens_decoder())
-    return Counter(Merges(model["vocab"], merges), pattern, added and added[0])
+    library = Tokenizer.from_file(path)
+    added, splitter = _added_tokens(library.get_added_tokens_decoder()), library.pre_tokenizer
+    split = lambda text: [text[a:b] for _, (a, b) in splitter.pre_tokenize_str(text)]
+    return Counter(Merges(model["vocab"], merges), pattern, added and added[0], unlike(splitter), split)
 
 
 def _blocks(texts: pa.Array) -> Iterator[pa.Array]:

@@ -84,3 +84,9 @@ def test_query_over_the_table(spark, library):
 def test_other_kinds_of_files_are_refused():
     with pytest.raises(ValueError):
         T._counter(P.path("word_bpe_49k.json"), P.PATTERN)
+
+
+def test_letters_that_the_library_does_not_know_yet():
+    library = Tokenizer.from_file(JSON)
+    texts = ["plain text", "it \U00010944'll be ՘ <|endoftext|>\U00010eed1\n₏ a౜b", "a  \U00010952'll\t՘"]
+    assert T._counter(JSON, P.PATTERN).texts(pa.array(texts, pa.large_string())).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]

@@ -95,3 +95,15 @@ def test_documents_are_packed_whole(spark):
     for spans in places.values():
         assert [o for o, _ in sorted(spans)] == [sum(n for _, n in sorted(spans)[:i]) for i in range(len(spans))] and sum(n for _, n in spans) <= 2048
     assert K.pack_documents(spark.createDataFrame([], "doc_id long, text string"), JSON, P.PATTERN).count() == 0
+
+
+def test_packed_rows_keep_their_document_over_blocks_of_texts(spark):
+    rows = [(i, " word" * (500_000 + i)) for i in range(12)]  # a batch of several blocks
+    got = K.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), JSON, P.PATTERN).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in got} == {i: 500_001 + i for i in range(12)}
+
+
+def test_letters_that_the_library_does_not_know_yet():
+    coder, library = K._encoder(JSON, P.PATTERN), Tokenizer.from_file(JSON)
+    texts = ["plain text", "x\U00010940y", "it \U00010944'll be \u0558 <|endoftext|>\U00010eed1\n\u208f a\u0c5cb", "a  \U00010952'll\t\u0558"]
+    assert [ids.tolist() for ids in coder.ids(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
