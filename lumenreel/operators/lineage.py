@@ -87,6 +87,7 @@ def publish_state(clips: DataFrame, publications: DataFrame, jobs: DataFrame, no
 
 
 def live_attempt(publications: DataFrame) -> DataFrame:
+    """The first attempt of a clip on a platform that hasn't failed; of attempts made at one time the one with the lowest id."""
     w = Window.partitionBy("clip_id", "platform").orderBy("created_at", "publication_id")
     return publications.filter(F.col("state").isin("PENDING", "UPLOADING", "PUBLISHED")).withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
 

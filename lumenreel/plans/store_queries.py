@@ -95,7 +95,8 @@ def attempts(spark, sf_dir):
 ATTEMPTS = "(SELECT o_orderkey AS publication_id, o_custkey AS clip_id, CASE WHEN o_orderpriority LIKE '1%' AND o_orderstatus = 'F' THEN 'PUBLISHED' WHEN o_orderstatus = 'P' THEN 'UPLOADING' ELSE 'FAILED' END AS state, o_orderdate AS created_at FROM {orders})"
 
 
-@query("live_attempt", f"SELECT clip_id, arg_min(publication_id, created_at) AS publication_id FROM {ATTEMPTS} a WHERE state IN ('PUBLISHED', 'UPLOADING') GROUP BY clip_id")
+@query("live_attempt", f"""SELECT clip_id, publication_id FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY created_at NULLS FIRST, publication_id NULLS FIRST) AS rn
+  FROM {ATTEMPTS} a WHERE state IN ('PUBLISHED', 'UPLOADING')) b WHERE rn = 1""")
 def _(spark, sf_dir):
     return N.live_attempt(attempts(spark, sf_dir)).select("clip_id", "publication_id")
 

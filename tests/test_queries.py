@@ -51,3 +51,22 @@ def test_query_without_sql_gives_the_same_rows_again(spark, name):
         return sorted((tuple(plain(v) for v in row) for row in registry.queries()[name](spark, SF).collect()), key=repr)
 
     assert rows() == rows()
+
+
+def check_over(spark, tmp_path, name, tables):
+    """A query and its SQL over tables of a test's own: the same rows, which are returned."""
+    c = duckdb.connect()
+    for table, frame in tables.items():
+        frame.coalesce(1).write.parquet(str(tmp_path / f"{table}.parquet"))
+        c.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    df = registry.queries()[name](spark, str(tmp_path))
+    got = sorted(tuple(map(plain, row)) for row in df.collect())
+    assert got == sorted(tuple(map(plain, row)) for row in c.sql(registry.oracle_sql()[name]).select(*df.columns).fetchall())
+    return got
+
+
+def test_attempts_of_one_time_are_told_by_id(spark, tmp_path):
+    order = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    day = pd.Timestamp("1995-01-01").to_pydatetime()
+    orders = spark.createDataFrame([(9 - i, i // 3, "P", 1.0, day, "2-HIGH") for i in range(9)], order)
+    assert check_over(spark, tmp_path, "live_attempt", {"orders": orders}) == [(0, 7), (1, 4), (2, 1)]
