@@ -27,8 +27,9 @@ def best_window_profile(profile: DataFrame, width: int, by: str = "series_id") -
 
 
 def loudest_window(samples: DataFrame, seconds: int, by: str = "series_id") -> DataFrame:
-    """Root mean square per second, and the run of seconds with the largest sum."""
-    rms = samples.groupBy(by, F.floor("t").alias("second")).agg(F.sqrt(F.avg(F.col("value") ** 2)).alias("rms"))
+    """Root mean square per second, to six places, and the run of seconds with the largest sum, of equal ones the first. Decimals
+    add up exactly, so equal sums are equal in whatever order they were added."""
+    rms = samples.groupBy(by, F.floor("t").alias("second")).agg(F.sqrt(F.avg(F.col("value") ** 2)).cast("decimal(28,6)").alias("rms"))
     w = _w(by, "second").rangeBetween(0, seconds - 1)
     return rms.withColumn("sum", F.sum("rms").over(w)).groupBy(by).agg(F.max_by("second", F.struct("sum", -F.col("second"))).alias("start"))
 

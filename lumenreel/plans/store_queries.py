@@ -421,7 +421,8 @@ def series(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("series_id"), quarters.alias("t")).agg(F.round(F.sum("value"), 4).alias("value"))
 
 
-@query("loudest_window", f"SELECT series_id, arg_max(t, s * 100000 - t) AS start FROM (SELECT series_id, t, sum(value) OVER (PARTITION BY series_id ORDER BY t RANGE BETWEEN CURRENT ROW AND 5 FOLLOWING) AS s FROM {SERIES} x) y GROUP BY 1")
+@query("loudest_window", f"""SELECT series_id, t AS start FROM (SELECT series_id, t, row_number() OVER (PARTITION BY series_id ORDER BY s DESC NULLS LAST, t) AS rn FROM
+  (SELECT series_id, t, sum(CAST(abs(value) AS DECIMAL(28, 6))) OVER (PARTITION BY series_id ORDER BY t RANGE BETWEEN CURRENT ROW AND 5 FOLLOWING) AS s FROM {SERIES} x) y) z WHERE rn = 1""")
 def _(spark, sf_dir):
     return W.loudest_window(series(spark, sf_dir), 6)
 

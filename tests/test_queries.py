@@ -70,3 +70,13 @@ def test_attempts_of_one_time_are_told_by_id(spark, tmp_path):
     day = pd.Timestamp("1995-01-01").to_pydatetime()
     orders = spark.createDataFrame([(9 - i, i // 3, "P", 1.0, day, "2-HIGH") for i in range(9)], order)
     assert check_over(spark, tmp_path, "live_attempt", {"orders": orders}) == [(0, 7), (1, 4), (2, 1)]
+
+
+def test_equal_windows_are_equal_in_any_order_of_their_seconds(spark, tmp_path):
+    event = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    at = lambda quarter: pd.Timestamp("2024-01-01").to_pydatetime() + pd.Timedelta(hours=6 * quarter)
+    sums = [(1, [0.3, 0.2, 0.1]), (2, [0.1, 0.2, 0.3])]  # as doubles 0.6 and 0.6000000000000001
+    rows = [(i, at(10 * k + i), user, "view", v) for user, order in sums for k, vs in enumerate((order, order[::-1])) for i, v in enumerate(vs)]
+    # a later window that is larger by less than its place times a hundred thousandth
+    rows += [(0, at(0), 3, "view", 1.0), (1, at(5000), 3, "view", 1.01)]
+    assert check_over(spark, tmp_path, "loudest_window", {"events": spark.createDataFrame(rows, event)}) == [(1, 0), (2, 0), (3, 5000)]
