@@ -6,6 +6,7 @@ depend on how a stream was cut into batches. A key has one timer, for the earlie
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 WAIT_MINUTES, SHARDS = 10, 64
+#: Stands for no time in stored lists, whose numbers have no nulls.
+NEVER = -(1 << 63)
 
 
 class InOrder(StatefulProcessor):
@@ -45,10 +48,7 @@ class InOrder(StatefulProcessor):
         now = timerValues.getCurrentWatermarkInMs()
         rows = [tuple(row) for row in self.held.get()]
         ready, later = sorted(r for r in rows if r[0] <= now), [r for r in rows if r[0] > now]
-        if later:
-            self.held.put(later)
-        else:
-            self.held.clear()
+        _store(self.held, later)
         found, due = self.advance(key, ready, now)
         coming = [t for t in (due, *(r[0] for r in later)) if t is not None]
         if coming:
@@ -69,6 +69,18 @@ class InOrder(StatefulProcessor):
         pass
 
 
+def _time(stored: int) -> int | None:
+    return None if stored == NEVER else stored
+
+
+def _store(state, rows: list[tuple]) -> None:
+    """Puts rows in a list's place."""
+    if rows:
+        state.put(rows)
+    else:
+        state.clear()
+
+
 def _tuples(frame: pd.DataFrame, columns: tuple[str, ...]) -> list[tuple]:
     """Rows of a frame; numbers have no nulls, as pandas would make floats of their columns."""
     return list(zip(*(frame[c].tolist() for c in columns), strict=True))
@@ -84,24 +96,29 @@ class WaitingJobs(InOrder):
         self.wait = wait_ms
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        self.jobs = handle.getMapState("jobs", "id long", "since long, told boolean")
+        self.jobs = handle.getListState("jobs", "id long, since long, told boolean")
         self.working = handle.getValueState("working", "working boolean")
 
     def advance(self, key: tuple, rows: list[tuple], now: int) -> tuple[list[tuple], int | None]:
-        jobs = {k[0]: tuple(v) for k, v in self.jobs.iterator()}
-        before = dict(jobs)
+        jobs = {job: (_time(since), told) for job, since, told in self.jobs.get()}
         working = bool(self.working.exists() and self.working.get()[0])
         found: list[tuple] = []
         clock = None
+        # when jobs that wait will have waited long enough; a job that is queued no longer stays until it is met
+        due = [(since + self.wait, job) for job, (since, told) in jobs.items() if since is not None and not told]
+        heapq.heapify(due)
+
+        def waits(at: int, job: int) -> bool:
+            since, told = jobs.get(job, (None, True))
+            return not told and since is not None and since + self.wait == at
 
         def tell(until: int) -> None:
             """Alerts of the time from clock on, before `until`."""
-            for job, (since, told) in sorted(jobs.items()):
-                at = since + self.wait if since is not None else until
-                at = at if clock is None else max(at, clock)
-                if not working and not told and at < until:
-                    found.append((key[0], job, since, at))
-                    jobs[job] = (since, True)
+            while not working and due and due[0][0] < until and (clock is None or clock < until):
+                at, job = heapq.heappop(due)
+                if waits(at, job):
+                    found.append((key[0], job, at - self.wait, at if clock is None else max(at, clock)))
+                    jobs[job] = (at - self.wait, True)
 
         for ms, kind, job, status in rows:
             tell(ms)
@@ -110,20 +127,19 @@ class WaitingJobs(InOrder):
                 working = status == "WORKING"
             elif status == "QUEUED":
                 since, told = jobs.get(job, (None, False))
+                if since is None and not told:
+                    heapq.heappush(due, (ms + self.wait, job))
                 jobs[job] = (ms if since is None else since, told)
             elif status == "RUNNING":
                 jobs[job] = (None, jobs.get(job, (None, False))[1])
             else:
                 jobs.pop(job, None)
         tell(now + 1)
-        for job in before.keys() - jobs.keys():
-            self.jobs.removeKey((job,))
-        for job, value in jobs.items():
-            if before.get(job) != value:
-                self.jobs.updateValue((job,), value)
+        _store(self.jobs, [(job, NEVER if since is None else since, told) for job, (since, told) in jobs.items()])
         self.working.update((working,))
-        waiting = [since + self.wait for since, told in jobs.values() if since is not None and not told]
-        return found, min(waiting, default=None) if not working else None
+        while due and not waits(*due[0]):
+            heapq.heappop(due)
+        return found, due[0][0] if due and not working else None
 
 
 def stream_waiting_alerts(jobs: DataFrame, workers: DataFrame, minutes: float = WAIT_MINUTES, delay: str = "1 hour", shards: int = SHARDS) -> DataFrame:
@@ -146,42 +162,50 @@ def stream_waiting_alerts(jobs: DataFrame, workers: DataFrame, minutes: float =
 
 
 class Leases(InOrder):
-    """A job's lease: until when it runs, or that there is none."""
+    """The leases of a shard's jobs: until when each runs, or that there is none, and how often it was claimed."""
 
-    columns, types = ("kind", "lease_ms"), "kind string, lease_ms long"
+    columns, types = ("id", "kind", "lease_ms"), "id long, kind string, lease_ms long"
     results = ("id", "lapsed_ms", "claims")
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        self.lease = handle.getValueState("lease", "until long, claims long")
+        self.leases = handle.getListState("leases", "id long, until long, claims long")
 
     def advance(self, key: tuple, rows: list[tuple], now: int) -> tuple[list[tuple], int | None]:
-        until, claims = self.lease.get() if self.lease.exists() else (None, 0)  # no lease: None
+        leases = {job: (_time(until), claims) for job, until, claims in self.leases.get()}  # no lease: None
         found = []
-        for ms, kind, lease in [*rows, (now + 1, "", None)]:
+        # in the order of time, then kind, within each job
+        for ms, job, kind, lease in rows:
+            until, claims = leases.get(job, (None, 0))
             if until is not None and until < ms:
-                found.append((key[0], until, claims))
+                found.append((job, until, claims))
                 until = None
             if kind == "CLAIM":
                 until, claims = lease, claims + 1
             elif kind == "HEARTBEAT":
                 until = until if until is None else lease
-            elif kind:
+            else:
                 until, claims = None, 0
-        if not claims:
-            self.lease.clear()
-        else:
-            self.lease.update((until, claims))
-        return found, until
+            if claims:
+                leases[job] = (until, claims)
+            else:
+                leases.pop(job, None)
+        for job, (until, claims) in leases.items():
+            if until is not None and until <= now:
+                found.append((job, until, claims))
+                leases[job] = (None, claims)
+        _store(self.leases, [(job, NEVER if until is None else until, claims) for job, (until, claims) in leases.items()])
+        return found, min((until for until, _ in leases.values() if until is not None), default=None)
 
 
-def stream_lapsed_leases(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+def stream_lapsed_leases(events: DataFrame, delay: str = "1 hour", shards: int = SHARDS) -> DataFrame:
     """id, lapsed_at, claims (how often it was claimed): each lease that ends without a heartbeat or an end up to then, once.
 
     events has id, kind (CLAIM, HEARTBEAT, or any other for a job that is over), at and lease_until. Every heartbeat moves the
     timer; one that comes after its lease has lapsed is of no use, and the job has no lease until it is claimed again. A job that
-    is over is forgotten.
+    is over is forgotten. Jobs are dealt to `shards` keys of the state; the number stays with a checkpoint.
     """
     at, until = (F.col(c).cast("timestamp") for c in ("at", "lease_until"))
     rows = events.select(F.col("id").cast("long").alias("id"), "kind", F.coalesce(F.unix_millis(until), F.lit(-1)).alias("lease_ms"), at.alias("at"), F.unix_millis(at).alias("ms")).withWatermark("at", delay)
-    found = rows.groupBy("id").transformWithStateInPandas(Leases(), "id long, lapsed_ms long, claims long", "Append", "EventTime")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    found = rows.groupBy("shard").transformWithStateInPandas(Leases(), "id long, lapsed_ms long, claims long", "Append", "EventTime")
     return found.select("id", F.timestamp_millis("lapsed_ms").alias("lapsed_at"), "claims")
