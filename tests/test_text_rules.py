@@ -294,3 +294,17 @@ def test_curated_places(spark):
             mine.append((-max(0, min(100, round(blended if worth else blended * 0.6))), rank))
         want |= {(f"run{k}", rank, place) for place, (_, rank) in enumerate(sorted(mine), 1) if place != rank}
     assert {(r.run_id, r["rank"], r.place) for r in N.rerank_curated(df).collect()} == want
+
+
+def test_terms_tags_and_topics_of_one_long_line_in_about_its_length(spark):
+    import time
+
+    names = [f"{a}{b}{c}" for a in "BCDFGHJKLM" for b in "aeiou" for c in ("rest", "mond", "lein", "vik", "dam", "burg")] * 20
+    line, other = "It " + " ".join(f"Of {n} {n.upper()}" for n in names), "some other words"
+    topics = ",".join(names)
+    df = spark.createDataFrame([(line, line, topics), (line, other, topics)], "text string, known string, topics string").coalesce(1)
+    raw = F.split("text", " ")
+    begun = time.monotonic()
+    got = df.select(T.ungrounded_terms(F.col("text"), F.col("known")), T.tidy_tags(raw, F.col("known")), T.parse_topics(F.col("topics"))).collect()
+    assert time.monotonic() - begun < 20
+    assert [list(r) for r in got] == [[[], ["it", "of", *(n.lower() for n in names[:10])], names[:12]], [names[:8], ["it", "of"], names[:12]]]
