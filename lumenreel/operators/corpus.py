@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.batches import give_back, pieces
 from .selection import cut
 
 PHRASE, CONTENT, LINE = 5, 2, 3
@@ -119,13 +120,14 @@ def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return slot, bits
 
 
-def _filter_rows(hashes: np.ndarray) -> pa.RecordBatch:
-    slot, bits = _slots(np.unique(hashes))
-    order = np.argsort(slot, kind="stable")
-    slot, bits = slot[order], bits[order]
-    first = np.flatnonzero(np.append(True, np.diff(slot) > 0)) if len(slot) else np.zeros(0, np.int64)
-    merged = np.bitwise_or.reduceat(bits, first) if len(slot) else bits
-    return pa.RecordBatch.from_arrays([pa.array(slot[first], pa.int64()), pa.array(merged.view(np.int64))], ["slot", "bits"])
+def _filter_rows(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The filter of a task's hashes, as rows (slot, bits)."""
+    held = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    for hashes in parts:
+        np.bitwise_or.at(held, *_slots(np.unique(hashes)))
+    at = np.flatnonzero(held)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at].view(np.int64))], ["slot", "bits"])
+    give_back()
 
 
 def _filter(rows: DataFrame) -> np.ndarray:
@@ -145,14 +147,26 @@ def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def _in_pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut into pieces by the bytes of a column: a text's words are many times its size."""
+    for batch in batches:
+        for first, n in pieces(batch.column(text)):
+            yield batch.slice(first, n)
+        give_back()
+
+
 def _their_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Originals as filter rows: runs of the whole text, and lines."""
     phrases = _Phrases()
-    for batch in batches:
-        texts = _texts(batch.column(0))
-        runs = phrases.runs(phrases.words(texts))[0]
-        lines = {" ".join(words) for words in phrases.words([line for t in texts for line in t.split("\n")]) if len(words) >= LINE}
-        yield _filter_rows(np.concatenate([runs, np.fromiter(map(_line_hash, lines), np.uint64, len(lines))]))
+
+    def parts() -> Iterator[np.ndarray]:
+        for batch in _in_pieces(batches, 0):
+            texts = _texts(batch.column(0))
+            yield phrases.runs(phrases.words(texts))[0]
+            lines = {" ".join(words) for words in phrases.words([line for t in texts for line in t.split("\n")]) if len(words) >= LINE}
+            yield np.fromiter(map(_line_hash, lines), np.uint64, len(lines))
+
+    yield from _filter_rows(parts())
 
 
 def _their_phrases(held):
@@ -160,7 +174,7 @@ def _their_phrases(held):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = _Phrases()
-        for batch in batches:
+        for batch in _in_pieces(batches, 0):
             texts = _texts(batch.column(0))
             words = phrases.words(texts)
             found, part, first = phrases.runs(words)
@@ -184,7 +198,7 @@ def _our_phrases(held):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = _Phrases()
-        for batch in batches:
+        for batch in _in_pieces(batches, 1):
             lines, owner = [], []
             for i, text in enumerate(_texts(batch.column(1))):
                 some = [line for line in text.split("\n") if line.strip(" ") and not line.startswith("[")]
@@ -207,11 +221,14 @@ def _our_phrases(held):
 def _phrase_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Phrases (kind, phrase) as filter rows."""
     phrases = _Phrases()
-    for batch in batches:
-        kinds, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        runs = phrases.runs([t.split(" ") for k, t in zip(kinds, texts, strict=True) if k == "run"])[0]
-        lines = [_line_hash(t) for k, t in zip(kinds, texts, strict=True) if k == "line"]
-        yield _filter_rows(np.concatenate([runs, np.array(lines, np.uint64)]))
+
+    def parts() -> Iterator[np.ndarray]:
+        for batch in _in_pieces(batches, 1):
+            kinds, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            yield phrases.runs([t.split(" ") for k, t in zip(kinds, texts, strict=True) if k == "run"])[0]
+            yield np.array([_line_hash(t) for k, t in zip(kinds, texts, strict=True) if k == "line"], np.uint64)
+
+    yield from _filter_rows(parts())
 
 
 def shared_phrases(candidates: DataFrame, originals: DataFrame, id_col: str, text_col: str, original_col: str) -> DataFrame:

@@ -4,8 +4,11 @@ import random
 import re
 import unicodedata
 from datetime import UTC, datetime, timedelta
+from types import SimpleNamespace
 from zoneinfo import ZoneInfo
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -111,6 +114,20 @@ def test_phrases_that_an_original_has(spark):
     assert {tuple(r) for r in K.shared_phrases(ours, other, "id", "text", "original").collect()} == want and len(want) > 8
 
 
+def test_phrases_take_a_batch_in_pieces(monkeypatch):
+    taken, words = [], K._Phrases.words
+    monkeypatch.setattr(K._Phrases, "words", lambda self, parts: taken.append(sum(map(len, parts))) or words(self, parts))
+    texts = [" ".join(f"w{i}x{k}" for k in range(2000)) for i in range(400)]
+    theirs = pa.RecordBatch.from_pydict({"text": texts})
+    rows = list(K._their_hashes(iter([theirs, theirs])))
+    held = np.zeros(1 << (K.FILTER_BITS - 6), np.uint64)
+    held[rows[0].column(0).to_numpy()] = rows[0].column(1).to_numpy().view(np.uint64)
+    ours = pa.RecordBatch.from_pydict({"id": list(range(401)), "text": [*texts, "not one of these is there"]})
+    found = [r for b in K._our_phrases(SimpleNamespace(value=held))(iter([ours])) for r in b.to_pylist()]
+    assert len(rows) == 1 and {r["id"] for r in found} == set(range(400)) and len(found) == 400 * 1997
+    assert max(taken) <= (1 << 20) + max(map(len, texts)) < sum(map(len, texts)) / 3
+
+
 def test_cues_count_a_space_for_every_word_and_follow_their_clip(spark):
     words = [(1, 0, i, w, i * 0.5, i * 0.5 + 0.4) for i, w in enumerate(["a" * 15, "b" * 16, "c", " d "])]
     df = spark.createDataFrame(words, "source_id int, segment int, word_no int, text string, start_sec double, end_sec double")
