@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import unicodedata
 from datetime import UTC, datetime, timedelta
 from types import SimpleNamespace
@@ -128,6 +129,22 @@ def test_phrases_take_a_batch_in_pieces(monkeypatch):
     assert max(taken) <= (1 << 20) + max(map(len, texts)) < sum(map(len, texts)) / 3
 
 
+def test_few_texts_of_a_batch_are_python_strings_at_once():
+    texts = [f"{i} é " + "Zeile ü " * 500 for i in range(2000)]
+    batch, other = pa.array(texts), pa.array([t[::-1] for t in texts])
+    short = pa.array([None, *(t[:40] for t in texts)]), pa.array(["x", *(t[:40] + " x" for t in texts)])
+    size = sum(len(t.encode()) for t in texts)
+    for use, columns in ((T._nfkd.func, (batch,)), (T._nfkc.func, (batch,)), (T._edit_counts.func, (pa.array([""] * 2000), batch)), (T._below(0.0).func, (batch, other))):
+        tracemalloc.start()
+        got = use(*columns)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(got) == 2000 and peak < size / 2
+    assert T._nfkd.func(batch).to_pylist() == [unicodedata.normalize("NFKD", t) for t in texts] and len(T._nfkd.func(batch[:0])) == 0
+    assert T._below(0.75).func(*short).to_pylist() == [T.alike_below(a or "", b, 0.75) for a, b in zip(*(s.to_pylist() for s in short), strict=True)]
+    assert [tuple(r.values()) for r in T._edit_counts.func(*short).to_pylist()][:2] == [(0, 0, 1, 0), (0, 0, 1, len(texts[0][:40].split()))]
+
+
 def test_cues_count_a_space_for_every_word_and_follow_their_clip(spark):
     words = [(1, 0, i, w, i * 0.5, i * 0.5 + 0.4) for i, w in enumerate(["a" * 15, "b" * 16, "c", " d "])]
     df = spark.createDataFrame(words, "source_id int, segment int, word_no int, text string, start_sec double, end_sec double")
