@@ -10,7 +10,9 @@ from functools import reduce
 from itertools import product
 from math import frexp
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +47,8 @@ def suppress(
     """Rows kept best first: one goes if a better kept one of its group conflicts with it.
 
     bounds names the lower and upper bound of each dimension (one for windows, two for rectangles); only rows that overlap
-    can conflict, and with a ratio only those whose extents are within it. Of rows with equal bounds only the best can stay.
+    can conflict, and with a ratio only those whose extents are within it. Of rows with equal bounds only the best can stay. conflict
+    is asked about two boxes (x0, x1, y0, y1), or in one dimension about a window and two arrays, the bounds of many.
     Rows with null or empty extents conflict with none.
 
     The rest is cut into blocks `width` wide (four times the longest extent at least), and each block goes through its rows in
@@ -79,7 +82,8 @@ def suppress(
         widths = [F.greatest(F.lit(float(width)), F.col(name) * 4) * wider for name in longest]
         placed = state.withColumns({name: F.floor(F.col(a) / w + s) for name, (a, _), w, s in zip(blocks, bounds, widths, shift, strict=True)})
         dealt = placed.repartition(group, "__family", *blocks).sortWithinPartitions(group, "__family", *blocks, F.desc("__kept"), *order)
-        decided = cut(dealt.mapInArrow(_decide(group, bounds, blocks, longest, conflict, width, wider, shift, ratio), placed.schema).drop(*blocks))
+        decide = _decide_line if len(bounds) == 1 else _decide
+        decided = cut(dealt.mapInArrow(decide(group, bounds, blocks, longest, conflict, width, wider, shift, ratio), placed.schema).drop(*blocks))
         open_ = decided.filter("NOT __kept")
         if open_.isEmpty():
             return reduce(DataFrame.unionByName, [decided.drop(*extra), *done])
@@ -160,12 +164,74 @@ def _decide(group: str, bounds: list[tuple[str, str]], blocks: list[str], longes
     return run
 
 
-def _alike(threshold: float) -> Callable[[tuple, tuple], bool]:
-    """Whether two windows' shared length is more than a threshold of what both cover."""
+class _Line:
+    """A block's windows that stay so far, best first: bounds, and whether each is decided."""
+
+    def __init__(self):
+        self.low, self.high, self.done = np.zeros(0), np.zeros(0), np.zeros(0, bool)
+
+    def take(self, low: np.ndarray, high: np.ndarray, kept: np.ndarray, reach: Callable, inside: Callable, conflict: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """Goes through further windows in order; gives which of them stay, and which of all are decided.
+
+        A window that stays strikes the windows about it, which are neighbours by their lower bounds, all at once.
+        """
+        before, low, high = len(self.low), np.append(self.low, low), np.append(self.high, high)
+        fixed, done = np.append(self.done, kept), np.append(self.done, kept)
+        order = np.argsort(low, kind="stable")
+        place = np.empty(len(low), np.int64)
+        place[order] = np.arange(len(low))
+        lows, highs, far = low[order], high[order], reach(high - low)
+        first = np.searchsorted(lows, low - far * (1 + 1e-9)).tolist()
+        last = np.searchsorted(lows, high).tolist()
+        safe, struck, waits, stays = inside(low, high, far), np.zeros(len(low), bool), np.zeros(len(low), bool), np.ones(len(low), bool)
+        for i, at in enumerate(place.tolist()):
+            if i >= before and not fixed[i]:
+                if struck[at]:
+                    stays[i] = False
+                    continue
+                done[i] = safe[i] and not waits[at]
+            near = slice(first[i], last[i])
+            marks = (struck if done[i] else waits)[near]
+            marks |= conflict((low[i], high[i]), (lows[near], highs[near]))
+        self.low, self.high, self.done = low[stays], high[stays], done[stays]
+        return stays[before:], done[before:]
+
+
+def _decide_line(group: str, bounds: list[tuple[str, str]], blocks: list[str], longest: list[str], conflict: Callable, width: float, wider: float, shift: tuple, ratio: float | None):
+    """`_decide` for windows: a block's rows of a batch are taken together."""
 
-    def conflict(a: tuple, b: tuple) -> bool:
-        shared = min(a[1], b[1]) - max(a[0], b[0])
-        return shared > 0 and shared / ((a[1] - a[0]) + (b[1] - b[0]) - shared) > threshold
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, line = None, _Line()
+        for batch in batches:
+            n = batch.num_rows
+            keys = [batch.column(c) for c in (group, "__family", *blocks)]
+            codes = [pc.fill_null(k.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False) for k in keys]
+            begins = np.flatnonzero(reduce(np.logical_or, (np.diff(c, prepend=c[:1] - 1) != 0 for c in codes))).tolist() if n else []
+            low, high, longs = (pc.cast(batch.column(c), pa.float64(), safe=False).to_numpy(zero_copy_only=False) for c in (*bounds[0], longest[0]))
+            kept = batch.column("__kept").to_numpy(zero_copy_only=False)
+            stays, done = np.zeros(n, bool), np.zeros(n, bool)
+            for i, j in zip(begins, [*begins[1:], n], strict=True):
+                key = tuple(k[i].as_py() for k in keys)
+                if key != now:
+                    now, line = key, _Line()
+                most = float(longs[i])
+                side = max(width, 4.0 * most) * wider
+                edge = (key[2] - shift[0]) * side
+                reach = lambda size, most=most: np.minimum(most, ratio * size) if ratio else np.full(len(size), most)
+                inside = lambda a, b, far, edge=edge, side=side: (a - far >= edge) & (b <= edge + side)
+                stays[i:j], done[i:j] = line.take(low[i:j], high[i:j], kept[i:j], reach, inside, conflict)
+            out = batch.filter(pa.array(stays))
+            yield out.set_column(batch.schema.get_field_index("__kept"), "__kept", pa.array(done[stays], pa.bool_()))
+
+    return run
+
+
+def _alike(threshold: float) -> Callable[[tuple, tuple], np.ndarray]:
+    """Whether a window's shared length with each of many is more than a threshold of what both cover."""
+
+    def conflict(a: tuple, b: tuple) -> np.ndarray:
+        shared = np.minimum(a[1], b[1]) - np.maximum(a[0], b[0])
+        return (shared > 0) & (shared / ((a[1] - a[0]) + (b[1] - b[0]) - shared) > threshold)
 
     return conflict
 

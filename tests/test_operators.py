@@ -4,6 +4,7 @@ import difflib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +170,24 @@ def table_edits(ref, hyp):
     return row[-1][1:]
 
 
+def test_windows_of_a_batch_are_compared_many_at_a_time():
+    rng = random.Random(4)
+    rows = [(float(a), float(a + rng.choice([3, 5, 8, 13, 21, 34]))) for a in (rng.randint(0, 800) for _ in range(1500))]
+    rows, calls, alike = list(dict.fromkeys(rows)), [], S._alike(0.5)
+    share = lambda a, b: (min(a[1], b[1]) - max(a[0], b[0])) / ((a[1] - a[0]) + (b[1] - b[0]) - (min(a[1], b[1]) - max(a[0], b[0])))
+    want = []
+    for r in rows:
+        if all(min(r[1], k[1]) <= max(r[0], k[0]) or share(r, k) <= 0.5 for k in want):
+            want.append(r)
+    n = len(rows)
+    table = pa.table({"g": ["a"] * n, "__family": [0] * n, "__b": [0] * n, "x": [r[0] for r in rows], "y": [r[1] for r in rows], "__longest": [34.0] * n, "__kept": [False] * n})
+    conflict = lambda a, b: calls.append(1) or alike(a, b)
+    decide = S._decide_line("g", [("x", "y")], ["__b"], ["__longest"], conflict, 1800.0, 1.0, (0.5,), 2.0)
+    got = [r for b in decide(iter(table.to_batches(max_chunksize=400))) for r in b.to_pylist()]
+    assert [(r["x"], r["y"]) for r in got if r["__kept"]] == [(r["x"], r["y"]) for r in got] == want
+    assert len(calls) <= 4 * len(want)
+
+
 def test_edit_counts_equal_the_whole_table():
     rng = random.Random(4)
     for trial in range(600):
