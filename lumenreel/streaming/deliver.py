@@ -37,7 +37,7 @@ class LiveQuery:
     the query asks; matches says which are in a set, and group in which. What can't be read is in the table rejects and doesn't
     stop the rest: the document's last readable version stays. A document that matches no longer leaves its set, and one that
     moves changes two. A set that has become empty is in `changed` with n = 0. The folder has the tables changes, changed (group, n,
-    digest), rejects and delivered, a partition per batch; every `compact` batches changes and changed begin with a fold of all before.
+    digest), rejects, delivered, touched (groups of changed documents) and held (their sets), a partition per batch; every `compact` batches changes and changed begin with a fold of all before.
     """
 
     def __init__(self, path: str, declared: StructType, required: tuple[str, ...], matches: Column, group: str, key: str = "id", version: str = "version", compact: int = 20):
@@ -86,7 +86,8 @@ class LiveQuery:
         old = self.state(spark, batch_id)
         new = self._newest(old.unionByName(changes))
         touched = old.join(changes.select(self.key), self.key, "left_semi").select(self.group).unionByName(changes.select(self.group)).filter(F.col(self.group).isNotNull()).distinct()
-        held = new.filter(self.matches).join(touched, self.group, "left_semi")
+        touched = self._write(touched, "touched", batch_id)  # these two are read several times
+        held = self._write(new.filter(self.matches).join(touched, self.group, "left_semi").select(self.columns), "held", batch_id, self.declared)
         now = touched.join(digests(held, self.group, self.columns), self.group, "left").select(self.group, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("digest", F.lit("")).alias("digest"))
         told = self.delivered(spark, batch_id).select(self.group, F.col("digest").alias("__told"))
         other = F.coalesce("__told", F.lit("")) != F.col("digest")

@@ -102,6 +102,16 @@ def deliveries(batches, required=("id", "version", "lane")):
     return out
 
 
+def test_live_query_works_a_set_out_once_a_batch(spark, tmp_path, monkeypatch):
+    live = D.LiveQuery(str(tmp_path), DOCUMENT, ("id", "version", "lane"), F.col("status") == "QUEUED", "lane")
+    plans, hand_over = [], live.hand_over
+    monkeypatch.setattr(live, "hand_over", lambda rows, changed, batch_id: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or hand_over(rows, changed, batch_id))
+    for b in range(2):
+        live(spark.createDataFrame([(f'{{"id": {i}, "version": {b}, "lane": "x", "status": "QUEUED"}}',) for i in range(5)], "value string"), b)
+    assert len(plans) == 2 and not any("Aggregate" in plan for plan in plans)
+    assert spark.read.parquet(f"{tmp_path}/delivered/batch=1").count() == 5
+
+
 def test_live_query_delivers_whole_sets_when_they_change(spark, tmp_path):
     import json
 
